@@ -89,20 +89,25 @@ def _read(spark: SparkSession, path: str, provenance: bool, multi_line: bool) ->
 
 
 def _object_rows(spark: SparkSession, path: str, files: list[str], provenance: bool) -> DataFrame:
-    """Rows of an object document: its first list in document order, or the object itself."""
-    if len(files) > 1:
-        raise ValueError(f"Scan object documents one file at a time: {path}")
+    """Rows of object documents: the first list in document order, or the object itself.
+
+    Documents of one folder must agree on which list that is.
+    """
     df = _read(spark, path, provenance, multi_line=True)
-    text = spark.read.option("wholetext", True).text(files)
-    keys = text.select(F.json_object_keys("value").alias("keys")).first()["keys"] or []
     lists = {f.name: f.dataType for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)}
-    key = next((k for k in keys if k in lists), None)
+    text = spark.read.option("wholetext", True).text(path)
+    keys = text.select(F.json_object_keys("value").alias("keys"))
+    in_lists = F.filter("keys", lambda k: k.isin(*lists)) if lists else F.array().cast("array<string>")
+    found = keys.select(F.get(in_lists, F.lit(0)).alias("key")).distinct().head(2)
+    if len(found) > 1:
+        raise ValueError(f"Object documents with different lists of rows: {path}")
+    key = found[0]["key"]
     if key is None:
-        return _in_order(df, keys)
+        return _in_order(df, keys.first()["keys"])
     if not isinstance(lists[key].elementType, T.StructType):
         raise ValueError(NOT_TABULAR)
     extra = [FILE, BLOCK] if provenance else []
-    rows = df.select(F.explode(col(key)).alias("__row"), *extra).select("__row.*", *extra)
+    rows = df.select(F.explode(col(key)).alias("__item"), *extra).select("__item.*", *extra)
     return _in_order(rows, _document_keys(spark, files, key))
 
 
