@@ -22,13 +22,24 @@ def value_key(value: Column, data_type: T.DataType) -> Column:
     return text
 
 
+def typed_key(value: Column, data_type: T.DataType) -> tuple[Column, Column, Column]:
+    """The value as a whole number, a real number or a text, whichever keeps it apart most cheaply."""
+    whole, real, text = F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("string")
+    if isinstance(data_type, (T.IntegralType, T.BooleanType)):
+        return value.cast("bigint"), real, text
+    if isinstance(data_type, (T.DoubleType, T.FloatType)):
+        return whole, value.cast("double"), text
+    if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType, T.DecimalType)):
+        return whole, real, value.cast("string")
+    return whole, real, value_key(value, data_type)
+
+
 def long_form(df: DataFrame) -> DataFrame:
-    """(ordinal, value key) rows, one per cell."""
-    cells = [
-        F.struct(F.lit(i).alias("ordinal"), value_key(col(f.name), f.dataType).alias("value"))
-        for i, f in enumerate(df.schema.fields)
-    ]
-    return df.select(F.inline(F.array(*cells)))
+    """(ordinal, whole, real, text) rows, one per cell; at most one of the three is not NULL."""
+    cells = []
+    for i, f in enumerate(df.schema.fields):
+        cells += [F.lit(i), *typed_key(col(f.name), f.dataType)]
+    return df.select(F.stack(F.lit(len(df.columns)), *cells).alias("ordinal", "whole", "real", "text"))
 
 
 def column_counts(df: DataFrame, exact: bool = True) -> DataFrame:
@@ -39,21 +50,23 @@ def column_counts(df: DataFrame, exact: bool = True) -> DataFrame:
     ``exact=False`` keeps one sketch per column instead and shuffles only those.
     """
     if exact:
-        cells = long_form(df).groupBy("ordinal", "value").agg(F.count("*").alias("n"))
+        cells = long_form(df).groupBy("ordinal", "whole", "real", "text").agg(F.count("*").alias("n"))
+        filled = F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("text").isNotNull()
         return cells.groupBy("ordinal").agg(
             F.sum("n").alias("row_count"),
-            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
-            F.count("value").alias("distinct_count"),
+            F.sum(F.when(filled, F.lit(0)).otherwise(F.col("n"))).alias("nulls"),
+            F.count_if(filled).alias("distinct_count"),
         )
     stats = []
     for i, f in enumerate(df.schema.fields):
         value = col(f.name)
+        counted = value_key(value, f.dataType) if isinstance(f.dataType, T.MapType) else value
         stats.append(
             F.struct(
                 F.lit(i).alias("ordinal"),
                 F.count("*").alias("row_count"),
                 F.count_if(value.isNull()).alias("nulls"),
-                F.approx_count_distinct(value_key(value, f.dataType)).alias("distinct_count"),
+                F.approx_count_distinct(counted).alias("distinct_count"),
             )
         )
     return df.agg(F.array(*stats).alias("stats")).select(F.inline("stats"))

@@ -58,7 +58,7 @@ def infer_types(df: DataFrame, order_by: str | None = None, dates: bool = True)
         value = col(name)
         tests += [
             F.bool_and(value.isin(*BOOLEAN_TOKENS)).alias(f"b{i}"),
-            F.bool_and(value.rlike(WHOLE_NUMBER) & value.try_cast("bigint").isNotNull()).alias(f"i{i}"),
+            F.bool_and(F.when(value.isNotNull(), _is_integer(value))).alias(f"i{i}"),
             F.bool_and(_is_float(value)).alias(f"f{i}"),
             F.count(value).alias(f"n{i}"),
         ]
@@ -73,6 +73,10 @@ def infer_types(df: DataFrame, order_by: str | None = None, dates: bool = True)
     return types
 
 
+def _is_integer(value: Column) -> Column:
+    return value.rlike(WHOLE_NUMBER) & value.try_cast("bigint").isNotNull()
+
+
 def _is_float(value: Column) -> Column:
     # a whole number that does not fit 64 bits stays text: a double would lose digits
     number = value.rlike(NUMBER) & ~(value.rlike(WHOLE_NUMBER) & value.try_cast("bigint").isNull())

@@ -95,7 +95,7 @@ def _object_rows(spark: SparkSession, path: str, files: list[str], provenance: b
     """
     df = _read(spark, path, provenance, multi_line=True)
     lists = {f.name: f.dataType for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)}
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     keys = text.select(F.json_object_keys("value").alias("keys"))
     in_lists = F.filter("keys", lambda k: k.isin(*lists)) if lists else F.array().cast("array<string>")
     found = keys.select(F.get(in_lists, F.lit(0)).alias("key")).distinct().head(2)
@@ -125,7 +125,7 @@ def _document_keys(spark: SparkSession, files: list[str], key: str | None) -> li
     fs, jpath = hadoop_path(spark, files[0])
     if fs.getFileStatus(jpath).getLen() > ORDERED_DOCUMENT_BYTES:
         return []
-    text = spark.read.option("wholetext", True).text(files[0])
+    text = spark.read.text(files[0], wholetext=True)
     if key is None:
         items = F.from_json("value", "array<string>")
     else:

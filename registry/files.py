@@ -1,2 +1,153 @@
-QUERIES = {}
-ORACLES = {}
+"""File sources: CSV, the JSON forms, flattening, raw landing, names."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
+
+from martloom.functions import col
+from martloom.functions.display import json_text
+from martloom.functions.names import identifier_column, table_name_column
+from martloom.operators.inspection import table_counts  # noqa: F401  (re-exported for the layers area)
+from martloom.session import scratch_path
+from martloom.sources import list_sources, scan
+from martloom.sources.json import flatten
+from martloom.sources.raw import land_raw
+from registry.model import given, write_source
+
+# Rows per JSON document, so that every document is a file of bounded size.
+DOCUMENT_ROWS = 1000
+LOADED_AT = "2024-01-01T00:00:00+00:00"
+
+
+def write_documents(df: DataFrame, key: str, name: str, wrap: bool) -> str:
+    """Write rows as JSON documents, a bounded number of rows and one file each."""
+    record = F.to_json(F.struct(*map(col, df.columns)), {"ignoreNullFields": "false"})
+    documents = df.groupBy(F.floor(col(key) / DOCUMENT_ROWS).alias("chunk")).agg(
+        F.concat(F.lit("["), F.array_join(F.collect_list(record), ",\n"), F.lit("]")).alias("value")
+    )
+    if wrap:
+        start, end = F.lit('{"total": 1, "rows": '), F.lit(', "also": [{"c_custkey": -1}]}')
+        documents = documents.withColumn("value", F.concat(start, "value", end))
+    path = f"{scratch_path(df.sparkSession, 'source')}/{name}.json"
+    documents.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(spark, write_source(given(spark, sf_dir, "customer"), "customer", "csv"))
+
+
+def scan_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(spark, write_documents(given(spark, sf_dir, "customer"), "c_custkey", "customer", wrap=False))
+
+
+def scan_json_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(spark, write_documents(given(spark, sf_dir, "customer"), "c_custkey", "customer", wrap=True))
+
+
+def scan_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(spark, write_source(given(spark, sf_dir, "part"), "part", "json"))
+
+
+def flatten_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nested = given(spark, sf_dir, "events").select(
+        "event_id", F.from_json("props", "k bigint").alias("props"), F.struct("user_id", F.struct("value").alias("v")).alias("who")
+    )
+    return flatten(nested)
+
+
+def encode_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pair = F.struct(F.size("embedding").alias("size"), "label", F.array("label", F.lit(None)).alias("also"))
+    nested = given(spark, sf_dir, "embeddings").select("vec_id", pair.alias("pair"))
+    return nested.select("vec_id", json_text(F.col("pair"), nested.schema["pair"].dataType).alias("pair"))
+
+
+def raw_land(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = write_source(given(spark, sf_dir, "lineitem"), "source2_lineitem", "csv")
+    return land_raw(spark, path, scratch_path(spark, "raw"), LOADED_AT).read().drop("_source_file", "_raw_row_number")
+
+
+def raw_row_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row numbers of part files that together are sorted by key: file after file they count the keys."""
+    path = write_source(given(spark, sf_dir, "orders").orderBy("o_orderkey"), "orders", "csv")
+    landed = land_raw(spark, path, scratch_path(spark, "raw"), LOADED_AT).read()
+    sizes = landed.groupBy("_source_file").agg(F.max("_raw_row_number").alias("rows"))
+    earlier = W.orderBy("_source_file").rowsBetween(W.unboundedPreceding, -1)  # one row per file
+    starts = sizes.withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
+    return landed.join(starts, "_source_file").select(
+        "o_orderkey", (F.col("before") + F.col("_raw_row_number")).alias("row_number")
+    )
+
+
+def normalize_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urls = given(spark, sf_dir, "pages").select(F.lit("url").alias("kind"), F.col("url").alias("name"))
+    parts = given(spark, sf_dir, "part").select(F.lit("part").alias("kind"), F.col("p_name").alias("name"))
+    sizes = given(spark, sf_dir, "part").select(F.lit("size").alias("kind"), F.concat_ws(" - ", "p_size", "p_type").alias("name"))
+    return urls.unionAll(parts).unionAll(sizes).withColumn("identifier", identifier_column(F.col("name")))
+
+
+def table_name_from_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables written under prefixed file names, found again and named."""
+    root = scratch_path(spark, "source")
+    names = {"region": "source1_Region.csv", "nation": "SRC_nation.json", "customer": "source2-raw_Customer-List.csv"}
+    for name, file in names.items():
+        writer = given(spark, sf_dir, name).write
+        writer.option("header", True).csv(f"{root}/{file}") if file.endswith("csv") else writer.json(f"{root}/{file}")
+    result = None
+    for path in list_sources(spark, root):
+        file = path.rsplit("/", 1)[-1]
+        counted = scan(spark, path).agg(F.count("*").alias("rows")).withColumn("file", F.lit(file))
+        result = counted if result is None else result.unionByName(counted)
+    return result.withColumn("table_name", table_name_column(F.col("file")))
+
+
+QUERIES = {
+    "scan_csv": scan_csv,
+    "scan_json_array": scan_json_array,
+    "scan_json_wrapper": scan_json_wrapper,
+    "scan_json_lines": scan_json_lines,
+    "flatten_json": flatten_json,
+    "encode_nested": encode_nested,
+    "raw_land": raw_land,
+    "raw_row_number": raw_row_number,
+    "normalize_identifier": normalize_identifier,
+    "table_name_from_file": table_name_from_file,
+}
+
+CUSTOMER_SQL = (
+    "select c_custkey, c_name, cast(c_nationkey as bigint) as c_nationkey, c_acctbal, c_mktsegment from customer"
+)
+IDENTIFIER_SQL = "trim(regexp_replace(lower(trim(name)), '[^a-zA-Z0-9_]+', '_', 'g'), '_')"
+
+ORACLES = {
+    "scan_csv": CUSTOMER_SQL,
+    "scan_json_array": CUSTOMER_SQL,
+    "scan_json_wrapper": CUSTOMER_SQL,
+    "scan_json_lines": (
+        "select p_partkey, p_name, p_brand, p_type, cast(p_size as bigint) as p_size, p_retailprice from part"
+    ),
+    "flatten_json": """
+        select event_id, cast(json_extract(props, '$.k') as bigint) as "props.k", user_id as "who.user_id",
+            value as "who.v.value" from events""",
+    "encode_nested": """
+        select vec_id, '{"also": [' || label || ', null], "label": ' || label || ', "size": ' || len(embedding) || '}' as pair
+        from embeddings""",
+    "raw_land": f"""
+        select '{LOADED_AT}' as _loaded_at, l_orderkey, l_partkey, l_suppkey, cast(l_linenumber as bigint) as l_linenumber,
+            l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus,
+            strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') as l_shipdate
+        from lineitem""",
+    "raw_row_number": "select o_orderkey, row_number() over (order by o_orderkey) as row_number from orders",
+    "normalize_identifier": f"""
+        with n as (
+            select 'url' as kind, url as name from pages
+            union all select 'part', p_name from part
+            union all select 'size', p_size || ' - ' || p_type from part),
+        i as (select *, {IDENTIFIER_SQL} as base from n),
+        f as (select kind, name, case when base = '' then 'field' else base end as base from i)
+        select kind, name, case when regexp_matches(base, '^[0-9]') then '_' || base else base end as identifier from f""",
+    "table_name_from_file": """
+        select 'source1_Region.csv' as file, 'region' as table_name, count(*) as rows from region
+        union all select 'SRC_nation.json', 'nation', count(*) from nation
+        union all select 'source2-raw_Customer-List.csv', 'customer_list', count(*) from customer""",
+}

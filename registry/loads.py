@@ -1,2 +1,277 @@
-QUERIES = {}
-ORACLES = {}
+"""Loading: recreate, several files, file acceptance, quarantine, upsert, keys, evolution, reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from martloom.operators.keys import generate_keys, last_wins
+from martloom.operators.loading import (
+    FILE,
+    ROW,
+    accepted_rows,
+    file_statuses,
+    fit_rows,
+    quarantine,
+    status_frame,
+    total_rows,
+    union_files,
+)
+from martloom.operators.mapping import Mapping
+from martloom.plans.migrate import Source, migrate
+from martloom.session import scratch_path
+from martloom.sources.raw import land_raw, raw_counts
+from martloom.sources.store import TableStore
+from martloom.spec import TableSpec, table
+from registry.model import SPECS, given, target, write_source
+
+BUCKETS = 8
+ORDER = SPECS["order"]
+# The same table without NOT NULL columns, for batches that leave columns out.
+LOOSE_ORDER = table(
+    "order", [(c.name, c.sql_type) for c in ORDER.columns], "order_id", foreign_keys={"customer_id": ("customer", "customer_id")}
+)
+COLUMNS_SQL = "o_orderkey as order_id, o_custkey as customer_id, o_orderstatus as status, o_totalprice as price"
+STORED_SQL = COLUMNS_SQL + ", cast(o_orderdate as varchar) as order_date"
+
+
+def store(spark: SparkSession, buckets: int | None = None) -> TableStore:
+    return TableStore(spark, scratch_path(spark, "store"), buckets)
+
+
+def as_file(df: DataFrame, name: str) -> DataFrame:
+    return df.withColumns({FILE: F.lit(name), ROW: F.col("order_id")})
+
+
+def load_recreate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text values become the declared types; a second load replaces the first."""
+    orders = target(spark, sf_dir, "order")
+    texts = orders.select(*[F.col(c).cast("string").alias(c) for c in orders.columns])
+    tables = store(spark)
+    tables.write(ORDER, fit_rows(orders.withColumn("price", F.lit(0)), ORDER))
+    return tables.write(ORDER, fit_rows(texts, ORDER))
+
+
+def load_multi_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three files of one table; the second has no price, the third columns in another order."""
+    orders = target(spark, sf_dir, "order")
+    files = [
+        orders.where("status = 'F'"),
+        orders.where("status = 'O'").drop("price"),
+        orders.where("status = 'P'").select("order_date", "price", "status", "customer_id", "order_id"),
+    ]
+    batch = union_files([as_file(df, f"orders_{i}.csv") for i, df in enumerate(files)])
+    return store(spark).write(ORDER, fit_rows(batch, ORDER))
+
+
+def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six files: c and f load, d repeats keys of c, e lacks customers, f shares keys with d only."""
+    orders = target(spark, sf_dir, "order")
+    pending = orders.where("status = 'P'")
+    shifted = pending.withColumn("order_id", -1 - F.col("order_id"))
+    files = {
+        "a.csv": orders.where("status = 'F'"),
+        "b.csv": orders.where("status = 'O'"),
+        "c.csv": pending,
+        "d.csv": pending.withColumn("price", F.col("price") + 1).unionByName(shifted),
+        "e.csv": orders.where("status = 'F'").withColumns(
+            {"order_id": F.col("order_id") + 1000000000, "customer_id": F.lit(None).cast("bigint")}
+        ),
+        "f.csv": shifted.withColumn("price", F.col("price") + 2),
+    }
+    return fit_rows(union_files([as_file(df, name) for name, df in files.items()]), ORDER)
+
+
+def load_file_atomic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch = order_files(spark, sf_dir)
+    return store(spark).write(ORDER, accepted_rows(batch, file_statuses(batch, ORDER), ORDER))
+
+
+def load_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report as written and read back."""
+    statuses = file_statuses(order_files(spark, sf_dir), ORDER)
+    path = scratch_path(spark, "report")
+    report = status_frame(statuses, spark)
+    report.write.json(path)
+    return spark.read.schema(report.schema).json(path)
+
+
+def load_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return total_rows(load_report(spark, sf_dir))
+
+
+def quarantine_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good, bad = quarantine(order_files(spark, sf_dir), ORDER)
+    return bad.unionByName(good.withColumn("reason", F.lit("good"))).withColumnRenamed(FILE, "source_file").drop(ROW)
+
+
+def load_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Urgent orders change price and lose their unmapped columns; new keys are added."""
+    tables = store(spark, BUCKETS)
+    orders = target(spark, sf_dir, "order")
+    tables.write(LOOSE_ORDER, fit_rows(orders, LOOSE_ORDER))
+    urgent = given(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    changed = urgent.select(
+        F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), (F.col("o_totalprice") + 1).alias("price")
+    )
+    added = changed.withColumn("order_id", -1 - F.col("order_id"))
+    return tables.upsert(LOOSE_ORDER, fit_rows(changed.unionByName(added), LOOSE_ORDER))
+
+
+def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines repeat (order, line number); the last by ship date, product and price stays."""
+    lines = given(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_extendedprice", "l_quantity"
+    )
+    return last_wins(lines, ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey", "l_extendedprice", "l_quantity"])
+
+
+def surrogate_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of one segment lost their key and get new ones in name order."""
+    customers = target(spark, sf_dir, "customer").withColumn(
+        "customer_id", F.when(F.col("segment") != "MACHINERY", F.col("customer_id"))
+    )
+    return generate_keys(customers, "customer_id", order=["full_name"])
+
+
+def evolve_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first batch without balance, then one with it: the column is added, old rows stay NULL."""
+    tables = store(spark)
+    customers = target(spark, sf_dir, "customer")
+    old = table("customer", "customer_id INTEGER, full_name TEXT, segment TEXT", "customer_id")
+    new = table("customer", "customer_id INTEGER, full_name TEXT, segment TEXT, balance REAL", "customer_id")
+    tables.write(old, fit_rows(customers.where("segment = 'BUILDING'"), old))
+    return tables.upsert(new, fit_rows(customers.where("segment <> 'BUILDING'"), new))
+
+
+def raw_tables(spark: SparkSession, sf_dir: str):
+    root = scratch_path(spark, "raw")
+    return {
+        name: land_raw(spark, write_source(given(spark, sf_dir, name), name, "csv"), root, "2024-01-01T00:00:00+00:00")
+        for name in ("customer", "orders", "part")
+    }
+
+
+def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows landed per source, over its part files."""
+    counts = raw_counts(list(raw_tables(spark, sf_dir).values()))
+    return counts.groupBy("table").agg(F.sum("rows").alias("rows"))
+
+
+MAPPINGS = [
+    Mapping(spec, column, f"{source}.csv", given_name)
+    for spec, source, columns in (
+        ("customer", "customer", [("customer_id", "c_custkey"), ("full_name", "c_name"), ("segment", "c_mktsegment"), ("nation_id", "c_nationkey")]),
+        (
+            "order",
+            "orders",
+            [("order_id", "o_orderkey"), ("customer_id", "o_custkey"), ("status", "o_orderstatus"), ("order_date", "o_orderdate")],
+        ),
+        ("product", "part", [("product_id", "p_partkey"), ("brand", "p_brand"), ("price", "p_retailprice")]),
+    )
+    for column, given_name in columns
+] + [Mapping("product", "product_name", "part.csv", "p_name", "upper(p_name)")]
+MIGRATED: list[TableSpec] = [
+    SPECS["customer"],
+    SPECS["order"],
+    SPECS["product"],
+    table("brand", "brand_id INTEGER, name TEXT", "brand_id"),
+]
+
+
+def migrate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as CSV, landed raw, mapped, loaded into both stores, validated.
+
+    Customers refer to nations, which are not a target here, so every reference is a violation.
+    """
+    sources = []
+    for name, landed in raw_tables(spark, sf_dir).items():
+        place = F.struct("_source_file", "_raw_row_number")
+        sources.append(Source(f"{name}.csv", landed.read().withColumn("__place", place), "__place"))
+    mappings = [*MAPPINGS, Mapping("brand", "name", "part.csv", "p_brand")]
+    done = migrate(
+        spark, MIGRATED, sources, mappings, store(spark), store(spark, BUCKETS), report_path=scratch_path(spark, "report")
+    )
+    return done.validation
+
+
+QUERIES = {
+    "load_recreate": load_recreate,
+    "load_multi_file": load_multi_file,
+    "load_file_atomic": load_file_atomic,
+    "load_report": load_report,
+    "load_total": load_total,
+    "quarantine_rows": quarantine_rows,
+    "load_upsert": load_upsert,
+    "upsert_last_wins": upsert_last_wins,
+    "surrogate_key": surrogate_key,
+    "evolve_columns": evolve_columns,
+    "raw_counts": raw_rows,
+    "migrate_all": migrate_all,
+}
+
+FILES_SQL = f"""
+    with o as (select {STORED_SQL} from orders),
+    files as (
+        select 'a.csv' as source_file, * from o where status = 'F'
+        union all select 'b.csv', * from o where status = 'O'
+        union all select 'c.csv', * from o where status = 'P'
+        union all select 'd.csv', * replace (price + 1 as price) from o where status = 'P'
+        union all select 'd.csv', * replace (-1 - order_id as order_id) from o where status = 'P'
+        union all select 'e.csv', * replace (order_id + 1000000000 as order_id, null as customer_id) from o where status = 'F'
+        union all select 'f.csv', * replace (-1 - order_id as order_id, price + 2 as price) from o where status = 'P')"""
+REPORT_SQL = f"""{FILES_SQL},
+    report as (
+        select 'order' as "table", source_file,
+            case when source_file in ('d.csv', 'e.csv') then 0 else count(*) end as rows,
+            case when source_file in ('d.csv', 'e.csv') then 'error' else 'loaded' end as status,
+            case source_file when 'd.csv' then 'UNIQUE constraint failed: order.order_id'
+                when 'e.csv' then 'NOT NULL constraint failed: order.customer_id' else '' end as reason
+        from files group by source_file)"""
+
+ORACLES = {
+    "load_recreate": f"select {STORED_SQL} from orders",
+    "load_multi_file": f"select * replace (case when status <> 'O' then price end as price) from (select {STORED_SQL} from orders)",
+    "load_file_atomic": f"""{FILES_SQL}
+        select order_id, customer_id, status, price, order_date from files where source_file not in ('d.csv', 'e.csv')""",
+    "load_report": f"{REPORT_SQL} select * from report",
+    "load_total": f"{REPORT_SQL} select cast(sum(rows) as bigint) as total_rows from report",
+    "quarantine_rows": f"""{FILES_SQL},
+        judged as (
+            select *, case when customer_id is null then 'not_null: customer_id' end as flaw from files),
+        ranked as (
+            select *, row_number() over (partition by order_id, flaw is null order by source_file) as place from judged)
+        select source_file, order_id, customer_id, status, price, order_date,
+            case when flaw is not null then flaw when place > 1 then 'duplicate_key' else 'good' end as reason
+        from ranked""",
+    "load_upsert": f"""
+        with o as (select {STORED_SQL}, o_orderpriority = '1-URGENT' as urgent from orders)
+        select * exclude (urgent) from o where not urgent
+        union all select order_id, customer_id, null, price + 1, null from o where urgent
+        union all select -1 - order_id, customer_id, null, price + 1, null from o where urgent""",
+    "upsert_last_wins": """
+        select l_orderkey, l_linenumber, l_shipdate, l_partkey, l_extendedprice, l_quantity from lineitem
+        qualify row_number() over (partition by l_orderkey, l_linenumber
+            order by l_shipdate desc, l_partkey desc, l_extendedprice desc, l_quantity desc) = 1""",
+    "surrogate_key": """
+        with c as (
+            select case when c_mktsegment <> 'MACHINERY' then c_custkey end as customer_id, c_name as full_name,
+                c_mktsegment as segment, c_acctbal as balance, c_nationkey as nation_id from customer)
+        select * from c where customer_id is not null
+        union all
+        select (select max(customer_id) from c) + row_number() over (order by full_name), * exclude (customer_id)
+        from c where customer_id is null""",
+    "evolve_columns": """
+        select c_custkey as customer_id, c_name as full_name, c_mktsegment as segment,
+            case when c_mktsegment <> 'BUILDING' then c_acctbal end as balance
+        from customer""",
+    "raw_counts": " union all ".join(
+        f"select 'raw_{t}' as \"table\", count(*) as rows from {t}" for t in ("customer", "orders", "part")
+    ),
+    "migrate_all": """
+        select 'customer' as "table", count(*) as row_count, count(c_nationkey) as fk_violations,
+            0::bigint as null_violations, 'warning' as status from customer
+        union all
+        select 'order', count(*), 0, 0, 'ok' from orders
+        union all select 'product', count(*), 0, 0, 'ok' from part
+        union all select 'brand', count(*), 0, 0, 'ok' from part""",
+}

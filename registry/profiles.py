@@ -1,2 +1,385 @@
-QUERIES = {}
-ORACLES = {}
+"""Profiles, inferred types, proposed keys, relationships and mappings."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from martloom.functions.names import table_name
+from martloom.operators.discovery import (
+    infer_relationships,
+    propose_fks,
+    propose_pks,
+    propose_schema,
+    relationship_frame,
+)
+from martloom.operators.matching import NAME_WEIGHT, OVERLAP_WEIGHT, THRESHOLD, column_overlap, propose_mappings
+from martloom.operators.profiling import profile, sample_values, union_catalog
+from martloom.operators.typing import infer_types
+from martloom.spec import table
+from registry.checking import DEFECTIVE_SQL, defective, nulled_orders
+from registry.model import COLUMNS, SPECS, TABLES, given, target, target_sql, targets, with_sql
+
+# Logical types of the given tables' columns; every column not listed is text.
+TYPES = {
+    "integer": (
+        "r_regionkey n_nationkey n_regionkey c_custkey c_nationkey s_suppkey s_nationkey p_partkey p_size o_orderkey "
+        "o_custkey l_orderkey l_partkey l_suppkey l_linenumber event_id user_id doc_id n_chars vec_id label page_id "
+        "item_id quality toxic conv_id turn"
+    ).split(),
+    "float": (
+        "c_acctbal s_acctbal p_retailprice o_totalprice l_quantity l_extendedprice l_discount l_tax value"
+    ).split(),
+    "date": "o_orderdate l_shipdate ts".split(),
+}
+GIVEN_COLUMNS = {
+    "region": "r_regionkey r_name",
+    "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": (
+        "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag "
+        "l_linestatus l_shipdate"
+    ),
+    "events": "event_id ts user_id event_type value props",
+    "documents": "doc_id text lang source n_chars",
+    "embeddings": "vec_id embedding label",
+    "pages": "page_id url html",
+    "benchmark": "item_id text",
+    "labels": "doc_id quality toxic",
+    "conversations": "conv_id turn role text",
+}
+
+
+def partly_null_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return given(spark, sf_dir, "orders").withColumns(
+        {
+            "o_orderstatus": F.nullif(F.col("o_orderstatus"), F.lit("F")),
+            "o_orderpriority": F.lit(None).cast("string"),
+        }
+    )
+
+
+def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile(partly_null_orders(spark, sf_dir), "orders")
+
+
+def profile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return union_catalog([profile(given(spark, sf_dir, name), name) for name in TABLES])
+
+
+def profile_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile(given(spark, sf_dir, "orders"), "orders", sample_rows=1000, order_by="o_orderkey")
+
+
+def profile_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = sample_values(given(spark, sf_dir, "customer"), order_by="c_custkey")
+    return values.select("column_name", F.array_join("sample_values", " | ").alias("sample_values"))
+
+
+def mixed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text copies of columns of every logical type, some with nulls or stray values."""
+    text = given(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.col("o_orderkey").cast("string").alias("whole"),
+        F.col("o_totalprice").cast("string").alias("decimal"),
+        F.when(F.col("o_orderstatus") == "F", "true").otherwise("false").alias("flag"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
+        F.col("o_orderdate").cast("string").alias("moment"),
+        F.col("o_orderpriority").alias("word"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_custkey").cast("string")).alias("whole_or_null"),
+        F.when(F.col("o_orderstatus") == "P", "n/a?").otherwise(F.col("o_custkey").cast("string")).alias("whole_or_word"),
+        F.lit(None).cast("string").alias("nothing"),
+    )
+    return text
+
+
+def infer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infer_types(mixed_texts(spark, sf_dir), order_by="o_orderkey")
+    return spark.createDataFrame(list(found.items()), "column_name string, inferred_type string")
+
+
+def file_name(name: str) -> str:
+    return f"source1_{name}.csv"
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = targets(spark, sf_dir) | {"order": nulled_orders(spark, sf_dir)}
+    return union_catalog([profile(df, file_name(name)) for name, df in frames.items()])
+
+
+def primary_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return propose_pks(catalog(spark, sf_dir))
+
+
+def schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return propose_schema(catalog(spark, sf_dir))
+
+
+def foreign_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = targets(spark, sf_dir) | {"order": nulled_orders(spark, sf_dir)}
+    return propose_fks(catalog(spark, sf_dir), {file_name(n): df for n, df in frames.items()})
+
+
+# No declared keys but one; the customers' key has a name of its own.
+NAMED_SPECS = [
+    table("line", "order_id INTEGER, product_id INTEGER, supplier_id INTEGER, line_no INTEGER"),
+    table("order", "order_id INTEGER, customer_id INTEGER, price REAL", "order_id"),
+    table("customers", "cust_key INTEGER, full_name TEXT, nation_id INTEGER", "cust_key"),
+    table("product", "product_id INTEGER, price REAL", "product_id"),
+    table("supplier", "supplier_id INTEGER, nation_id INTEGER", "supplier_id"),
+    table(
+        "nation", "nation_id INTEGER, region_id INTEGER", "nation_id", foreign_keys={"region_id": ("region", "region_id")}
+    ),
+    table("region", "region_id INTEGER", "region_id"),
+]
+
+
+def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = defective(spark, sf_dir)
+    frames["customers"] = frames["customer"].withColumnRenamed("customer_id", "cust_key")
+    return relationship_frame(infer_relationships(NAMED_SPECS), frames)
+
+
+def _matching(spark: SparkSession, sf_dir: str):
+    sources = {f"{n}.csv": given(spark, sf_dir, n) for n in ("orders", "customer")}
+    return sources, targets(spark, sf_dir, ["order", "customer"])
+
+
+def overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return column_overlap(*_matching(spark, sf_dir))
+
+
+def mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return propose_mappings(*_matching(spark, sf_dir))
+
+
+QUERIES = {
+    "profile_columns": profile_columns,
+    "profile_all": profile_all,
+    "profile_sampled": profile_sampled,
+    "profile_samples": profile_samples,
+    "infer_types": infer,
+    "propose_pks": primary_keys,
+    "propose_schema": schema,
+    "propose_fks": foreign_keys,
+    "infer_relationships": relationships,
+    "column_overlap": overlap,
+    "propose_mappings": mappings,
+}
+
+
+def _profile_sql(source: str, relation: str, columns: list[str], types: dict[str, str] | None = None) -> str:
+    parts = []
+    for i, c in enumerate(columns):
+        kind = (types or {}).get(c) or next((k for k, names in TYPES.items() if c in names), "string")
+        parts.append(
+            f"select '{source}' as source_file, {i} as ordinal, '{c}' as column_name, '{kind}' as inferred_type, "
+            f"round_even(count(*) filter (where {c} is null) / count(*), 4) as null_pct, "
+            f'count(distinct {c}) as distinct_count, count(*) as row_count from "{relation}"'
+        )
+    return " union all ".join(parts)
+
+
+def _catalog_sql() -> str:
+    """Measured columns of the target model: nulls and distinct values."""
+    kinds = {"INTEGER": "INTEGER", "REAL": "REAL", "TEXT": "TEXT"}
+    return " union all ".join(
+        f"select '{file_name(name)}' as source_file, '{name}' as table_name, {i} as ordinal, '{c.name}' as column_name, "
+        f"'{kinds[c.sql_type]}' as sql_type, count(*) as n, count({c.name}) as filled, count(distinct {c.name}) as d "
+        f'from "{name}"'
+        for name, spec in SPECS.items()
+        for i, c in enumerate(spec.columns)
+    )
+
+
+NULLED_SQL = {n: target_sql(n) for n in SPECS} | {"order": DEFECTIVE_SQL["order"]}
+KEYS_SQL = """
+    keys as (select source_file, table_name, column_name, round(d / n, 4) as unique_ratio
+             from (select *, row_number() over (partition by source_file order by ordinal) as place
+                   from columns where column_name like '%id' and n = filled and d > 0)
+             where place = 1)"""
+
+
+def _fk_candidates() -> list[tuple[str, str, str]]:
+    keys = {n: next(c for c in spec.column_names if c.endswith("id")) for n, spec in SPECS.items()}
+    files = sorted(keys, key=file_name)
+    found = []
+    for child in files:
+        for c in SPECS[child].column_names:
+            parent = next((p for p in files if p != child and keys[p] == c), None)
+            if parent:
+                found.append((child, c, parent))
+    return found
+
+
+def _inclusion_sql(child: str, column: str, parent: str, key: str, labels: str) -> str:
+    found = f'{column} in (select {key} from "{parent}" where {key} is not null)'
+    return f"""select {labels} count(*) as child_rows, count(*) filter (where {found}) as matched_rows,
+        round(count(*) filter (where {found}) / count(*), 4) as inclusion from "{child}" where {column} is not null"""
+
+
+def _fks_sql() -> str:
+    return with_sql(
+        NULLED_SQL,
+        " union all ".join(
+            _inclusion_sql(
+                child,
+                column,
+                parent,
+                column,
+                f"'{child}' as child_table, '{column}' as child_column, '{parent}' as parent_table, "
+                f"'{column}' as parent_column,",
+            )
+            for child, column, parent in _fk_candidates()
+        ),
+    )
+
+
+def _relationships_sql() -> str:
+    edges = [
+        ("nation", "region_id", "region", "region_id", "declared_fk"),
+        ("line", "order_id", "order", "order_id", "inferred_name_match"),
+        ("line", "product_id", "product", "product_id", "inferred_name_match"),
+        ("line", "supplier_id", "supplier", "supplier_id", "inferred_name_match"),
+        ("order", "customer_id", "customers", "cust_key", "inferred_name_match"),
+        ("customers", "nation_id", "nation", "nation_id", "inferred_name_match"),
+        ("supplier", "nation_id", "nation", "nation_id", "inferred_name_match"),
+    ]
+    views = DEFECTIVE_SQL | {"customers": "select c_custkey as cust_key, c_nationkey as nation_id from customer"}
+    views = {k: v for k, v in views.items() if k != "customer"}
+    body = " union all ".join(
+        _inclusion_sql(
+            child,
+            column,
+            parent,
+            key,
+            f"'{child}' as child_table, '{column}' as child_column, '{parent}' as parent_table, '{key}' as parent_column, "
+            f"'{source}' as source,",
+        )
+        for child, column, parent, key, source in edges
+    )
+    return with_sql(views, f"select * exclude (child_rows, matched_rows) from ({body})")
+
+
+def _values_sql(pairs: list[tuple[str, str, str]], relation: str) -> str:
+    return " union ".join(
+        f"select '{label}' as t, '{alias}' as c, cast({column} as varchar) as v from {relation} where {column} is not null"
+        for label, alias, column in pairs
+    )
+
+
+def _overlap_views() -> dict[str, str]:
+    sources, wanted = [], []
+    for name in ("orders", "customer"):
+        sources.append(_values_sql([(f"{name}.csv", c, c) for c in GIVEN_COLUMNS[name].split()], name))
+    for name in ("order", "customer"):
+        source, columns = COLUMNS[name]
+        wanted.append(_values_sql([(name, t, c) for t, _, c in columns], source))
+    return {
+        "s": " union ".join(sources),
+        "t": " union ".join(wanted),
+        "sn": "select t, c, count(*) as d from s group by t, c",
+        "tn": "select t, c, count(*) as d from t group by t, c",
+        "shared": (
+            "select s.t as st, s.c as sc, t.t as tt, t.c as tc, count(*) as shared from s join t using (v) group by all"
+        ),
+        "overlap": """
+            select st as source_table, sc as source_column, tt as target_table, tc as target_column, shared,
+                round(shared / sn.d, 4) as overlap, round(shared / (sn.d + tn.d - shared), 4) as likeness
+            from shared join sn on sn.t = st and sn.c = sc join tn on tn.t = tt and tn.c = tc""",
+    }
+
+
+def _mappings_sql() -> str:
+    wanted = " union all ".join(
+        f"select '{n}' as target_table, '{t}' as target_column" for n in ("order", "customer") for t, _, _ in COLUMNS[n][1]
+    )
+    views = _overlap_views() | {
+        "wanted": wanted,
+        "scored": f"""
+            select *, round({OVERLAP_WEIGHT}::double * likeness + {NAME_WEIGHT}::double * (1 - levenshtein(lower(source_column), lower(target_column))
+                / greatest(length(source_column), length(target_column))), 4) as confidence from overlap""",
+        "best": f"""
+            select * from scored where confidence >= {THRESHOLD}
+            qualify row_number() over (partition by target_table, target_column
+                order by confidence desc, source_table, source_column) = 1""",
+    }
+    return with_sql(
+        views,
+        """select target_table, target_column, source_table as source_file, source_column,
+               coalesce(confidence, 0.0::double) as confidence
+           from wanted left join best using (target_table, target_column)""",
+    )
+
+
+def _is(kind: str) -> str:
+    value = "v"
+    whole = f"regexp_full_match({value}, '\\s*[+-]?[0-9]+\\s*') and try_cast({value} as bigint) is not null"
+    number = f"regexp_full_match({value}, '\\s*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?\\s*')"
+    return {"boolean": f"lower({value}) in ('true', 'false')", "integer": whole, "float": number}[kind]
+
+
+def _infer_sql() -> str:
+    columns = {
+        "whole": "cast(o_orderkey as varchar)",
+        "decimal": "cast(o_totalprice as varchar)",
+        "flag": "case when o_orderstatus = 'F' then 'true' else 'false' end",
+        "day": "strftime(o_orderdate, '%Y-%m-%d')",
+        "moment": "cast(o_orderdate as varchar)",
+        "word": "o_orderpriority",
+        "whole_or_null": "case when o_orderstatus <> 'P' then cast(o_custkey as varchar) end",
+        "whole_or_word": "case when o_orderstatus = 'P' then 'n/a?' else cast(o_custkey as varchar) end",
+        "nothing": "cast(null as varchar)",
+    }
+    rows = " union all ".join(f"select '{c}' as c, o_orderkey as k, {v} as v from orders" for c, v in columns.items())
+    return f"""
+        with t as ({rows}),
+        r as (select *, row_number() over (partition by c order by k) as place from t where v is not null),
+        f as (select c, bool_and({_is('boolean')}) as b, bool_and({_is('integer')}) as i, bool_and({_is('float')}) as f,
+                  bool_and(try_cast(v as timestamp) is not null) filter (where place <= 50) as d from r group by c)
+        select 'o_orderkey' as column_name, 'integer' as inferred_type
+        union all
+        select names.c, case when b then 'boolean' when i then 'integer' when f then 'float' when d then 'date' else 'string' end
+        from (select distinct c from t) names left join f on f.c = names.c"""
+
+
+ORACLES = {
+    "profile_columns": with_sql(
+        {
+            "o": "select * replace (nullif(o_orderstatus, 'F') as o_orderstatus, cast(null as varchar) as o_orderpriority) "
+            "from orders"
+        },
+        _profile_sql("orders", "o", GIVEN_COLUMNS["orders"].split()),
+    ),
+    "profile_all": " union all ".join(_profile_sql(t, t, GIVEN_COLUMNS[t].split()) for t in TABLES),
+    "profile_sampled": with_sql(
+        {"o": "select * from orders order by o_orderkey limit 1000"},
+        _profile_sql("orders", "o", GIVEN_COLUMNS["orders"].split()),
+    ),
+    "profile_samples": " union all ".join(
+        f"select '{c}' as column_name, string_agg(cast({c} as varchar), ' | ' order by c_custkey) as sample_values "
+        f"from (select {c}, c_custkey from customer where {c} is not null order by c_custkey limit 5)"
+        if c != "c_custkey"
+        else "select 'c_custkey' as column_name, string_agg(cast(c_custkey as varchar), ' | ' order by c_custkey) as "
+        "sample_values from (select c_custkey from customer order by c_custkey limit 5)"
+        for c in GIVEN_COLUMNS["customer"].split()
+    ),
+    "infer_types": _infer_sql(),
+    "propose_pks": with_sql(NULLED_SQL, "").rstrip()
+    + f", columns as ({_catalog_sql()}), {KEYS_SQL} select * from keys",
+    "propose_schema": with_sql(NULLED_SQL, "").rstrip()
+    + f""", columns as ({_catalog_sql()}), {KEYS_SQL}
+        select c.table_name, c.ordinal, c.column_name, c.sql_type,
+            own.column_name is null and c.n = c.filled as not_null, own.column_name is not null as primary_key,
+            ref.table_name as ref_table, ref.column_name as ref_column
+        from columns c
+        left join keys own on own.table_name = c.table_name and own.column_name = c.column_name
+        left join keys ref on ref.column_name = c.column_name and ref.table_name <> c.table_name
+        qualify row_number() over (partition by c.table_name, c.ordinal order by ref.source_file) = 1""",
+    "propose_fks": _fks_sql(),
+    "infer_relationships": _relationships_sql(),
+    "column_overlap": with_sql(_overlap_views(), "select * from overlap"),
+    "propose_mappings": _mappings_sql(),
+}
