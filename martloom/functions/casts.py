@@ -103,7 +103,8 @@ def _is_whole(number: Column) -> Column:
 
 def _truncate(number: Column) -> Column:
     return (
-        F.when(number >= INTEGER_RANGE, F.lit(MAX_INTEGER))
+        F.when(F.isnan(number), F.lit(None).cast("bigint"))
+        .when(number >= INTEGER_RANGE, F.lit(MAX_INTEGER))
         .when(number <= -INTEGER_RANGE, F.lit(MIN_INTEGER))
-        .when(~F.isnan(number), number.try_cast("bigint"))
+        .otherwise(number.try_cast("bigint"))
     )

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from martloom.functions import col
 from martloom.functions.display import display
 from martloom.operators.typing import first_values, infer_types
+from martloom.session import run_together
 
 SAMPLE_VALUES = 5
 
@@ -31,6 +34,8 @@ def typed_key(value: Column, data_type: T.DataType) -> tuple[Column, Column, Col
         return whole, value.cast("double"), text
     if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType, T.DecimalType)):
         return whole, real, value.cast("string")
+    if isinstance(data_type, (T.ArrayType, T.StructType)) and "map<" not in data_type.simpleString():
+        return whole, real, F.sha2(F.to_json(value), 256)
     return whole, real, value_key(value, data_type)
 
 
@@ -52,10 +57,11 @@ def column_counts(df: DataFrame, exact: bool = True) -> DataFrame:
     if exact:
         cells = long_form(df).groupBy("ordinal", "whole", "real", "text").agg(F.count("*").alias("n"))
         filled = F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("text").isNotNull()
-        return cells.groupBy("ordinal").agg(
+        counted = cells.select("ordinal", "n", filled.alias("filled")).unionAll(_no_cells(df))
+        return counted.groupBy("ordinal").agg(
             F.sum("n").alias("row_count"),
-            F.sum(F.when(filled, F.lit(0)).otherwise(F.col("n"))).alias("nulls"),
-            F.count_if(filled).alias("distinct_count"),
+            F.sum(F.when(F.col("filled"), F.lit(0)).otherwise(F.col("n"))).alias("nulls"),
+            F.count_if("filled").alias("distinct_count"),
         )
     stats = []
     for i, f in enumerate(df.schema.fields):
@@ -83,23 +89,23 @@ def profile(
 ) -> DataFrame:
     """Catalogue rows of one source, a row per column.
 
-    All rows count by default; ``sample_rows`` profiles the first rows only.  An empty source
-    has no profile rows with counts and is reported with zero rows and no nulls.
+    All rows count by default; ``sample_rows`` profiles the first rows only.  The columns of an
+    empty source are reported with zero rows and no nulls.
     """
     if sample_rows:
         df = (df.orderBy(col(order_by)) if order_by else df).limit(sample_rows)
     types = types or infer_types(df, order_by)
-    names = _column_table(df, [(f.name, types[f.name]) for f in df.schema.fields])
-    counts = column_counts(df, exact)
+    names = F.array(*[F.lit(n) for n in df.columns])
+    kinds = F.array(*[F.lit(types[n]) for n in df.columns])
     share = F.col("nulls") / F.nullif(F.col("row_count"), F.lit(0))
-    result = names.join(counts, "ordinal", "left").select(
+    result = column_counts(df, exact).select(
         F.lit(source).alias("source_file"),
         "ordinal",
-        "column_name",
-        "inferred_type",
+        F.get(names, "ordinal").alias("column_name"),
+        F.get(kinds, "ordinal").alias("inferred_type"),
         F.bround(F.coalesce(share, F.lit(0.0)), 4).alias("null_pct"),
-        F.coalesce("distinct_count", F.lit(0)).alias("distinct_count"),
-        F.coalesce("row_count", F.lit(0)).alias("row_count"),
+        "distinct_count",
+        "row_count",
     )
     if samples:
         taken = sample_values(df, order_by).withColumnRenamed("column_name", "sampled_column")
@@ -126,6 +132,11 @@ def sample_values(df: DataFrame, order_by: str | None = None, count: int = SAMPL
     return parts
 
 
+def profile_all(frames: dict[str, DataFrame], **options) -> DataFrame:
+    """The catalogue of several sources; their types are inferred at the same time."""
+    return union_catalog(run_together([partial(profile, df, name, **options) for name, df in frames.items()]))
+
+
 def union_catalog(profiles: list[DataFrame]) -> DataFrame:
     result = profiles[0]
     for part in profiles[1:]:
@@ -133,11 +144,8 @@ def union_catalog(profiles: list[DataFrame]) -> DataFrame:
     return result
 
 
-def _column_table(df: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
-    rows = F.array(
-        *[
-            F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("column_name"), F.lit(t).alias("inferred_type"))
-            for i, (n, t) in enumerate(columns)
-        ]
-    )
-    return df.sparkSession.range(1).select(F.inline(rows))
+def _no_cells(df: DataFrame) -> DataFrame:
+    """A cell without rows per column, so that an empty source has its columns too."""
+    ordinals = F.explode(F.sequence(F.lit(0), F.lit(len(df.columns) - 1)))
+    rows = df.sparkSession.range(1).select(ordinals.alias("ordinal"))
+    return rows.select("ordinal", F.lit(0).cast("bigint").alias("n"), F.lit(False).alias("filled"))

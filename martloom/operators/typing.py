@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from martloom.functions import col
@@ -14,20 +17,28 @@ BOOLEAN_TOKENS = ("True", "TRUE", "true", "False", "FALSE", "false")
 INFINITY = r"(?i)^\s*[+-]?inf(inity)?\s*$"
 DATE_SAMPLE = 50
 DATE_FORMATS = (
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy",
-    "MM/dd/yyyy HH:mm:ss",
-    "dd/MM/yyyy",
-    "dd-MM-yyyy",
-    "dd.MM.yyyy",
-    "d MMM yyyy",
-    "MMM d, yyyy",
+    "%Y-%m-%d",
+    "%Y-%m-%d %H:%M",
+    "%Y-%m-%d %H:%M:%S",
+    "%Y-%m-%d %H:%M:%S.%f",
+    "%Y-%m-%dT%H:%M:%S",
+    "%Y-%m-%dT%H:%M:%S.%f",
+    "%Y-%m-%dT%H:%M:%S%z",
+    "%Y-%m-%dT%H:%M:%S.%f%z",
+    "%Y/%m/%d",
+    "%m/%d/%Y",
+    "%m/%d/%Y %H:%M:%S",
+    "%d/%m/%Y",
+    "%d-%m-%Y",
+    "%d.%m.%Y",
+    "%d %b %Y",
+    "%b %d, %Y",
 )
 
+# No date is longer; a longer text in a sample is replaced by a mark that is none.
+LONGEST_DATE = 64
+TOO_LONG = "(long text)"
+
 
 def schema_type(data_type: T.DataType) -> str | None:
     """Logical type of a typed column; None for text, whose values decide."""
@@ -45,62 +56,111 @@ def schema_type(data_type: T.DataType) -> str | None:
 def infer_types(df: DataFrame, order_by: str | None = None, dates: bool = True) -> dict[str, str]:
     """Logical type per column, tried in the order boolean, integer, float, date, string.
 
-    All text columns are tested in one aggregation without a data shuffle.  Columns left over
-    are dates when their first non-null values all parse in one format; ``order_by`` says what
-    "first" means, otherwise it is the order of the scan.
+    The first rows already show most text columns to be neither flags nor numbers.  Only the
+    others are tested over all rows, in one aggregation without a data shuffle.  Columns left
+    over are dates when their first non-null values all parse in one format; ``order_by`` says
+    what "first" means, otherwise it is the order of the scan.
     """
     types = {f.name: schema_type(f.dataType) for f in df.schema.fields}
     texts = [name for name, kind in types.items() if kind is None]
     if not texts:
         return types
-    tests = []
-    for i, name in enumerate(texts):
-        value = col(name)
-        tests += [
-            F.bool_and(value.isin(*BOOLEAN_TOKENS)).alias(f"b{i}"),
-            F.bool_and(F.when(value.isNotNull(), _is_integer(value))).alias(f"i{i}"),
-            F.bool_and(_is_float(value)).alias(f"f{i}"),
-            F.count(value).alias(f"n{i}"),
-        ]
-    found = df.agg(*tests).first()
-    for i, name in enumerate(texts):
-        kinds = ((f"b{i}", BOOLEAN), (f"i{i}", INTEGER), (f"f{i}", FLOAT))
-        types[name] = next((kind for key, kind in kinds if found[key]), STRING)
-    candidates = [name for i, name in enumerate(texts) if types[name] == STRING and found[f"n{i}"]]
-    if dates and candidates:
-        for name in _date_columns(df, candidates, order_by):
-            types[name] = DATE
+    sample = _first_rows(df, texts, order_by)
+    open_columns = [n for n in texts if not sample[n] or _kind(sample[n]) != STRING]
+    found = _whole_kinds(df, open_columns)
+    for name in texts:
+        types[name] = found.get(name) or STRING
+        empty = name in found and found[name] is None
+        if types[name] == STRING and dates and not empty:
+            values = sample[name]
+            if len(values) < DATE_SAMPLE and (not values or _is_date(values)):
+                values = first_texts(df, name, order_by)
+            types[name] = DATE if values and _is_date(values) else STRING
     return types
 
 
-def _is_integer(value: Column) -> Column:
-    return value.rlike(WHOLE_NUMBER) & value.try_cast("bigint").isNotNull()
+def _first_rows(df: DataFrame, names: list[str], order_by: str | None) -> dict[str, list[str]]:
+    """Non-null values of the first rows, by column; a bounded number of short texts."""
+    keys = [col(order_by).alias("__ord")] if order_by else []
+    rows = df.select(*keys, *[_short(col(n)).alias(f"c{i}") for i, n in enumerate(names)])
+    rows = (rows.orderBy("__ord") if order_by else rows).take(DATE_SAMPLE)
+    return {n: [r[f"c{i}"] for r in rows if r[f"c{i}"] is not None] for i, n in enumerate(names)}
+
 
+def first_texts(df: DataFrame, name: str, order_by: str | None) -> list[str]:
+    """The first non-null values of one column; the scan stops once it has them."""
+    keys = [col(order_by)] if order_by else []
+    short = df.select(*keys, _short(col(name)).alias("__v"))
+    return [r["value"] for r in first_values(short, "__v", None, order_by).take(DATE_SAMPLE)]
 
-def _is_float(value: Column) -> Column:
-    # a whole number that does not fit 64 bits stays text: a double would lose digits
-    number = value.rlike(NUMBER) & ~(value.rlike(WHOLE_NUMBER) & value.try_cast("bigint").isNull())
-    return number | value.rlike(INFINITY)
 
+def _short(value: Column) -> Column:
+    return F.when(F.length(value) > LONGEST_DATE, F.lit(TOO_LONG)).otherwise(value)
+
+
+def _kind(values: list[str]) -> str:
+    """What a sample could still be: numbers and flags are told apart over all rows."""
+    if all(v in BOOLEAN_TOKENS for v in values):
+        return BOOLEAN
+    numeric = all(v == TOO_LONG or re.search(NUMBER, v) or re.search(INFINITY, v) for v in values)
+    return FLOAT if numeric else STRING
+
+
+def _is_date(values: list[str]) -> bool:
+    return any(all(_parses(v.strip(), fmt) for v in values) for fmt in DATE_FORMATS)
 
-def first_values(df: DataFrame, name: str, count: int, order_by: str | None = None) -> DataFrame:
-    """The first non-null values of one column: a top-k, or a limit that stops the scan early."""
-    keys = [col(order_by)] if order_by else []
-    rows = df.select(*[k.alias("ord") for k in keys], col(name).alias("value")).where(F.col("value").isNotNull())
-    return (rows.orderBy("ord") if order_by else rows).limit(count)
 
+def _parses(value: str, fmt: str) -> bool:
+    try:
+        datetime.strptime(value, fmt)
+    except ValueError:
+        return False
+    return True
 
-def _date_columns(df: DataFrame, names: list[str], order_by: str | None) -> list[str]:
-    samples = None
-    for i, name in enumerate(names):
-        sample = first_values(df, name, DATE_SAMPLE, order_by).select(F.lit(i).alias("column"), "value")
-        samples = sample if samples is None else samples.unionAll(sample)
-    parsed = [
-        F.bool_and(F.try_to_timestamp(F.trim("value"), F.lit(fmt)).isNotNull()).alias(f"f{j}")
-        for j, fmt in enumerate(DATE_FORMATS)
-    ]
-    rows = samples.groupBy("column").agg(F.greatest(*[F.lit(False), F.lit(False)], *parsed).alias("date")).collect()
-    return [names[row["column"]] for row in rows if row["date"]]
+
+def _whole_kinds(df: DataFrame, names: list[str]) -> dict[str, str | None]:
+    """Boolean, integer, float or string by all values of each column; None without any value."""
+    if not names:
+        return {}
+    marks = df.select([_mark(col(name)).alias(f"m{i}") for i, name in enumerate(names)])
+    row = marks.agg(*[F.bit_or(f"m{i}").alias(f"m{i}") for i in range(len(names))]).first()
+    return {name: None if row[f"m{i}"] is None else KIND_OF_MARKS.get(row[f"m{i}"], STRING) for i, name in enumerate(names)}
+
+
+# One bit per kind of value; the bits seen in a column tell its type.
+WHOLE_MARK, FLAG_MARK, REAL_MARK, WORD_MARK = 1, 2, 4, 8
+KIND_OF_MARKS = {
+    WHOLE_MARK: INTEGER,
+    FLAG_MARK: BOOLEAN,
+    REAL_MARK: FLOAT,
+    WHOLE_MARK | REAL_MARK: FLOAT,
+}
+
+
+# Whole numbers with no more characters fit 64 bits.
+SAFE_LENGTH = 18
+
+
+def _mark(value: Column) -> Column:
+    # patterns come before casts: a cast that fails costs far more than a pattern that does not match
+    whole = value.rlike(WHOLE_NUMBER)
+    fits = (F.length(value) <= SAFE_LENGTH) | value.try_cast("bigint").isNotNull()
+    return (
+        F.when(value.isNull(), F.lit(None).cast("int"))
+        # a whole number beyond 64 bits stays text: a double would lose digits
+        .when(whole, F.when(fits, F.lit(WHOLE_MARK)).otherwise(F.lit(WORD_MARK)))
+        .when(value.rlike(NUMBER) | value.rlike(INFINITY), F.lit(REAL_MARK))
+        .when(value.isin(*BOOLEAN_TOKENS), F.lit(FLAG_MARK))
+        .otherwise(F.lit(WORD_MARK))
+    )
+
+
+def first_values(df: DataFrame, name: str, count: int | None, order_by: str | None = None) -> DataFrame:
+    """The first non-null values of one column: a top-k, or a limit in scan order."""
+    keys = [col(order_by)] if order_by else []
+    rows = df.select(*[k.alias("ord") for k in keys], col(name).alias("value")).where(F.col("value").isNotNull())
+    rows = rows.orderBy("ord") if order_by else rows
+    return rows.limit(count) if count else rows
 
 
 CAST_TYPE = {BOOLEAN: "boolean", INTEGER: "bigint", FLOAT: "double"}
@@ -112,5 +172,5 @@ def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
     for f in df.schema.fields:
         target = CAST_TYPE.get(types.get(f.name, STRING))
         typed = isinstance(f.dataType, T.StringType) and target
-        columns.append(F.trim(col(f.name)).try_cast(target).alias(f.name) if typed else col(f.name))
+        columns.append(col(f.name).try_cast(target).alias(f.name) if typed else col(f.name))
     return df.select(columns)

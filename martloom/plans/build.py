@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ from martloom.plans.models import (
     staging_name,
     write_mart,
 )
+from martloom.session import run_together
 from martloom.spec import Relationship, TableSpec
 
 OK, FAILED = "ok", "error"
@@ -42,42 +44,45 @@ def build_all(
     root: str,
     mode: str = LENIENT,
 ) -> list[Step]:
-    """Staging views, mart tables, enriched tables, tests; stops at the first failing step."""
+    """Staging views, mart tables, enriched tables, tests; stops at the first failing step.
+
+    Models of one layer do not depend on each other and are built at the same time.
+    """
     by_name = {spec.name: spec for spec in specs}
     staging: dict[str, DataFrame] = {}
     steps: list[Step] = []
 
-    def run(step: str, model: str, action: Callable[[], int | None]) -> bool:
-        try:
-            steps.append(Step(step, model, action(), OK, ""))
-        except (PySparkException, ValueError, KeyError) as error:
-            steps.append(Step(step, model, None, FAILED, str(error).split("\n")[0]))
-        return steps[-1].status == OK
-
     def stage_view(spec: TableSpec) -> None:
         staging[spec.name] = register_staging(build_staging(frames[spec.name], spec, mode), spec.name)
 
-    def publish(df: DataFrame, name: str) -> int:
-        return write_mart(spark, df, name, root).count()
+    def mart(spec: TableSpec) -> int:
+        return write_mart(spark, build_mart(staging[spec.name]), mart_name(spec.name), root).count()
 
-    for spec in specs:
-        if not run("staging", staging_name(spec.name), lambda: stage_view(spec)):
-            return steps
-    for spec in specs:
-        name = mart_name(spec.name)
-        if not run("mart", name, lambda: publish(build_mart(staging[spec.name]), name)):
-            return steps
-    for child in dict.fromkeys(r.child_table for r in relationships):
-        name = enriched_name(child)
-        if not run(
-            "enriched",
-            name,
-            lambda: publish(build_enriched(by_name[child], relationships, by_name, staging), name),
-        ):
-            return steps
+    def enriched(child: str) -> int:
+        model = build_enriched(by_name[child], relationships, by_name, staging)
+        return write_mart(spark, model, enriched_name(child), root).count()
+
+    children = dict.fromkeys(r.child_table for r in relationships)
+    layers = [
+        [("staging", staging_name(spec.name), partial(stage_view, spec)) for spec in specs],
+        [("mart", mart_name(spec.name), partial(mart, spec)) for spec in specs],
+        [("enriched", enriched_name(child), partial(enriched, child)) for child in children],
+    ]
+    for layer in layers:
+        for done in run_together([partial(_step, *task) for task in layer]):
+            steps.append(done)
+            if done.status != OK:
+                return steps
     return steps + run_test_steps(specs, relationships, staging)
 
 
+def _step(step: str, model: str, action: Callable[[], int | None]) -> Step:
+    try:
+        return Step(step, model, action(), OK, "")
+    except (PySparkException, ValueError, KeyError) as error:
+        return Step(step, model, None, FAILED, str(error).split("\n")[0])
+
+
 def run_test_steps(
     specs: Sequence[TableSpec], relationships: Sequence[Relationship], staging: dict[str, DataFrame]
 ) -> list[Step]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -24,6 +25,7 @@ from martloom.operators.loading import (
 )
 from martloom.operators.mapping import Mapping, drop_empty, map_columns, select_mappings
 from martloom.operators.validation import validate_tables
+from martloom.session import run_together
 from martloom.sources.store import TableStore
 from martloom.spec import TableSpec
 
@@ -62,20 +64,20 @@ def migrate(
     """
     wanted = set(tables)
     selected = [spec for spec in specs if not wanted or spec.name in wanted]
-    statuses: list[FileStatus] = []
-    project_statuses: list[FileStatus] = []
-    loaded: dict[str, DataFrame] = {}
-    for spec in specs:
+
+    def load(spec: TableSpec) -> tuple[list[FileStatus], list[FileStatus]]:
         batch, skipped = table_batch(spec, sources, mappings) if spec in selected else (None, [])
-        statuses += skipped
         if batch is None:
-            loaded[spec.name] = session_store.write(spec, spark.createDataFrame([], spec.spark_schema))
-            continue
-        statuses += (found := load_recreate(session_store, spec, batch))
-        loaded[spec.name] = session_store.read(spec.name)
-        if project_store is not None:
-            project_statuses += load_upsert(project_store, spec, batch)
-        statuses += _empty_sources(spec, sources, mappings, found)
+            session_store.write(spec, spark.createDataFrame([], spec.spark_schema))
+            return skipped, []
+        found = load_recreate(session_store, spec, batch)
+        kept = load_upsert(project_store, spec, batch) if project_store is not None else []
+        return skipped + found + _empty_sources(spec, sources, mappings, found), kept
+
+    results = run_together([partial(load, spec) for spec in specs])
+    statuses = [status for found, _ in results for status in found]
+    project_statuses = [status for _, kept in results for status in kept]
+    loaded = {spec.name: session_store.read(spec.name) for spec in selected}
     report = status_frame(sorted(statuses, key=lambda s: (s.table, s.source_file)), spark)
     if report_path:
         report.write.mode("overwrite").json(report_path)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +22,11 @@ RUNTIME_SETTINGS = {
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+# Independent jobs submitted at the same time, so small tables do not leave executors idle.
+CONCURRENT_JOBS = 4
+
+Result = TypeVar("Result")
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session."""
@@ -72,3 +80,9 @@ def list_folder(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
     if not fs.exists(jpath):
         return []
     return sorted((entry.getPath().getName(), entry.isDirectory()) for entry in fs.listStatus(jpath))
+
+
+def run_together(actions: Sequence[Callable[[], Result]], workers: int = CONCURRENT_JOBS) -> list[Result]:
+    """Run independent Spark actions at the same time; results in the order given."""
+    with ThreadPoolExecutor(max_workers=max(1, workers)) as pool:
+        return list(pool.map(lambda action: action(), actions))

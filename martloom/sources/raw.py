@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -11,6 +13,7 @@ from martloom.functions import col
 from martloom.functions.display import json_text
 from martloom.functions.names import raw_table_name, unique_identifiers
 from martloom.operators.numbering import number_rows, stage_for_numbering
+from martloom.session import run_together
 from martloom.sources.files import BLOCK, FILE, scan
 
 SOURCE_FILE, LOADED_AT, ROW_NUMBER = "_source_file", "_loaded_at", "_raw_row_number"
@@ -61,6 +64,12 @@ def land_raw(spark: SparkSession, path: str, root: str, loaded_at: str | None =
     return RawTable(table, target, spark.read.schema(frame.schema).parquet(target))
 
 
+def land_all(spark: SparkSession, paths: Sequence[str], root: str, loaded_at: str | None = None) -> list[RawTable]:
+    """Land several sources with one load time, a few at the same time."""
+    moment = loaded_at or load_time()
+    return run_together([partial(land_raw, spark, path, root, moment) for path in paths])
+
+
 def raw_counts(tables: list[RawTable]) -> DataFrame:
     """Rows landed per table and file."""
     counts = [

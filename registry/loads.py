@@ -19,7 +19,7 @@ from martloom.operators.loading import (
 from martloom.operators.mapping import Mapping
 from martloom.plans.migrate import Source, migrate
 from martloom.session import scratch_path
-from martloom.sources.raw import land_raw, raw_counts
+from martloom.sources.raw import RawTable, land_all, raw_counts
 from martloom.sources.store import TableStore
 from martloom.spec import TableSpec, table
 from registry.model import SPECS, given, target, write_source
@@ -143,12 +143,11 @@ def evolve_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.upsert(new, fit_rows(customers.where("segment <> 'BUILDING'"), new))
 
 
-def raw_tables(spark: SparkSession, sf_dir: str):
-    root = scratch_path(spark, "raw")
-    return {
-        name: land_raw(spark, write_source(given(spark, sf_dir, name), name, "csv"), root, "2024-01-01T00:00:00+00:00")
-        for name in ("customer", "orders", "part")
-    }
+def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, RawTable]:
+    names = ("customer", "orders", "part")
+    paths = [write_source(given(spark, sf_dir, name), name, "csv") for name in names]
+    landed = land_all(spark, paths, scratch_path(spark, "raw"), "2024-01-01T00:00:00+00:00")
+    return dict(zip(names, landed))
 
 
 def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

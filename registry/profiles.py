@@ -13,8 +13,9 @@ from martloom.operators.discovery import (
     relationship_frame,
 )
 from martloom.operators.matching import NAME_WEIGHT, OVERLAP_WEIGHT, THRESHOLD, column_overlap, propose_mappings
-from martloom.operators.profiling import profile, sample_values, union_catalog
+from martloom.operators.profiling import profile, profile_all, sample_values
 from martloom.operators.typing import infer_types
+from martloom.session import stage
 from martloom.spec import table
 from registry.checking import DEFECTIVE_SQL, defective, nulled_orders
 from registry.model import COLUMNS, SPECS, TABLES, given, target, target_sql, targets, with_sql
@@ -65,8 +66,8 @@ def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile(partly_null_orders(spark, sf_dir), "orders")
 
 
-def profile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return union_catalog([profile(given(spark, sf_dir, name), name) for name in TABLES])
+def profile_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile_all({name: given(spark, sf_dir, name) for name in TABLES})
 
 
 def profile_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +107,8 @@ def file_name(name: str) -> str:
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = targets(spark, sf_dir) | {"order": nulled_orders(spark, sf_dir)}
-    return union_catalog([profile(df, file_name(name)) for name, df in frames.items()])
+    # stored once: the rules read the few catalogue rows several times
+    return stage(profile_all({file_name(name): df for name, df in frames.items()}), "catalog")
 
 
 def primary_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +159,7 @@ def mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "profile_columns": profile_columns,
-    "profile_all": profile_all,
+    "profile_all": profile_tables,
     "profile_sampled": profile_sampled,
     "profile_samples": profile_samples,
     "infer_types": infer,

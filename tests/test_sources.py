@@ -1,0 +1,153 @@
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from martloom.sources import list_sources, scan
+from martloom.sources.delimited import scan_csv
+from martloom.sources.json import flatten
+from martloom.sources.raw import land_all, land_raw, raw_counts
+
+
+def write(folder, name, text, encoding="utf-8"):
+    path = os.path.join(folder, name)
+    with open(path, "w", encoding=encoding) as f:
+        f.write(text)
+    return path
+
+
+def collected(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_csv(spark, folder):
+    path = write(folder, "x.csv", 'id,a,a,b,c\n1,NA,N/A,null,"x\ny"\n2,,1.5,true,"say ""hi"""\n')
+    df = scan(spark, path)
+    assert df.dtypes == [("id", "bigint"), ("a", "string"), ("a.1", "double"), ("b", "boolean"), ("c", "string")]
+    assert collected(df) == [(1, None, None, None, "x\ny"), (2, None, 1.5, True, 'say "hi"')]
+
+
+def test_csv_number_beyond_64_bits_stays_text(spark, folder):
+    path = write(folder, "x.csv", "a,b\n99999999999999999999,1\n1,2.5\n")
+    assert scan(spark, path).dtypes == [("a", "string"), ("b", "double")]
+
+
+def test_csv_late_value_decides_type(spark, folder):
+    body = "\n".join(str(i) for i in range(500))
+    assert scan(spark, write(folder, "x.csv", f"a\n{body}\nword\n")).dtypes == [("a", "string")]
+    assert scan(spark, write(folder, "x.csv", f"a\n{body}\nword\n"), rows=100).dtypes == [("a", "bigint")]
+
+
+def test_csv_schema_and_limit(spark, folder):
+    path = write(folder, "x.csv", "id,v\n1,a\n2,b\n")
+    assert collected(scan_csv(spark, path, schema="v string, id int", rows=1)) == [("a", 1)]
+
+
+def test_csv_empty_file(spark, folder):
+    with pytest.raises(ValueError):
+        scan(spark, write(folder, "x.csv", ""))
+
+
+def test_csv_header_only(spark, folder):
+    df = scan(spark, write(folder, "x.csv", "id,v\n"))
+    assert df.columns == ["id", "v"] and df.count() == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    ['[{"id":1},{"id":2,"k":{"m":3}}]', '[\n  {"id": 1},\n  {"id": 2, "k": {"m": 3}}\n]\n'],
+)
+def test_json_array(spark, folder, text):
+    df = scan(spark, write(folder, "x.json", text))
+    assert df.columns == ["id", "k.m"]
+    assert sorted(collected(df)) == [(1, None), (2, 3)]
+
+
+def test_json_wrapper_takes_first_list_in_document_order(spark, folder):
+    df = scan(spark, write(folder, "x.json", '{"n":1,"zz":[{"id":1,"b":5,"a":6},{"id":2}],"aa":[{"q":9}]}'))
+    assert df.columns == ["id", "b", "a"]
+    assert collected(df) == [(1, 5, 6), (2, None, None)]
+
+
+def test_json_object_without_list(spark, folder):
+    df = scan(spark, write(folder, "x.json", '{"z":1,"b":{"c":2}}'))
+    assert df.columns == ["z", "b.c"] and collected(df) == [(1, 2)]
+
+
+def test_json_lines_with_bom(spark, folder):
+    df = scan(spark, write(folder, "x.json", '{"id":1,"n":"5"}\n\n{"id":2,"n":"6"}\n', encoding="utf-8-sig"))
+    assert df.dtypes == [("id", "bigint"), ("n", "bigint")]
+    assert collected(df) == [(1, 5), (2, 6)]
+
+
+def test_json_lines_keep_nested_and_order(spark, folder):
+    df = scan(spark, write(folder, "x.json", '{"z":1}\n{"z":2,"a":{"b":[1]},"m":true}\n'))
+    assert df.columns == ["z", "a", "m"]
+
+
+@pytest.mark.parametrize("text", ["5", '"word"', "", "[1, 2]", '{"rows": [1, 2]}', '{"a": 1}\n{"a": \n'])
+def test_json_without_rows(spark, folder, text):
+    with pytest.raises(ValueError):
+        scan(spark, write(folder, "x.json", text))
+
+
+def test_flatten_keeps_lists(spark):
+    df = spark.createDataFrame([(({"city": "X", "z": [1, 2]}), 1)], "addr struct<city: string, z: array<int>>, id int")
+    flat = flatten(df)
+    assert flat.columns == ["id", "addr.city", "addr.z"]
+    assert collected(flat) == [(1, "X", [1, 2])]
+
+
+def test_discovery_by_suffix(spark, folder):
+    for name in ("b.CSV", "a.json", "c.txt", "d.sql"):
+        write(folder, name, "x\n1\n")
+    assert [p.rsplit("/", 1)[-1] for p in list_sources(spark, folder)] == ["a.json", "b.CSV"]
+    with pytest.raises(ValueError, match="Unsupported file type: .txt"):
+        scan(spark, os.path.join(folder, "c.txt"))
+
+
+def test_raw_landing(spark, folder):
+    path = write(folder, "src_Items.json", '[{"Order ID":1,"order-id":2,"tags":["a",{"k":1}]},{"Order ID":3}]')
+    landed = land_raw(spark, path, folder + "/out", "T0")
+    assert landed.table == "raw_src_items"
+    df = landed.read()
+    assert df.columns == ["_source_file", "_loaded_at", "_raw_row_number", "order_id", "order_id_2", "tags"]
+    first = df.orderBy("_raw_row_number").collect()[0]
+    assert (first["_source_file"], first["_loaded_at"], first["_raw_row_number"], first["order_id_2"]) == (
+        "src_Items.json", "T0", 1, 2,
+    )
+
+
+def test_raw_lists_as_json(spark, folder):
+    path = write(folder, "x.json", '[{"id":1,"z":[1,2],"w":[{"b":1,"a":"q"}]}]')
+    row = land_raw(spark, path, folder + "/out").read().first()
+    assert row["z"] == "[1, 2]" and row["w"] == '[{"a": "q", "b": 1}]'
+
+
+def test_row_numbers_over_many_blocks(spark, folder):
+    path = write(folder, "x.csv", "n,pad\n" + "".join(f"{i},{'y' * (i % 50)}\n" for i in range(1, 20001)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+    try:
+        df = land_raw(spark, path, folder + "/out").read()
+        assert df.where("n <> _raw_row_number").count() == 0 and df.count() == 20000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_raw_replaced_and_counted(spark, folder):
+    paths = [write(folder, "a.csv", "n\n1\n2\n"), write(folder, "b.csv", "n\n1\n")]
+    land_all(spark, paths, folder + "/out", "T0")
+    write(folder, "a.csv", "n\n7\n8\n9\n")
+    counts = raw_counts(land_all(spark, paths, folder + "/out", "T1"))
+    assert sorted(collected(counts)) == [("raw_a", "a.csv", 3), ("raw_b", "b.csv", 1)]
+
+
+def test_row_numbers_per_file(spark, folder):
+    spark.range(1000).repartition(7).write.option("header", True).csv(folder + "/many.csv")
+    df = land_raw(spark, folder + "/many.csv", folder + "/out").read()
+    per_file = df.groupBy("_source_file").agg(
+        F.min("_raw_row_number"), F.max("_raw_row_number"), F.count("*"), F.count_distinct("_raw_row_number")
+    )
+    assert per_file.count() == 7
+    for row in per_file.collect():
+        assert row[1] == 1 and row[2] == row[3] == row[4]
