@@ -66,9 +66,7 @@ def orphan_rows(
     keyed = child.where(has_keys(child_keys))
     hot = hot_keys_for(keyed, [(parent, child_keys)], small_parent).get(child_keys[0])
     dealt = deal(keyed) if hot else keyed
-    orphans = join_parent(
-        dealt, _keys_only(parent, parent_keys), child_keys, parent_keys, "left_anti", hot or None
-    )
+    orphans = join_parent(dealt, _keys_only(parent, parent_keys), child_keys, parent_keys, "left_anti", hot)
     return orphans.select(*map(col, child.columns))
 
 

@@ -25,7 +25,8 @@ def hot_keys(child: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
     """Values that hold a large share of the rows, with that share, per column.
 
     One pass over those columns with one sketch each.  The sketch only decides which keys get
-    spread out; results do not depend on its accuracy.
+    spread out; results do not depend on its accuracy.  A column without such values is left
+    out; one where only missing keys are many has none listed.
     """
     sketches = [F.count("*").alias("rows")]
     usable = [c for c in columns if isinstance(child.schema[c].dataType, (T.IntegralType, T.StringType))]
@@ -33,10 +34,13 @@ def hot_keys(child: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
         quoted = "`" + name.replace("`", "``") + "`"
         sketches.append(F.expr(f"approx_top_k({quoted}, {HOT_KEYS}, {TRACKED_ITEMS})").alias(f"k{i}"))
     row = child.agg(*sketches).first()
-    return {
-        name: {i["item"]: i["count"] / row["rows"] for i in row[f"k{n}"] if i["count"] * HOT_SHARE >= row["rows"]}
-        for n, name in enumerate(usable)
-    }
+    found = {}
+    for i, name in enumerate(usable):
+        shares = {item["item"]: item["count"] / row["rows"] for item in row[f"k{i}"]}
+        hot = {key: share for key, share in shares.items() if share * HOT_SHARE >= 1}
+        if hot:
+            found[name] = {key: share for key, share in hot.items() if key is not None}
+    return found
 
 
 def hot_keys_for(

@@ -155,9 +155,9 @@ def quarantine(fitted: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame
         .agg(F.count("*").alias("__n"), F.min(place).alias("__first"))
         .where(F.col("__n") > 1)
     )
-    hot = hot_keys(good, key) if len(key) == 1 else {}
-    dealt = deal(good) if hot.get(key[0]) else good
-    marked = join_parent(dealt, repeated, key, [f"__{k}" for k in key], "left", hot.get(key[0]) or None)
+    hot = hot_keys(good, key).get(key[0]) if len(key) == 1 else None
+    dealt = good if hot is None else deal(good)
+    marked = join_parent(dealt, repeated, key, [f"__{k}" for k in key], "left", hot)
     later = F.col("__first").isNotNull() & (F.struct(col(FILE, "child"), col(ROW, "child")) != F.col("__first"))
     marked = marked.select(*[col(c, "child").alias(c) for c in columns], later.alias("__later"))
     duplicates = marked.where("__later").select(*map(col, columns), F.lit("duplicate_key").alias("reason"))
