@@ -37,21 +37,32 @@ def unique_failures(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def orphan_keys(
-    child: DataFrame, child_keys: Sequence[str], parent: DataFrame, parent_keys: Sequence[str]
+    child: DataFrame,
+    child_keys: Sequence[str],
+    parent: DataFrame,
+    parent_keys: Sequence[str],
+    unique_parent: bool = False,
 ) -> DataFrame:
     """Child keys without a parent, with the number of child rows of each.
 
-    The child is reduced to one row per key before it meets the parent, whatever the skew.
+    Both sides are reduced to one row per key before they meet, whatever the skew; a parent
+    whose key is known to be unique needs no reduction.
     """
     keys = key_counts(child, child_keys)
-    return join_parent(keys, _keys_only(parent, parent_keys), child_keys, parent_keys, "left_anti")
+    known = _keys_only(parent, parent_keys)
+    known = known if unique_parent else known.distinct()
+    return join_parent(keys, known, child_keys, parent_keys, "left_anti")
 
 
 def relationship_failures(
-    child: DataFrame, child_keys: Sequence[str], parent: DataFrame, parent_keys: Sequence[str]
+    child: DataFrame,
+    child_keys: Sequence[str],
+    parent: DataFrame,
+    parent_keys: Sequence[str],
+    unique_parent: bool = False,
 ) -> DataFrame:
     """Number of child rows with a complete key and no parent."""
-    orphans = orphan_keys(child, child_keys, parent, parent_keys)
+    orphans = orphan_keys(child, child_keys, parent, parent_keys, unique_parent)
     return orphans.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("failures"))
 
 
@@ -66,7 +77,8 @@ def orphan_rows(
     keyed = child.where(has_keys(child_keys))
     hot = hot_keys_for(keyed, [(parent, child_keys)], small_parent).get(child_keys[0])
     dealt = deal(keyed) if hot else keyed
-    orphans = join_parent(dealt, _keys_only(parent, parent_keys), child_keys, parent_keys, "left_anti", hot)
+    known = _keys_only(parent, parent_keys).distinct()
+    orphans = join_parent(dealt, known, child_keys, parent_keys, "left_anti", hot)
     return orphans.select(*map(col, child.columns))
 
 

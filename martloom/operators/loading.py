@@ -17,6 +17,9 @@ from martloom.spec import TableSpec
 FILE, ROW = "__source", "__row"
 TYPE_FINDING, NULL_FINDING = "__type", "__null"
 
+# Up to this many rejected files are filtered by name, more by a join with the list of names.
+MANY_FILES = 1000
+
 LOADED, SKIPPED, ERROR = "loaded", "skipped", "error"
 NO_MAPPING = "No selected mappings for this file and table"
 ALL_EMPTY = "All transformed rows were empty"
@@ -129,7 +132,11 @@ def accepted_rows(fitted: DataFrame, statuses: Sequence[FileStatus], spec: Table
     """Rows of the accepted files, with FILE and ROW still on them."""
     bad = [s.source_file for s in statuses if s.status != LOADED]
     kept = [c for c in fitted.columns if c in (FILE, ROW)]
-    rows = fitted.where(~F.col(FILE).isin(*bad)) if bad else fitted
+    if len(bad) > MANY_FILES:
+        names = fitted.sparkSession.createDataFrame([(name,) for name in bad], f"{FILE} string")
+        rows = fitted.join(F.broadcast(names), FILE, "left_anti")  # one name per rejected file
+    else:
+        rows = fitted.where(~F.col(FILE).isin(*bad)) if bad else fitted
     return rows.select(*kept, *map(col, spec.column_names))
 
 

@@ -15,7 +15,7 @@ BROADCAST_ROWS = 2_000_000
 TASK, STEP = "__task", "__step"
 
 
-def stage_for_numbering(df: DataFrame, label: str) -> DataFrame:
+def stage_for_numbering(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write the rows once together with the task that produced them and their place in it.
 
     How a scan is split depends on the cluster at that moment, so the places are pinned in a
@@ -24,6 +24,7 @@ def stage_for_numbering(df: DataFrame, label: str) -> DataFrame:
     return stage(
         df.withColumns({TASK: F.spark_partition_id(), STEP: F.monotonically_increasing_id()}),
         label,
+        path,
     )
 
 

@@ -29,9 +29,10 @@ def validate_tables(specs: Sequence[TableSpec], frames: dict[str, DataFrame], sp
         counts = df.agg(F.count("*").alias("rows"), sum(nulls, F.lit(0)).alias("nulls"))
         parts.append(_part(counts, spec.name, rows=F.col("rows"), nulls=F.col("nulls")))
         for fk in spec.foreign_keys:
-            parts.append(_part(fk_violations(df, fk, frames), spec.name, fks=F.col("failures")))
+            loaded_key = _is_key(by_name.get(fk.ref_table), fk)
+            parts.append(_part(fk_violations(df, fk, frames, loaded_key), spec.name, fks=F.col("failures")))
             parent = frames.get(fk.ref_table)
-            if parent is not None and not _is_key(by_name.get(fk.ref_table), fk):
+            if parent is not None and not loaded_key:
                 repeated = unique_failures(parent, fk.ref_columns)
                 parts.append(_part(repeated, spec.name, unreadable=F.col("failures")))
     union = parts[0]
@@ -48,12 +49,14 @@ def validate_tables(specs: Sequence[TableSpec], frames: dict[str, DataFrame], sp
     return total.select("table", "row_count", "fk_violations", "null_violations", status.alias("status"))
 
 
-def fk_violations(child: DataFrame, fk: ForeignKey, frames: dict[str, DataFrame]) -> DataFrame:
+def fk_violations(
+    child: DataFrame, fk: ForeignKey, frames: dict[str, DataFrame], unique_parent: bool = False
+) -> DataFrame:
     """Child rows with a complete key and no parent; all of them when the parent is missing."""
     parent = frames.get(fk.ref_table)
     if parent is None:
         return child.agg(F.count_if(has_keys(fk.columns)).alias("failures"))
-    return relationship_failures(child, fk.columns, parent, fk.ref_columns)
+    return relationship_failures(child, fk.columns, parent, fk.ref_columns, unique_parent)
 
 
 def fk_report(specs: Sequence[TableSpec], frames: dict[str, DataFrame]) -> DataFrame:

@@ -32,11 +32,16 @@ from martloom.spec import TableSpec
 
 @dataclass(frozen=True)
 class Source:
-    """A source by file name; ``order`` is the column that numbers its rows."""
+    """A source by file name; ``order`` is the column that numbers its rows.
+
+    A source of many part files names the column that tells them apart in ``file``; each part
+    is then accepted or rejected by itself.
+    """
 
     name: str
     frame: DataFrame
     order: str
+    file: str | None = None
 
 
 @dataclass(frozen=True)
@@ -98,7 +103,8 @@ def table_batch(
         if not chosen:
             skipped.append(FileStatus(spec.name, source.name, 0, SKIPPED, NO_MAPPING))
             continue
-        numbered = source.frame.withColumns({FILE: F.lit(source.name), ROW: col(source.order)})
+        file = col(source.file) if source.file else F.lit(source.name)
+        numbered = source.frame.withColumns({FILE: file, ROW: col(source.order)})
         mapped = drop_empty(map_columns(numbered, chosen, spec, keep=(FILE, ROW)), chosen)
         parts.append(fit_rows(mapped, spec))
     return (union_files(parts) if parts else None), skipped
@@ -145,5 +151,5 @@ def _empty_sources(
     return [
         FileStatus(spec.name, s.name, 0, SKIPPED, ALL_EMPTY)
         for s in sources
-        if s.name not in seen and select_mappings(mappings, spec.name, s.name)
+        if s.file is None and s.name not in seen and select_mappings(mappings, spec.name, s.name)
     ]

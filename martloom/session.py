@@ -56,18 +56,26 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/martloom/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the scratch folder and read it back.
+def stage(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` once to the scratch folder (``path`` below it, if given) and read it back.
 
     Cuts the lineage with a real table, so values that depend on how the input was split
     (partition ids, running ids) stay the same for every later reader, also when executors
     are lost and tasks run again.
     """
-    path = scratch_path(df.sparkSession, label)
+    path = path or scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete one scratch table that no reader needs any more."""
+    if not path.startswith(scratch_root(spark) + "/martloom/"):
+        raise ValueError(f"not a scratch path: {path}")
+    fs, jpath = hadoop_path(spark, path)
+    fs.delete(jpath, True)
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """(file system, path) pair for listing folders on whatever storage the cluster uses."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from martloom.functions import col
 from martloom.functions.missing import na_to_null
 from martloom.operators.typing import apply_types, infer_types
 from martloom.sources.files import BLOCK, FILE, part_files, provenance_columns
 
+BAD_ROW = "__bad_row"
+
 
 def scan_csv(
     spark: SparkSession,
@@ -22,7 +24,7 @@ def scan_csv(
     """Read a CSV source whose part files share one header.
 
     Values are read as text, missing-value tokens become NULL, and types are inferred from all
-    rows read.  With ``schema`` the inference pass is left out and columns are cast by name.
+    rows read.  Short rows are padded with NULL; a row with more cells than the header is an error.  With ``schema`` the inference pass is left out and columns are cast by name.
     ``multi_line`` is looked up in the data when not given: only a line break inside quotes
     needs it, and it makes every file a single split.
     """
@@ -36,8 +38,12 @@ def scan_csv(
         raise ValueError(f"No columns to parse from file: {path}")
     names = header_names(list(header[0]))
     positions = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(names))])
-    raw = reader.option("header", True).schema(positions).csv(path)
-    values = [na_to_null(F.col(f"_{i}")).alias(name) for i, name in enumerate(names)]
+    with_bad = positions.add(T.StructField(BAD_ROW, T.StringType()))
+    reader = reader.option("header", True).option("columnNameOfCorruptRecord", BAD_ROW)
+    raw = reader.schema(with_bad).csv(path)
+    cells = [F.col(f"_{i}") for i in range(len(names))]
+    cells[0] = F.when(_too_many_cells(len(names)), F.raise_error(_message(path, len(names)))).otherwise(cells[0])
+    values = [na_to_null(cell).alias(name) for cell, name in zip(cells, names)]
     df = raw.select(*values, *(provenance_columns() if provenance else []))
     if rows:
         df = df.limit(rows)
@@ -48,6 +54,17 @@ def scan_csv(
     return apply_types(df, infer_types(df.select(*map(col, names)), dates=False)) if infer else df
 
 
+def _too_many_cells(count: int) -> Column:
+    """Spark marks rows of another length; short ones are padded, but a longer one would lose cells."""
+    schema = ", ".join(f"c{i} string" for i in range(count + 1))
+    longer = F.from_csv(F.col(BAD_ROW), schema, {"escape": '"'}).getField(f"c{count}").isNotNull()
+    return F.col(BAD_ROW).isNotNull() & longer
+
+
+def _message(path: str, count: int) -> Column:
+    return F.concat(F.lit(f"Error tokenizing data: expected {count} fields in {path}, saw more: "), F.col(BAD_ROW))
+
+
 def has_quoted_breaks(spark: SparkSession, path: str) -> bool:
     """True when some line holds an odd number of quotes, so a quoted value goes on after it."""
     line = F.col("value")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from martloom.operators.typing import infer_types
 from martloom.session import list_folder
 
 SUFFIXES = (".csv", ".json")
@@ -49,10 +50,19 @@ def scan(
     if kind == ".csv":
         return scan_csv(spark, path, rows=rows, provenance=provenance, infer=infer)
     if kind == ".json":
-        return scan_json(spark, path, rows=rows, provenance=provenance)
+        return scan_json(spark, path, rows=rows, provenance=provenance, infer=infer)
     raise ValueError(f"Unsupported file type: {kind}")
 
 
+def source_types(texts: DataFrame, path: str) -> dict[str, str]:
+    """Types of text columns read without inference, by the rules of the source's format."""
+    from martloom.sources.json import is_lines, number_types
+
+    if suffix(path) == ".csv":
+        return infer_types(texts, dates=False)
+    return number_types(texts) if is_lines(texts.sparkSession, path) else {}
+
+
 def provenance_columns() -> list:
     return [
         F.col("_metadata.file_name").alias(FILE),

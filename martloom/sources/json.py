@@ -18,7 +18,9 @@ NOT_TABULAR = "JSON source must contain an object or array of objects"
 ORDERED_DOCUMENT_BYTES = 256 << 20
 
 
-def scan_json(spark: SparkSession, path: str, rows: int | None = None, provenance: bool = False) -> DataFrame:
+def scan_json(
+    spark: SparkSession, path: str, rows: int | None = None, provenance: bool = False, infer: bool = True
+) -> DataFrame:
     """Read a JSON source; its form is found from the start of the first file.
 
     Documents are flattened.  JSON Lines split into parallel tasks, keep nested values whole
@@ -37,10 +39,16 @@ def scan_json(spark: SparkSession, path: str, rows: int | None = None, provenanc
         df = flatten(_object_rows(spark, path, files, provenance))
     if rows:
         df = df.limit(rows)
-    if form == LINES:
-        numbers = {k: v for k, v in infer_types(df, dates=False).items() if v in (INTEGER, FLOAT)}
-        df = apply_types(df, numbers)
-    return df
+    return apply_types(df, number_types(df)) if form == LINES and infer else df
+
+
+def is_lines(spark: SparkSession, path: str) -> bool:
+    return json_form(spark, (part_files(spark, path) or [path])[0]) == LINES
+
+
+def number_types(df: DataFrame) -> dict[str, str]:
+    """Text columns that hold only numbers, and every other column as it is."""
+    return {k: v for k, v in infer_types(df, dates=False).items() if v in (INTEGER, FLOAT)}
 
 
 def json_form(spark: SparkSession, file: str) -> str:

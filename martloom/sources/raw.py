@@ -13,8 +13,9 @@ from martloom.functions import col
 from martloom.functions.display import json_text
 from martloom.functions.names import raw_table_name, unique_identifiers
 from martloom.operators.numbering import number_rows, stage_for_numbering
-from martloom.session import run_together
-from martloom.sources.files import BLOCK, FILE, scan
+from martloom.operators.typing import apply_types
+from martloom.session import drop_scratch, run_together, scratch_path
+from martloom.sources.files import BLOCK, FILE, scan, source_types
 
 SOURCE_FILE, LOADED_AT, ROW_NUMBER = "_source_file", "_loaded_at", "_raw_row_number"
 RAW_COLUMNS = (SOURCE_FILE, LOADED_AT, ROW_NUMBER)
@@ -35,19 +36,28 @@ def load_time() -> str:
     return datetime.now(timezone.utc).isoformat()
 
 
-def raw_frame(spark: SparkSession, path: str, loaded_at: str | None = None) -> DataFrame:
-    """The rows of one source as they land: provenance, row number, normalised names."""
-    scanned = scan(spark, path, provenance=True)
+def raw_frame(spark: SparkSession, path: str, loaded_at: str | None = None, scratch: str | None = None) -> DataFrame:
+    """The rows of one source as they land: provenance, row number, normalised names.
+
+    The source is parsed once, into a staged table; types are then inferred from its columns
+    and row numbers counted from its file blocks.
+    """
+    scanned = scan(spark, path, provenance=True, infer=False)
     data = [f for f in scanned.schema.fields if f.name not in (FILE, BLOCK)]
     names = unique_identifiers(f.name for f in data)
     encoded = [encode_nested(f).alias(name) for f, name in zip(data, names)]
-    staged = stage_for_numbering(scanned.select(*encoded, FILE, BLOCK), "raw")
-    numbered = number_rows(staged, ROW_NUMBER, restart=[FILE], blocks=[BLOCK])
+    staged = stage_for_numbering(scanned.select(*encoded, FILE, BLOCK), "raw", scratch)
+    typed = source_types(staged.select(*[col(n) for n, f in zip(names, data) if _is_text(f)]), path)
+    numbered = apply_types(number_rows(staged, ROW_NUMBER, restart=[FILE], blocks=[BLOCK]), typed)
     return numbered.select(
         F.col(FILE).alias(SOURCE_FILE), F.lit(loaded_at or load_time()).alias(LOADED_AT), ROW_NUMBER, *map(col, names)
     )
 
 
+def _is_text(f: T.StructField) -> bool:
+    return isinstance(f.dataType, T.StringType)
+
+
 def encode_nested(f: T.StructField):
     """JSON text for a list, map or object; other values unchanged."""
     if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
@@ -59,8 +69,10 @@ def land_raw(spark: SparkSession, path: str, root: str, loaded_at: str | None =
     """Replace ``root/raw_<source>`` with the rows of one source."""
     table = raw_table_name(path)
     target = f"{root.rstrip('/')}/{table}"
-    frame = raw_frame(spark, path, loaded_at)
+    scratch = scratch_path(spark, "raw")
+    frame = raw_frame(spark, path, loaded_at, scratch)
     frame.write.mode("overwrite").parquet(target)
+    drop_scratch(spark, scratch)
     return RawTable(table, target, spark.read.schema(frame.schema).parquet(target))
 
 

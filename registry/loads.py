@@ -184,8 +184,7 @@ def migrate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     sources = []
     for name, landed in raw_tables(spark, sf_dir).items():
-        place = F.struct("_source_file", "_raw_row_number")
-        sources.append(Source(f"{name}.csv", landed.read().withColumn("__place", place), "__place"))
+        sources.append(Source(f"{name}.csv", landed.read(), "_raw_row_number", file="_source_file"))
     mappings = [*MAPPINGS, Mapping("brand", "name", "part.csv", "p_brand")]
     done = migrate(
         spark, MIGRATED, sources, mappings, store(spark), store(spark, BUCKETS), report_path=scratch_path(spark, "report")

@@ -43,6 +43,13 @@ def test_csv_schema_and_limit(spark, folder):
     assert collected(scan_csv(spark, path, schema="v string, id int", rows=1)) == [("a", 1)]
 
 
+def test_csv_row_length(spark, folder):
+    short = write(folder, "x.csv", "a,b,c\n1\n1,2\n1,2,3\n")
+    assert collected(scan(spark, short)) == [(1, None, None), (1, 2, None), (1, 2, 3)]
+    with pytest.raises(Exception, match="expected 3 fields"):
+        scan(spark, write(folder, "y.csv", "a,b,c\n1,2,3\n1,2,3,4\n")).collect()
+
+
 def test_csv_empty_file(spark, folder):
     with pytest.raises(ValueError):
         scan(spark, write(folder, "x.csv", ""))
