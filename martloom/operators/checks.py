@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from martloom.functions import col
+from martloom.operators.frames import union_all
 from martloom.operators.joins import deal, hot_keys_for, join_parent
+from martloom.session import run_together
 from martloom.spec import Relationship, TableSpec
 
 NOT_NULL, UNIQUE, RELATIONSHIPS = "not_null", "unique", "relationships"
@@ -144,14 +147,13 @@ def run_tests(tests: Sequence[ModelTest], frames: dict[str, DataFrame], prefix:
         rows = [F.struct(F.lit(c).alias("column"), F.col(f"f{i}").alias("failures")) for i, c in enumerate(columns)]
         counted = frames[table].agg(*counts).select(F.inline(F.array(*rows)))
         parts.append(_result(counted, NOT_NULL, prefix + table, F.col("column"), None))
-    for t in tests:
-        if t.kind != NOT_NULL:
-            parent = f"{prefix}{t.parent}.{', '.join(t.parent_columns)}" if t.parent else None
-            parts.append(_result(t.failures(frames), t.kind, prefix + t.table, F.lit(", ".join(t.columns)), parent))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionAll(part)
-    return result
+
+    def part(t: ModelTest) -> DataFrame:
+        parent = f"{prefix}{t.parent}.{', '.join(t.parent_columns)}" if t.parent else None
+        return _result(t.failures(frames), t.kind, prefix + t.table, F.lit(", ".join(t.columns)), parent)
+
+    # plans are put together at the same time; they run as one
+    return union_all(parts + run_together([partial(part, t) for t in tests if t.kind != NOT_NULL]))
 
 
 def _result(failures: DataFrame, kind: str, model: str, column: Column, parent: str | None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from martloom.functions.names import identifier, identifier_column, singular, table_name, table_name_column
 from martloom.operators.checks import inclusion
+from martloom.operators.frames import union_all
 from martloom.spec import Relationship, TableSpec, table
 
 DECLARED, INFERRED = "declared_fk", "inferred_name_match"
@@ -130,7 +131,7 @@ def propose_fks(catalog: DataFrame, frames: dict[str, DataFrame]) -> DataFrame:
                 "inclusion",
             )
         )
-    return _union(parts)
+    return union_all(parts)
 
 
 def infer_relationships(specs: Sequence[TableSpec]) -> list[Relationship]:
@@ -169,7 +170,7 @@ def infer_relationships(specs: Sequence[TableSpec]) -> list[Relationship]:
 
 def relationship_frame(relationships: Sequence[Relationship], frames: dict[str, DataFrame]) -> DataFrame:
     """The edges of the model, each with its measured inclusion."""
-    return _union(
+    return union_all(
         [
             inclusion(frames[r.child_table], r.child_columns, frames[r.parent_table], r.parent_columns).select(
                 F.lit(r.child_table).alias("child_table"),
@@ -193,8 +194,3 @@ def target_columns(specs: Sequence[TableSpec], spark: SparkSession) -> DataFrame
     return spark.createDataFrame(rows, schema)
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionAll(part)
-    return result

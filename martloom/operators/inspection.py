@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from martloom.functions import col
+from martloom.operators.frames import union_all
 
 # Layer names in reports, and prefixes of generated models.
 SOURCE_LAYER, STAGING_LAYER, MART_LAYER = "loaded/source", "dbt staging", "dbt mart"
@@ -22,7 +23,7 @@ def layer_of(name: str) -> str:
 
 def table_counts(frames: dict[str, DataFrame]) -> DataFrame:
     """Rows per table, labelled with the layer the name stands for."""
-    return _union(
+    return union_all(
         [
             df.agg(F.count("*").alias("row_count")).select(
                 F.lit(layer_of(name)).alias("layer"), F.lit(name).alias("table_name"), "row_count"
@@ -40,16 +41,9 @@ def table_summary(frames: dict[str, DataFrame]) -> DataFrame:
         )
         for name, df in frames.items()
     ]
-    return _union(parts).where(~F.col("table").rlike(GENERATED_NAMES)).orderBy("table")
+    return union_all(parts).where(~F.col("table").rlike(GENERATED_NAMES)).orderBy("table")
 
 
 def inspect(df: DataFrame, order_by: Sequence[str], rows: int = INSPECT_ROWS) -> DataFrame:
     """The first rows by key: a top-k, not a full sort."""
     return df.orderBy(*map(col, order_by)).limit(rows)
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionAll(part)
-    return result

@@ -61,6 +61,8 @@ def generate_keys(df: DataFrame, key: str, order: Sequence[str] = (), start: int
     known = max((v for v in (top, start) if v is not None), default=0)
     missing = df.where(col(key).isNull()).select(*[col(c) for c in columns if c != key])
     if order:
-        missing = missing.orderBy(*map(col, order))
+        # the place in the scan comes last, so that range partitions can split rows of equal order
+        placed = missing.withColumn("__place", F.monotonically_increasing_id())
+        missing = placed.orderBy(*map(col, order), "__place").drop("__place")
     numbered = number_rows(stage_for_numbering(missing, "keys"), key, start=known)
     return df.where(col(key).isNotNull()).unionByName(numbered.select(*map(col, columns)))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from martloom.functions import col
+from martloom.operators.frames import union_all
 from martloom.operators.mapping import Mapping
 from martloom.operators.profiling import value_key
 from martloom.spec import TableSpec
@@ -30,7 +31,7 @@ def column_overlap(sources: dict[str, DataFrame], targets: dict[str, DataFrame])
     columns += [("target", t, c) for t, df in targets.items() for c in df.columns]
     words = -(-len(columns) // WORD)
     position = {c: i for i, c in enumerate(columns)}
-    cells = None
+    parts = []
     for side, frames in (("source", sources), ("target", targets)):
         for name, df in frames.items():
             values = [
@@ -41,10 +42,9 @@ def column_overlap(sources: dict[str, DataFrame], targets: dict[str, DataFrame])
                 )
                 for f in df.schema.fields
             ]
-            part = df.select(F.inline(F.array(*values))).where(F.col("value").isNotNull())
-            cells = part if cells is None else cells.unionAll(part)
+            parts.append(df.select(F.inline(F.array(*values))).where(F.col("value").isNotNull()))
     masks = [f"m{w}" for w in range(words)]
-    by_value = cells.groupBy("value").agg(
+    by_value = union_all(parts).groupBy("value").agg(
         *[F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(m) for w, m in enumerate(masks)]
     )
     sets = by_value.groupBy(*masks).agg(F.count("*").alias("values"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from martloom.functions import col
 from martloom.functions.display import display
+from martloom.operators.frames import union_all
 from martloom.operators.typing import first_values, infer_types
 from martloom.session import run_together
 
@@ -119,7 +120,7 @@ def sample_values(df: DataFrame, order_by: str | None = None, count: int = SAMPL
     Each column is a top-k of its own over two columns of the source, so nothing is collected
     beyond ``count`` values a column.
     """
-    parts = None
+    parts = []
     for f in df.schema.fields:
         first = first_values(df, f.name, count, order_by)
         position = F.col("ord") if order_by else F.monotonically_increasing_id()
@@ -127,21 +128,13 @@ def sample_values(df: DataFrame, order_by: str | None = None, count: int = SAMPL
             F.lit(f.name).alias("column_name"), position.alias("ord"), display(F.col("value"), f.dataType).alias("value")
         )
         part = part.groupBy("column_name").agg(F.array_sort(F.collect_list(F.struct("ord", "value"))).alias("firsts"))
-        part = part.select("column_name", F.col("firsts.value").alias("sample_values"))
-        parts = part if parts is None else parts.unionAll(part)
-    return parts
+        parts.append(part.select("column_name", F.col("firsts.value").alias("sample_values")))
+    return union_all(parts)
 
 
 def profile_all(frames: dict[str, DataFrame], **options) -> DataFrame:
     """The catalogue of several sources; their types are inferred at the same time."""
-    return union_catalog(run_together([partial(profile, df, name, **options) for name, df in frames.items()]))
-
-
-def union_catalog(profiles: list[DataFrame]) -> DataFrame:
-    result = profiles[0]
-    for part in profiles[1:]:
-        result = result.unionByName(part)
-    return result
+    return union_all(run_together([partial(profile, df, name, **options) for name, df in frames.items()]))
 
 
 def _no_cells(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from martloom.functions import col
 from martloom.functions.casts import fit
 from martloom.operators.checks import has_keys, relationship_failures, unique_failures
+from martloom.operators.frames import union_all
 from martloom.spec import ForeignKey, TableSpec
 
 
@@ -35,10 +36,7 @@ def validate_tables(specs: Sequence[TableSpec], frames: dict[str, DataFrame], sp
             if parent is not None and not loaded_key:
                 repeated = unique_failures(parent, fk.ref_columns)
                 parts.append(_part(repeated, spec.name, unreadable=F.col("failures")))
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionAll(part)
-    total = union.groupBy("table").agg(
+    total = union_all(parts).groupBy("table").agg(
         F.sum("row_count").alias("row_count"),
         F.sum("fk_violations").alias("fk_violations"),
         F.sum("null_violations").alias("null_violations"),
@@ -71,10 +69,7 @@ def fk_report(specs: Sequence[TableSpec], frames: dict[str, DataFrame]) -> DataF
         for spec in specs
         for fk in spec.foreign_keys
     ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionAll(part)
-    return result
+    return union_all(parts)
 
 
 def contract_check(specs: Sequence[TableSpec], frames: dict[str, DataFrame], spark: SparkSession) -> DataFrame:
@@ -126,10 +121,7 @@ def contract_check(specs: Sequence[TableSpec], frames: dict[str, DataFrame], spa
         if fixed:
             rows = [F.struct(F.lit(c).alias("column"), F.lit(f).alias("finding"), F.lit(1).alias("count")) for c, f in fixed]
             parts.append(_finding(spark.range(1).select(F.inline(F.array(*rows))), spec.name))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionAll(part)
-    return result
+    return union_all(parts)
 
 
 def _loses(value: Column, f, type_class: str) -> Column:

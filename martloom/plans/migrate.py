@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from martloom.functions import col
+from martloom.operators.discovery import target_columns
 from martloom.operators.keys import generate_keys, last_wins
 from martloom.operators.loading import (
     ALL_EMPTY,
@@ -26,6 +27,7 @@ from martloom.operators.loading import (
 from martloom.operators.mapping import Mapping, drop_empty, map_columns, select_mappings
 from martloom.operators.validation import validate_tables
 from martloom.session import run_together
+from martloom.sources.raw import load_time
 from martloom.sources.store import TableStore
 from martloom.spec import TableSpec
 
@@ -84,13 +86,41 @@ def migrate(
     project_statuses = [status for _, kept in results for status in kept]
     loaded = {spec.name: session_store.read(spec.name) for spec in selected}
     report = status_frame(sorted(statuses, key=lambda s: (s.table, s.source_file)), spark)
+    validation = validate_tables(selected, loaded, spark)
     if report_path:
-        report.write.mode("overwrite").json(report_path)
-    return Migration(
-        report,
-        validate_tables(selected, loaded, spark),
-        status_frame(project_statuses, spark) if project_store is not None else None,
+        validation = write_report(spark, report_path, report, validation, mappings, sources, selected)
+    return Migration(report, validation, status_frame(project_statuses, spark) if project_store is not None else None)
+
+
+def write_report(
+    spark: SparkSession,
+    path: str,
+    report: DataFrame,
+    validation: DataFrame,
+    mappings: Sequence[Mapping],
+    sources: Sequence[Source],
+    selected: Sequence[TableSpec],
+) -> DataFrame:
+    """Write the run as JSON, a folder per part; returns the validation as written."""
+    mapping_rows = [tuple(asdict(m).values()) for m in mappings]
+    schema = (
+        "target_table string, target_column string, source_file string, source_column string, "
+        "transformation string, confidence double, reason string"
+    )
+    names = [[s.name for s in sources], [s.name for s in selected]]
+    run = spark.createDataFrame(
+        [(load_time(), *names)], "timestamp string, source_files array<string>, selected_tables array<string>"
     )
+    parts = {
+        "run": run,
+        "rows_loaded": report,
+        "mappings": spark.createDataFrame(mapping_rows, schema),
+        "target_columns": target_columns(selected, spark),
+        "validation": validation,
+    }
+    for name, df in parts.items():
+        df.write.mode("overwrite").json(f"{path.rstrip('/')}/{name}")
+    return spark.read.schema(validation.schema).json(f"{path.rstrip('/')}/validation")
 
 
 def table_batch(

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from martloom.functions import col
 from martloom.functions.display import json_text
 from martloom.functions.names import raw_table_name, unique_identifiers
+from martloom.operators.frames import union_all
 from martloom.operators.numbering import number_rows, stage_for_numbering
 from martloom.operators.typing import apply_types
 from martloom.session import drop_scratch, run_together, scratch_path
@@ -90,7 +91,4 @@ def raw_counts(tables: list[RawTable]) -> DataFrame:
         )
         for t in tables
     ]
-    result = counts[0]
-    for part in counts[1:]:
-        result = result.unionAll(part)
-    return result
+    return union_all(counts)

@@ -170,7 +170,7 @@ def _orphan_sql(child: str, column: str, parent: str, key: str) -> str:
     )
 
 
-def _run_tests_sql() -> str:
+def run_tests_sql(views: dict[str, str]) -> str:
     parts = []
     for name, spec in SPECS.items():
         parts += [_test_sql("not_null", name, c, _null_sql(name, c)) for c in [*spec.primary_key, *spec.required]]
@@ -181,7 +181,7 @@ def _run_tests_sql() -> str:
         failures = _orphan_sql(r.child_table, r.child_column, r.parent_table, r.parent_column)
         parent = f"stg_{r.parent_table}.{r.parent_column}"
         parts.append(_test_sql("relationships", r.child_table, r.child_column, failures, parent))
-    return with_sql(DEFECTIVE_SQL, " union all ".join(parts))
+    return with_sql(views, " union all ".join(parts))
 
 
 def _fk_sql() -> str:
@@ -267,7 +267,7 @@ ORACLES = {
             for c, k, p in (("line", "product_id", "product"), ("line", "order_id", "order"), ("order", "customer_id", "customer"))
         ),
     ),
-    "run_tests": _run_tests_sql(),
+    "run_tests": run_tests_sql(DEFECTIVE_SQL),
     "fk_orphan_rows": with_sql(
         {"line": ORPHAN_LINES_SQL},
         "select l.* from line l where product_id is not null and not exists (select 1 from part where p_partkey = product_id)",

@@ -8,7 +8,7 @@ from martloom.operators.inspection import inspect, table_counts, table_summary
 from martloom.plans.build import build_all, step_frame
 from martloom.plans.models import build_layers
 from martloom.session import scratch_path
-from registry.checking import _run_tests_sql
+from registry.checking import run_tests_sql
 from registry.model import RELATIONSHIPS, SPECS, staged_sql, target, target_sql, targets, with_sql
 
 LAYERS = {"stg_": "dbt staging", "mart_": "dbt mart"}
@@ -66,10 +66,10 @@ def _build_sql() -> str:
     ]
     parts += [f"select 'mart', 'mart_{n}', count(*), 'ok', '' from ({target_sql(n)})" for n in SPECS]
     parts += [f"select 'enriched', 'mart_{n}_enriched', count(*), 'ok', '' from ({target_sql(n)})" for n in CHILDREN]
-    clean = with_sql({n: target_sql(n) for n in SPECS}, _run_tests_sql().split(") select", 1)[1].join(["select", ""]))
     parts.append(
         "select 'test', test || ' ' || model || '.' || \"column\", failures, case when failures = 0 then 'ok' else 'error' end, "
-        f"case when failures = 0 then '' else failures || ' failures' end from ({clean})"
+        "case when failures = 0 then '' else failures || ' failures' end "
+        f"from ({run_tests_sql({n: target_sql(n) for n in SPECS})})"
     )
     return " union all ".join(parts)
 
@@ -77,5 +77,6 @@ def _build_sql() -> str:
 ORACLES = {
     "table_counts": _counts_sql(),
     "table_summary": _summary_sql(),
+    "build_all": _build_sql(),
     "inspect_limit": f"{target_sql('order')} order by o_orderkey limit 100",
 }

@@ -21,6 +21,17 @@ def test_relationships_count_rows(spark):
     assert relationship_failures(child, ["k"], parent, ["id"]).first()[0] == 2
 
 
+@pytest.mark.parametrize("modulus", [1, 3, 10])
+def test_violations_matches_and_nulls_add_up(spark, modulus):
+    key = F.when(F.col("id") % 7 != 0, F.col("id") % 40)
+    child = spark.range(500).select(key.alias("k"))
+    parent = spark.range(0, 40, modulus).select(F.col("id").alias("pk"))
+    orphans = relationship_failures(child, ["k"], parent, ["pk"]).first()[0]
+    measured = inclusion(child, ["k"], parent, ["pk"]).first()
+    assert orphans + measured["matched_rows"] + child.where("k is null").count() == 500
+    assert orphan_rows(child, ["k"], parent, ["pk"]).count() == orphans
+
+
 def test_composite_key_with_null_part_is_no_violation(spark):
     child = spark.createDataFrame([(1, 1), (1, None)], "a int, b int")
     parent = spark.createDataFrame([(2, 2)], "x int, y int")

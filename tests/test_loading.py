@@ -106,6 +106,12 @@ def test_generated_keys_are_dense(spark):
     assert found.where("id <= 10000").count() == 1000
 
 
+def test_generated_keys_with_one_hot_order_value(spark):
+    df = spark.range(20000).select(F.lit(None).cast("bigint").alias("id"), F.lit("same").alias("name"))
+    found = generate_keys(df, "id", order=["name"])
+    assert found.agg(F.count_distinct("id"), F.min("id"), F.max("id")).first()[:] == (20000, 1, 20000)
+
+
 def test_numbers_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr("martloom.operators.numbering.BROADCAST_ROWS", 0)
     staged = stage_for_numbering(spark.range(1000).repartition(5), "t")
@@ -180,7 +186,7 @@ def test_migration(spark, folder):
     session, project = TableStore(spark, folder + "/s"), TableStore(spark, folder + "/p", 4)
     for _ in range(2):
         done = migrate(spark, [people, pets, unused], sources, mappings, session, project, report_path=folder + "/report")
-    report = {(r["table"], r["source_file"]): (r["rows"], r["status"]) for r in spark.read.json(folder + "/report").collect()}
+    report = {(r["table"], r["source_file"]): (r["rows"], r["status"]) for r in spark.read.json(folder + "/report/rows_loaded").collect()}
     assert report == {
         ("people", "a.csv"): (2, "loaded"),
         ("people", "b.csv"): (0, "error"),
@@ -192,6 +198,8 @@ def test_migration(spark, folder):
         ("pets", "empty.csv"): (0, "skipped"),
         **{("unused", f): (0, "skipped") for f in ("a.csv", "b.csv", "pets.csv", "empty.csv")},
     }
+    assert spark.read.json(folder + "/report/mappings").count() == len(mappings)
+    assert spark.read.json(folder + "/report/run").first()["selected_tables"] == ["people", "pets", "unused"]
     checked = {r["table"]: (r["row_count"], r["fk_violations"], r["status"]) for r in done.validation.collect()}
     assert checked == {"people": (2, 0, "ok"), "pets": (2, 1, "warning"), "unused": (0, 0, "ok")}
     assert sorted(map(tuple, session.read("pets").collect())) == [(1, 1, "Rex"), (2, 9, "Tom")]
