@@ -32,6 +32,7 @@ class FileStatus:
     rows: int
     status: str
     reason: str
+    replaced: int = 0
 
 
 def union_files(parts: Sequence[DataFrame]) -> DataFrame:
@@ -172,9 +173,10 @@ def quarantine(fitted: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame
 
 
 def status_frame(statuses: Sequence[FileStatus], spark: SparkSession) -> DataFrame:
-    """The load report: one row per table and file."""
-    schema = "table string, source_file string, rows bigint, status string, reason string"
-    return spark.createDataFrame([(s.table, s.source_file, s.rows, s.status, s.reason) for s in statuses], schema)
+    """The load report: one row per table and file, with rows written and stored rows replaced."""
+    schema = "table string, source_file string, rows bigint, replaced bigint, status string, reason string"
+    rows = [(s.table, s.source_file, s.rows, s.replaced, s.status, s.reason) for s in statuses]
+    return spark.createDataFrame(rows, schema)
 
 
 def total_rows(report: DataFrame) -> DataFrame:

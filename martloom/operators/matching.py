@@ -10,6 +10,7 @@ from martloom.functions import col
 from martloom.operators.frames import union_all
 from martloom.operators.mapping import Mapping
 from martloom.operators.profiling import value_key
+from martloom.session import stage
 from martloom.spec import TableSpec
 
 # Weights of value overlap and name likeness, and the least score of a proposal [our choice].
@@ -47,7 +48,8 @@ def column_overlap(sources: dict[str, DataFrame], targets: dict[str, DataFrame])
     by_value = union_all(parts).groupBy("value").agg(
         *[F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(m) for w, m in enumerate(masks)]
     )
-    sets = by_value.groupBy(*masks).agg(F.count("*").alias("values"))
+    # stored once: a row per set of columns that share values, read three times below
+    sets = stage(by_value.groupBy(*masks).agg(F.count("*").alias("values")), "sets")
 
     def members(side: str):
         held = [

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -26,7 +26,7 @@ from martloom.operators.loading import (
 )
 from martloom.operators.mapping import Mapping, drop_empty, map_columns, select_mappings
 from martloom.operators.validation import validate_tables
-from martloom.session import run_together
+from martloom.session import run_together, stage
 from martloom.sources.raw import load_time
 from martloom.sources.store import TableStore
 from martloom.spec import TableSpec
@@ -151,7 +151,11 @@ def load_recreate(store: TableStore, spec: TableSpec, batch: DataFrame) -> list[
 
 
 def load_upsert(store: TableStore, spec: TableSpec, batch: DataFrame) -> list[FileStatus]:
-    """Replace rows of the target by key, the last file and row of a key winning."""
+    """Replace rows of the target by key, the last file and row of a key winning.
+
+    The statuses tell the rows written, after repeats within the batch, and how many of them
+    replaced a stored row.
+    """
     statuses = file_statuses(batch, spec, replace=True)
     rows = accepted_rows(batch, statuses, spec)
     if spec.primary_key:
@@ -161,8 +165,20 @@ def load_upsert(store: TableStore, spec: TableSpec, batch: DataFrame) -> list[Fi
         if store.exists(spec.name):
             top = store.read(spec.name).agg(F.max(col(spec.generated_key))).first()[0]
         rows = _numbered(rows, spec, top)
+    rows = stage(rows, "batch")
+    written = _rows_per_file(rows)
+    replaced = {}
+    if spec.primary_key and store.exists(spec.name):
+        stored = store.read(spec.name).select(*map(col, spec.primary_key))
+        replaced = _rows_per_file(rows.join(stored, spec.primary_key, "left_semi"))
     store.upsert(spec, rows)
-    return statuses
+    return [
+        replace(s, rows=written.get(s.source_file, 0), replaced=replaced.get(s.source_file, 0)) for s in statuses
+    ]
+
+
+def _rows_per_file(rows: DataFrame) -> dict[str, int]:
+    return {r[FILE]: r["count"] for r in rows.groupBy(FILE).count().collect()}
 
 
 def _numbered(rows: DataFrame, spec: TableSpec, top: int | None) -> DataFrame:

@@ -221,7 +221,7 @@ REPORT_SQL = f"""{FILES_SQL},
     report as (
         select 'order' as "table", source_file,
             case when source_file in ('d.csv', 'e.csv') then 0 else count(*) end as rows,
-            case when source_file in ('d.csv', 'e.csv') then 'error' else 'loaded' end as status,
+            0::bigint as replaced, case when source_file in ('d.csv', 'e.csv') then 'error' else 'loaded' end as status,
             case source_file when 'd.csv' then 'UNIQUE constraint failed: order.order_id'
                 when 'e.csv' then 'NOT NULL constraint failed: order.customer_id' else '' end as reason
         from files group by source_file)"""

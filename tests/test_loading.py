@@ -198,6 +198,8 @@ def test_migration(spark, folder):
         ("pets", "empty.csv"): (0, "skipped"),
         **{("unused", f): (0, "skipped") for f in ("a.csv", "b.csv", "pets.csv", "empty.csv")},
     }
+    kept = {(r["table"], r["source_file"]): (r["rows"], r["replaced"]) for r in done.project_report.collect()}
+    assert kept == {("people", "a.csv"): (1, 1), ("people", "b.csv"): (1, 1), ("pets", "pets.csv"): (2, 0)}
     assert spark.read.json(folder + "/report/mappings").count() == len(mappings)
     assert spark.read.json(folder + "/report/run").first()["selected_tables"] == ["people", "pets", "unused"]
     checked = {r["table"]: (r["row_count"], r["fk_violations"], r["status"]) for r in done.validation.collect()}
