@@ -45,8 +45,9 @@ def column_overlap(sources: dict[str, DataFrame], targets: dict[str, DataFrame])
             ]
             parts.append(df.select(F.inline(F.array(*values))).where(F.col("value").isNotNull()))
     masks = [f"m{w}" for w in range(words)]
+    none = F.lit(0).cast("bigint")
     by_value = union_all(parts).groupBy("value").agg(
-        *[F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(m) for w, m in enumerate(masks)]
+        *[F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(none)).alias(m) for w, m in enumerate(masks)]
     )
     # stored once: a row per set of columns that share values, read three times below
     sets = stage(by_value.groupBy(*masks).agg(F.count("*").alias("values")), "sets")

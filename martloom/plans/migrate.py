@@ -192,10 +192,10 @@ def _numbered(rows: DataFrame, spec: TableSpec, top: int | None) -> DataFrame:
 def _empty_sources(
     spec: TableSpec, sources: Sequence[Source], mappings: Sequence[Mapping], found: Sequence[FileStatus]
 ) -> list[FileStatus]:
-    """Mapped files none of whose rows had a value."""
+    """Mapped files without rows, or none of whose rows had a value."""
     seen = {s.source_file for s in found}
     return [
-        FileStatus(spec.name, s.name, 0, SKIPPED, ALL_EMPTY)
+        FileStatus(spec.name, s.name, 0, SKIPPED, NO_MAPPING if s.frame.isEmpty() else ALL_EMPTY)
         for s in sources
         if s.file is None and s.name not in seen and select_mappings(mappings, spec.name, s.name)
     ]

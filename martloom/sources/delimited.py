@@ -24,7 +24,8 @@ def scan_csv(
     """Read a CSV source whose part files share one header.
 
     Values are read as text, missing-value tokens become NULL, and types are inferred from all
-    rows read.  Short rows are padded with NULL; a row with more cells than the header is an error.  With ``schema`` the inference pass is left out and columns are cast by name.
+    rows read.  With ``schema`` the inference pass is left out and columns are cast by name.
+    Short rows are padded with NULL; a row with more cells than the header is an error.
     ``multi_line`` is looked up in the data when not given: only a line break inside quotes
     needs it, and it makes every file a single split.
     """

@@ -59,14 +59,17 @@ def json_form(spark: SparkSession, file: str) -> str:
         .where((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""))
         .select(
             F.substring(line, 1, 1).alias("mark"),
-            F.json_object_keys("value").isNotNull().alias("whole"),
+            F.json_object_keys("value").isNotNull().alias("object"),
+            F.json_array_length("value").isNotNull().alias("array"),
         )
         .head(2)
     )
     if not start or start[0]["mark"] not in ("[", "{"):
         raise ValueError(NOT_TABULAR)
-    if len(start) == 2 and start[0]["whole"]:
+    if len(start) == 2 and start[0]["object"]:
         return LINES
+    if len(start) == 2 and start[0]["array"]:
+        raise ValueError(f"{NOT_TABULAR}: text after the array in {file}")
     return ARRAY if start[0]["mark"] == "[" else OBJECT
 
 

@@ -9,7 +9,7 @@ from martloom.plans.build import build_all, step_frame
 from martloom.plans.models import build_layers
 from martloom.session import scratch_path
 from registry.checking import run_tests_sql
-from registry.model import RELATIONSHIPS, SPECS, staged_sql, target, target_sql, targets, with_sql
+from registry.model import RELATIONSHIPS, SPECS, staged_sql, target, target_sql, targets
 
 LAYERS = {"stg_": "dbt staging", "mart_": "dbt mart"}
 CHILDREN = list(dict.fromkeys(r.child_table for r in RELATIONSHIPS))

@@ -156,14 +156,20 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.groupBy("table").agg(F.sum("rows").alias("rows"))
 
 
+CUSTOMER_MAP = [
+    ("customer_id", "c_custkey"), ("full_name", "c_name"), ("segment", "c_mktsegment"), ("nation_id", "c_nationkey"),
+]
+ORDER_MAP = [
+    ("order_id", "o_orderkey"), ("customer_id", "o_custkey"), ("status", "o_orderstatus"), ("order_date", "o_orderdate"),
+]
 MAPPINGS = [
     Mapping(spec, column, f"{source}.csv", given_name)
     for spec, source, columns in (
-        ("customer", "customer", [("customer_id", "c_custkey"), ("full_name", "c_name"), ("segment", "c_mktsegment"), ("nation_id", "c_nationkey")]),
+        ("customer", "customer", CUSTOMER_MAP),
         (
             "order",
             "orders",
-            [("order_id", "o_orderkey"), ("customer_id", "o_custkey"), ("status", "o_orderstatus"), ("order_date", "o_orderdate")],
+            ORDER_MAP,
         ),
         ("product", "part", [("product_id", "p_partkey"), ("brand", "p_brand"), ("price", "p_retailprice")]),
     )

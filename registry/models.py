@@ -14,7 +14,7 @@ from martloom.plans.models import (
     write_mart,
 )
 from martloom.session import scratch_path
-from registry.model import RELATIONSHIPS, SPECS, given, staged_sql, target, target_sql, targets, with_sql
+from registry.model import RELATIONSHIPS, SPECS, given, staged_sql, target, targets, with_sql
 
 
 def staging_of(name: str):

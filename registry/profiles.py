@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from martloom.functions.names import table_name
 from martloom.operators.discovery import (
     infer_relationships,
     propose_fks,
@@ -18,7 +17,7 @@ from martloom.operators.typing import infer_types
 from martloom.session import stage
 from martloom.spec import table
 from registry.checking import DEFECTIVE_SQL, defective, nulled_orders
-from registry.model import COLUMNS, SPECS, TABLES, given, target, target_sql, targets, with_sql
+from registry.model import COLUMNS, SPECS, TABLES, given, target_sql, targets, with_sql
 
 # Logical types of the given tables' columns; every column not listed is text.
 TYPES = {
@@ -301,8 +300,10 @@ def _mappings_sql() -> str:
     views = _overlap_views() | {
         "wanted": wanted,
         "scored": f"""
-            select *, round({OVERLAP_WEIGHT}::double * likeness + {NAME_WEIGHT}::double * (1 - levenshtein(lower(source_column), lower(target_column))
-                / greatest(length(source_column), length(target_column))), 4) as confidence from overlap""",
+            select *, 1 - levenshtein(lower(source_column), lower(target_column))
+                    / greatest(length(source_column), length(target_column)) as alike,
+                round({OVERLAP_WEIGHT}::double * likeness + {NAME_WEIGHT}::double * alike, 4) as confidence
+            from overlap""",
         "best": f"""
             select * from scored where confidence >= {THRESHOLD}
             qualify row_number() over (partition by target_table, target_column

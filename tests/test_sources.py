@@ -92,7 +92,7 @@ def test_json_lines_keep_nested_and_order(spark, folder):
     assert df.columns == ["z", "a", "m"]
 
 
-@pytest.mark.parametrize("text", ["5", '"word"', "", "[1, 2]", '{"rows": [1, 2]}', '{"a": 1}\n{"a": \n'])
+@pytest.mark.parametrize("text", ["5", '"word"', "", "[1, 2]", "[{}]\n[{}]", '{"rows": [1, 2]}', '{"a": 1}\n{"a": \n'])
 def test_json_without_rows(spark, folder, text):
     with pytest.raises(ValueError):
         scan(spark, write(folder, "x.json", text))
