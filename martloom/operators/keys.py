@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from martloom.functions import col
 from martloom.operators.checks import has_keys
 from martloom.operators.numbering import number_rows, stage_for_numbering
+from martloom.session import stage
 
 
 def last_wins(df: DataFrame, key: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -61,7 +62,9 @@ def generate_keys(df: DataFrame, key: str, order: Sequence[str] = (), start: int
     known = max((v for v in (top, start) if v is not None), default=0)
     missing = df.where(col(key).isNull()).select(*[col(c) for c in columns if c != key])
     if order:
-        # the place in the scan comes last, so that range partitions can split rows of equal order
+        # the place in the scan comes last, so that range partitions can split rows of equal order;
+        # it is the place in a written table, which stays the same when a task runs again
+        missing = stage(missing, "keyless")
         placed = missing.withColumn("__place", F.monotonically_increasing_id())
         missing = placed.orderBy(*map(col, order), "__place").drop("__place")
     numbered = number_rows(stage_for_numbering(missing, "keys"), key, start=known)

@@ -20,6 +20,9 @@ TYPE_FINDING, NULL_FINDING = "__type", "__null"
 # Up to this many rejected files are filtered by name, more by a join with the list of names.
 MANY_FILES = 1000
 
+# Sets of files that share a key are worked through on the driver up to this many file names.
+SHARED_NAMES = 1_000_000
+
 LOADED, SKIPPED, ERROR = "loaded", "skipped", "error"
 NO_MAPPING = "No selected mappings for this file and table"
 ALL_EMPTY = "All transformed rows were empty"
@@ -97,9 +100,9 @@ def _key_conflicts(fitted: DataFrame, key: Sequence[str], files: set[str], defec
     """Files whose keys repeat, inside the file or against an accepted earlier file.
 
     Rows are first reduced to (key, file) with a count, on the map side already; only keys that
-    repeat are written out.  A file is accepted once no undecided or accepted file before it
-    shares a key with it, and rejected once an accepted one does.  Every round decides at least
-    the first undecided file, and usually all of them.
+    repeat are written out.  What remains to be decided is a matter of files: which sets of
+    files share a key.  Usually there are few such sets and they are worked through in file
+    order; beyond SHARED_NAMES names the files are decided in rounds by Spark.
     """
     names = list(key)
     held = fitted.where(has_keys(key)).groupBy(*map(col, names), FILE).agg(F.count("*").alias("n"))
@@ -107,11 +110,41 @@ def _key_conflicts(fitted: DataFrame, key: Sequence[str], files: set[str], defec
     contested = stage(held.withColumn("files", per_key).where((F.col("n") > 1) | (F.col("files") > 1)), "keys")
     inside = {r[FILE] for r in contested.where(F.col("n") > 1).select(FILE).distinct().collect()}
     rejected = inside | defective
-    accepted: set[str] = set()
     shared = contested.where(F.col("files") > 1)
-    while undecided := files - rejected - accepted:
+    live = shared.where(~F.col(FILE).isin(*rejected)) if rejected else shared
+    sets = live.groupBy(*map(col, names)).agg(F.array_sort(F.collect_list(FILE)).alias("files")).select("files").distinct()
+    if (sets.agg(F.sum(F.size("files"))).first()[0] or 0) <= SHARED_NAMES:
+        return inside - defective | _first_come([r["files"] for r in sets.collect()])
+    return _decide_in_rounds(live, names, files - rejected) | inside - defective
+
+
+def _first_come(sets: list[list[str]]) -> set[str]:
+    """Files that share a key with an accepted file before them."""
+    by_file: dict[str, list[int]] = {}
+    for i, files in enumerate(sets):
+        for name in files:
+            by_file.setdefault(name, []).append(i)
+    taken: set[int] = set()
+    rejected = set()
+    for name in sorted(by_file):
+        if taken.isdisjoint(by_file[name]):
+            taken.update(by_file[name])
+        else:
+            rejected.add(name)
+    return rejected
+
+
+def _decide_in_rounds(shared: DataFrame, key: Sequence[str], undecided: set[str]) -> set[str]:
+    """The same decision for any number of sets.
+
+    A file is accepted once no undecided or accepted file before it shares a key with it, and
+    rejected once an accepted one does.  Every round decides at least the first undecided file.
+    """
+    accepted: set[str] = set()
+    rejected: set[str] = set()
+    while undecided:
         live = shared.where(~F.col(FILE).isin(*rejected)) if rejected else shared
-        first = F.min(FILE).over(W.partitionBy(*map(col, names)))
+        first = F.min(FILE).over(W.partitionBy(*map(col, key)))
         taken = (F.col("first") != F.col(FILE)) & F.col("first").isin(*accepted) if accepted else F.lit(False)
         facts = (
             live.withColumn("first", first)
@@ -120,13 +153,11 @@ def _key_conflicts(fitted: DataFrame, key: Sequence[str], files: set[str], defec
             .collect()
         )
         by_file = {r[FILE]: r for r in facts}
-        for name in undecided:
-            fact = by_file.get(name)
-            if fact is None or fact["clear"]:
-                accepted.add(name)
-            elif fact["taken"]:
-                rejected.add(name)
-    return rejected - defective
+        clear = {name for name in undecided if name not in by_file or by_file[name]["clear"]}
+        rejected |= {name for name in undecided - clear if by_file[name]["taken"]}
+        accepted |= clear
+        undecided = undecided - accepted - rejected
+    return rejected
 
 
 def accepted_rows(fitted: DataFrame, statuses: Sequence[FileStatus], spec: TableSpec) -> DataFrame:

@@ -121,6 +121,9 @@ class TableStore:
             path = f"{folder}_b{self.buckets}"
             writer = df.write.format("parquet").bucketBy(self.buckets, *key).sortBy(*key)
             writer.option("path", path).mode("error").saveAsTable(_catalog_name(path))
+            # the catalogue entries only carry the bucketing; dropping them leaves the files
+            for name in [folder_name for _, folder_name in versions] + [path.rsplit("/", 1)[-1]]:
+                self.spark.sql(f"DROP TABLE IF EXISTS {_catalog_name(f'{self.root}/{spec.name}/{name}')}")
         else:
             path = folder
             df.write.parquet(path)

@@ -49,8 +49,10 @@ def test_file_is_rejected_as_a_whole(spark):
     assert total_rows(status_frame(statuses, spark)).first()[0] == 3
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_file_acceptance_equals_one_by_one_loading(spark, seed):
+@pytest.mark.parametrize("shared_names", [1_000_000, -1])
+@pytest.mark.parametrize("seed", range(2))
+def test_file_acceptance_equals_one_by_one_loading(spark, seed, shared_names, monkeypatch):
+    monkeypatch.setattr("martloom.operators.loading.SHARED_NAMES", shared_names)
     rng = random.Random(seed)
     files = {f"{i:02d}.csv": [rng.randrange(60) for _ in range(rng.randrange(1, 6))] for i in range(20)}
     rows = [(f, i, key, "a", "1") for f, keys in files.items() for i, key in enumerate(keys)]
@@ -62,6 +64,12 @@ def test_file_acceptance_equals_one_by_one_loading(spark, seed):
     assert {s.source_file: s.status for s in file_statuses(batch(spark, rows), SPEC)} == expected
 
 
+def test_long_chain_of_files(spark):
+    rows = [(f"{i:03d}.csv", r, key, "a", "1") for i in range(300) for r, key in enumerate((i, i + 1))]
+    statuses = file_statuses(batch(spark, rows), SPEC)
+    assert [s.status for s in statuses] == ["loaded", "error"] * 150
+
+
 def test_keyless_rows_never_conflict(spark):
     df = batch(spark, [("1.csv", 1, None, "a", "1"), ("1.csv", 2, None, "a", "1"), ("2.csv", 1, None, "a", "1")])
     assert {s.status for s in file_statuses(df, SPEC)} == {"loaded"}
