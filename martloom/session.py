@@ -22,6 +22,9 @@ RUNTIME_SETTINGS = {
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+# Folders of local sessions (tests) that name none, by application.
+_LOCAL_ROOTS: dict[str, str] = {}
+
 # Independent jobs submitted at the same time, so small tables do not leave executors idle.
 CONCURRENT_JOBS = 4
 
@@ -46,9 +49,10 @@ def scratch_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="martloom-")
-    spark.conf.set(CHECKPOINT_DIR, root)
-    return root
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[application] = tempfile.mkdtemp(prefix="martloom-")
+    return _LOCAL_ROOTS[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -36,19 +36,25 @@ def part_files(spark: SparkSession, path: str) -> list[str]:
 
 
 def scan(
-    spark: SparkSession, path: str, rows: int | None = None, provenance: bool = False, infer: bool = True
+    spark: SparkSession,
+    path: str,
+    rows: int | None = None,
+    provenance: bool = False,
+    infer: bool = True,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Read one source, a file or a folder of part files, as a flat frame.
 
     ``rows`` bounds the scan (0 or None reads everything); ``provenance`` appends the file name
-    and the start of the file block each row came from.
+    and the start of the file block each row came from.  ``multi_line`` tells whether CSV values
+    hold line breaks, which saves a pass that looks for them.
     """
     from martloom.sources.delimited import scan_csv
     from martloom.sources.json import scan_json
 
     kind = suffix(path)
     if kind == ".csv":
-        return scan_csv(spark, path, rows=rows, provenance=provenance, infer=infer)
+        return scan_csv(spark, path, rows=rows, multi_line=multi_line, provenance=provenance, infer=infer)
     if kind == ".json":
         return scan_json(spark, path, rows=rows, provenance=provenance, infer=infer)
     raise ValueError(f"Unsupported file type: {kind}")

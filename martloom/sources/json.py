@@ -31,7 +31,7 @@ def scan_json(
     form = json_form(spark, files[0])
     if form == LINES:
         df = _read(spark, path, provenance, multi_line=False)
-        df = _in_order(df, _line_keys(spark, path))
+        df = _in_order(df, _line_keys(spark, path, files[0], df.columns))
     elif form == ARRAY:
         df = _read(spark, path, provenance, multi_line=True)
         df = flatten(_in_order(df, _document_keys(spark, files, None)))
@@ -128,8 +128,15 @@ def _in_order(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select([col(n) for n in sorted(df.columns, key=lambda n: rank.get(n, len(rank)))])
 
 
-def _line_keys(spark: SparkSession, path: str) -> list[str]:
-    return _first_seen(spark.read.text(path).where(F.trim("value") != "").select(F.col("value").alias("record")))
+def _line_keys(spark: SparkSession, path: str, first_file: str, columns: list[str]) -> list[str]:
+    """Keys in order; all lines are looked at only when the first one lacks several columns."""
+    filled = F.trim("value") != ""
+    start = spark.read.text(first_file).where((F.col("_metadata.file_block_start") == 0) & filled)
+    keys = start.select(F.json_object_keys("value").alias("keys")).first()["keys"] or []
+    if len({*columns} - {*keys, FILE, BLOCK}) <= 1:
+        return keys
+    place = F.struct("_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    return _first_seen(spark.read.text(path).where(filled).select(place.alias("place"), F.col("value").alias("record")))
 
 
 def _document_keys(spark: SparkSession, files: list[str], key: str | None) -> list[str]:
@@ -142,13 +149,11 @@ def _document_keys(spark: SparkSession, files: list[str], key: str | None) -> li
     else:
         schema = T.StructType([T.StructField(key, T.ArrayType(T.StringType()))])
         items = F.from_json("value", schema).getField(key)
-    return _first_seen(text.select(F.explode(items).alias("record")))
+    return _first_seen(text.select(F.posexplode(items).alias("place", "record")))
 
 
 def _first_seen(records: DataFrame) -> list[str]:
     """Distinct keys by first position; combined on the map side, as many rows as columns."""
-    at = records.select(
-        F.monotonically_increasing_id().alias("row"), F.posexplode(F.json_object_keys("record")).alias("pos", "key")
-    )
-    seen = at.groupBy("key").agg(F.min(F.struct("row", "pos")).alias("first")).orderBy("first").collect()
+    at = records.select("place", F.posexplode(F.json_object_keys("record")).alias("pos", "key"))
+    seen = at.groupBy("key").agg(F.min(F.struct("place", "pos")).alias("first")).orderBy("first").collect()
     return [row["key"] for row in seen]

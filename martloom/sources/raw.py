@@ -37,13 +37,19 @@ def load_time() -> str:
     return datetime.now(timezone.utc).isoformat()
 
 
-def raw_frame(spark: SparkSession, path: str, loaded_at: str | None = None, scratch: str | None = None) -> DataFrame:
+def raw_frame(
+    spark: SparkSession,
+    path: str,
+    loaded_at: str | None = None,
+    scratch: str | None = None,
+    multi_line: bool | None = None,
+) -> DataFrame:
     """The rows of one source as they land: provenance, row number, normalised names.
 
     The source is parsed once, into a staged table; types are then inferred from its columns
     and row numbers counted from its file blocks.
     """
-    scanned = scan(spark, path, provenance=True, infer=False)
+    scanned = scan(spark, path, provenance=True, infer=False, multi_line=multi_line)
     data = [f for f in scanned.schema.fields if f.name not in (FILE, BLOCK)]
     names = unique_identifiers(f.name for f in data)
     encoded = [encode_nested(f).alias(name) for f, name in zip(data, names)]
@@ -66,12 +72,14 @@ def encode_nested(f: T.StructField):
     return col(f.name)
 
 
-def land_raw(spark: SparkSession, path: str, root: str, loaded_at: str | None = None) -> RawTable:
+def land_raw(
+    spark: SparkSession, path: str, root: str, loaded_at: str | None = None, multi_line: bool | None = None
+) -> RawTable:
     """Replace ``root/raw_<source>`` with the rows of one source."""
     table = raw_table_name(path)
     target = f"{root.rstrip('/')}/{table}"
     scratch = scratch_path(spark, "raw")
-    frame = raw_frame(spark, path, loaded_at, scratch)
+    frame = raw_frame(spark, path, loaded_at, scratch, multi_line)
     frame.write.mode("overwrite").parquet(target)
     drop_scratch(spark, scratch)
     return RawTable(table, target, spark.read.schema(frame.schema).parquet(target))

@@ -98,6 +98,16 @@ def test_json_without_rows(spark, folder, text):
         scan(spark, write(folder, "x.json", text))
 
 
+def test_json_lines_order_of_first_appearance(spark, folder):
+    text = '{"z":1}\n' + '{"z":1}\n' * 5000 + '{"q":1,"z":2,"b":1}\n{"a":5,"q":1}\n'
+    path = write(folder, "x.json", text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        assert scan(spark, path).columns == ["z", "q", "b", "a"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_flatten_keeps_lists(spark):
     df = spark.createDataFrame([(({"city": "X", "z": [1, 2]}), 1)], "addr struct<city: string, z: array<int>>, id int")
     flat = flatten(df)
