@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def one_row(spark: SparkSession) -> DataFrame:
+    """A frame of one row in one partition, to hang literal rows on."""
+    return spark.range(0, 1, 1, 1)
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from martloom.functions import col
-from martloom.operators.frames import union_all
+from martloom.operators.frames import one_row, union_all
 from martloom.operators.mapping import Mapping
 from martloom.operators.profiling import value_key
 from martloom.session import stage
@@ -117,7 +117,7 @@ def propose_mappings(
     ]
     spark = next(iter(targets.values())).sparkSession
     return (
-        spark.range(1)
+        one_row(spark)
         .select(F.inline(F.array(*wanted)))
         .join(scored, ["target_table", "target_column"], "left")
         .select(

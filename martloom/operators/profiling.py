@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from martloom.functions import col
 from martloom.functions.display import display
-from martloom.operators.frames import union_all
+from martloom.operators.frames import one_row, union_all
 from martloom.operators.typing import first_values, infer_types
 from martloom.session import run_together
 
@@ -140,5 +140,5 @@ def profile_all(frames: dict[str, DataFrame], **options) -> DataFrame:
 def _no_cells(df: DataFrame) -> DataFrame:
     """A cell without rows per column, so that an empty source has its columns too."""
     ordinals = F.explode(F.sequence(F.lit(0), F.lit(len(df.columns) - 1)))
-    rows = df.sparkSession.range(1).select(ordinals.alias("ordinal"))
+    rows = one_row(df.sparkSession).select(ordinals.alias("ordinal"))
     return rows.select("ordinal", F.lit(0).cast("bigint").alias("n"), F.lit(False).alias("filled"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from martloom.functions import col
 from martloom.functions.casts import fit
 from martloom.operators.checks import has_keys, relationship_failures, unique_failures
-from martloom.operators.frames import union_all
+from martloom.operators.frames import one_row, union_all
 from martloom.spec import ForeignKey, TableSpec
 
 
@@ -24,7 +24,7 @@ def validate_tables(specs: Sequence[TableSpec], frames: dict[str, DataFrame], sp
     for spec in specs:
         df = frames.get(spec.name)
         if df is None:
-            parts.append(_part(spark.range(1), spec.name, unreadable=F.lit(1)))
+            parts.append(_part(one_row(spark), spec.name, unreadable=F.lit(1)))
             continue
         nulls = [F.count_if(col(name).isNull()) for name in spec.required]
         counts = df.agg(F.count("*").alias("rows"), sum(nulls, F.lit(0)).alias("nulls"))
@@ -120,7 +120,7 @@ def contract_check(specs: Sequence[TableSpec], frames: dict[str, DataFrame], spa
                 )
         if fixed:
             rows = [F.struct(F.lit(c).alias("column"), F.lit(f).alias("finding"), F.lit(1).alias("count")) for c, f in fixed]
-            parts.append(_finding(spark.range(1).select(F.inline(F.array(*rows))), spec.name))
+            parts.append(_finding(one_row(spark).select(F.inline(F.array(*rows))), spec.name))
     return union_all(parts)
 
 

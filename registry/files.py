@@ -66,6 +66,18 @@ def raw_land(spark: SparkSession, sf_dir: str) -> DataFrame:
     return land_raw(spark, path, scratch_path(spark, "raw"), LOADED_AT).read().drop("_source_file", "_raw_row_number")
 
 
+def raw_land_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON Lines with an object and a list, landed as JSON text."""
+    events = given(spark, sf_dir, "events").select(
+        "event_id",
+        F.from_json("props", "k bigint").alias("Props-1"),
+        F.array("user_id", "event_id").alias("props 1"),
+        F.col("event_type").alias("Event Type"),
+    )
+    path = write_source(events, "src_events", "json")
+    return land_raw(spark, path, scratch_path(spark, "raw"), LOADED_AT).read().drop("_source_file", "_raw_row_number")
+
+
 def raw_row_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row numbers of part files that together are sorted by key: file after file they count the keys."""
     path = write_source(given(spark, sf_dir, "orders").orderBy("o_orderkey"), "orders", "csv")
@@ -108,6 +120,7 @@ QUERIES = {
     "flatten_json": flatten_json,
     "encode_nested": encode_nested,
     "raw_land": raw_land,
+    "raw_land_json": raw_land_json,
     "raw_row_number": raw_row_number,
     "normalize_identifier": normalize_identifier,
     "table_name_from_file": table_name_from_file,
@@ -136,6 +149,9 @@ ORACLES = {
             l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus,
             strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') as l_shipdate
         from lineitem""",
+    "raw_land_json": f"""
+        select '{LOADED_AT}' as _loaded_at, event_id, props as props_1, '[' || user_id || ', ' || event_id || ']' as props_1_2,
+            event_type from events""",
     "raw_row_number": "select o_orderkey, row_number() over (order by o_orderkey) as row_number from orders",
     "normalize_identifier": f"""
         with n as (

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from martloom.operators.inspection import table_counts
 from martloom.operators.keys import generate_keys, last_wins
 from martloom.operators.loading import (
     FILE,
@@ -183,14 +186,37 @@ MIGRATED: list[TableSpec] = [
 ]
 
 
+def raw_sources(spark: SparkSession, sf_dir: str) -> list[Source]:
+    return [
+        Source(f"{name}.csv", landed.read(), "_raw_row_number", file="_source_file")
+        for name, landed in raw_tables(spark, sf_dir).items()
+    ]
+
+
+def migrate_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only products are selected: the other targets are there, and empty."""
+    tables = store(spark)
+    migrate(spark, MIGRATED, raw_sources(spark, sf_dir), MAPPINGS, tables, tables=["product", "unknown"])
+    return table_counts({name: tables.read(name) for name in tables.tables()}).drop("layer")
+
+
+def migrate_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs into the project store: the second replaces what the first left by key."""
+    project, sources = store(spark, BUCKETS), raw_sources(spark, sf_dir)
+    specs = [SPECS["customer"]]
+    migrate(spark, specs, sources, MAPPINGS, store(spark), project)
+    again = [replace(m, transformation="upper(c_mktsegment)") if m.target_column == "segment" else m for m in MAPPINGS]
+    shouting = [m for m in again if m.target_column != "full_name"]
+    migrate(spark, specs, sources, shouting, store(spark), project)
+    return project.read("customer")
+
+
 def migrate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources as CSV, landed raw, mapped, loaded into both stores, validated.
 
     Customers refer to nations, which are not a target here, so every reference is a violation.
     """
-    sources = []
-    for name, landed in raw_tables(spark, sf_dir).items():
-        sources.append(Source(f"{name}.csv", landed.read(), "_raw_row_number", file="_source_file"))
+    sources = raw_sources(spark, sf_dir)
     mappings = [*MAPPINGS, Mapping("brand", "name", "part.csv", "p_brand")]
     done = migrate(
         spark, MIGRATED, sources, mappings, store(spark), store(spark, BUCKETS), report_path=scratch_path(spark, "report")
@@ -211,6 +237,8 @@ QUERIES = {
     "evolve_columns": evolve_columns,
     "raw_counts": raw_rows,
     "migrate_all": migrate_all,
+    "migrate_selected": migrate_selected,
+    "migrate_project": migrate_project,
 }
 
 FILES_SQL = f"""
@@ -271,6 +299,12 @@ ORACLES = {
     "raw_counts": " union all ".join(
         f"select 'raw_{t}' as \"table\", count(*) as rows from {t}" for t in ("customer", "orders", "part")
     ),
+    "migrate_selected": """
+        select 'product' as table_name, count(*) as row_count from part
+        union all select 'customer', 0 union all select 'order', 0 union all select 'brand', 0""",
+    "migrate_project": """
+        select c_custkey as customer_id, cast(null as varchar) as full_name, upper(c_mktsegment) as segment,
+            cast(null as double) as balance, cast(c_nationkey as bigint) as nation_id from customer""",
     "migrate_all": """
         select 'customer' as "table", count(*) as row_count, count(c_nationkey) as fk_violations,
             0::bigint as null_violations, 'warning' as status from customer
