@@ -15,6 +15,7 @@ from martloom.operators.checks import inclusion
 from martloom.operators.frames import union_all
 from martloom.spec import Relationship, TableSpec, table
 
+# Where a relationship comes from.
 DECLARED, INFERRED = "declared_fk", "inferred_name_match"
 
 # Declared type per logical type; every other type is TEXT.

@@ -11,7 +11,7 @@ from martloom.functions import col
 from martloom.functions.casts import fit
 from martloom.operators.checks import has_keys
 from martloom.operators.joins import deal, hot_keys, join_parent
-from martloom.session import stage
+from martloom.session import drop_scratch, scratch_path, stage
 from martloom.spec import TableSpec
 
 FILE, ROW = "__source", "__row"
@@ -23,6 +23,7 @@ MANY_FILES = 1000
 # Sets of files that share a key are worked through on the driver up to this many file names.
 SHARED_NAMES = 1_000_000
 
+# Statuses and reasons of a load.
 LOADED, SKIPPED, ERROR = "loaded", "skipped", "error"
 NO_MAPPING = "No selected mappings for this file and table"
 ALL_EMPTY = "All transformed rows were empty"
@@ -107,15 +108,20 @@ def _key_conflicts(fitted: DataFrame, key: Sequence[str], files: set[str], defec
     names = list(key)
     held = fitted.where(has_keys(key)).groupBy(*map(col, names), FILE).agg(F.count("*").alias("n"))
     per_key = F.count("*").over(W.partitionBy(*map(col, names)))
-    contested = stage(held.withColumn("files", per_key).where((F.col("n") > 1) | (F.col("files") > 1)), "keys")
+    repeated = held.withColumn("files", per_key).where((F.col("n") > 1) | (F.col("files") > 1))
+    scratch = scratch_path(fitted.sparkSession, "keys")
+    contested = stage(repeated, "keys", scratch)
     inside = {r[FILE] for r in contested.where(F.col("n") > 1).select(FILE).distinct().collect()}
     rejected = inside | defective
     shared = contested.where(F.col("files") > 1)
     live = shared.where(~F.col(FILE).isin(*rejected)) if rejected else shared
     sets = live.groupBy(*map(col, names)).agg(F.array_sort(F.collect_list(FILE)).alias("files")).select("files").distinct()
     if (sets.agg(F.sum(F.size("files"))).first()[0] or 0) <= SHARED_NAMES:
-        return inside - defective | _first_come([r["files"] for r in sets.collect()])
-    return _decide_in_rounds(live, names, files - rejected) | inside - defective
+        late = _first_come([r["files"] for r in sets.collect()])
+    else:
+        late = _decide_in_rounds(live, names, files - rejected)
+    drop_scratch(fitted.sparkSession, scratch)
+    return late | (inside - defective)
 
 
 def _first_come(sets: list[list[str]]) -> set[str]:

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from martloom.functions import col
 from martloom.session import stage
 
-# The offsets table has one row per task or file block; it is broadcast up to this many rows.
-BROADCAST_ROWS = 2_000_000
+# The offsets table has one row per task or file block, some 150 bytes each; it is broadcast up
+# to this many rows and joined without a hint beyond.
+BROADCAST_ROWS = 1_000_000
 
 TASK, STEP = "__task", "__step"
 

@@ -26,7 +26,7 @@ from martloom.operators.loading import (
 )
 from martloom.operators.mapping import Mapping, drop_empty, map_columns, select_mappings
 from martloom.operators.validation import validate_tables
-from martloom.session import run_together, stage
+from martloom.session import drop_scratch, run_together, scratch_path, stage
 from martloom.sources.raw import load_time
 from martloom.sources.store import TableStore
 from martloom.spec import TableSpec
@@ -165,13 +165,15 @@ def load_upsert(store: TableStore, spec: TableSpec, batch: DataFrame) -> list[Fi
         if store.exists(spec.name):
             top = store.read(spec.name).agg(F.max(col(spec.generated_key))).first()[0]
         rows = _numbered(rows, spec, top)
-    rows = stage(rows, "batch")
+    scratch = scratch_path(store.spark, "batch")
+    rows = stage(rows, "batch", scratch)
     written = _rows_per_file(rows)
     replaced = {}
     if spec.primary_key and store.exists(spec.name):
         stored = store.read(spec.name).select(*map(col, spec.primary_key))
         replaced = _rows_per_file(rows.join(stored, spec.primary_key, "left_semi"))
     store.upsert(spec, rows)
+    drop_scratch(store.spark, scratch)
     return [
         replace(s, rows=written.get(s.source_file, 0), replaced=replaced.get(s.source_file, 0)) for s in statuses
     ]

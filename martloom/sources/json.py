@@ -12,6 +12,7 @@ from martloom.session import hadoop_path
 from martloom.sources.files import BLOCK, FILE, part_files, provenance_columns
 
 LINES, ARRAY, OBJECT = "lines", "array", "object"
+# Fixed value: the message for a document without rows.
 NOT_TABULAR = "JSON source must contain an object or array of objects"
 
 # A whole document is held as one text to learn the order of its keys, up to this size.

@@ -24,6 +24,9 @@ RAW_COLUMNS = (SOURCE_FILE, LOADED_AT, ROW_NUMBER)
 
 @dataclass(frozen=True)
 class RawTable:
+    """A landed source: its file name, table name, folder and rows."""
+
+    source: str
     table: str
     path: str
     frame: DataFrame
@@ -31,6 +34,10 @@ class RawTable:
     def read(self) -> DataFrame:
         return self.frame
 
+    def data(self) -> DataFrame:
+        """The rows without provenance."""
+        return self.frame.drop(*RAW_COLUMNS)
+
 
 def load_time() -> str:
     """One UTC timestamp for a whole load."""
@@ -82,7 +89,7 @@ def land_raw(
     frame = raw_frame(spark, path, loaded_at, scratch, multi_line)
     frame.write.mode("overwrite").parquet(target)
     drop_scratch(spark, scratch)
-    return RawTable(table, target, spark.read.schema(frame.schema).parquet(target))
+    return RawTable(path.rstrip("/").rsplit("/", 1)[-1], table, target, spark.read.schema(frame.schema).parquet(target))
 
 
 def land_all(spark: SparkSession, paths: Sequence[str], root: str, loaded_at: str | None = None) -> list[RawTable]:
