@@ -1,7 +1,7 @@
 """SentencePiece encoding of merge-type models by a table of last tokens, and decoding.
 
-Text is normalised by the model's own rules and cut before every run of word marks and at characters that
-no piece has; nothing is merged across such cuts. For each prefix of a part, the table holds the one last token
+Text is normalised by the model's own rules and cut where no piece reaches across (before word marks, at
+characters that no piece has). For each prefix of a part, the table holds the one last token
 that its encoding ends with: an automaton gives the pieces that end there, and that one is taken which may
 follow the last token of the prefix before it, i.e. whose pair the merge rules leave as it is. The ids
 are recovered backwards from the table. A null or empty text has only the begin and end ids and decodes
@@ -23,7 +23,7 @@ from martloom.llm.rows import map_batches, pick
 
 MARK = "▁"
 # Parts whose ids a worker remembers, and the longest of them.
-HELD_PARTS = 250_000
+HELD_PARTS = 300_000
 HELD_CHARS = 48
 HELD_PAIRS = 2_000_000
 
@@ -44,14 +44,12 @@ class Encoder:
         self.piece = {i: lib.id_to_piece(i) for i in plain}
         self.number = {p: i for i, p in self.piece.items()}
         self.value = {p: lib.get_score(i) for i, p in self.piece.items()}
+        self.size = {i: len(p) for i, p in self.piece.items()}
         self.pairs: dict[int, bool] = {}
         self.held: dict[str, bytes] = {}
-        letters = {c for p in self.number for c in p}
-        self.letters = letters
-        # cuts are safe if the mark stands only at the beginning of pieces, or in pieces of marks
-        self.marks_lead = not any(MARK in p.lstrip(MARK) for p in self.number)
-        lone = "\n" if "\n" not in letters else ""
-        self.parts = re.compile(f"{MARK}+[^{MARK}{lone}]*|[^{MARK}{lone}]+" + (f"|{lone}" if lone else "")) if self.marks_lead else re.compile("(?s).+")
+        self.older: dict[str, bytes] = {}
+        self.letters = {c for p in self.number for c in p}
+        self.parts = cuts(self.number)
         self.automaton = ahocorasick.Automaton()
         for p, i in self.number.items():
             if self.merged(p) == [p]:
@@ -82,26 +80,33 @@ class Encoder:
 
     def table(self, part: str) -> list[int]:
         """The last token of every prefix that is not empty."""
-        ending: list[list[tuple[int, int]]] = [[] for _ in part]
-        for at, found in self.automaton.iter(part):
-            ending[at].append(found)
         last: list[int] = []
-        for at, found in enumerate(ending):
-            for size, token in found:
-                if size == at + 1 or self.compatible(last[at - size], token):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError(f"no piece ends at {at} of {part!r}")
+        pairs, compatible = self.pairs, self.compatible
+        # places come in order, and at each the longest piece first
+        for at, (size, token) in self.automaton.iter(part):
+            if at != len(last):
+                continue
+            if size <= at:
+                before = last[at - size]
+                known = pairs.get(before << 32 | token)
+                if known is None:
+                    known = compatible(before, token)
+                if not known:
+                    continue
+            last.append(token)
+        if len(last) != len(part):
+            raise ValueError(f"no piece ends at {len(last)} of {part!r}")
         return last
 
     def known_part(self, part: str) -> list[int]:
         """Ids of a part whose characters are all in the vocabulary, recovered backwards."""
-        last, out, at = self.table(part), [], len(part)
+        last, out, at, size = self.table(part), [], len(part), self.size
         while at:
-            out.append(last[at - 1])
-            at -= len(self.piece[out[-1]])
-        return out[::-1]
+            token = last[at - 1]
+            out.append(token)
+            at -= size[token]
+        out.reverse()
+        return out
 
     def part(self, part: str) -> bytes:
         """Ids of one part as little-endian unsigned 32-bit integers."""
@@ -117,13 +122,13 @@ class Encoder:
 
     def encode(self, text: str | None) -> bytes:
         """All ids, with begin and end, as little-endian unsigned 32-bit integers."""
-        held, out = self.held, []
-        if len(held) > HELD_PARTS:
-            held.clear()
+        if len(self.held) > HELD_PARTS:
+            self.held, self.older = {}, self.held
+        held, older, out = self.held, self.older, []
         for part in self.parts.findall(self.library.normalize(text)) if text else ():
             ids = held.get(part)
             if ids is None:
-                ids = self.part(part)
+                ids = older.get(part) or self.part(part)
                 if len(part) <= HELD_CHARS:
                     held[part] = ids
             out.append(ids)
@@ -134,6 +139,24 @@ class Encoder:
         return self.library.decode(np.frombuffer(ids, "<u4").tolist())
 
 
+def cuts(pieces) -> re.Pattern:
+    """Parts of a normalised text that no piece reaches across.
+
+    Openers are characters (the word mark, punctuation) that stand in a piece only at its beginning or
+    behind another opener, so nothing is merged from an ordinary character to an opener. A line end
+    that is in no piece is a part by itself.
+    """
+    letters = {c for p in pieces for c in p}
+    openers = {c for c in letters if c == MARK or (c.isascii() and not c.isalnum())}
+    while wrong := {b for p in pieces for a, b in zip(p, p[1:], strict=False) if b in openers and a not in openers}:
+        openers -= wrong
+    first = "".join(map(re.escape, sorted(openers)))
+    lone = "" if "\n" in letters else "\n"
+    if not first:
+        return re.compile(f"[^{lone}]+|{lone}" if lone else "(?s:.+)")
+    return re.compile(f"[{first}]+[^{first}{lone}]*|[^{first}{lone}]+" + (f"|{lone}" if lone else ""))
+
+
 _LOADED: dict[str, Encoder] = {}
 
 
