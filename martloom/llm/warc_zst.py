@@ -112,8 +112,15 @@ def _key(address: str) -> str:
 
 
 def train_dictionary(payloads: DataFrame, rows: int = DICTIONARY_ROWS) -> bytes:
-    """A dictionary from the payloads with the smallest hashes, within the bounds above; empty if there are too few to make one."""
-    some = payloads.where(F.length("payload").between(1, DICTIONARY_PAYLOAD)).orderBy(F.xxhash64("payload")).limit(rows).collect()
+    """A dictionary from the payloads with the smallest hashes, within the bounds above; empty if there are too few to make one.
+
+    Hashes alone are ranked, so no task sends payloads to the driver but those of the sample.
+    """
+    hashed = payloads.where(F.length("payload").between(1, DICTIONARY_PAYLOAD)).select(F.xxhash64("payload").alias("hash"), "payload")
+    least = hashed.select("hash").distinct().orderBy("hash").limit(rows).agg(F.max("hash").alias("top")).first()["top"]
+    if least is None:
+        return b""
+    some = hashed.where(F.col("hash") <= least).groupBy("hash").agg(F.min("payload").alias("payload")).orderBy("hash").collect()
     samples = [bytes(r["payload"]) for r in some]
     if len(samples) < 8:
         return b""
