@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from martloom.functions import col
 from martloom.operators.frames import union_all
@@ -153,7 +153,9 @@ def run_tests(tests: Sequence[ModelTest], frames: dict[str, DataFrame], prefix:
         return _result(t.failures(frames), t.kind, prefix + t.table, F.lit(", ".join(t.columns)), parent)
 
     # plans are put together at the same time; they run as one
-    return union_all(parts + run_together([partial(part, t) for t in tests if t.kind != NOT_NULL]))
+    every = parts + run_together([partial(part, t) for t in tests if t.kind != NOT_NULL])
+    schema = "test string, model string, column string, parent string, failures bigint, status string"
+    return union_all(every, SparkSession.active(), schema)
 
 
 def _result(failures: DataFrame, kind: str, model: str, column: Column, parent: str | None) -> DataFrame:

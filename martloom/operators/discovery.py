@@ -132,7 +132,11 @@ def propose_fks(catalog: DataFrame, frames: dict[str, DataFrame]) -> DataFrame:
                 "inclusion",
             )
         )
-    return union_all(parts)
+    schema = (
+        "child_table string, child_column string, parent_table string, parent_column string, "
+        "child_rows bigint, matched_rows bigint, inclusion double"
+    )
+    return union_all(parts, catalog.sparkSession, schema)
 
 
 def infer_relationships(specs: Sequence[TableSpec]) -> list[Relationship]:
@@ -171,6 +175,7 @@ def infer_relationships(specs: Sequence[TableSpec]) -> list[Relationship]:
 
 def relationship_frame(relationships: Sequence[Relationship], frames: dict[str, DataFrame]) -> DataFrame:
     """The edges of the model, each with its measured inclusion."""
+    schema = "child_table string, child_column string, parent_table string, parent_column string, source string, inclusion double"
     return union_all(
         [
             inclusion(frames[r.child_table], r.child_columns, frames[r.parent_table], r.parent_columns).select(
@@ -182,7 +187,9 @@ def relationship_frame(relationships: Sequence[Relationship], frames: dict[str,
                 "inclusion",
             )
             for r in relationships
-        ]
+        ],
+        SparkSession.active(),
+        schema,
     )
 
 

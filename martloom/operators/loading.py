@@ -17,9 +17,6 @@ from martloom.spec import TableSpec
 FILE, ROW = "__source", "__row"
 TYPE_FINDING, NULL_FINDING = "__type", "__null"
 
-# Up to this many rejected files are filtered by name, more by a join with the list of names.
-MANY_FILES = 1000
-
 # Sets of files that share a key are worked through on the driver up to this many file names.
 SHARED_NAMES = 1_000_000
 
@@ -114,7 +111,7 @@ def _key_conflicts(fitted: DataFrame, key: Sequence[str], files: set[str], defec
     inside = {r[FILE] for r in contested.where(F.col("n") > 1).select(FILE).distinct().collect()}
     rejected = inside | defective
     shared = contested.where(F.col("files") > 1)
-    live = shared.where(~F.col(FILE).isin(*rejected)) if rejected else shared
+    live = _without(shared, rejected)
     sets = live.groupBy(*map(col, names)).agg(F.array_sort(F.collect_list(FILE)).alias("files")).select("files").distinct()
     if (sets.agg(F.sum(F.size("files"))).first()[0] or 0) <= SHARED_NAMES:
         late = _first_come([r["files"] for r in sets.collect()])
@@ -149,7 +146,7 @@ def _decide_in_rounds(shared: DataFrame, key: Sequence[str], undecided: set[str]
     accepted: set[str] = set()
     rejected: set[str] = set()
     while undecided:
-        live = shared.where(~F.col(FILE).isin(*rejected)) if rejected else shared
+        live = _without(shared, rejected)
         first = F.min(FILE).over(W.partitionBy(*map(col, key)))
         taken = (F.col("first") != F.col(FILE)) & F.col("first").isin(*accepted) if accepted else F.lit(False)
         facts = (
@@ -168,14 +165,17 @@ def _decide_in_rounds(shared: DataFrame, key: Sequence[str], undecided: set[str]
 
 def accepted_rows(fitted: DataFrame, statuses: Sequence[FileStatus], spec: TableSpec) -> DataFrame:
     """Rows of the accepted files, with FILE and ROW still on them."""
-    bad = [s.source_file for s in statuses if s.status != LOADED]
+    bad = {s.source_file for s in statuses if s.status != LOADED}
     kept = [c for c in fitted.columns if c in (FILE, ROW)]
-    if len(bad) > MANY_FILES:
-        names = fitted.sparkSession.createDataFrame([(name,) for name in bad], f"{FILE} string")
-        rows = fitted.join(F.broadcast(names), FILE, "left_anti")  # one name per rejected file
-    else:
-        rows = fitted.where(~F.col(FILE).isin(*bad)) if bad else fitted
-    return rows.select(*kept, *map(col, spec.column_names))
+    return _without(fitted, bad).select(*kept, *map(col, spec.column_names))
+
+
+def _without(rows: DataFrame, files: set[str]) -> DataFrame:
+    """Rows of other files; Spark decides by the size of the list how to join it."""
+    if not files:
+        return rows
+    names = rows.sparkSession.createDataFrame([(name,) for name in sorted(files)], f"{FILE} string")
+    return rows.join(names, FILE, "left_anti")
 
 
 def quarantine(fitted: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame]:

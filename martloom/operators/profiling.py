@@ -32,7 +32,7 @@ def typed_key(value: Column, data_type: T.DataType) -> tuple[Column, Column, Col
     if isinstance(data_type, (T.IntegralType, T.BooleanType)):
         return value.cast("bigint"), real, text
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
-        return whole, value.cast("double"), text
+        return whole, F.nanvl(value.cast("double"), F.lit(None).cast("double")), text  # NaN is a missing value
     if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType, T.DecimalType)):
         return whole, real, value.cast("string")
     if isinstance(data_type, (T.ArrayType, T.StructType)) and "map<" not in data_type.simpleString():
@@ -67,6 +67,8 @@ def column_counts(df: DataFrame, exact: bool = True) -> DataFrame:
     stats = []
     for i, f in enumerate(df.schema.fields):
         value = col(f.name)
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            value = F.nanvl(value, F.lit(None).cast(f.dataType))
         counted = value_key(value, f.dataType) if isinstance(f.dataType, T.MapType) else value
         stats.append(
             F.struct(

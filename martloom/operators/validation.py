@@ -12,6 +12,8 @@ from martloom.operators.checks import has_keys, relationship_failures, unique_fa
 from martloom.operators.frames import one_row, union_all
 from martloom.spec import ForeignKey, TableSpec
 
+PART = "table string, row_count bigint, fk_violations bigint, null_violations bigint, unreadable bigint"
+
 
 def validate_tables(specs: Sequence[TableSpec], frames: dict[str, DataFrame], spark: SparkSession) -> DataFrame:
     """Row count, foreign key and NOT NULL violations and a status per table.
@@ -36,7 +38,7 @@ def validate_tables(specs: Sequence[TableSpec], frames: dict[str, DataFrame], sp
             if parent is not None and not loaded_key:
                 repeated = unique_failures(parent, fk.ref_columns)
                 parts.append(_part(repeated, spec.name, unreadable=F.col("failures")))
-    total = union_all(parts).groupBy("table").agg(
+    total = union_all(parts, spark, PART).groupBy("table").agg(
         F.sum("row_count").alias("row_count"),
         F.sum("fk_violations").alias("fk_violations"),
         F.sum("null_violations").alias("null_violations"),
@@ -69,7 +71,7 @@ def fk_report(specs: Sequence[TableSpec], frames: dict[str, DataFrame]) -> DataF
         for spec in specs
         for fk in spec.foreign_keys
     ]
-    return union_all(parts)
+    return union_all(parts, SparkSession.active(), "table string, column string, parent string, fk_violations bigint")
 
 
 def contract_check(specs: Sequence[TableSpec], frames: dict[str, DataFrame], spark: SparkSession) -> DataFrame:
@@ -121,7 +123,7 @@ def contract_check(specs: Sequence[TableSpec], frames: dict[str, DataFrame], spa
         if fixed:
             rows = [F.struct(F.lit(c).alias("column"), F.lit(f).alias("finding"), F.lit(1).alias("count")) for c, f in fixed]
             parts.append(_finding(one_row(spark).select(F.inline(F.array(*rows))), spec.name))
-    return union_all(parts)
+    return union_all(parts, spark, "table string, column string, finding string, count bigint")
 
 
 def _loses(value: Column, f, type_class: str) -> Column:

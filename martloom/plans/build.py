@@ -24,7 +24,7 @@ from martloom.plans.models import (
 from martloom.session import run_together
 from martloom.spec import Relationship, TableSpec
 
-OK, FAILED = "ok", "error"
+OK, FAILED, SKIPPED = "ok", "error", "skipped"
 
 
 @dataclass(frozen=True)
@@ -44,36 +44,54 @@ def build_all(
     root: str,
     mode: str = LENIENT,
 ) -> list[Step]:
-    """Staging views, mart tables, enriched tables, tests; stops at the first failing step.
+    """Staging views, tests on them, then the mart and enriched tables whose tests pass.
 
-    Models of one layer do not depend on each other and are built at the same time.
+    A model whose own tests, or those of a model it points at, fail is skipped, and what was
+    published of it before stays. Otherwise the build stops at the first failing layer. Models
+    of one layer do not depend on each other and are built at the same time.
     """
     by_name = {spec.name: spec for spec in specs}
     staging: dict[str, DataFrame] = {}
-    steps: list[Step] = []
 
     def stage_view(spec: TableSpec) -> None:
         staging[spec.name] = register_staging(build_staging(frames[spec.name], spec, mode), spec.name)
 
-    def mart(spec: TableSpec) -> int:
-        return write_mart(spark, build_mart(staging[spec.name]), mart_name(spec.name), root).count()
+    def mart(name: str) -> int:
+        return write_mart(spark, build_mart(staging[name]), mart_name(name), root).count()
 
     def enriched(child: str) -> int:
         model = build_enriched(by_name[child], relationships, by_name, staging)
         return write_mart(spark, model, enriched_name(child), root).count()
 
-    children = dict.fromkeys(r.child_table for r in relationships)
-    layers = [
-        [("staging", staging_name(spec.name), partial(stage_view, spec)) for spec in specs],
-        [("mart", mart_name(spec.name), partial(mart, spec)) for spec in specs],
-        [("enriched", enriched_name(child), partial(enriched, child)) for child in children],
-    ]
-    for layer in layers:
-        for done in run_together([partial(_step, *task) for task in layer]):
-            steps.append(done)
-            if done.status != OK:
-                return steps
-    return steps + run_test_steps(specs, relationships, staging)
+    steps = run_together([partial(_step, "staging", staging_name(spec.name), partial(stage_view, spec)) for spec in specs])
+    if not succeeded(steps):
+        return steps
+    tests, failing = run_test_steps(specs, relationships, staging)
+    steps += tests
+    blocked = blocked_models(failing, relationships)
+    children = list(dict.fromkeys(r.child_table for r in relationships))
+    layers = [("mart", mart_name, mart, [spec.name for spec in specs]), ("enriched", enriched_name, enriched, children)]
+    for layer, named, build, tables in layers:
+        built = run_together([partial(_step, layer, named(t), partial(build, t)) for t in tables if t not in blocked])
+        done = {s.model: s for s in built}
+        steps += [done.get(named(t)) or Step(layer, named(t), None, SKIPPED, f"tests failed: {blocked[t]}") for t in tables]
+        if not succeeded(built):
+            return steps
+    return steps
+
+
+def blocked_models(failing: Sequence[str], relationships: Sequence[Relationship]) -> dict[str, str]:
+    """Tables that must not be published, with the failing tables they are or point at."""
+    causes = {name: {name} for name in failing}
+    grown = True
+    while grown:
+        grown = False
+        for r in relationships:
+            more = causes.get(r.parent_table, set()) - causes.get(r.child_table, set())
+            if more:
+                causes.setdefault(r.child_table, set()).update(more)
+                grown = True
+    return {name: ", ".join(sorted(found)) for name, found in causes.items()}
 
 
 def _step(step: str, model: str, action: Callable[[], int | None]) -> Step:
@@ -85,13 +103,13 @@ def _step(step: str, model: str, action: Callable[[], int | None]) -> Step:
 
 def run_test_steps(
     specs: Sequence[TableSpec], relationships: Sequence[Relationship], staging: dict[str, DataFrame]
-) -> list[Step]:
-    """One step per derived test; the rows are its failures."""
+) -> tuple[list[Step], list[str]]:
+    """One step per derived test, whose rows are its failures, and the tables with a failing test."""
     tests = derive_tests(specs, relationships)
     if not tests:
-        return []
+        return [], []
     rows = run_tests(tests, staging).orderBy("model", "test", "column").collect()
-    return [
+    steps = [
         Step(
             "test",
             f"{r['test']} {r['model']}.{r['column']}",
@@ -101,6 +119,8 @@ def run_test_steps(
         )
         for r in rows
     ]
+    bad = {r["model"] for r in rows if r["status"] != "pass"}
+    return steps, [spec.name for spec in specs if f"stg_{spec.name}" in bad]
 
 
 def step_frame(steps: Sequence[Step], spark: SparkSession) -> DataFrame:

@@ -71,16 +71,23 @@ def migrate(
     """
     wanted = set(tables)
     selected = [spec for spec in specs if not wanted or spec.name in wanted]
+    if wanted and not selected:
+        raise ValueError(f"Unknown tables: {', '.join(sorted(wanted))}")
 
     def load(spec: TableSpec) -> tuple[list[FileStatus], list[FileStatus]]:
         batch, skipped = table_batch(spec, sources, mappings) if spec in selected else (None, [])
         if batch is None:
             session_store.write(spec, spark.createDataFrame([], spec.spark_schema))
             return skipped, []
+        # mapped and fitted once; both stores and all counts read the result
+        scratch = scratch_path(spark, "batch")
+        batch = stage(batch, "batch", scratch)
         found = load_recreate(session_store, spec, batch)
         kept = load_upsert(project_store, spec, batch) if project_store is not None else []
-        return skipped + found + _empty_sources(spec, sources, mappings, found), kept
+        drop_scratch(spark, scratch)
+        return skipped + found + _empty_files(spec, files, mappings, found), kept
 
+    files = dict(zip([s.name for s in sources], run_together([partial(_files, s) for s in sources]), strict=True))
     results = run_together([partial(load, spec) for spec in specs])
     statuses = [status for found, _ in results for status in found]
     project_statuses = [status for _, kept in results for status in kept]
@@ -191,13 +198,22 @@ def _numbered(rows: DataFrame, spec: TableSpec, top: int | None) -> DataFrame:
     return generate_keys(rows, key, order=[FILE, ROW], start=top)
 
 
-def _empty_sources(
-    spec: TableSpec, sources: Sequence[Source], mappings: Sequence[Mapping], found: Sequence[FileStatus]
+def _files(source: Source) -> dict[str, int]:
+    """Rows of every file of a source, before any is left out; a row per file."""
+    if source.file is None:
+        return {source.name: 0 if source.frame.isEmpty() else 1}
+    return {r["file"]: r["count"] for r in source.frame.groupBy(col(source.file).alias("file")).count().collect()}
+
+
+def _empty_files(
+    spec: TableSpec, files: dict[str, dict[str, int]], mappings: Sequence[Mapping], found: Sequence[FileStatus]
 ) -> list[FileStatus]:
     """Mapped files without rows, or none of whose rows had a value."""
     seen = {s.source_file for s in found}
     return [
-        FileStatus(spec.name, s.name, 0, SKIPPED, NO_MAPPING if s.frame.isEmpty() else ALL_EMPTY)
-        for s in sources
-        if s.file is None and s.name not in seen and select_mappings(mappings, spec.name, s.name)
+        FileStatus(spec.name, file, 0, SKIPPED, ALL_EMPTY if rows else NO_MAPPING)
+        for source, counts in files.items()
+        if select_mappings(mappings, spec.name, source)
+        for file, rows in counts.items()
+        if file not in seen
     ]

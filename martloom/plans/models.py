@@ -10,6 +10,7 @@ from martloom.functions import col
 from martloom.functions.casts import LENIENT, staged
 from martloom.functions.names import identifier
 from martloom.operators.joins import DEAL, deal, hot_keys_for, join_parent
+from martloom.sources.store import TableStore
 from martloom.spec import Relationship, TableSpec
 
 
@@ -44,10 +45,12 @@ def build_mart(staging: DataFrame) -> DataFrame:
 
 
 def write_mart(spark: SparkSession, df: DataFrame, name: str, root: str) -> DataFrame:
-    """Marts are tables."""
-    path = f"{root.rstrip('/')}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Marts are tables; a new version takes the place of the last one once it is written whole."""
+    return TableStore(spark, root).publish(name, df)
+
+
+def read_mart(spark: SparkSession, name: str, root: str) -> DataFrame:
+    return TableStore(spark, root).read(name)
 
 
 def build_enriched(

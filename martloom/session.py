@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -22,8 +21,8 @@ RUNTIME_SETTINGS = {
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
-# Folders of local sessions (tests) that name none, by application.
-_LOCAL_ROOTS: dict[str, str] = {}
+# Folders handed to sessions that name none, by application.
+_HANDED: dict[str, str] = {}
 
 # Independent jobs submitted at the same time, so small tables do not leave executors idle.
 CONCURRENT_JOBS = 4
@@ -38,21 +37,21 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
+def use_scratch(spark: SparkSession, folder: str) -> None:
+    """Hand a folder for intermediate tables to a session that names none."""
+    _HANDED[spark.sparkContext.applicationId] = folder.rstrip("/")
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only a local session may fall back on a
-    folder of this machine, because executors elsewhere could not read it.
-    """
-    root = spark.conf.get(CHECKPOINT_DIR, None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+
+def has_scratch(spark: SparkSession) -> bool:
+    return bool(spark.conf.get(CHECKPOINT_DIR, None)) or spark.sparkContext.applicationId in _HANDED
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, else the one that was handed in."""
+    root = spark.conf.get(CHECKPOINT_DIR, None) or _HANDED.get(spark.sparkContext.applicationId)
+    if not root:
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
-    application = spark.sparkContext.applicationId
-    if application not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[application] = tempfile.mkdtemp(prefix="martloom-")
-    return _LOCAL_ROOTS[application]
+    return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -76,6 +75,10 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     """Delete one scratch table that no reader needs any more."""
     if not path.startswith(scratch_root(spark) + "/martloom/"):
         raise ValueError(f"not a scratch path: {path}")
+    drop_folder(spark, path)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
     fs, jpath = hadoop_path(spark, path)
     fs.delete(jpath, True)
 
@@ -86,6 +89,11 @@ def hadoop_path(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, jpath = hadoop_path(spark, path)
+    return fs.exists(jpath)
+
+
 def list_folder(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
     """Sorted (name, is_folder) entries of a folder; empty when it does not exist."""
     fs, jpath = hadoop_path(spark, path)

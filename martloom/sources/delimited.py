@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from martloom.functions import col
 from martloom.functions.missing import na_to_null
 from martloom.operators.typing import apply_types, infer_types
-from martloom.sources.files import BLOCK, FILE, part_files, provenance_columns
+from martloom.sources.files import BLOCK, FILE, distinct_by_case, part_files, provenance_columns
 
 BAD_ROW = "__bad_row"
 
@@ -21,31 +21,25 @@ def scan_csv(
     schema: T.StructType | str | None = None,
     provenance: bool = False,
 ) -> DataFrame:
-    """Read a CSV source whose part files share one header.
+    """Read a CSV source; its part files may have the same columns in different orders.
 
     Values are read as text, missing-value tokens become NULL, and types are inferred from all
     rows read.  With ``schema`` the inference pass is left out and columns are cast by name.
-    Short rows are padded with NULL; a row with more cells than the header is an error.
+    Short rows are padded with NULL; a row with more cells than the header is an error, and so
+    is a part file with other columns.
     ``multi_line`` is looked up in the data when not given: only a line break inside quotes
-    needs it, and it makes every file a single split.
+    needs it, and it makes every file a single split. A scan bounded by ``rows`` looks for it
+    in as many lines only.
     """
     reader = spark.read.option("escape", '"').option("enforceSchema", True)
     if multi_line is None:
-        multi_line = has_quoted_breaks(spark, path)
+        multi_line = has_quoted_breaks(spark, path, rows)
     reader = reader.option("multiLine", multi_line)
-    first = part_files(spark, path)[:1] or [path]
-    header = reader.option("header", False).csv(first).head(1)
-    if not header:
-        raise ValueError(f"No columns to parse from file: {path}")
-    names = header_names(list(header[0]))
-    positions = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(names))])
-    with_bad = positions.add(T.StructField(BAD_ROW, T.StringType()))
-    reader = reader.option("header", True).option("columnNameOfCorruptRecord", BAD_ROW)
-    raw = reader.schema(with_bad).csv(path)
-    cells = [F.col(f"_{i}") for i in range(len(names))]
-    cells[0] = F.when(_too_many_cells(len(names)), F.raise_error(_message(path, len(names)))).otherwise(cells[0])
-    values = [na_to_null(cell).alias(name) for cell, name in zip(cells, names)]
-    df = raw.select(*values, *(provenance_columns() if provenance else []))
+    parts = [_part(spark, reader, files, cells, provenance, path) for cells, files in _headers(reader, spark, path)]
+    names = parts[0].columns[: len(parts[0].columns) - 2 * provenance]
+    df = parts[0]
+    for part in parts[1:]:
+        df = df.unionByName(part)
     if rows:
         df = df.limit(rows)
     if schema is not None:
@@ -55,6 +49,44 @@ def scan_csv(
     return apply_types(df, infer_types(df.select(*map(col, names)), dates=False)) if infer else df
 
 
+def _headers(reader, spark: SparkSession, path: str) -> list[tuple[list[str | None], list[str]]]:
+    """The different headers of the part files, each with the paths to read; most often one, with the whole source."""
+    files = part_files(spark, path) or [path]
+    if len(files) == 1:
+        header = reader.option("header", False).csv(files).head(1)
+        if not header:
+            raise ValueError(f"No columns to parse from file: {path}")
+        return [(list(header[0]), [path])]
+    row = F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("row"), "value")
+    file = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    lines = spark.read.text(path).where("value <> ''").select(file.alias("file"), row.alias("first"))
+    first = lines.groupBy("file").agg(F.min("first").alias("first")).select("file", F.col("first.value").alias("line"))
+    each = first.groupBy("line").agg(F.min("file").alias("file"), F.count("*").alias("files")).orderBy("file").collect()
+    if not each:
+        raise ValueError(f"No columns to parse from file: {path}")
+    cells = [list(reader.option("header", False).csv(r["file"]).first()) for r in each]
+    for other, r in zip(cells[1:], each[1:], strict=True):
+        if sorted(header_names(other)) != sorted(header_names(cells[0])):
+            raise ValueError(f"Part files with different columns: {each[0]['file']} and {r['file']}")
+    if len({tuple(c) for c in cells}) == 1:
+        return [(cells[0], [path])]
+    told = first.groupBy("line").agg(F.collect_list("file").alias("files")).collect()
+    by_line = {r["line"]: sorted(r["files"]) for r in told}
+    return [(c, by_line[r["line"]]) for c, r in zip(cells, each, strict=True)]
+
+
+def _part(spark: SparkSession, reader, files: list[str], header: list[str | None], provenance: bool, path: str) -> DataFrame:
+    """The rows of files that share one header, as text."""
+    names = header_names(header)
+    positions = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(names))])
+    with_bad = positions.add(T.StructField(BAD_ROW, T.StringType()))
+    raw = reader.option("header", True).option("columnNameOfCorruptRecord", BAD_ROW).schema(with_bad).csv(files)
+    cells = [F.col(f"_{i}") for i in range(len(names))]
+    cells[0] = F.when(_too_many_cells(len(names)), F.raise_error(_message(path, len(names)))).otherwise(cells[0])
+    values = [na_to_null(cell).alias(name) for cell, name in zip(cells, names)]
+    return raw.select(*values, *(provenance_columns(spark, path) if provenance else []))
+
+
 def _too_many_cells(count: int) -> Column:
     """Spark marks rows of another length; short ones are padded, but a longer one would lose cells."""
     schema = ", ".join(f"c{i} string" for i in range(count + 1))
@@ -66,11 +98,16 @@ def _message(path: str, count: int) -> Column:
     return F.concat(F.lit(f"Error tokenizing data: expected {count} fields in {path}, saw more: "), F.col(BAD_ROW))
 
 
-def has_quoted_breaks(spark: SparkSession, path: str) -> bool:
-    """True when some line holds an odd number of quotes, so a quoted value goes on after it."""
+def has_quoted_breaks(spark: SparkSession, path: str, rows: int | None = None) -> bool:
+    """True when a quoted value goes on after its line; with ``rows``, within as many lines and the header.
+
+    Such a line opens a value with a quote and holds an odd number of quotes; a stray quote inside a value is none.
+    """
     line = F.col("value")
     quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    text = spark.read.text(path)
+    text = text.limit(rows + 1) if rows else text
+    return not text.where((quotes % 2 == 1) & line.rlike('(^|,)\\s*"')).isEmpty()
 
 
 def header_names(cells: list[str | None]) -> list[str]:
@@ -83,4 +120,4 @@ def header_names(cells: list[str | None]) -> list[str]:
             repeat += 1
             name = f"{base}.{repeat}"
         names.append(name)
-    return names
+    return distinct_by_case(names)

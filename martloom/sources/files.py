@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from martloom.operators.typing import infer_types
-from martloom.session import list_folder
+from martloom.session import hadoop_path, list_folder
 
 SUFFIXES = (".csv", ".json")
 
@@ -69,8 +69,30 @@ def source_types(texts: DataFrame, path: str) -> dict[str, str]:
     return number_types(texts) if is_lines(texts.sparkSession, path) else {}
 
 
-def provenance_columns() -> list:
+def provenance_columns(spark: SparkSession, path: str) -> list:
+    """File, by its path below the source (its name when the source is the file), and start of the block."""
+    _, jpath = hadoop_path(spark, path)
+    uri = jpath.toUri()
+    root = (uri.getAuthority() or "").lstrip("/") + "/" + uri.getRawPath().strip("/") + "/"
+    whole = F.regexp_replace("_metadata.file_path", "^[A-Za-z0-9+.-]+:/*", "")
+    root = root.lstrip("/")
+    below = F.when(F.startswith(whole, F.lit(root)), F.substring(whole, len(root) + 1, 1 << 20))
     return [
-        F.col("_metadata.file_name").alias(FILE),
+        F.coalesce(F.url_decode(F.replace(below, F.lit("+"), F.lit("%2B"))), F.col("_metadata.file_name")).alias(FILE),
         F.col("_metadata.file_block_start").alias(BLOCK),
     ]
+
+
+def distinct_by_case(names: list[str]) -> list[str]:
+    """Names that Spark tells apart: one that equals an earlier one but for its case gets blanks behind it.
+
+    Identifiers made from the names do not show the blanks.
+    """
+    taken: set[str] = set()
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += " "
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -2,49 +2,52 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import threading
+from collections.abc import Iterator, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from martloom.functions import col
 from martloom.operators.typing import FLOAT, INTEGER, apply_types, infer_types
-from martloom.session import hadoop_path
-from martloom.sources.files import BLOCK, FILE, part_files, provenance_columns
+from martloom.sources.files import BLOCK, FILE, distinct_by_case, provenance_columns
 
 LINES, ARRAY, OBJECT = "lines", "array", "object"
+# A file of one line that is an object: JSON Lines with one row, or a document.
+ONE_LINE, BROKEN = "one line", "broken"
 # Fixed value: the message for a document without rows.
 NOT_TABULAR = "JSON source must contain an object or array of objects"
 
-# A whole document is held as one text to learn the order of its keys, up to this size.
-ORDERED_DOCUMENT_BYTES = 256 << 20
+# Only one thread at a time reads names by case.
+_CASE = threading.Lock()
 
 
 def scan_json(
     spark: SparkSession, path: str, rows: int | None = None, provenance: bool = False, infer: bool = True
 ) -> DataFrame:
-    """Read a JSON source; its form is found from the start of the first file.
+    """Read a JSON source; its form is found from all its files.
 
-    Documents are flattened.  JSON Lines split into parallel tasks, keep nested values whole
-    and turn text columns that hold only numbers into numbers.  Any other document is a single
-    split, so large sources should come as JSON Lines or as many files.
+    Documents are flattened, with columns in the order in which their keys, at each level, are seen first.
+    JSON Lines split into parallel tasks, keep nested values whole and turn text columns that
+    hold only numbers into numbers.  Any other document is a single split, so large sources
+    should come as JSON Lines or as many files.
     """
-    files = part_files(spark, path) or [path]
-    form = json_form(spark, files[0])
+    form = json_form(spark, path)
     if form == LINES:
         df = _read(spark, path, provenance, multi_line=False)
-        df = _in_order(df, _line_keys(spark, path, files[0], df.columns))
+        df = _in_order(df, _line_keys(spark, path, df.columns))
     elif form == ARRAY:
         df = _read(spark, path, provenance, multi_line=True)
-        df = flatten(_in_order(df, _document_keys(spark, files, None)))
+        df = flatten(df, _first_seen(_records(spark, path, None), df.schema))
     else:
-        df = flatten(_object_rows(spark, path, files, provenance))
+        df = _object_rows(spark, path, provenance)
     if rows:
         df = df.limit(rows)
     return apply_types(df, number_types(df)) if form == LINES and infer else df
 
 
 def is_lines(spark: SparkSession, path: str) -> bool:
-    return json_form(spark, (part_files(spark, path) or [path])[0]) == LINES
+    return json_form(spark, path) == LINES
 
 
 def number_types(df: DataFrame) -> dict[str, str]:
@@ -52,109 +55,182 @@ def number_types(df: DataFrame) -> dict[str, str]:
     return {k: v for k, v in infer_types(df, dates=False).items() if v in (INTEGER, FLOAT)}
 
 
-def json_form(spark: SparkSession, file: str) -> str:
-    """``lines`` when the first line is a whole object and more text follows, else the root kind."""
-    line = F.ltrim("value")
-    start = (
-        spark.read.text(file)
-        .where((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""))
-        .select(
-            F.substring(line, 1, 1).alias("mark"),
-            F.json_object_keys("value").isNotNull().alias("object"),
-            F.json_array_length("value").isNotNull().alias("array"),
-        )
-        .head(2)
+def json_form(spark: SparkSession, path: str) -> str:
+    """The one form of all files that are not empty; a mixture is an error that names a file of each form.
+
+    A file is JSON Lines when its first line is a whole object and more text follows. Files of
+    one line follow the others, and are documents when there are no others.
+    """
+    line = F.ltrim(F.regexp_replace("value", "^﻿", ""))
+    first = F.struct(
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+        F.substring(line, 1, 1).alias("mark"),
+        F.json_object_keys(line).isNotNull().alias("object"),
+        F.json_array_length(line).isNotNull().alias("array"),
+    )
+    found = (
+        spark.read.text(path)
+        .where(F.trim("value") != "")
+        .select(F.col("_metadata.file_path").alias("file"), first.alias("first"))
+        .groupBy("file")
+        .agg(F.min("first").alias("first"), F.count("*").alias("lines"))
+    )
+    more = F.col("lines") > 1
+    kind = (
+        F.when(~F.col("first.mark").isin("[", "{") | (more & F.col("first.array")), BROKEN)
+        .when(F.col("first.mark") == "[", ARRAY)
+        .when(F.col("first.object"), F.when(more, LINES).otherwise(ONE_LINE))
+        .otherwise(OBJECT)
     )
-    if not start or start[0]["mark"] not in ("[", "{"):
+    forms = {r["kind"]: r["file"] for r in found.groupBy(kind.alias("kind")).agg(F.min("file").alias("file")).collect()}
+    if BROKEN in forms:
+        raise ValueError(f"{NOT_TABULAR}: {forms[BROKEN]}")
+    if not forms:
         raise ValueError(NOT_TABULAR)
-    if len(start) == 2 and start[0]["object"]:
-        return LINES
-    if len(start) == 2 and start[0]["array"]:
-        raise ValueError(f"{NOT_TABULAR}: text after the array in {file}")
-    return ARRAY if start[0]["mark"] == "[" else OBJECT
+    whole = sorted(set(forms) - {ONE_LINE})
+    if len(whole) > 1:
+        raise ValueError(f"JSON files of different forms: {', '.join(f'{k} in {forms[k]}' for k in whole)}")
+    return whole[0] if whole else OBJECT
 
 
-def flatten(df: DataFrame) -> DataFrame:
-    """Nested objects as dotted columns, plain columns first; lists stay whole."""
-    return df.select([path.alias(name) for path, name in _leaves(df.schema, None, "")])
+def flatten(df: DataFrame, order: dict[str, list[str]] | None = None) -> DataFrame:
+    """Nested objects as dotted columns, plain columns first; lists stay whole.
+
+    ``order`` has the keys of each object in their order, by dotted path ("" for the rows).
+    """
+    return df.select([path.alias(name) for path, name in _leaves(df.schema, None, "", order or {})])
 
 
-def _leaves(schema: T.StructType, parent: Column | None, prefix: str) -> Iterator[tuple[Column, str]]:
+def _leaves(schema: T.StructType, parent: Column | None, prefix: str, order: dict) -> Iterator[tuple[Column, str]]:
     nested = []
-    for f in schema.fields:
+    rank = {key: i for i, key in enumerate(order.get(prefix.removesuffix("."), []))}
+    for f in sorted(schema.fields, key=lambda f: rank.get(f.name, len(rank))):
         value = col(f.name) if parent is None else parent.getField(f.name)
         if isinstance(f.dataType, T.StructType):
             nested.append((f, value))
         else:
             yield value, prefix + f.name
     for f, value in nested:
-        yield from _leaves(f.dataType, value, f"{prefix}{f.name}.")
+        yield from _leaves(f.dataType, value, f"{prefix}{f.name}.", order)
 
 
 def _read(spark: SparkSession, path: str, provenance: bool, multi_line: bool) -> DataFrame:
-    df = spark.read.option("multiLine", multi_line).json(path)
-    if not df.schema.fields:
+    places = provenance_columns(spark, path) if provenance else []
+    reader = spark.read.option("multiLine", multi_line)
+    try:
+        df = reader.json(path).select("*", *places)
+        alike = distinct_by_case(df.columns) != df.columns
+    except AnalysisException as error:
+        if error.getCondition() not in ("COLUMN_ALREADY_EXISTS", "AMBIGUOUS_REFERENCE"):
+            raise
+        alike = True
+    if alike:
+        df = _by_case(spark, path, multi_line, places)
+    if not set(df.columns) - {FILE, BLOCK}:
         raise ValueError(NOT_TABULAR)
     if "_corrupt_record" in df.columns:
         raise ValueError(f"{NOT_TABULAR}: {path}")
-    return df.select("*", *provenance_columns()) if provenance else df
-
-
-def _object_rows(spark: SparkSession, path: str, files: list[str], provenance: bool) -> DataFrame:
+    return df
+
+
+def _by_case(spark: SparkSession, path: str, multi_line: bool, places: Sequence[Column]) -> DataFrame:
+    """Keys that differ by case only as columns of their own, named so that Spark tells them apart."""
+    with _CASE:
+        before = spark.conf.get("spark.sql.caseSensitive")
+        spark.conf.set("spark.sql.caseSensitive", "true")
+        try:
+            schema = spark.read.option("multiLine", multi_line).json(path).schema
+        finally:
+            spark.conf.set("spark.sql.caseSensitive", before)
+    text = spark.read.text(path, wholetext=multi_line).where(F.trim("value") != "").select("value", *places)
+    record = F.from_json("value", schema)
+    if multi_line:
+        array = F.substring(F.ltrim("value"), 1, 1) == "["
+        record = F.explode(F.when(array, F.from_json("value", T.ArrayType(schema))).otherwise(F.array(record)))
+    extra = [FILE, BLOCK] if places else []
+    rows = text.select(record.alias("__record"), *extra).select("__record.*", *extra)
+    return rows.toDF(*distinct_by_case(schema.names), *extra)
+
+
+def _object_rows(spark: SparkSession, path: str, provenance: bool) -> DataFrame:
     """Rows of object documents: the first list in document order, or the object itself.
 
     Documents of one folder must agree on which list that is.
     """
     df = _read(spark, path, provenance, multi_line=True)
     lists = {f.name: f.dataType for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)}
-    text = spark.read.text(path, wholetext=True)
-    keys = text.select(F.json_object_keys("value").alias("keys"))
+    keys = _documents(spark, path).select(F.json_object_keys("value").alias("keys"))
     in_lists = F.filter("keys", lambda k: k.isin(*lists)) if lists else F.array().cast("array<string>")
     found = keys.select(F.get(in_lists, F.lit(0)).alias("key")).distinct().head(2)
     if len(found) > 1:
         raise ValueError(f"Object documents with different lists of rows: {path}")
     key = found[0]["key"]
     if key is None:
-        return _in_order(df, keys.first()["keys"])
-    if not isinstance(lists[key].elementType, T.StructType):
+        return flatten(df, _first_seen(_records(spark, path, None), df.schema))
+    element = lists[key].elementType
+    if not isinstance(element, T.StructType):
+        # an empty list has no rows; a list of anything but objects is no table
+        if df.where(F.size(col(key)) > 0).isEmpty():
+            return df.limit(0)
         raise ValueError(NOT_TABULAR)
     extra = [FILE, BLOCK] if provenance else []
     rows = df.select(F.explode(col(key)).alias("__item"), *extra).select("__item.*", *extra)
-    return _in_order(rows, _document_keys(spark, files, key))
+    return flatten(rows, _first_seen(_records(spark, path, key), rows.schema))
 
 
-def _in_order(df: DataFrame, keys: list[str]) -> DataFrame:
+def _in_order(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Columns in the order in which the source shows them first."""
     rank = {key: i for i, key in enumerate(keys)}
     return df.select([col(n) for n in sorted(df.columns, key=lambda n: rank.get(n, len(rank)))])
 
 
-def _line_keys(spark: SparkSession, path: str, first_file: str, columns: list[str]) -> list[str]:
+def _line_keys(spark: SparkSession, path: str, columns: list[str]) -> list[str]:
     """Keys in order; all lines are looked at only when the first one lacks several columns."""
     filled = F.trim("value") != ""
-    start = spark.read.text(first_file).where((F.col("_metadata.file_block_start") == 0) & filled)
-    keys = start.select(F.json_object_keys("value").alias("keys")).first()["keys"] or []
+    lines = spark.read.text(path).where(filled)
+    start = lines.select(F.json_object_keys("value").alias("keys")).first()
+    keys = (start["keys"] if start else None) or []
     if len({*columns} - {*keys, FILE, BLOCK}) <= 1:
         return keys
-    place = F.struct("_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
-    return _first_seen(spark.read.text(path).where(filled).select(place.alias("place"), F.col("value").alias("record")))
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    return _first_seen(lines.select(place.alias("place"), F.col("value").alias("record")), T.StructType()).get("", [])
+
+
+def _documents(spark: SparkSession, path: str) -> DataFrame:
+    """Every file that is not empty as one text."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return whole.where(F.trim("value") != "")
 
 
-def _document_keys(spark: SparkSession, files: list[str], key: str | None) -> list[str]:
-    fs, jpath = hadoop_path(spark, files[0])
-    if fs.getFileStatus(jpath).getLen() > ORDERED_DOCUMENT_BYTES:
-        return []
-    text = spark.read.text(files[0], wholetext=True)
+def _records(spark: SparkSession, path: str, key: str | None) -> DataFrame:
+    """(place, record) of the objects of all documents; with ``key`` of the list below it."""
+    value = F.col("value")
     if key is None:
-        items = F.from_json("value", "array<string>")
+        array = F.substring(F.ltrim(F.regexp_replace(value, "^﻿", "")), 1, 1) == "["
+        items = F.when(array, F.from_json(value, "array<string>")).otherwise(F.array(value))
     else:
         schema = T.StructType([T.StructField(key, T.ArrayType(T.StringType()))])
-        items = F.from_json("value", schema).getField(key)
-    return _first_seen(text.select(F.posexplode(items).alias("place", "record")))
+        items = F.from_json(value, schema).getField(key)
+    found = _documents(spark, path).select("file", F.posexplode(items).alias("row", "record"))
+    return found.select(F.struct("file", "row").alias("place"), "record")
 
 
-def _first_seen(records: DataFrame) -> list[str]:
-    """Distinct keys by first position; combined on the map side, as many rows as columns."""
-    at = records.select("place", F.posexplode(F.json_object_keys("record")).alias("pos", "key"))
-    seen = at.groupBy("key").agg(F.min(F.struct("place", "pos")).alias("first")).orderBy("first").collect()
-    return [row["key"] for row in seen]
+def _first_seen(records: DataFrame, schema: T.StructType) -> dict[str, list[str]]:
+    """Keys of the rows and of every object below them, by first position; as many rows as keys."""
+    objects = [F.struct(F.lit(name).alias("at"), F.json_object_keys(text).alias("keys")) for name, text in _objects(schema, F.col("record"), "")]
+    at = records.select("place", F.inline(F.array(*objects))).select("place", "at", F.posexplode("keys").alias("pos", "key"))
+    seen = at.groupBy("at", "key").agg(F.min(F.struct("place", "pos")).alias("first")).orderBy("first").collect()
+    order: dict[str, list[str]] = {}
+    for row in seen:
+        order.setdefault(row["at"], []).append(row["key"])
+    return order
+
+
+def _objects(schema: T.StructType, text: Column, prefix: str) -> Iterator[tuple[str, Column]]:
+    """Dotted path and text of the rows and of each nested object."""
+    yield prefix, text
+    for f in schema.fields:
+        if isinstance(f.dataType, T.StructType) and "'" not in f.name:
+            inner = F.get_json_object(text, f"$['{f.name}']")
+            yield from _objects(f.dataType, inner, f"{prefix}.{f.name}" if prefix else f.name)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from martloom.functions import col
 from martloom.operators.checks import has_keys
 from martloom.operators.keys import replaced
-from martloom.session import list_folder
+from martloom.session import drop_folder, list_folder, path_exists
 from martloom.spec import TableSpec
 
 VERSION = re.compile(r"^v([0-9]{6})(?:_b([0-9]+))?$")
@@ -75,6 +75,19 @@ class TableStore:
         extra = [c for c in merged.columns if c not in spec.column_names]
         return self._publish(spec, merged.select(*map(col, [*spec.column_names, *extra])))
 
+    def publish(self, name: str, df: DataFrame) -> DataFrame:
+        """Replace a table that has no spec; returns it as stored."""
+        return self._publish(TableSpec(name, (), ()), df)
+
+    def vacuum(self, table: str, keep: int = 1) -> list[str]:
+        """Delete all but the last ``keep`` committed versions, and what lost jobs left before them; returns their names."""
+        committed = [n for _, n in self._versions(table) if path_exists(self.spark, f"{self.root}/{table}/{n}/_SUCCESS")]
+        last = committed[-max(1, keep) :]
+        old = [n for _, n in self._versions(table) if last and n < last[0]]
+        for name in old:
+            drop_folder(self.spark, f"{self.root}/{table}/{name}")
+        return old
+
     def _versions(self, table: str) -> list[tuple[int, str]]:
         names = [name for name, folder in list_folder(self.spark, f"{self.root}/{table}") if folder]
         return sorted((int(m.group(1)), name) for name in names if (m := VERSION.match(name)))
@@ -82,7 +95,7 @@ class TableStore:
     def _current(self, table: str) -> str | None:
         for _, name in reversed(self._versions(table)):
             path = f"{self.root}/{table}/{name}"
-            if ("_SUCCESS", False) in list_folder(self.spark, path):
+            if path_exists(self.spark, f"{path}/_SUCCESS"):
                 return path
         return None
 

@@ -1,11 +1,11 @@
 import pytest
 from pyspark.sql import SparkSession
 
-from martloom.session import tune
+from martloom.session import tune, use_scratch
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")
@@ -14,6 +14,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    use_scratch(session, str(tmp_path_factory.mktemp("scratch")))
     yield tune(session)
     session.stop()
 

@@ -5,6 +5,7 @@ from martloom.operators.mapping import Mapping
 from martloom.operators.matching import propose_mappings, proposed_list
 from martloom.operators.profiling import profile_all
 from martloom.plans.build import build_all, succeeded
+from martloom.plans.models import read_mart
 from martloom.plans.migrate import Source, migrate
 from martloom.session import stage
 from martloom.sources import list_sources
@@ -44,7 +45,7 @@ def test_files_to_marts(spark, folder):
     tables = {s.name: project.read(s.name) for s in specs}
     steps = build_all(spark, specs, tables, infer_relationships(specs), folder + "/marts")
     assert succeeded(steps)
-    mart = spark.read.parquet(folder + "/marts/mart_orders_enriched")
+    mart = read_mart(spark, "mart_orders_enriched", folder + "/marts")
     assert mart.columns == ["order_id", "customer_id", "price", "tags", "customers_first", "customers_last"]
     assert tuple(mart.where("order_id = 3").first()) == (3, 4, 3.5, '["a"]', "Ann4", "Lee4")
     # the loaded tables now tell how to map the next delivery

@@ -226,3 +226,22 @@ def test_migration_of_selected_tables(spark, folder):
     done = migrate(spark, [a, b], [source], mappings, store, tables=["b", "nonsense"])
     assert [r["table"] for r in done.validation.collect()] == ["b"]
     assert store.read("a").count() == 0 and store.read("b").count() == 1
+
+
+def test_migration_of_unknown_tables_only_is_refused(spark, folder):
+    a = table("a", "x INTEGER")
+    source = Source("f.csv", spark.createDataFrame([(1, 5)], "n int, x int"), "n")
+    store = TableStore(spark, folder + "/s")
+    migrate(spark, [a], [source], [Mapping("a", "x", "f.csv", "x")], store)
+    with pytest.raises(ValueError, match="nonsense"):
+        migrate(spark, [a], [source], [Mapping("a", "x", "f.csv", "x")], store, tables=["nonsense"])
+    assert store.read("a").count() == 1
+
+
+def test_every_part_file_is_in_the_report(spark, folder):
+    a = table("a", "x INTEGER")
+    rows = spark.createDataFrame([(1, 5, "p1"), (1, None, "p2"), (2, None, "p2")], "n int, x int, f string")
+    done = migrate(spark, [a], [Source("s.csv", rows, "n", file="f")], [Mapping("a", "x", "s.csv", "x")], TableStore(spark, folder + "/s"))
+    assert sorted((r["source_file"], r["rows"], r["status"], r["reason"]) for r in done.report.collect()) == [
+        ("p1", 1, "loaded", ""), ("p2", 0, "skipped", "All transformed rows were empty"),
+    ]

@@ -5,14 +5,18 @@ from martloom.operators.discovery import (
     infer_relationships,
     propose_fks,
     propose_schema,
+    relationship_frame,
     schema_specs,
     target_columns,
 )
+from martloom.operators.checks import run_tests
+from martloom.operators.validation import fk_report, validate_tables
 from martloom.operators.inspection import inspect, layer_of, table_counts, table_summary
 from martloom.operators.matching import column_overlap, propose_mappings, proposed_list
 from martloom.operators.profiling import profile_all
-from martloom.plans.build import build_all, step_frame, succeeded
-from martloom.plans.models import build_enriched, build_layers, build_staging
+from martloom.plans.build import blocked_models, build_all, step_frame, succeeded
+from martloom.plans.models import build_enriched, build_layers, build_staging, read_mart
+from martloom.sources.store import TableStore
 from martloom.spec import Relationship, table
 
 # Tables and keys with known model columns.
@@ -175,18 +179,37 @@ def test_many_columns_overlap(spark):
     assert [tuple(r)[1:5] for r in column_overlap({"s": wide}, {"t": target}).collect()] == [("c69", "t", "t", 10)]
 
 
-def test_build_stops_at_first_failing_step(spark, folder):
+def test_failing_tests_keep_their_models_from_being_published(spark, folder):
     data = frames(spark)
     steps = build_all(spark, SPECS, data, infer_relationships(SPECS), folder)
-    assert [s.step for s in steps[:13]] == ["staging"] * 5 + ["mart"] * 5 + ["enriched"] * 3
+    assert list(dict.fromkeys(s.step for s in steps)) == ["staging", "test", "mart", "enriched"]
     assert not succeeded(steps)  # one order has no customer
     failed = [s for s in steps if s.status != "ok"]
-    assert [s.model for s in failed] == ["relationships stg_order.customer_id"]
+    assert [(s.model, s.status) for s in failed] == [
+        ("relationships stg_order.customer_id", "error"), ("mart_order", "skipped"), ("mart_order_enriched", "skipped"),
+    ]
+    assert failed[1].reason == "tests failed: order"
     assert step_frame(steps, spark).count() == len(steps)
     assert spark.table("stg_order").count() == 2
+    store = TableStore(spark, folder)
+    assert store.exists("mart_member_enriched") and not store.exists("mart_order") and not store.exists("mart_order_enriched")
+    repaired = data | {"order": data["order"].where("order_id = 1")}
+    assert succeeded(build_all(spark, SPECS, repaired, infer_relationships(SPECS), folder))
+    build_all(spark, SPECS, data, infer_relationships(SPECS), folder)
+    assert read_mart(spark, "mart_order", folder).count() == 1  # the version of before stays
+    assert store.vacuum("mart_member") == ["v000001", "v000002"] and store.read("mart_member").count() == 1
     broken = data | {"member": data["member"].drop("customer_id")}
     stopped = build_all(spark, SPECS, broken, infer_relationships(SPECS), folder)
-    assert [(s.model, s.status) for s in stopped] == [("stg_customer", "ok"), ("stg_member", "error")]
+    assert {(s.model, s.status) for s in stopped} >= {("stg_customer", "ok"), ("stg_member", "error")}
+    assert {s.step for s in stopped} == {"staging"}
+
+
+def test_children_of_failing_models_are_blocked():
+    links = infer_relationships(SPECS)
+    assert blocked_models(["customer"], links) == {
+        "customer": "customer", "member": "customer", "order": "customer", "transaction": "customer",
+    }
+    assert blocked_models([], links) == {}
 
 
 def test_inspection(spark):
@@ -195,3 +218,10 @@ def test_inspection(spark):
     assert [r["id"] for r in inspect(data["A"], ["id"]).collect()] == list(range(100))
     assert [layer_of(n) for n in ("x", "stg_x", "mart_x")] == ["loaded/source", "dbt staging", "dbt mart"]
     assert {r["table_name"]: r["row_count"] for r in table_counts(data).collect()}["A"] == 200
+
+
+def test_nothing_to_relate(spark):
+    lonely = {"a.csv": spark.createDataFrame([(1, "x")], "a_key int, name string")}
+    assert propose_fks(profile_all(lonely), lonely).collect() == []
+    assert relationship_frame([], {}).collect() == [] and fk_report([], {}).collect() == []
+    assert run_tests([], {}).collect() == [] and validate_tables([], {}, spark).collect() == []

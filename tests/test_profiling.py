@@ -80,3 +80,10 @@ def test_sample_values_are_text(spark):
     df = spark.createDataFrame([(1, True, datetime.date(2024, 1, 2), [1, 2])], "a int, b boolean, c date, d array<int>")
     found = {r[0]: r[1] for r in sample_values(df, order_by="a").collect()}
     assert found == {"a": ["1"], "b": ["True"], "c": ["2024-01-02"], "d": ["[1, 2]"]}
+
+
+def test_nan_is_a_missing_value(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (2.0,)], "v double")
+    for exact in (True, False):
+        row = profile(df, "x", exact=exact).first()
+        assert (row["null_pct"], row["distinct_count"]) == (0.5, 2)

@@ -3,22 +3,23 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from martloom.session import drop_scratch, list_folder, run_together, scratch_path, scratch_root, stage
+from martloom.session import drop_scratch, list_folder, run_together, scratch_path, scratch_root, stage, use_scratch
 
 
-def fake(master, setting=None):
+def fake(application, setting=None):
     return SimpleNamespace(
         conf=SimpleNamespace(get=lambda key, default=None: setting or default),
-        sparkContext=SimpleNamespace(master=master, applicationId="app-1"),
+        sparkContext=SimpleNamespace(master="local[2]", applicationId=application),
     )
 
 
 def test_scratch_folder_is_the_named_one():
-    assert scratch_root(fake("yarn", "hdfs://n/check/")) == "hdfs://n/check"
-    local = scratch_root(fake("local[2]"))
-    assert local == scratch_root(fake("local[2]"))
+    assert scratch_root(fake("app-1", "hdfs://n/check/")) == "hdfs://n/check"
     with pytest.raises(RuntimeError):
-        scratch_root(fake("spark://host:7077"))
+        scratch_root(fake("app-1"))
+    use_scratch(fake("app-2"), "/shared/x/")
+    assert scratch_root(fake("app-2")) == "/shared/x"
+    assert scratch_root(fake("app-2", "hdfs://n/check")) == "hdfs://n/check"
 
 
 def test_stage_and_drop(spark):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from martloom.sources import list_sources, scan
-from martloom.sources.delimited import scan_csv
+from martloom.sources.delimited import has_quoted_breaks, scan_csv
 from martloom.sources.json import flatten
 from martloom.sources.raw import land_all, land_raw, raw_counts
 
@@ -168,3 +168,60 @@ def test_row_numbers_per_file(spark, folder):
     assert per_file.count() == 7
     for row in per_file.collect():
         assert row[1] == 1 and row[2] == row[3] == row[4]
+
+
+def parts(folder, name, texts):
+    os.makedirs(os.path.join(folder, name))
+    for i, text in enumerate(texts):
+        write(os.path.join(folder, name), f"part-{i}{os.path.splitext(name)[1]}", text)
+    return os.path.join(folder, name)
+
+
+def test_json_form_is_that_of_all_parts(spark, folder):
+    lines = "".join(f'{{"id": {i}}}\n' for i in range(2, 12))
+    assert scan(spark, parts(folder, "one.json", ['{"id": 1}\n', lines])).count() == 11
+    assert scan(spark, parts(folder, "empty.json", ["", lines])).count() == 10
+    assert scan(spark, parts(folder, "arrays.json", ['[{"id": 1}, {"id": 2}]', '{"id": 3}', ""])).count() == 3
+    with pytest.raises(ValueError, match="different forms"):
+        scan(spark, parts(folder, "mixed.json", ['[{"id": 1},\n{"id": 2}]', lines]))
+
+
+def test_json_keys_in_the_order_of_all_files_and_levels(spark, folder):
+    path = parts(folder, "x.json", ['[{"b": 1, "z": {"zip": 1, "city": 2}}]', '[{"b": 1, "z": {"area": 3}, "a": 2}]'])
+    assert scan(spark, path).columns == ["b", "a", "z.zip", "z.city", "z.area"]
+
+
+def test_wrapper_with_an_empty_list_has_no_rows(spark, folder):
+    assert scan(spark, write(folder, "x.json", '{"rows": [], "n": 1}')).count() == 0
+
+
+def test_names_that_differ_by_case(spark, folder):
+    lines = write(folder, "l.json", '{"ID": 1, "id": 2}\n{"ID": 3, "id": 4}\n')
+    table = write(folder, "c.csv", "ID,id\n1,2\n3,4\n")
+    for path in (lines, table):
+        df = land_raw(spark, path, folder + "/out").read()
+        assert df.columns[3:] == ["id", "id_2"]
+        assert sorted((r["id"], r["id_2"]) for r in df.collect()) == [(1, 2), (3, 4)]
+
+
+def test_csv_parts_with_columns_in_another_order(spark, folder):
+    df = scan(spark, parts(folder, "x.csv", ["id,v\n1,10\n", "v,id\n20,2\n", ""]))
+    assert df.columns == ["id", "v"] and sorted(collected(df)) == [(1, 10), (2, 20)]
+    with pytest.raises(ValueError, match="different columns"):
+        scan(spark, parts(folder, "y.csv", ["id,v\n1,10\n", "id,w\n2,20\n"]))
+
+
+def test_stray_quote_is_no_open_value(spark, folder):
+    assert not has_quoted_breaks(spark, write(folder, "x.csv", 'a,b\n5" pipe,1\n'))
+    assert has_quoted_breaks(spark, write(folder, "y.csv", 'a,b\n"x\ny",1\n'))
+    late = write(folder, "z.csv", "a\n" + "1\n" * 50 + '"x\ny"\n')
+    assert has_quoted_breaks(spark, late) and not has_quoted_breaks(spark, late, rows=10)
+
+
+def test_row_numbers_of_equal_file_names(spark, folder):
+    for day, rows in ((1, 2), (2, 3)):
+        os.makedirs(f"{folder}/x y.csv/dt={day}")
+        write(f"{folder}/x y.csv/dt={day}", "part-0.csv", "v\n" + "".join(f"{day * 10 + k}\n" for k in range(rows)))
+    df = land_raw(spark, f"{folder}/x y.csv", folder + "/out").read()
+    found = sorted((r["_source_file"], r["_raw_row_number"], r["v"]) for r in df.collect())
+    assert found == [("dt=1/part-0.csv", k + 1, 10 + k) for k in range(2)] + [("dt=2/part-0.csv", k + 1, 20 + k) for k in range(3)]
