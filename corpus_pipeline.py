@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from martloom.llm import fm_quality, lang_mixture, simhash_trie, sp_prefix, suffix_decontam
 from martloom.llm.queries import known_languages, quality_machine, table, tokenizer_path
 from martloom.session import stage
+from registry.scratch import ensure_scratch
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,6 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    ensure_scratch(spark)
     return simhash_trie.drop_near_copies(docs)
 
 
@@ -52,6 +54,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_scratch(spark)
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), name.replace(" ", "_"))
