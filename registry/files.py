@@ -48,6 +48,33 @@ def scan_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark, write_source(given(spark, sf_dir, "part"), "part", "json"))
 
 
+def scan_json_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON Lines in several parts, one of which has a single line."""
+    customers = given(spark, sf_dir, "customer")
+    path = f"{scratch_path(spark, 'source')}/customer.json"
+    customers.where("c_custkey = 1").coalesce(1).write.json(path)
+    customers.where("c_custkey <> 1").repartition(3).write.mode("append").json(path)
+    return scan(spark, path)
+
+
+def scan_csv_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part files with the same columns in two orders."""
+    customers = given(spark, sf_dir, "customer")
+    path = f"{scratch_path(spark, 'source')}/customer.csv"
+    customers.where("c_custkey % 2 = 0").write.option("header", True).csv(path)
+    other = customers.where("c_custkey % 2 = 1").select(*reversed(customers.columns))
+    other.write.mode("append").option("header", True).csv(path)
+    return scan(spark, path)
+
+
+def scan_json_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with nested keys that are not in alphabetical order; the columns' order is part of the result."""
+    place = F.struct(F.col("c_nationkey").alias("zip"), F.col("c_mktsegment").alias("city"), F.struct("c_name").alias("area"))
+    nested = given(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), place.alias("addr"), F.col("c_acctbal").alias("a"))
+    df = scan(spark, write_documents(nested, "key", "customer", wrap=False))
+    return df.withColumn("order", F.lit(", ".join(df.columns)))
+
+
 def flatten_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested = given(spark, sf_dir, "events").select(
         "event_id", F.from_json("props", "k bigint").alias("props"), F.struct("user_id", F.struct("value").alias("v")).alias("who")
@@ -56,7 +83,8 @@ def flatten_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pair = F.struct(F.size("embedding").alias("size"), "label", F.array("label", F.lit(None)).alias("also"))
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000))
+    pair = F.struct(F.size("embedding").alias("size"), "label", F.array("label", F.lit(None)).alias("also"), whole.alias("values"))
     nested = given(spark, sf_dir, "embeddings").select("vec_id", pair.alias("pair"))
     return nested.select("vec_id", json_text(F.col("pair"), nested.schema["pair"].dataType).alias("pair"))
 
@@ -90,6 +118,19 @@ def raw_row_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_land_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part files of equal names in folders of their own: each is numbered by itself."""
+    path = f"{scratch_path(spark, 'source')}/orders.csv"
+    given(spark, sf_dir, "orders").coalesce(1).write.partitionBy("o_orderstatus").option("header", True).csv(path)
+    landed = land_raw(spark, path, scratch_path(spark, "raw"), LOADED_AT).read()
+    return landed.groupBy(F.regexp_extract("_source_file", "^o_orderstatus=(.)/", 1).alias("status")).agg(
+        F.count("*").alias("rows"),
+        F.min("_raw_row_number").alias("first_row"),
+        F.max("_raw_row_number").alias("last_row"),
+        F.count_distinct("_raw_row_number").alias("numbers"),
+    )
+
+
 def normalize_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     urls = given(spark, sf_dir, "pages").select(F.lit("url").alias("kind"), F.col("url").alias("name"))
     parts = given(spark, sf_dir, "part").select(F.lit("part").alias("kind"), F.col("p_name").alias("name"))
@@ -117,11 +158,15 @@ QUERIES = {
     "scan_json_array": scan_json_array,
     "scan_json_wrapper": scan_json_wrapper,
     "scan_json_lines": scan_json_lines,
+    "scan_json_parts": scan_json_parts,
+    "scan_csv_parts": scan_csv_parts,
+    "scan_json_nested": scan_json_nested,
     "flatten_json": flatten_json,
     "encode_nested": encode_nested,
     "raw_land": raw_land,
     "raw_land_json": raw_land_json,
     "raw_row_number": raw_row_number,
+    "raw_land_nested": raw_land_nested,
     "normalize_identifier": normalize_identifier,
     "table_name_from_file": table_name_from_file,
 }
@@ -138,11 +183,20 @@ ORACLES = {
     "scan_json_lines": (
         "select p_partkey, p_name, p_brand, p_type, cast(p_size as bigint) as p_size, p_retailprice from part"
     ),
+    "scan_json_parts": CUSTOMER_SQL,
+    "scan_csv_parts": CUSTOMER_SQL,
+    "scan_json_nested": """
+        select c_custkey as "key", cast(c_nationkey as bigint) as "addr.zip", c_mktsegment as "addr.city", c_name as "addr.area.c_name",
+            c_acctbal as a, 'key, a, addr.zip, addr.city, addr.area.c_name' as "order" from customer""",
+    "raw_land_nested": """
+        select o_orderstatus as status, count(*) as rows, 1::bigint as first_row, count(*) as last_row, count(*) as numbers
+        from orders group by o_orderstatus""",
     "flatten_json": """
         select event_id, cast(json_extract(props, '$.k') as bigint) as "props.k", user_id as "who.user_id",
             value as "who.v.value" from events""",
     "encode_nested": """
-        select vec_id, '{"also": [' || label || ', null], "label": ' || label || ', "size": ' || len(embedding) || '}' as pair
+        select vec_id, '{"also": [' || label || ', null], "label": ' || label || ', "size": ' || len(embedding) || ', "values": ['
+            || array_to_string(list_transform(embedding, lambda x: cast(floor(cast(x as double) * 1000) as bigint)), ', ') || ']}' as pair
         from embeddings""",
     "raw_land": f"""
         select '{LOADED_AT}' as _loaded_at, l_orderkey, l_partkey, l_suppkey, cast(l_linenumber as bigint) as l_linenumber,

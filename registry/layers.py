@@ -8,7 +8,7 @@ from martloom.operators.inspection import inspect, table_counts, table_summary
 from martloom.plans.build import build_all, step_frame
 from martloom.plans.models import build_layers
 from martloom.session import scratch_path
-from registry.checking import run_tests_sql
+from registry.checking import DEFECTIVE_SQL, defective, run_tests_sql
 from registry.model import RELATIONSHIPS, SPECS, staged_sql, target, target_sql, targets
 
 LAYERS = {"stg_": "dbt staging", "mart_": "dbt mart"}
@@ -37,7 +37,13 @@ def build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return step_frame(steps, spark)
 
 
-QUERIES = {"table_counts": counts, "table_summary": summary, "inspect_limit": first_orders, "build_all": build}
+def build_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables with defects: models whose tests fail, and those that point at them, are not published."""
+    steps = build_all(spark, list(SPECS.values()), defective(spark, sf_dir), RELATIONSHIPS, scratch_path(spark, "marts"))
+    return step_frame(steps, spark)
+
+
+QUERIES = {"table_counts": counts, "table_summary": summary, "inspect_limit": first_orders, "build_all": build, "build_gated": build_gated}
 
 
 def _count_sql(layer: str, name: str, relation: str) -> str:
@@ -59,24 +65,36 @@ def _summary_sql() -> str:
     )
 
 
-def _build_sql() -> str:
+def _build_sql(views: dict[str, str]) -> str:
+    links = ", ".join(f"('{r.child_table}', '{r.parent_table}')" for r in RELATIONSHIPS)
     parts = [
         f"select 'staging' as step, 'stg_{n}' as model, cast(null as bigint) as rows, 'ok' as status, '' as reason"
         for n in SPECS
     ]
-    parts += [f"select 'mart', 'mart_{n}', count(*), 'ok', '' from ({target_sql(n)})" for n in SPECS]
-    parts += [f"select 'enriched', 'mart_{n}_enriched', count(*), 'ok', '' from ({target_sql(n)})" for n in CHILDREN]
     parts.append(
         "select 'test', test || ' ' || model || '.' || \"column\", failures, case when failures = 0 then 'ok' else 'error' end, "
-        "case when failures = 0 then '' else failures || ' failures' end "
-        f"from ({run_tests_sql({n: target_sql(n) for n in SPECS})})"
+        "case when failures = 0 then '' else failures || ' failures' end from tests"
     )
-    return " union all ".join(parts)
+    models = [("mart", n, f"mart_{n}") for n in SPECS] + [("enriched", n, f"mart_{n}_enriched") for n in CHILDREN]
+    parts += [
+        f"select '{step}', '{model}', case when c.t is null then n.rows end, case when c.t is null then 'ok' else 'skipped' end, "
+        f"coalesce('tests failed: ' || c.causes, '') from (select count(*) as rows from ({views[n]})) n left join causes c on c.t = '{n}'"
+        for step, n, model in models
+    ]
+    return f"""
+        with recursive links(child, parent) as (values {links}),
+        tests as ({run_tests_sql(views)}),
+        blocked(t, cause) as (
+            select distinct model[5:], model[5:] from tests where failures > 0
+            union select child, cause from links join blocked on t = parent),
+        causes as (select t, string_agg(distinct cause, ', ' order by cause) as causes from blocked group by t)
+        {' union all '.join(parts)}"""
 
 
 ORACLES = {
     "table_counts": _counts_sql(),
     "table_summary": _summary_sql(),
-    "build_all": _build_sql(),
+    "build_all": _build_sql({n: target_sql(n) for n in SPECS}),
+    "build_gated": _build_sql(DEFECTIVE_SQL),
     "inspect_limit": f"{target_sql('order')} order by o_orderkey limit 100",
 }

@@ -156,7 +156,14 @@ def mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return propose_mappings(*_matching(spark, sf_dir))
 
 
+def propose_fks_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources without a common key: an empty proposal."""
+    frames = {"benchmark.csv": given(spark, sf_dir, "benchmark"), "region.csv": given(spark, sf_dir, "region")}
+    return propose_fks(stage(profile_all(frames), "catalog"), frames)
+
+
 QUERIES = {
+    "propose_fks_none": propose_fks_none,
     "profile_columns": profile_columns,
     "profile_all": profile_tables,
     "profile_sampled": profile_sampled,
@@ -349,6 +356,9 @@ def _infer_sql() -> str:
 
 
 ORACLES = {
+    "propose_fks_none": """
+        select '' as child_table, '' as child_column, '' as parent_table, '' as parent_column, 0::bigint as child_rows,
+            0::bigint as matched_rows, 0.0::double as inclusion from region where false""",
     "profile_columns": with_sql(
         {
             "o": "select * replace (nullif(o_orderstatus, 'F') as o_orderstatus, cast(null as varchar) as o_orderpriority) "
