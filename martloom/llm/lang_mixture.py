@@ -27,8 +27,8 @@ SETTLED = 1e-3
 LEAST_SHARE = 0.02
 # Of the set's penalty: so many times half the logarithm of the document's trigrams, per language more.
 PENALTY = 6.0
-# Documents in which no language has at least this share are rejected by the filter.
-REJECT_BELOW = 0.5
+# Documents in which no language has at least this share are rejected by the filter; texts in two or three known languages stay.
+REJECT_BELOW = 0.25
 # Languages a task counts at a time.
 HELD_LANGUAGES = 32
 _LETTER = re.compile(r"[^\W\d_]")
