@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from martloom.llm.rows import map_batches, pick
+from martloom.session import drop_scratch, scratch_path, stage
 
 BASE_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
 
@@ -141,6 +142,8 @@ def references(docs: DataFrame, limits: Limits = Limits(), text: str = "text", l
         yield told()
 
     counted = map_batches(known, "lang string, word binary, class int, n long", count).groupBy("lang", "word", "class").agg(F.sum("n").alias("n"))
+    path = scratch_path(docs.sparkSession, "word_counts")
+    counted = stage(counted, "word_counts", path)  # read three times below
     part = Window.partitionBy("lang", "part").orderBy(F.desc("n"), "word")
     whole = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     only_words = counted.where("class = -1").withColumn("part", F.pmod(F.xxhash64("word"), F.lit(RANK_PARTS)))
@@ -153,6 +156,7 @@ def references(docs: DataFrame, limits: Limits = Limits(), text: str = "text", l
         .unionByName(totals.groupBy("lang").agg(F.sum("all").alias("n")).select("lang", F.lit(None).cast("binary").alias("word"), F.lit(-2).alias("class"), "n"))
         .collect()
     )
+    drop_scratch(docs.sparkSession, path)
     classes: dict[str, np.ndarray] = {}
     words: dict[str, list[tuple[bytes, int]]] = {}
     totals_by = {r["lang"]: r["n"] for r in rows if r["class"] == -2}

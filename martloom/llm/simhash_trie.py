@@ -23,7 +23,7 @@ SEED = 42
 
 # A block of the trie has at most this many fingerprints, or the table's share below if that is more.
 BLOCK = 4096
-BLOCK_SHARE = 2048
+BLOCK_SHARE = 16384
 # Bits by which an oversized block is cut further.
 CUT_BITS = 8
 FIRST_CUT_BITS = 12
@@ -207,8 +207,11 @@ def links(marks: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     joint = np.concatenate([np.arange(len(first)), np.flatnonzero(first != second)])
     order = np.argsort(owner, kind="stable")
     joint, bounds = joint[order], np.searchsorted(owner[order], np.arange(count + 1))
+    # some pairs for each of at most 2 * BLOCK_SHARE blocks: tens of MB, whatever the number of documents
+    plan = marks.sparkSession.sparkContext.broadcast((starts, joint, bounds, first, second))
 
     def deal(steps):
+        starts, joint, bounds, first, _ = plan.value
         for (values,) in steps:
             block = np.searchsorted(starts, np.array(values, dtype=np.int64).view(np.uint64), side="right") - 1
             times = bounds[block + 1] - bounds[block]
@@ -217,6 +220,7 @@ def links(marks: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             yield [pair.tolist(), (np.repeat(block, times) != first[pair]).tolist(), np.repeat(np.array(values, dtype=np.int64), times).tolist()]
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
+        *_, first, second = plan.value
         unsigned = rows["fp"].to_numpy(np.int64).view(np.uint64)
         other = rows["other"].to_numpy(bool)
         left, right = np.unique(unsigned[~other]), np.unique(unsigned[other])
