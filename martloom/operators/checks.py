@@ -78,8 +78,8 @@ def orphan_rows(
 ) -> DataFrame:
     """The child rows themselves; hot keys are spread before an unbroadcast join."""
     keyed = child.where(has_keys(child_keys))
-    hot = hot_keys_for(keyed, [(parent, child_keys)], small_parent).get(child_keys[0])
-    dealt = deal(keyed) if hot else keyed
+    hot = hot_keys_for(keyed, [(parent, child_keys)], small_parent).get(tuple(child_keys))
+    dealt = keyed if hot is None else deal(keyed)
     known = _keys_only(parent, parent_keys).distinct()
     orphans = join_parent(dealt, known, child_keys, parent_keys, "left_anti", hot)
     return orphans.select(*map(col, child.columns))

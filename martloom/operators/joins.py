@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from martloom.functions import col
 
-# Parents up to this many rows are left to Spark as they are: it broadcasts them when their
-# size allows, and otherwise splits skewed partitions at run time.
-SMALL_PARENT_ROWS = 200_000
+# Parents up to this size in bytes, by Spark's estimate, are left to Spark as they are: it
+# broadcasts them when their size allows, and otherwise splits skewed partitions at run time.
+SMALL_PARENT_BYTES = 64 << 20
 
-# Hot keys: at most HOT_KEYS per join column, each with at least 1/HOT_SHARE of the rows.
-HOT_KEYS = 64
+# A hot key holds at least 1/HOT_SHARE of the rows, so there are at most HOT_SHARE of them.
 HOT_SHARE = 2000
 TRACKED_ITEMS = 20_000
 
@@ -21,35 +22,60 @@ TRACKED_ITEMS = 20_000
 DEAL, SALT = "__deal", "__salt"
 
 
-def hot_keys(child: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
-    """Values that hold a large share of the rows, with that share, per column.
+def key_hash(df: DataFrame, keys: Sequence[str]) -> Column:
+    """One number for the tuple of key columns, equal for equal keys whatever their width; null if one is missing."""
+    values = []
+    for k in keys:
+        kind, value = df.schema[k].dataType, col(k)
+        if isinstance(kind, T.IntegralType):
+            value = value.cast("bigint")
+        elif isinstance(kind, (T.FractionalType, T.DecimalType)):
+            value = value.cast("double") + F.lit(0.0)  # one zero
+        values.append(value)
+    missing = [F.col("`" + k.replace("`", "``") + "`").isNull() for k in keys]
+    return F.when(~reduce(or_, missing), F.xxhash64(*values))
 
-    One pass over those columns with one sketch each.  The sketch only decides which keys get
-    spread out; results do not depend on its accuracy.  A column without such values is left
-    out; one where only missing keys are many has none listed.
+
+def _family(kind: T.DataType) -> str:
+    if isinstance(kind, T.IntegralType):
+        return "whole"
+    return "real" if isinstance(kind, (T.FractionalType, T.DecimalType)) else kind.simpleString()
+
+
+def hot_keys(child: DataFrame, keys: Sequence[Sequence[str]]) -> dict[tuple[str, ...], dict[int, float]]:
+    """For each tuple of columns the hashes of all its hot keys with their share of the rows.
+
+    One pass with one sketch per tuple.  The sketch only decides which keys get spread out;
+    results do not depend on its accuracy.  A tuple without hot keys is left out; one where only
+    missing keys are many has none listed.
     """
-    sketches = [F.count("*").alias("rows")]
-    usable = [c for c in columns if isinstance(child.schema[c].dataType, (T.IntegralType, T.StringType))]
-    for i, name in enumerate(usable):
-        quoted = "`" + name.replace("`", "``") + "`"
-        sketches.append(F.expr(f"approx_top_k({quoted}, {HOT_KEYS}, {TRACKED_ITEMS})").alias(f"k{i}"))
-    row = child.agg(*sketches).first()
+    tuples = list(dict.fromkeys(tuple(k) for k in keys))
+    if not tuples:
+        return {}
+    marked = child.select(*(key_hash(child, k).alias(f"h{i}") for i, k in enumerate(tuples)))
+    sketches = [F.expr(f"approx_top_k(h{i}, {HOT_SHARE}, {TRACKED_ITEMS})").alias(f"k{i}") for i in range(len(tuples))]
+    row = marked.agg(F.count("*").alias("rows"), *sketches, *(F.count_if(F.col(f"h{i}").isNull()).alias(f"n{i}") for i in range(len(tuples)))).first()
     found = {}
-    for i, name in enumerate(usable):
-        shares = {item["item"]: item["count"] / row["rows"] for item in row[f"k{i}"]}
-        hot = {key: share for key, share in shares.items() if share * HOT_SHARE >= 1}
-        if hot:
-            found[name] = {key: share for key, share in hot.items() if key is not None}
+    for i, k in enumerate(tuples):
+        least = row["rows"] / HOT_SHARE
+        hot = {x["item"]: x["count"] / row["rows"] for x in row[f"k{i}"] if x["item"] is not None and x["count"] >= least > 0}
+        if hot or row[f"n{i}"] >= least > 0:
+            found[k] = hot
     return found
 
 
 def hot_keys_for(
     child: DataFrame, parents: Sequence[tuple[DataFrame, Sequence[str]]], small: int | None = None
-) -> dict[str, dict]:
-    """Hot keys of the single-column joins whose parent is too large to be broadcast."""
-    limit = SMALL_PARENT_ROWS if small is None else small
-    wide = [columns[0] for parent, columns in parents if len(columns) == 1 and parent.count() > limit]
-    return hot_keys(child, list(dict.fromkeys(wide))) if wide else {}
+) -> dict[tuple[str, ...], dict[int, float]]:
+    """Hot keys of the joins whose parent is too large to be broadcast."""
+    limit = SMALL_PARENT_BYTES if small is None else small
+    wide = [tuple(columns) for parent, columns in parents if _estimated_bytes(parent) > limit]
+    return hot_keys(child, wide)
+
+
+def _estimated_bytes(df: DataFrame) -> int:
+    """Spark's own estimate, for which nothing is run."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def deal(child: DataFrame) -> DataFrame:
@@ -62,27 +88,26 @@ def deal(child: DataFrame) -> DataFrame:
 
 
 def spread(
-    child: DataFrame, parent: DataFrame, child_key: str, parent_key: str, hot: dict
+    child: DataFrame, parent: DataFrame, child_keys: Sequence[str], parent_keys: Sequence[str], hot: dict[int, float]
 ) -> tuple[DataFrame, DataFrame]:
     """Add a salt to both sides: hot child rows are dealt out, their parent rows repeated.
 
     A key with a share s of the rows is dealt to s times the number of shuffle partitions, so
     every part is about as large as an ordinary partition.  Only parent rows of hot keys are
     repeated, altogether at most about once per partition, whatever the size of the parent.
-    Rows without a key are dealt out too; they match nothing anyway.
+    Rows without a key are dealt out too; they match nothing anyway.  Places are hashed, for
+    keys may come at regular distances.
     """
     partitions = int(child.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = {key: max(2, round(share * partitions)) for key, share in hot.items()}
-    literals = [F.lit(x) for pair in parts.items() for x in pair]
-    key, ref = col(child_key), col(parent_key)
-    salts = F.when(key.isNull(), F.lit(partitions))
-    copies = F.array(F.lit(0))
-    if parts:
-        by_key = F.create_map(*literals)
-        salts = salts.when(key.isin(*parts), by_key[key])
-        copies = F.when(ref.isin(*parts), F.sequence(F.lit(0), by_key[ref] - 1)).otherwise(copies)
-    salt = F.pmod(F.col(DEAL), F.coalesce(salts, F.lit(1))).cast("int")
-    return child.withColumn(SALT, salt), parent.withColumn(SALT, F.explode(copies))
+    listed = [(key, max(2, round(share * partitions))) for key, share in hot.items()]
+    parts = F.broadcast(child.sparkSession.createDataFrame(listed, "__hot bigint, __parts int"))  # at most HOT_SHARE rows
+    own, other = key_hash(child, child_keys), key_hash(parent, parent_keys)
+    salts = F.when(F.col("__key").isNull(), F.lit(partitions)).otherwise(F.coalesce("__parts", F.lit(1)))
+    salted = child.withColumn("__key", own).join(parts, F.col("__key") == F.col("__hot"), "left")
+    salted = salted.withColumn(SALT, F.pmod(F.xxhash64(DEAL), salts).cast("int")).drop("__key", "__hot", "__parts")
+    copies = parent.withColumn("__key", other).join(parts, F.col("__key") == F.col("__hot"), "left")
+    copies = copies.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)))
+    return salted, copies.drop("__key", "__hot", "__parts")
 
 
 def join_parent(
@@ -96,11 +121,13 @@ def join_parent(
 ) -> DataFrame:
     """Join ``child`` and ``parent`` (aliased) on their keys, spreading the hot ones.
 
-    ``hot`` (also when empty: keyless rows) spreads a dealt child; None joins as it is.
+    ``hot`` (also when empty: keyless rows) spreads a dealt child; None joins as it is, and so
+    do keys whose types only a cast makes comparable.
     """
-    salted = hot is not None and len(child_keys) == 1
+    alike = all(_family(child.schema[c].dataType) == _family(parent.schema[p].dataType) for c, p in zip(child_keys, parent_keys, strict=True))
+    salted = hot is not None and alike
     if salted:
-        child, parent = spread(child, parent, child_keys[0], parent_keys[0], hot)
+        child, parent = spread(child, parent, child_keys, parent_keys, hot)
     child, parent = child.alias("child"), parent.alias(alias)
     condition = _all_equal(child_keys, parent_keys, alias)
     if salted:

@@ -200,7 +200,7 @@ def quarantine(fitted: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame
         .agg(F.count("*").alias("__n"), F.min(place).alias("__first"))
         .where(F.col("__n") > 1)
     )
-    hot = hot_keys(good, key).get(key[0]) if len(key) == 1 else None
+    hot = hot_keys(good, [key]).get(tuple(key))
     dealt = good if hot is None else deal(good)
     marked = join_parent(dealt, repeated, key, [f"__{k}" for k in key], "left", hot)
     later = F.col("__first").isNotNull() & (F.struct(col(FILE, "child"), col(ROW, "child")) != F.col("__first"))

@@ -76,7 +76,7 @@ def build_enriched(
         parent = frames[link.parent_table].select(*map(col, [*link.parent_columns, *added]))
         alias = f"parent_{i}"
         joined = join_parent(
-            result, parent, link.child_columns, link.parent_columns, "left", hot.get(link.child_columns[0]), alias
+            result, parent, link.child_columns, link.parent_columns, "left", hot.get(tuple(link.child_columns)), alias
         )
         kept = names + ([DEAL] if hot else [])
         result = joined.select(

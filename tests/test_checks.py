@@ -54,22 +54,39 @@ def skewed(spark):
     return child, parent
 
 
-def test_hot_keys(skewed):
+def test_hot_keys(spark, skewed):
     child, _ = skewed
-    found = hot_keys(child, ["k"])["k"]
-    assert set(found) == {7} and abs(found[7] - 1 / 3) < 0.01
+    found = hot_keys(child, [["k"], ["k", "v"]])
+    seven = spark.range(1).select(F.xxhash64(F.lit(7).cast("bigint"))).first()[0]
+    assert set(found["k",]) == {seven} and abs(found["k",][seven] - 1 / 3) < 0.01
+    assert len(found["k", "v"]) == 2
+
+
+def test_all_hot_keys_are_spread_on_any_kind_of_key(spark):
+    """A hundred keys with a hundredth of the rows each, on a date and a decimal together."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 100).cast("int"))
+    child = spark.range(20000).select(day.alias("d"), (F.col("id") % 100).cast("decimal(10,2)").alias("n"), F.col("id").alias("v"))
+    parent = spark.range(150).select(F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("pd"), F.col("id").alias("pn"))
+    hot = hot_keys(child, [["d", "n"]])["d", "n"]
+    assert len(hot) == 100
+    same = parent.withColumn("pn", F.col("pn").cast("decimal(12,1)"))
+    salted, copies = joins.spread(deal(child), same, ["d", "n"], ["pd", "pn"], hot)
+    assert copies.count() == 250 and salted.select("d", joins.SALT).distinct().count() == 200
+    for right in (same, parent):  # decimals meet whole numbers by a cast: joined as they are
+        joined = join_parent(deal(child), right, ["d", "n"], ["pd", "pn"], "left", hot)
+        assert joined.where(F.col("pd").isNotNull()).count() == 20000 and joined.count() == 20000
 
 
 def test_spread_join_equals_plain_join(spark, skewed, monkeypatch):
     child, parent = skewed
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        hot = hot_keys(child, ["k"])["k"]
+        hot = hot_keys(child, [["k"]])["k",]
         for how in ("left", "left_anti"):
             plain = join_parent(child, parent, ["k"], ["pk"], how).groupBy("child.k", "child.v").count()
             spread = join_parent(deal(child), parent, ["k"], ["pk"], how, hot).groupBy("child.k", "child.v").count()
             assert sorted(map(tuple, plain.collect()), key=repr) == sorted(map(tuple, spread.collect()), key=repr)
-        salted, _ = joins.spread(deal(child), parent, "k", "pk", hot)
+        salted, _ = joins.spread(deal(child), parent, ["k"], ["pk"], hot)
         sizes = {tuple(r)[:2]: r["count"] for r in salted.groupBy("k", joins.SALT).count().collect()}
         assert max(sizes.values()) < 6000
         assert max(n for (k, _), n in sizes.items() if k is None) < 3000
