@@ -214,7 +214,7 @@ def _quality_sql() -> str:
         "lower": "a-z", "upper": "A-Z", "digit": "0-9", "blank": r"\x20\x09", "line": r"\x0A-\x0D", "symbol": "#*$%&|<>",
         "mark": r"!\x22'()+,\-./:;=?@\[\\\]\^_`{}~", "control": r"\x00-\x08\x0E-\x1F\x7F", "beyond": r"\x{80}-\x{10FFFF}",
     }
-    counted = ", ".join(f"length(regexp_replace(t, '[^{c.replace(chr(39), chr(39) * 2)}]', '', 'g')) as {k}_" for k, c in classes.items())
+    counted = ", ".join(f"length(regexp_replace(t, '[^{c.replace(chr(39), chr(39) * 2)}]+', '', 'g')) as {k}_" for k, c in classes.items())
     names = [f"{k}_" for k in classes]
     long = " union all ".join(f"select r, lang, '{n}' as c, {n} as n, {' + '.join(names)} as total from k" for n in names)
     part = "coalesce(case when {x} > 0 then {x} * log2({x} / ({x} + {y}) * 2) end, 0)"
@@ -230,7 +230,7 @@ def _quality_sql() -> str:
                select r, l, count(*) as n from (select r, unnest(string_split(t, chr(10))) as l from d)
                where regexp_matches(l, '[^\\x20\\x09-\\x0D]') group by r, l) group by r),
     base as (select d.r, doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as word_chars,
-                    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols, coalesce(dups.n, 0) as n_dup_lines,
+                    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as n_symbols, coalesce(dups.n, 0) as n_dup_lines,
                     coalesce(reps.n, 0) as n_repeat_words
              from d left join reps using (r) left join dups using (r)),
     k as (select r, lang, none, {counted} from d),
