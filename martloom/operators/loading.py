@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from martloom.functions import col
@@ -174,7 +175,7 @@ def _without(rows: DataFrame, files: set[str]) -> DataFrame:
     """Rows of other files; Spark decides by the size of the list how to join it."""
     if not files:
         return rows
-    names = rows.sparkSession.createDataFrame([(name,) for name in sorted(files)], f"{FILE} string")
+    names = rows.sparkSession.createDataFrame(pa.table({FILE: sorted(files)}))  # of known size
     return rows.join(names, FILE, "left_anti")
 
 

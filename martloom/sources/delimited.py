@@ -32,10 +32,12 @@ def scan_csv(
     in as many lines only.
     """
     reader = spark.read.option("escape", '"').option("enforceSchema", True)
+    files = part_files(spark, path) or [path]
+    first = _first_lines(spark, path) if len(files) > 1 else []
     if multi_line is None:
-        multi_line = has_quoted_breaks(spark, path, rows)
+        multi_line = any(r["open"] for r in first) if first and not rows else has_quoted_breaks(spark, path, rows)
     reader = reader.option("multiLine", multi_line)
-    parts = [_part(spark, reader, files, cells, provenance, path) for cells, files in _headers(reader, spark, path)]
+    parts = [_part(spark, reader, some, cells, provenance, path) for cells, some in _headers(reader, path, files, first)]
     names = parts[0].columns[: len(parts[0].columns) - 2 * provenance]
     df = parts[0]
     for part in parts[1:]:
@@ -49,30 +51,32 @@ def scan_csv(
     return apply_types(df, infer_types(df.select(*map(col, names)), dates=False)) if infer else df
 
 
-def _headers(reader, spark: SparkSession, path: str) -> list[tuple[list[str | None], list[str]]]:
+def _first_lines(spark: SparkSession, path: str) -> list:
+    """Each different first line of the part files, with its files and whether a line of theirs leaves a quote open: one pass."""
+    row = F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("row"), "value")
+    file = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    lines = spark.read.text(path).where("value <> ''").select(file.alias("file"), row.alias("first"), _opens(F.col("value")).alias("open"))
+    each = lines.groupBy("file").agg(F.min("first").alias("first"), F.bool_or("open").alias("open"))
+    return each.groupBy(F.col("first.value").alias("line")).agg(F.collect_list("file").alias("files"), F.bool_or("open").alias("open")).collect()
+
+
+def _headers(reader, path: str, files: list[str], first: list) -> list[tuple[list[str | None], list[str]]]:
     """The different headers of the part files, each with the paths to read; most often one, with the whole source."""
-    files = part_files(spark, path) or [path]
     if len(files) == 1:
         header = reader.option("header", False).csv(files).head(1)
         if not header:
             raise ValueError(f"No columns to parse from file: {path}")
         return [(list(header[0]), [path])]
-    row = F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("row"), "value")
-    file = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
-    lines = spark.read.text(path).where("value <> ''").select(file.alias("file"), row.alias("first"))
-    first = lines.groupBy("file").agg(F.min("first").alias("first")).select("file", F.col("first.value").alias("line"))
-    each = first.groupBy("line").agg(F.min("file").alias("file"), F.count("*").alias("files")).orderBy("file").collect()
-    if not each:
+    if not first:
         raise ValueError(f"No columns to parse from file: {path}")
-    cells = [list(reader.option("header", False).csv(r["file"]).first()) for r in each]
-    for other, r in zip(cells[1:], each[1:], strict=True):
+    listed = sorted((sorted(r["files"]) for r in first), key=lambda f: f[0])
+    cells = [list(reader.option("header", False).csv(some[0]).first()) for some in listed]
+    for other, some in zip(cells[1:], listed[1:], strict=True):
         if sorted(header_names(other)) != sorted(header_names(cells[0])):
-            raise ValueError(f"Part files with different columns: {each[0]['file']} and {r['file']}")
+            raise ValueError(f"Part files with different columns: {listed[0][0]} and {some[0]}")
     if len({tuple(c) for c in cells}) == 1:
         return [(cells[0], [path])]
-    told = first.groupBy("line").agg(F.collect_list("file").alias("files")).collect()
-    by_line = {r["line"]: sorted(r["files"]) for r in told}
-    return [(c, by_line[r["line"]]) for c, r in zip(cells, each, strict=True)]
+    return list(zip(cells, listed, strict=True))
 
 
 def _part(spark: SparkSession, reader, files: list[str], header: list[str | None], provenance: bool, path: str) -> DataFrame:
@@ -103,11 +107,14 @@ def has_quoted_breaks(spark: SparkSession, path: str, rows: int | None = None) -
 
     Such a line opens a value with a quote and holds an odd number of quotes; a stray quote inside a value is none.
     """
-    line = F.col("value")
-    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
     text = spark.read.text(path)
     text = text.limit(rows + 1) if rows else text
-    return not text.where((quotes % 2 == 1) & line.rlike('(^|,)\\s*"')).isEmpty()
+    return not text.where(_opens(F.col("value"))).isEmpty()
+
+
+def _opens(line: Column) -> Column:
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    return (quotes % 2 == 1) & line.rlike('(^|,)\\s*"')
 
 
 def header_names(cells: list[str | None]) -> list[str]:
