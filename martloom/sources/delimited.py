@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
 from martloom.functions import col
 from martloom.functions.missing import na_to_null
@@ -52,12 +52,25 @@ def scan_csv(
 
 
 def _first_lines(spark: SparkSession, path: str) -> list:
-    """Each different first line of the part files, with its files and whether a line of theirs leaves a quote open: one pass."""
-    row = F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("row"), "value")
-    file = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
-    lines = spark.read.text(path).where("value <> ''").select(file.alias("file"), row.alias("first"), _opens(F.col("value")).alias("open"))
-    each = lines.groupBy("file").agg(F.min("first").alias("first"), F.bool_or("open").alias("open"))
-    return each.groupBy(F.col("first.value").alias("line")).agg(F.collect_list("file").alias("files"), F.bool_or("open").alias("open")).collect()
+    """Each different first line of the part files, with its files and whether a line of theirs leaves a quote open.
+
+    One pass compares all files with some first line; only where one differs is a second needed to list them.
+    """
+    file = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("file")
+    at = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
+    lines = spark.read.text(path).where("value <> ''")
+    some = lines.select(file, "value").first()
+    if some is None:
+        return []
+    same = F.col("value") == F.lit(some["value"])
+    marked = lines.select(file, at.alias("at"), F.when(same, at).alias("known"), _opens(F.col("value")).alias("open"))
+    each = marked.groupBy("file").agg(F.min("at").alias("at"), F.min("known").alias("known"), F.bool_or("open").alias("open"))
+    found = each.agg(F.count_if(~F.col("at").eqNullSafe(F.col("known"))).alias("others"), F.bool_or("open").alias("open")).first()
+    if not found["others"]:
+        return [Row(line=some["value"], files=[some["file"]], open=found["open"])]
+    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("row"), "value")
+    first = lines.select(file, place.alias("first")).groupBy("file").agg(F.min("first").alias("first"))
+    return first.groupBy(F.col("first.value").alias("line")).agg(F.collect_list("file").alias("files"), F.lit(found["open"]).alias("open")).collect()
 
 
 def _headers(reader, path: str, files: list[str], first: list) -> list[tuple[list[str | None], list[str]]]:
