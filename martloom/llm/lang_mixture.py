@@ -9,7 +9,6 @@ Repeated rows are judged one by one, an empty table gives an empty result, other
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +30,11 @@ PENALTY = 6.0
 REJECT_BELOW = 0.25
 # Languages a task counts at a time.
 HELD_LANGUAGES = 32
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Numbers, signs and marks alone, of any script, are no letters."""
+    return any(map(str.isalpha, text or ""))
 
 
 def byte_classes() -> bytes:
@@ -67,11 +70,9 @@ class Languages:
 
     def mixture(self, text: str | None) -> tuple[list[str], list[float], float]:
         """Languages of the chosen set by falling proportion, their proportions, and the first one's share among all languages."""
-        if not text or not self.names or not _LETTER.search(text):
+        if not self.names or not has_letter(text):
             return [], [], 0.0
         found, counts = np.unique(grams(text), return_counts=True)
-        if not len(found):
-            return [], [], 0.0
         chances, counts = self.chances[found], counts.astype(np.float32)
         total = counts.sum()
         shares, _ = maximise(chances, counts, total, np.full(len(self.names), 1 / len(self.names), np.float32), ROUNDS)
@@ -94,7 +95,7 @@ class Languages:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         names, _, score = self.mixture(text)
-        return (names[0], score) if names else (UNKNOWN if not self.names or not text or not _LETTER.search(text) else self.names[0], 0.0)
+        return (names[0], score) if names else (UNKNOWN, 0.0)
 
 
 def maximise(chances: np.ndarray, counts: np.ndarray, total: float, shares: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
@@ -155,7 +156,7 @@ def identify(docs: DataFrame, languages: Languages, key: str = "doc_id", text: s
         model = shared.value
         for keys, texts in steps:
             mixed = [model.mixture(t) for t in texts]
-            said = [(m[0][0], m[2]) if m[0] else model.predict(t) for m, t in zip(mixed, texts, strict=True)]
+            said = [(m[0][0], m[2]) if m[0] else (UNKNOWN, 0.0) for m in mixed]
             yield [keys, [s[0] for s in said], [s[1] for s in said], [m[0] for m in mixed], [m[1] for m in mixed]]
 
     schema = f"{key} {dict(rows.dtypes)[key]}, lang_pred string, score double, languages array<string>, proportions array<double>"

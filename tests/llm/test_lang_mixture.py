@@ -45,6 +45,12 @@ def test_expectation_maximisation_raises_the_likelihood_to_its_top():
         assert counts @ np.log(chances @ draw.dirichlet(np.ones(3))) <= best + 3  # rounds end once shares are settled
 
 
+@pytest.mark.parametrize("text, letter", [(None, False), ("", False), ("12 ² ½ Ⅷ ① _-", False), ("1 é", True), ("数", True), ("ª", True)])
+def test_letters(spark, text, letter):
+    assert lm.has_letter(text) is letter
+    assert (known(spark).predict(text)[0] != "und") is letter
+
+
 def test_held_out_accuracy_and_mixtures(spark):
     model = known(spark)
     for seed in range(100, 120):
