@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from martloom.functions import col
 from martloom.functions.display import display
@@ -13,6 +13,8 @@ from martloom.operators.typing import first_values, infer_types
 from martloom.session import run_together
 
 SAMPLE_VALUES = 5
+# Parts of the rows whose first places bound the samples.
+SAMPLE_PARTS = 64
 
 # Longer texts are told apart by their SHA-256, so the shuffle carries 32 bytes and not the text.
 DIGEST_FROM = 64
@@ -66,9 +68,7 @@ def column_counts(df: DataFrame, exact: bool = True) -> DataFrame:
         )
     stats = []
     for i, f in enumerate(df.schema.fields):
-        value = col(f.name)
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            value = F.nanvl(value, F.lit(None).cast(f.dataType))
+        value = _no_nan(col(f.name), f.dataType)
         counted = value_key(value, f.dataType) if isinstance(f.dataType, T.MapType) else value
         stats.append(
             F.struct(
@@ -117,26 +117,57 @@ def profile(
 
 
 def sample_values(df: DataFrame, order_by: str | None = None, count: int = SAMPLE_VALUES) -> DataFrame:
-    """The first non-null values of every column as text, repeats included.
+    """The first non-null values of every column as text, repeats included; NaN is no value.
 
-    Each column is a top-k of its own over two columns of the source, so nothing is collected
-    beyond ``count`` values a column.
+    In scan order a column is a limit, which reads no further than it must. By ``order_by`` there
+    are two passes for all columns together: rows are dealt to ``SAMPLE_PARTS`` parts by the hash of their
+    place, and the ``count`` smallest of the parts' first places bound those of the samples; the
+    second pass reads up to there, which is little more than the samples.
     """
-    parts = []
-    for f in df.schema.fields:
-        first = first_values(df, f.name, count, order_by)
-        position = F.col("ord") if order_by else F.monotonically_increasing_id()
-        part = first.select(
-            F.lit(f.name).alias("column_name"), position.alias("ord"), display(F.col("value"), f.dataType).alias("value")
-        )
-        part = part.groupBy("column_name").agg(F.array_sort(F.collect_list(F.struct("ord", "value"))).alias("firsts"))
-        parts.append(part.select("column_name", F.col("firsts.value").alias("sample_values")))
-    return union_all(parts)
+    values = [_no_nan(col(f.name), f.dataType) for f in df.schema.fields]
+    if order_by is None:
+        plain = df.select(*(v.alias(f.name) for v, f in zip(values, df.schema.fields, strict=True)))
+        return union_all([_listed(_first_in_scan(plain, f, count)) for f in df.schema.fields])
+    place = col(order_by)
+    part = F.pmod(F.xxhash64(place), F.lit(SAMPLE_PARTS)).alias("part")
+    firsts = df.groupBy(part).agg(*(F.min(F.when(v.isNotNull(), place)).alias(f"m{i}") for i, v in enumerate(values)))
+    bounds = firsts.agg(*(F.get(F.array_sort(F.collect_list(f"m{i}")), F.lit(count - 1)) for i in range(len(values)))).first()
+    cells = []
+    for f, value, bound in zip(df.schema.fields, values, bounds, strict=True):
+        cell = F.struct(F.lit(f.name).alias("column_name"), place.alias("ord"), display(value, f.dataType).alias("value"))
+        early = value.isNotNull()
+        if bound is not None:
+            early &= place.isNull() | (place <= F.lit(bound))
+        cells.append(F.when(early, cell))
+    if all(bound is not None for bound in bounds):
+        df = df.where(place.isNull() | (place <= F.lit(max(bounds))))
+    first = W.partitionBy("column_name").orderBy("ord")
+    near = df.select(F.inline(F.array_compact(F.array(*cells)))).withColumn("place", F.row_number().over(first))
+    return _listed(near.where(F.col("place") <= count).select("column_name", F.col("place").alias("ord"), "value"))
+
+
+def _first_in_scan(df: DataFrame, f: T.StructField, count: int) -> DataFrame:
+    text = display(F.col("value"), f.dataType).alias("value")
+    return first_values(df, f.name, count).select(F.lit(f.name).alias("column_name"), F.monotonically_increasing_id().alias("ord"), text)
+
 
+def _listed(firsts: DataFrame) -> DataFrame:
+    """A list per column of its few (ord, value) rows."""
+    listed = firsts.groupBy("column_name").agg(F.array_sort(F.collect_list(F.struct("ord", "value"))).alias("firsts"))
+    return listed.select("column_name", F.col("firsts.value").alias("sample_values"))
 
-def profile_all(frames: dict[str, DataFrame], **options) -> DataFrame:
-    """The catalogue of several sources; their types are inferred at the same time."""
-    return union_all(run_together([partial(profile, df, name, **options) for name, df in frames.items()]))
+
+def _no_nan(value: Column, data_type: T.DataType) -> Column:
+    return F.nanvl(value, F.lit(None).cast(data_type)) if isinstance(data_type, (T.DoubleType, T.FloatType)) else value
+
+
+def profile_all(frames: dict[str, DataFrame], order_by: dict[str, str] | None = None, **options) -> DataFrame:
+    """The catalogue of several sources; their types are inferred at the same time.
+
+    ``order_by`` names the column that numbers a source's rows, by source.
+    """
+    orders = order_by or {}
+    return union_all(run_together([partial(profile, df, name, order_by=orders.get(name), **options) for name, df in frames.items()]))
 
 
 def _no_cells(df: DataFrame) -> DataFrame:

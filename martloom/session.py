@@ -89,6 +89,28 @@ def hadoop_path(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write one small file from the driver, replacing what is there."""
+    fs, jpath = hadoop_path(spark, path)
+    out = fs.create(jpath, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """One small file as text; None if it is not there."""
+    fs, jpath = hadoop_path(spark, path)
+    if not fs.exists(jpath):
+        return None
+    source = fs.open(jpath)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     fs, jpath = hadoop_path(spark, path)
     return fs.exists(jpath)

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from martloom.functions import col
 from martloom.operators.checks import has_keys
 from martloom.operators.keys import replaced
-from martloom.session import drop_folder, list_folder, path_exists
-from martloom.spec import TableSpec
+from martloom.session import drop_folder, list_folder, path_exists, read_text, write_text
+from martloom.spec import ColumnSpec, TableSpec
 
 VERSION = re.compile(r"^v([0-9]{6})(?:_b([0-9]+))?$")
 
@@ -21,7 +21,8 @@ class TableStore:
 
     A write goes to a new version folder, which counts once Spark has committed it (its
     ``_SUCCESS`` marker), so readers never see half a table and a lost job leaves the old
-    version in place.  With ``buckets`` tables with a primary key are bucketed by it: an upsert
+    version in place.  Beside each version is its spec, so what a table means can be read back
+    with it.  With ``buckets`` tables with a primary key are bucketed by it: an upsert
     then shuffles the batch only, not the stored table.
     """
 
@@ -42,6 +43,16 @@ class TableStore:
             raise ValueError(f"no such table: {table}")
         return self.spark.read.parquet(path)
 
+    def spec(self, table: str) -> TableSpec | None:
+        """The spec that the current version was written with; None for tables that have none."""
+        path = self._current(table)
+        said = read_text(self.spark, _spec_path(path)) if path else None
+        return TableSpec.from_json(said) if said else None
+
+    def specs(self) -> list[TableSpec]:
+        """The specs of all tables that have one, by name."""
+        return [spec for name in self.tables() if (spec := self.spec(name))]
+
     def write(self, spec: TableSpec, df: DataFrame) -> DataFrame:
         """Replace the table; returns it as stored."""
         df = df.select(*map(col, spec.column_names))
@@ -73,7 +84,11 @@ class TableStore:
                 existing = bucketed
             merged = replaced(existing.where(has_keys(key)), batch, key).unionByName(keyless, allowMissingColumns=True)
         extra = [c for c in merged.columns if c not in spec.column_names]
-        return self._publish(spec, merged.select(*map(col, [*spec.column_names, *extra])))
+        stored = self.spec(spec.name)
+        # columns that only the stored table has stay, and have no value in new rows
+        kept = [ColumnSpec(c.name, c.sql_type) for c in stored.columns if c.name in extra] if stored else []
+        whole = TableSpec(spec.name, (*spec.columns, *kept), spec.foreign_keys)
+        return self._publish(whole, merged.select(*map(col, [*spec.column_names, *extra])))
 
     def publish(self, name: str, df: DataFrame) -> DataFrame:
         """Replace a table that has no spec; returns it as stored."""
@@ -86,6 +101,7 @@ class TableStore:
         old = [n for _, n in self._versions(table) if last and n < last[0]]
         for name in old:
             drop_folder(self.spark, f"{self.root}/{table}/{name}")
+            drop_folder(self.spark, _spec_path(f"{self.root}/{table}/{name}"))
         return old
 
     def _versions(self, table: str) -> list[tuple[int, str]]:
@@ -129,19 +145,24 @@ class TableStore:
         versions = self._versions(spec.name)
         number = versions[-1][0] + 1 if versions else 1
         key = spec.primary_key
-        folder = f"{self.root}/{spec.name}/v{number:06d}"
-        if key and self.buckets:
-            path = f"{folder}_b{self.buckets}"
+        bucketed = bool(key and self.buckets)
+        path = f"{self.root}/{spec.name}/v{number:06d}" + (f"_b{self.buckets}" if bucketed else "")
+        if spec.columns:
+            write_text(self.spark, _spec_path(path), spec.to_json())  # counts once the version does
+        if bucketed:
             writer = df.write.format("parquet").bucketBy(self.buckets, *key).sortBy(*key)
             writer.option("path", path).mode("error").saveAsTable(_catalog_name(path))
             # the catalogue entries only carry the bucketing; dropping them leaves the files
             for name in [folder_name for _, folder_name in versions] + [path.rsplit("/", 1)[-1]]:
                 self.spark.sql(f"DROP TABLE IF EXISTS {_catalog_name(f'{self.root}/{spec.name}/{name}')}")
         else:
-            path = folder
             df.write.parquet(path)
         return self.spark.read.parquet(path)
 
 
+def _spec_path(version: str) -> str:
+    return f"{version}.spec.json"
+
+
 def _catalog_name(path: str) -> str:
     return "martloom_" + hashlib.md5(path.encode()).hexdigest()

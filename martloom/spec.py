@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import types as T
 
@@ -93,6 +94,15 @@ class TableSpec:
             [T.StructField(c.name, c.spark_type, c.nullable, {"pk": c.primary_key}) for c in self.columns]
         )
 
+    def to_json(self) -> str:
+        return json.dumps(asdict(self))
+
+    @classmethod
+    def from_json(cls, text: str) -> TableSpec:
+        said = json.loads(text)
+        links = [ForeignKey(tuple(k["columns"]), k["ref_table"], tuple(k["ref_columns"])) for k in said["foreign_keys"]]
+        return cls(said["name"], tuple(ColumnSpec(**c) for c in said["columns"]), tuple(links))
+
     @property
     def generated_key(self) -> str | None:
         """The single integer primary key, whose missing values a load numbers itself."""

@@ -245,3 +245,21 @@ def test_every_part_file_is_in_the_report(spark, folder):
     assert sorted((r["source_file"], r["rows"], r["status"], r["reason"]) for r in done.report.collect()) == [
         ("p1", 1, "loaded", ""), ("p2", 0, "skipped", "All transformed rows were empty"),
     ]
+
+
+@pytest.mark.parametrize("buckets", [None, 4])
+def test_specs_are_stored_beside_the_versions(spark, folder, buckets):
+    store = TableStore(spark, folder, buckets)
+    links = {"v": ("other", "id"), ("id", "n"): ("pair", ("a", "b"))}
+    spec = table("t", "id INTEGER, v TEXT, n INTEGER", "id", not_null=["v"], foreign_keys=links)
+    store.write(spec, spark.createDataFrame([(1, "a", 1), (2, "b", 2)], spec.spark_schema))
+    assert store.spec("t") == spec and store.specs() == [spec] and store.spec("absent") is None
+    wider = table("t", "id INTEGER, v TEXT, more REAL", "id")
+    store.upsert(wider, spark.createDataFrame([(2, "c", 0.5)], wider.spark_schema))
+    stored = store.spec("t")
+    assert stored.column_names == store.read("t").columns == ["id", "v", "more", "n"] and stored.primary_key == ["id"]
+    assert stored.column("n").sql_type == "INTEGER" and stored.required == []
+    assert sorted(tuple(r) for r in store.read("t").collect()) == [(1, "a", None, 1), (2, "c", 0.5, None)]
+    assert len(store.vacuum("t")) == 1 and store.spec("t") == stored
+    store.publish("plain", spark.range(1))
+    assert store.spec("plain") is None and store.tables() == ["plain", "t"] and store.specs() == [stored]

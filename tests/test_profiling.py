@@ -87,3 +87,26 @@ def test_nan_is_a_missing_value(spark):
     for exact in (True, False):
         row = profile(df, "x", exact=exact).first()
         assert (row["null_pct"], row["distinct_count"]) == (0.5, 2)
+
+
+def test_sample_values_of_sparse_and_crowded_columns(spark):
+    count = F.col("id")
+    df = spark.range(5000).select(
+        "id", count.alias("all"), F.when(count >= 4998, count).alias("last"), F.lit(None).cast("string").alias("none"),
+        F.when(count % 700 == 3, F.lit(float("nan"))).when(count % 500 == 499, count.cast("double")).alias("rare"),
+    )
+    found = {r[0]: r[1] for r in sample_values(df.orderBy(F.desc("id")), order_by="id").collect()}
+    assert found["all"] == ["0", "1", "2", "3", "4"]
+    assert found["last"] == ["4998", "4999"]
+    assert "none" not in found
+    assert found["rare"] == ["499.0", "999.0", "1499.0", "1999.0", "2499.0"]
+
+
+def test_sample_values_where_all_places_are_equal(spark):
+    df = spark.range(3000).select(F.lit("same").alias("ord"), F.lit("v").alias("v"))
+    assert {r[0]: r[1] for r in sample_values(df, order_by="ord").collect()} == {"ord": ["same"] * 5, "v": ["v"] * 5}
+
+
+def test_sample_values_in_scan_order(spark):
+    df = spark.createDataFrame([(float("nan"), "a"), (1.0, None), (2.0, "b")], "v double, w string").coalesce(1)
+    assert {r[0]: r[1] for r in sample_values(df).collect()} == {"v": ["1.0", "2.0"], "w": ["a", "b"]}
