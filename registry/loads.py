@@ -6,10 +6,13 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from martloom.functions.names import table_name
+from martloom.operators.discovery import extend_schema, infer_relationships, propose_schema, schema_specs
 from martloom.operators.inspection import table_counts
 from martloom.operators.keys import generate_keys, last_wins
 from martloom.operators.loading import (
     FILE,
+    NO_MAPPING,
     ROW,
     accepted_rows,
     file_statuses,
@@ -20,8 +23,10 @@ from martloom.operators.loading import (
     union_files,
 )
 from martloom.operators.mapping import Mapping
+from martloom.operators.profiling import profile_all
 from martloom.plans.migrate import Source, migrate
-from martloom.session import scratch_path
+from martloom.plans.models import build_enriched, build_staging
+from martloom.session import scratch_path, stage
 from martloom.sources.raw import RawTable, land_all, raw_counts
 from martloom.sources.store import TableStore
 from martloom.spec import TableSpec, table
@@ -233,6 +238,51 @@ def load_report_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return migrate(spark, specs, [source], mappings, store(spark)).report
 
 
+def migrate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five parts of a run's report, read back as they were written (but for the time of the run)."""
+    path = scratch_path(spark, "report")
+    sources = [Source(f"{n}.csv", given(spark, sf_dir, n), order) for n, order in (("customer", "c_custkey"), ("orders", "o_orderkey"), ("part", "p_partkey"))]
+    migrate(spark, MIGRATED, sources, MAPPINGS, store(spark), report_path=path)
+
+    def part(name: str, schema: str, *values) -> DataFrame:
+        said = [F.coalesce(F.expr(v).cast("string"), F.lit("")).alias(c) for c, v in zip("abcd", values, strict=True)]
+        return spark.read.schema(schema).json(f"{path}/{name}").select(F.lit(name).alias("part"), *said)
+
+    listed = ("run", "timestamp string, source_files array<string>, selected_tables array<string>", "array_join(source_files, ' ')",
+              "array_join(selected_tables, ' ')", "timestamp is not null", "''")
+    loaded = ("rows_loaded", "`table` string, source_file string, rows long, status string, reason string", "`table`", "source_file",
+              "rows", "concat_ws(': ', status, nullif(reason, ''))")
+    mapped = ("mappings", "target_table string, target_column string, source_file string, source_column string, transformation string",
+              "target_table", "target_column", "concat_ws('.', source_file, source_column)", "transformation")
+    columns = ("target_columns", "`table` string, column string, sql_type string, primary_key boolean", "`table`", "column", "sql_type", "primary_key")
+    checked = ("validation", "`table` string, row_count long, fk_violations long, status string", "`table`", "row_count", "fk_violations", "status")
+    first, *rest = (part(*p) for p in (listed, loaded, mapped, columns, checked))
+    for df in rest:
+        first = first.unionByName(df)
+    return first
+
+
+def extend_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored project meets new sources: their schema is proposed, the stored specs are extended, rows
+    are upserted, and orders are modelled from the specs as stored."""
+    project = store(spark, BUCKETS)
+    first = table("order", "order_id INTEGER, customer_id INTEGER, price REAL", "order_id")
+    project.write(first, fit_rows(target(spark, sf_dir, "order"), first))
+    opened = given(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(
+        F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"),
+        (F.col("o_totalprice") + 1).alias("price"), F.col("o_orderpriority").alias("priority"),
+    )
+    customers = given(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("segment"))
+    frames = {"source2_order.csv": opened, "source2_customer.csv": customers}
+    proposed = schema_specs(propose_schema(stage(profile_all(frames), "catalog")))
+    new = {table_name(name): df for name, df in frames.items()}
+    for spec in extend_schema(project.specs(), proposed):
+        project.upsert(spec, fit_rows(new[spec.name], spec))
+    specs = {spec.name: spec for spec in project.specs()}
+    staging = {name: build_staging(project.read(name), spec) for name, spec in specs.items()}
+    return build_enriched(specs["order"], infer_relationships(list(specs.values())), specs, staging)
+
+
 QUERIES = {
     "load_recreate": load_recreate,
     "load_multi_file": load_multi_file,
@@ -249,6 +299,8 @@ QUERIES = {
     "migrate_all": migrate_all,
     "migrate_selected": migrate_selected,
     "migrate_project": migrate_project,
+    "migrate_report": migrate_report,
+    "extend_project": extend_project,
 }
 
 FILES_SQL = f"""
@@ -270,7 +322,41 @@ REPORT_SQL = f"""{FILES_SQL},
                 when 'e.csv' then 'NOT NULL constraint failed: order.customer_id' else '' end as reason
         from files group by source_file)"""
 
+
+
+def _report_sql() -> str:
+    """Files without a mapping for a target are reported as skipped."""
+    named = {"customer": "customer", "order": "orders", "product": "part"}
+    rows = ["select 'run' as part, 'customer.csv orders.csv part.csv' as a, 'customer order product brand' as b, 'true' as c, '' as d"]
+    for spec in MIGRATED:
+        for source in ("customer", "orders", "part"):
+            if named.get(spec.name) == source:
+                rows.append(f"select 'rows_loaded', '{spec.name}', '{source}.csv', cast(count(*) as varchar), 'loaded' from {source}")
+            else:
+                rows.append(f"select 'rows_loaded', '{spec.name}', '{source}.csv', '0', 'skipped: {NO_MAPPING}'")
+        rows += [
+            f"select 'target_columns', '{spec.name}', '{c.name}', '{c.sql_type}', '{str(c.primary_key).lower()}'" for c in spec.columns
+        ]
+        bad = "count(c_nationkey)" if spec.name == "customer" else "0"
+        status = "warning" if spec.name == "customer" else "ok"
+        if spec.name in named:
+            counted = f"cast(count(*) as varchar), cast({bad} as varchar), '{status}' from {named[spec.name]}"
+        else:
+            counted = "'0', '0', 'ok'"
+        rows.append(f"select 'validation', '{spec.name}', {counted}")
+    rows += [
+        f"select 'mappings', '{m.target_table}', '{m.target_column}', '{m.source_file}.{m.source_column}', '{m.transformation or ''}'"
+        for m in MAPPINGS
+    ]
+    return " union all ".join(rows)
+
+
 ORACLES = {
+    "migrate_report": _report_sql(),
+    "extend_project": """
+        select o_orderkey as order_id, o_custkey as customer_id, case when o_orderstatus = 'O' then o_totalprice + 1 else o_totalprice end as price,
+            case when o_orderstatus = 'O' then o_orderpriority end as priority, c_mktsegment as customer_segment
+        from orders left join customer on o_custkey = c_custkey""",
     "load_recreate": f"select {STORED_SQL} from orders",
     "load_multi_file": f"select * replace (case when status <> 'O' then price end as price) from (select {STORED_SQL} from orders)",
     "load_file_atomic": f"""{FILES_SQL}

@@ -14,6 +14,7 @@ from martloom.plans.models import (
     write_mart,
 )
 from martloom.session import scratch_path
+from martloom.spec import Relationship, table
 from registry.model import RELATIONSHIPS, SPECS, given, staged_sql, target, targets, with_sql
 
 
@@ -67,6 +68,20 @@ def mart_line_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_enriched(SPECS["line"], [r for r in RELATIONSHIPS if r.child_table == "line"], SPECS, staging)
 
 
+TALKS = [
+    table("talk", "conv_id INTEGER, turn INTEGER, role TEXT, text TEXT", foreign_keys={("turn", "role"): ("slot", ("turn", "role"))}),
+    table("slot", "turn INTEGER, role TEXT, talks INTEGER", ["turn", "role"]),
+]
+
+
+def mart_conversation_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns joined on a composite key of which few values hold all rows, in the way of parents too large to broadcast."""
+    talks = given(spark, sf_dir, "conversations").select(F.col("conv_id"), F.col("turn").cast("bigint"), "role", "text")
+    slots = talks.where("role <> 'user'").groupBy("turn", "role").agg(F.count("*").alias("talks"))
+    links = [Relationship("talk", ("turn", "role"), "slot", ("turn", "role"), "declared_fk")]
+    return build_enriched(TALKS[0], links, {t.name: t for t in TALKS}, {"talk": talks, "slot": slots}, small_parent=-1)
+
+
 LINE_COLUMNS = [
     ("order_id", "l_orderkey"), ("product_id", "l_partkey"), ("supplier_id", "l_suppkey"),
     ("line_no", "l_linenumber"), ("quantity", "l_quantity"), ("price", "l_extendedprice"),
@@ -136,6 +151,7 @@ QUERIES |= {f"mart_{name}": mart_of(name) for name in ("order", "customer", "pro
 QUERIES |= {f"mart_{name}_enriched": enriched_of(name) for name in ("order", "customer", "supplier", "nation", "event", "label")}
 QUERIES |= {
     "mart_line_enriched": mart_line_enriched,
+    "mart_conversation_skew": mart_conversation_skew,
     "clean_cast_int": clean_cast_int,
     "clean_cast_real": clean_cast_real,
     "clean_text": clean_text_values,
@@ -170,6 +186,9 @@ ORACLES |= {
 }
 ORACLES |= {
     "mart_line_enriched": enriched_sql("line", ORPHAN_LINES_SQL),
+    "mart_conversation_skew": """
+        with slots as (select turn, role, count(*) as talks from conversations where role <> 'user' group by turn, role)
+        select conv_id, cast(turn as bigint) as turn, role, text, talks as slot_talks from conversations left join slots using (turn, role)""",
     "clean_cast_int": f"""
         with t as (
             select *, ' ' || o_custkey || ' ' as padded, '-' || o_custkey || '.7x' as signed,

@@ -11,13 +11,13 @@ from martloom.operators.discovery import (
     propose_schema,
     relationship_frame,
 )
-from martloom.operators.matching import NAME_WEIGHT, OVERLAP_WEIGHT, THRESHOLD, column_overlap, propose_mappings
+from martloom.operators.matching import NAME_WEIGHT, OVERLAP_WEIGHT, THRESHOLD, column_overlap, propose_mappings, proposed_list
 from martloom.operators.profiling import profile, profile_all, sample_values
 from martloom.operators.typing import infer_types
 from martloom.session import stage
 from martloom.spec import table
 from registry.checking import DEFECTIVE_SQL, defective, nulled_orders
-from registry.model import COLUMNS, SPECS, TABLES, given, target_sql, targets, with_sql
+from registry.model import COLUMNS, SPECS, TABLES, given, target, target_sql, targets, with_sql
 
 # Logical types of the given tables' columns; every column not listed is text.
 TYPES = {
@@ -78,6 +78,16 @@ def profile_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.select("column_name", F.array_join("sample_values", " | ").alias("sample_values"))
 
 
+# Sources and the column that numbers their rows.
+NUMBERED = {"customer": "c_custkey", "part": "p_partkey", "supplier": "s_suppkey", "nation": "n_nationkey", "region": "r_regionkey"}
+
+
+def profile_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue as the rules and a reader get it: types, counts and first values."""
+    found = profile_all({name: given(spark, sf_dir, name) for name in NUMBERED}, order_by=NUMBERED, samples=True)
+    return found.withColumn("sample_values", F.array_join("sample_values", " | "))
+
+
 def mixed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text copies of columns of every logical type, some with nulls or stray values."""
     text = given(spark, sf_dir, "orders").select(
@@ -156,6 +166,30 @@ def mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return propose_mappings(*_matching(spark, sf_dir))
 
 
+# Two columns of one file hold the customers' keys: the reference takes that of the key it refers to.
+LINKED_SPECS = [
+    table("customers", "cust_key INTEGER, segment TEXT", "cust_key"),
+    table("order", "order_id INTEGER, customer_id INTEGER, price REAL", "order_id", foreign_keys={"customer_id": ("customers", "cust_key")}),
+]
+
+
+def propose_mappings_fk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file with orders and their customers, mapped onto two linked tables."""
+    orders, customers = given(spark, sf_dir, "orders"), given(spark, sf_dir, "customer")
+    sales = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_orderkey").alias("order_id"), F.col("c_custkey").alias("cust_key"), F.col("c_custkey").alias("customer_id"),
+        F.col("o_totalprice").alias("price"), F.col("c_mktsegment").alias("segment"),
+    )
+    wanted = {
+        "customers": customers.select(F.col("c_custkey").alias("cust_key"), F.col("c_mktsegment").alias("segment")),
+        "order": target(spark, sf_dir, "order").select("order_id", "customer_id", "price"),
+    }
+    found = proposed_list(propose_mappings({"sales.csv": sales}, wanted), LINKED_SPECS)
+    schema = "target_table string, target_column string, source_file string, source_column string, confidence double, reason string"
+    rows = [(m.target_table, m.target_column, m.source_file, m.source_column, m.confidence, m.reason) for m in found]
+    return spark.createDataFrame(rows, schema)
+
+
 def propose_fks_none(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources without a common key: an empty proposal."""
     frames = {"benchmark.csv": given(spark, sf_dir, "benchmark"), "region.csv": given(spark, sf_dir, "region")}
@@ -168,6 +202,7 @@ QUERIES = {
     "profile_all": profile_tables,
     "profile_sampled": profile_sampled,
     "profile_samples": profile_samples,
+    "profile_catalog": profile_catalog,
     "infer_types": infer,
     "propose_pks": primary_keys,
     "propose_schema": schema,
@@ -175,6 +210,7 @@ QUERIES = {
     "infer_relationships": relationships,
     "column_overlap": overlap,
     "propose_mappings": mappings,
+    "propose_mappings_fk": propose_mappings_fk,
 }
 
 
@@ -190,6 +226,14 @@ def _profile_sql(source: str, relation: str, columns: list[str], types: dict[str
     return " union all ".join(parts)
 
 
+def _samples_sql(relation: str, key: str) -> str:
+    return " union all ".join(
+        f"select '{c}' as column_name, string_agg(v, ' | ' order by k) as sample_values from "
+        f"(select cast({c} as varchar) as v, {key} as k from {relation} where {c} is not null order by k limit 5)"
+        for c in GIVEN_COLUMNS[relation].split()
+    )
+
+
 def _catalog_sql() -> str:
     """Measured columns of the target model: nulls and distinct values."""
     kinds = {"INTEGER": "INTEGER", "REAL": "REAL", "TEXT": "TEXT"}
@@ -285,9 +329,12 @@ def _overlap_views() -> dict[str, str]:
     for name in ("order", "customer"):
         source, columns = COLUMNS[name]
         wanted.append(_values_sql([(name, t, c) for t, _, c in columns], source))
+    return {"s": " union ".join(sources), "t": " union ".join(wanted)} | _shared_views()
+
+
+def _shared_views() -> dict[str, str]:
+    """Overlaps of the values ``s`` of sources and ``t`` of targets."""
     return {
-        "s": " union ".join(sources),
-        "t": " union ".join(wanted),
         "sn": "select t, c, count(*) as d from s group by t, c",
         "tn": "select t, c, count(*) as d from t group by t, c",
         "shared": (
@@ -304,7 +351,17 @@ def _mappings_sql() -> str:
     wanted = " union all ".join(
         f"select '{n}' as target_table, '{t}' as target_column" for n in ("order", "customer") for t, _, _ in COLUMNS[n][1]
     )
-    views = _overlap_views() | {
+    return with_sql(
+        _overlap_views() | _best_views(wanted),
+        """select target_table, target_column, source_table as source_file, source_column,
+               coalesce(confidence, 0.0::double) as confidence
+           from wanted left join best using (target_table, target_column)""",
+    )
+
+
+def _best_views(wanted: str) -> dict[str, str]:
+    """The best source column of every wanted column."""
+    return {
         "wanted": wanted,
         "scored": f"""
             select *, 1 - levenshtein(lower(source_column), lower(target_column))
@@ -316,11 +373,26 @@ def _mappings_sql() -> str:
             qualify row_number() over (partition by target_table, target_column
                 order by confidence desc, source_table, source_column) = 1""",
     }
+
+
+def _linked_sql() -> str:
+    """The reference's own best column gives way to that of the key."""
+    sales = "(select * from orders join customer on o_custkey = c_custkey)"
+    held = [("order_id", "o_orderkey"), ("cust_key", "c_custkey"), ("customer_id", "c_custkey"), ("price", "o_totalprice"), ("segment", "c_mktsegment")]
+    own = [("customers", "cust_key", "c_custkey"), ("customers", "segment", "c_mktsegment")]
+    other = [("order", "order_id", "o_orderkey"), ("order", "customer_id", "o_custkey"), ("order", "price", "o_totalprice")]
+    views = {
+        "s": _values_sql([("sales.csv", alias, c) for alias, c in held], sales),
+        "t": _values_sql(own, "customer") + " union " + _values_sql(other, "orders"),
+    }
+    wanted = " union all ".join(f"select '{t}' as target_table, '{c}' as target_column" for t, c, _ in own + other)
     return with_sql(
-        views,
-        """select target_table, target_column, source_table as source_file, source_column,
-               coalesce(confidence, 0.0::double) as confidence
-           from wanted left join best using (target_table, target_column)""",
+        views | _shared_views() | _best_views(wanted),
+        """select w.target_table, w.target_column, source_table as source_file, source_column, confidence,
+               case when w.target_column = 'customer_id' then 'same source as the referenced key'
+                   else 'shared values and similar name' end as reason
+           from wanted w join best b on b.target_table = case when w.target_column = 'customer_id' then 'customers' else w.target_table end
+               and b.target_column = case when w.target_column = 'customer_id' then 'cust_key' else w.target_column end""",
     )
 
 
@@ -371,13 +443,10 @@ ORACLES = {
         {"o": "select * from orders order by o_orderkey limit 1000"},
         _profile_sql("orders", "o", GIVEN_COLUMNS["orders"].split()),
     ),
-    "profile_samples": " union all ".join(
-        f"select '{c}' as column_name, string_agg(cast({c} as varchar), ' | ' order by c_custkey) as sample_values "
-        f"from (select {c}, c_custkey from customer where {c} is not null order by c_custkey limit 5)"
-        if c != "c_custkey"
-        else "select 'c_custkey' as column_name, string_agg(cast(c_custkey as varchar), ' | ' order by c_custkey) as "
-        "sample_values from (select c_custkey from customer order by c_custkey limit 5)"
-        for c in GIVEN_COLUMNS["customer"].split()
+    "profile_samples": _samples_sql("customer", "c_custkey"),
+    "profile_catalog": " union all ".join(
+        f"select * from ({_profile_sql(t, t, GIVEN_COLUMNS[t].split())}) left join ({_samples_sql(t, k)}) using (column_name)"
+        for t, k in NUMBERED.items()
     ),
     "infer_types": _infer_sql(),
     "propose_pks": with_sql(NULLED_SQL, "").rstrip()
@@ -395,4 +464,5 @@ ORACLES = {
     "infer_relationships": _relationships_sql(),
     "column_overlap": with_sql(_overlap_views(), "select * from overlap"),
     "propose_mappings": _mappings_sql(),
+    "propose_mappings_fk": _linked_sql(),
 }
