@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from martloom.llm import fm_quality, lang_mixture, simhash_trie, sp_prefix, suffix_decontam
 from martloom.llm.queries import known_languages, quality_machine, table, tokenizer_path
-from martloom.session import stage
+from martloom.session import drop_scratch, scratch_path, stage
 from registry.scratch import ensure_scratch
 
 
@@ -55,9 +55,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_scratch(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), None
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "_"))
+        label = name.replace(" ", "_")
+        path = scratch_path(spark, label)
+        docs = stage(step(spark, docs, sf_dir), label, path)
+        if read:  # the stage is written, so nobody reads its predecessor's documents again
+            drop_scratch(spark, read)
+        read = path
     return docs
 
 
