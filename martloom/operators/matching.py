@@ -10,7 +10,7 @@ from martloom.functions import col
 from martloom.operators.frames import one_row, union_all
 from martloom.operators.mapping import Mapping
 from martloom.operators.profiling import value_key
-from martloom.session import stage
+from martloom.session import drop_scratch, scratch_path, stage
 from martloom.spec import TableSpec
 
 # Weights of value overlap and name likeness, and the least score of a proposal [our choice].
@@ -50,7 +50,9 @@ def column_overlap(sources: dict[str, DataFrame], targets: dict[str, DataFrame])
         *[F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(none)).alias(m) for w, m in enumerate(masks)]
     )
     # stored once: a row per set of columns that share values, read three times below
-    sets = stage(by_value.groupBy(*masks).agg(F.count("*").alias("values")), "sets")
+    spark = by_value.sparkSession
+    scratch = scratch_path(spark, "sets")
+    sets = stage(by_value.groupBy(*masks).agg(F.count("*").alias("values")), "sets", scratch)
 
     def members(side: str):
         held = [
@@ -72,7 +74,7 @@ def column_overlap(sources: dict[str, DataFrame], targets: dict[str, DataFrame])
     )
     names = F.array(*[F.struct(F.lit(t).alias("table"), F.lit(c).alias("column")) for _, t, c in columns])
     # both sides of these joins have at most one row per column (pair)
-    return (
+    found = (
         pairs.join(sizes.select(F.col("id").alias("s"), F.col("size").alias("source_distinct")), "s")
         .join(sizes.select(F.col("id").alias("t"), F.col("size").alias("target_distinct")), "t")
         .select(
@@ -87,6 +89,9 @@ def column_overlap(sources: dict[str, DataFrame], targets: dict[str, DataFrame])
             ),
         )
     )
+    result = stage(found, "overlap")  # a row per pair of columns, for which the sets need not stay
+    drop_scratch(spark, scratch)
+    return result
 
 
 def propose_mappings(
