@@ -9,14 +9,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from martloom.functions import col
 from martloom.operators.checks import has_keys
 from martloom.operators.numbering import number_rows, stage_for_numbering
-from martloom.session import stage
+from martloom.session import drop_scratch, scratch_path, stage
 
 
 def last_wins(df: DataFrame, key: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The last row of every key; rows with a NULL key part are all kept.
 
     An aggregate rather than a ranking window: each task first reduces its rows to one per key,
-    so a key that holds a third of all rows is not sorted in one task.
+    so a key that holds a third of all rows is not gathered in one task. Rows are structs here, for
+    which Spark sorts a task's own rows by key (spilling if need be) before it reduces them.
     """
     rest = [c for c in df.columns if c not in key]
     moment = F.struct(*[col(o) if isinstance(o, str) else o for o in order])
@@ -61,11 +62,16 @@ def generate_keys(df: DataFrame, key: str, order: Sequence[str] = (), start: int
     top = df.agg(F.max(col(key))).first()[0]
     known = max((v for v in (top, start) if v is not None), default=0)
     missing = df.where(col(key).isNull()).select(*[col(c) for c in columns if c != key])
+    scratch = None
     if order:
         # the place in the scan comes last, so that range partitions can split rows of equal order;
         # it is the place in a written table, which stays the same when a task runs again
-        missing = stage(missing, "keyless")
+        scratch = scratch_path(df.sparkSession, "keyless")
+        missing = stage(missing, "keyless", scratch)
         placed = missing.withColumn("__place", F.monotonically_increasing_id())
         missing = placed.orderBy(*map(col, order), "__place").drop("__place")
-    numbered = number_rows(stage_for_numbering(missing, "keys"), key, start=known)
+    sorted_rows = stage_for_numbering(missing, "keys")
+    if scratch:
+        drop_scratch(df.sparkSession, scratch)
+    numbered = number_rows(sorted_rows, key, start=known)
     return df.where(col(key).isNotNull()).unionByName(numbered.select(*map(col, columns)))
