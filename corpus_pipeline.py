@@ -20,7 +20,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a known language has a fair share; nothing is rejected where no language is known."""
+    """Documents that known languages, one or several, explain for the larger part; nothing is rejected where none is known."""
     known = known_languages(docs)
     return lang_mixture.keep_identified(docs, known) if known.names else docs
 

@@ -5,6 +5,11 @@ all such documents. For a document, expectation-maximisation estimates the langu
 set of languages is then chosen by its likelihood less a penalty for each language more. Texts
 that are null or have no letter are ``und`` with score 0, and so is every text if nothing was learned.
 Repeated rows are judged one by one, an empty table gives an empty result, other columns are ignored.
+
+The filter adds a component for all else to the mixture: letters drawn one by one, half by their shares in the
+languages and half at random. What it takes is in no known language, be it a language that was never learned or noise.
+A trigram that a language lacks tells the more, the more was learned: below some 100,000 trigrams a language, texts in
+other scripts stay.
 """
 
 from __future__ import annotations
@@ -26,8 +31,8 @@ SETTLED = 1e-3
 LEAST_SHARE = 0.02
 # Of the set's penalty: so many times half the logarithm of the document's trigrams, per language more.
 PENALTY = 6.0
-# Documents in which no language has at least this share are rejected by the filter; texts in two or three known languages stay.
-REJECT_BELOW = 0.25
+# Documents of which all known languages together explain less than this share are rejected by the filter; mixtures of known languages stay.
+REJECT_BELOW = 0.5
 # Languages a task counts at a time.
 HELD_LANGUAGES = 32
 
@@ -63,10 +68,11 @@ def grams(text: str) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Languages:
-    """Names, and each language's trigram probabilities (trigram by language)."""
+    """Names, each language's trigram probabilities (trigram by language), and those of anything else."""
 
     names: list[str]
     chances: np.ndarray
+    other: np.ndarray
 
     def mixture(self, text: str | None) -> tuple[list[str], list[float], float]:
         """Languages of the chosen set by falling proportion, their proportions, and the first one's share among all languages."""
@@ -93,6 +99,16 @@ class Languages:
         names = [self.names[members[i]] for i in ranked]
         return names, [float(weights[i]) for i in ranked], float(min(1, max(0, shares[members[ranked[0]]])))
 
+    def known_share(self, text: str | None) -> float:
+        """Share of all languages together, beside the component for anything else; 0 without a letter or a language."""
+        if not self.names or not has_letter(text):
+            return 0.0
+        found, counts = np.unique(grams(text), return_counts=True)
+        chances, counts = np.column_stack([self.chances[found], self.other[found]]), counts.astype(np.float32)
+        size = chances.shape[1]
+        shares, _ = maximise(chances, counts, counts.sum(), np.full(size, 1 / size, np.float32), ROUNDS)
+        return float(min(1, max(0, shares[:-1].sum())))
+
     def predict(self, text: str | None) -> tuple[str, float]:
         names, _, score = self.mixture(text)
         return (names[0], score) if names else (UNKNOWN, 0.0)
@@ -110,6 +126,16 @@ def maximise(chances: np.ndarray, counts: np.ndarray, total: float, shares: np.n
     return shares, float(counts @ np.log(chances @ shares))
 
 
+def background(counts: np.ndarray) -> np.ndarray:
+    """Trigrams of letters drawn one by one: half by their shares, each language weighing the same, half at random."""
+    totals = counts.sum(axis=0)
+    kinds = 1 << CLASS_BITS
+    shares = (counts[:, totals > 0] / totals[totals > 0]).sum(axis=1).reshape(kinds, kinds, kinds) / max(1, (totals > 0).sum())
+    first, middle, last = shares.sum(axis=(1, 2)), shares.sum(axis=(0, 2)), shares.sum(axis=(0, 1))
+    drawn = first[:, None, None] * middle[:, None] * last
+    return (0.5 * drawn.reshape(-1) + 0.5 / (kinds * (kinds - 1) * kinds)).astype(np.float32)
+
+
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Languages:
     """Trigram counts over all documents with a language; a row per language and seen trigram comes to the driver."""
     known = pick(docs, text, lang).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
@@ -144,7 +170,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Languages:
     for r in counted:
         counts[r["gram"], at[r["lang"]]] = r["n"]
     size = max(1, int((counts.sum(axis=1) > 0).sum()))
-    return Languages(names, ((counts + SMOOTHING) / (counts.sum(axis=0) + SMOOTHING * size)).astype(np.float32))
+    chances = (counts + SMOOTHING) / (counts.sum(axis=0) + SMOOTHING * size)
+    return Languages(names, chances.astype(np.float32), background(counts))
 
 
 def identify(docs: DataFrame, languages: Languages, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -164,15 +191,14 @@ def identify(docs: DataFrame, languages: Languages, key: str = "doc_id", text: s
 
 
 def keep_identified(docs: DataFrame, languages: Languages, text: str = "text", below: float = REJECT_BELOW) -> DataFrame:
-    """Documents in which one language has a share of ``below`` or more; ``und`` goes."""
+    """Documents of which the known languages together have a share of ``below`` or more; ``und`` goes."""
     shared = docs.sparkSession.sparkContext.broadcast(languages)
 
     def judge():
         model = shared.value
 
         def accept(texts):
-            said = [model.predict(t) for t in texts]
-            return [name != UNKNOWN and score >= below for name, score in said]
+            return [has_letter(t) and model.known_share(t) >= below for t in texts]
 
         return accept
 

@@ -71,3 +71,28 @@ def test_edges_and_clashing_columns(spark):
     nothing = lm.learn(documents(spark, []))
     assert {r.lang_pred for r in lm.identify(docs, nothing).collect()} == {"und"}
     assert lm.identify(documents(spark, []), model).collect() == []
+
+
+def test_filter_rejects_what_no_known_language_explains(spark):
+    learned = [(k, prose(k, 20_000, w), n) for k, (w, n) in enumerate([(ENGLISH, "en"), (GERMAN, "de"), (FRENCH, "fr")] * 3)]
+    draw = np.random.default_rng(0)
+    noise = " ".join("".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz"), draw.integers(2, 9))) for _ in range(200))
+    strange = [
+        noise, "Мой дядя самых честных правил, когда не в шутку занемог", "道可道非常道名可名非常名",
+        "Litwo, ojczyzno moja, ty jestes jak zdrowie; ile cie trzeba cenic, ten tylko sie dowie, kto cie stracil",
+    ]
+    mixed = [prose(50, 40, w) for w in (ENGLISH, GERMAN, FRENCH)]
+    good = [*mixed, " ".join(mixed), mixed[0] + " " + mixed[2], mixed[1] + " " + strange[1][:20]]
+    rows = list(enumerate([*strange, *good]))
+    model = lm.learn(documents(spark, learned))
+    kept = {r.doc_id for r in lm.keep_identified(documents(spark, rows), model).collect()}
+    assert kept == set(range(len(strange), len(rows)))
+    assert all(model.predict(t)[1] >= 0.25 for t in strange)  # a share among the known languages tells nothing
+
+
+def test_four_languages_in_equal_parts_stay(spark):
+    words = {"en": ENGLISH, "de": GERMAN, "fr": FRENCH, "xx": "kovi zumba bago wixy juhno pyqua fozz gykka".split()}
+    model = lm.learn(documents(spark, [(k, prose(k, 20_000, w), n) for k, (n, w) in enumerate(words.items())]))
+    text = " ".join(prose(9, 30, w) for w in words.values())
+    assert lm.keep_identified(documents(spark, [(1, text)]), model).count() == 1
+    assert sum(model.other[lm.grams(text)]) > 0 and model.other.sum() == pytest.approx(1, abs=0.02)
