@@ -4,18 +4,20 @@ score = logistic(w0 + sum w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2
 interactions at the cost of one pass over the features. It is fitted on at most ``FIT_ROWS`` labelled
 documents of each class (those with the smallest key hashes) and scores every whole text. Null and empty texts have
 features of their own and get a score like any other; without labelled rows every score is 0.5.
-Repeated rows are scored one by one. Other columns are never read.
+Repeated rows are scored one by one; in the fit an id counts once, with the text of the smallest digest.
+Other columns are never read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from martloom.llm.rows import filter_rows, map_batches, pick
+from martloom.llm.rows import STEP_ROWS, filter_rows, map_batches, pick
 
 # The bound of the labelled sample, for each class.
 FIT_ROWS = 6000
@@ -145,7 +147,7 @@ def train(x: np.ndarray, y: np.ndarray) -> Machine:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = FIT_ROWS) -> Machine:
-    """Fit on the labelled documents; at most ``rows`` of each class are taken, and only their features come to the driver."""
+    """Fit on the labelled documents; at most ``rows`` ids of each class are taken, and one row of features of each comes to the driver."""
     marked = pick(labels, key, label).where(F.col(key).isNotNull() & F.col(label).isin(0, 1))
     order = [F.xxhash64(F.col(key)), F.col(key)]
     some = [marked.where(F.col(label) == k).groupBy(key).agg(F.max(label).alias(label)).orderBy(*order).limit(rows) for k in (0, 1)]
@@ -154,11 +156,23 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     found = pick(docs, key, text).join(chosen, key).select(key, "mark", text)
 
     def work(steps):
+        best = {}  # of each chosen key, so at most 2 * rows
         for keys, marks, texts in steps:
-            yield [keys, marks, [row.tobytes() for row in features(texts).astype(np.float16)]]
+            new = {}
+            for k, mark, value in zip(keys, marks, texts, strict=True):
+                digest = hashlib.blake2b((value or "").encode(), digest_size=16).digest()
+                if digest < (new.get(k) or best.get(k) or (b"\xff" * 17,))[0]:
+                    new[k] = (digest, mark, value)
+            made = features([value for _, _, value in new.values()]).astype(np.float16)
+            best.update((k, (digest, mark, x.tobytes())) for (k, (digest, mark, _)), x in zip(new.items(), made, strict=True))
+        told = list(best.items())
+        for at in range(0, len(told), STEP_ROWS):
+            part = told[at : at + STEP_ROWS]
+            yield [[k for k, _ in part], *([row[i] for _, row in part] for i in range(3))]
 
     kind = dict(found.dtypes)
-    seen = map_batches(found, f"{key} {kind[key]}, mark int, x binary", work).collect()
+    one = map_batches(found, f"{key} {kind[key]}, digest binary, mark int, x binary", work).groupBy(key)
+    seen = one.agg(F.min(F.struct("digest", "mark", "x")).alias("row")).select(key, "row.mark", "row.x").collect()
     seen.sort(key=lambda r: (r[key], r["x"]))
     x = np.array([np.frombuffer(r["x"], np.float16) for r in seen], dtype=np.float32).reshape(-1, DIMENSIONS)
     return train(x, np.array([r["mark"] for r in seen], dtype=np.float64))

@@ -62,3 +62,18 @@ def test_sample_is_bounded(spark):
     docs = documents(spark, [(k, prose(k, 20)) for k in range(50)])
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(50)], "doc_id long, quality int, toxic int")
     assert (fm.fit(docs, labels, rows=3).factors != 0).any()
+
+
+def test_repeated_ids_count_once_in_the_fit(spark, monkeypatch):
+    sizes, train = [], fm.train
+    monkeypatch.setattr(fm, "train", lambda x, y: sizes.append(len(y)) or train(x, y))
+    rows = [(k, prose(k, 30) if k % 2 else junk(k)) for k in range(20)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(20)], "doc_id long, quality int, toxic int")
+    alone = fm.fit(documents(spark, rows), labels)
+    copies = fm.fit(documents(spark, rows + [rows[3]] * 1500).repartition(7), labels)
+    assert (copies.linear == alone.linear).all() and (copies.factors == alone.factors).all()
+    other = rows + [(3, prose(100 + k, 30)) for k in range(900)] + [(5, None), (5, "")]
+    first = fm.fit(documents(spark, other).repartition(7), labels)
+    again = fm.fit(documents(spark, other[::-1]).coalesce(1), labels)
+    assert (first.linear == again.linear).all() and (first.factors == again.factors).all()
+    assert sizes == [20] * 4
