@@ -5,7 +5,7 @@ shard is a run of whole documents of one Spark partition; its suffix array holds
 begin like some test suffix (others cannot match), in the order of the words that follow. Test
 suffixes are found by binary search. A window is ``WINDOW`` consecutive words of an item, or all of a
 shorter item. Null texts and texts without words have no hits; items without words have no window;
-repeated items and rows count one by one. Other columns are ignored. Empty tables give empty results.
+repeated documents count one by one, a repeated row of the benchmark once. Other columns are ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -197,7 +197,7 @@ class Shard:
 
 def test_sets(benchmark: DataFrame, item: str = "item_id", text: str = "text", slice_chars: int = SLICE_CHARS, window: int = WINDOW):
     """The benchmark in slices of bounded size, one after the other; the driver holds one slice at a time."""
-    rows = pick(benchmark, item, text)
+    rows = pick(benchmark, item, text).distinct()  # else all repeats of a row are in one slice
     size = rows.agg(F.sum(F.length(text)).alias("n")).first()["n"] or 0
     slices = max(1, -(-size // slice_chars))
     for k in range(slices):

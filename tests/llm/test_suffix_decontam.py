@@ -71,6 +71,14 @@ def test_small_shards_and_slices_give_the_same(spark, monkeypatch):
     assert kept == {i for i, _, n, _ in wanted if not n}
 
 
+def test_repeated_benchmark_rows_do_not_fill_a_slice(spark):
+    bench = benchmark(spark, ITEMS + [ITEMS[0]] * 400).repartition(5)
+    sets = list(dec.test_sets(bench, "item_id", "text", slice_chars=300))
+    assert sorted(i for t in sets for i in t.items) == [i for i, t in ITEMS if plain_words(t)]
+    assert len(sets) == len(list(dec.test_sets(benchmark(spark, ITEMS), "item_id", "text", slice_chars=300)))
+    assert found_contamination(documents(spark, cases()), bench) == plain_contamination(cases(), ITEMS)
+
+
 def plain_longest(docs, items):
     out = {}
     for item, text in items:
