@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from martloom.llm import (
+    blob_ledger,
+    filter_audit,
     fm_quality,
     lang_mixture,
     license_templates,
@@ -14,6 +16,7 @@ from martloom.llm import (
     sp_prefix,
     suffix_decontam,
     url_vocab,
+    vector_codes,
     warc_zst,
 )
 from martloom.llm.license_templates import BASE_SCORE, TEMPLATE_SCORE, TEMPLATES
@@ -118,6 +121,25 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_vocab.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = blob_ledger.scan(versions, blob_ledger.new_ledger(spark))
+    kinds = [r.kind for r in blob_ledger.BASE]
+    base = F.filter("spans", lambda s: s["kind"].isin(kinds))
+    counts = [F.size(F.filter("spans.kind", lambda kind: kind == k)).cast("long").alias(f"n_{k}") for k in kinds]  # noqa: B023
+    texts = (F.sha2(blob_ledger.text_of(base), 256).alias("base_sha256"), blob_ledger.text_of(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, *texts)
+
+
+def filter_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def vector_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, coding = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", vector_codes.digest_column(coding).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_quality_rules": quality,
     "op2_simhash_trie": simhash,
@@ -129,6 +151,9 @@ QUERIES = {
     "op8_license_templates": licenses,
     "op9_sp_prefix": sentencepiece,
     "op10_url_vocab": urls,
+    "op11_blob_ledger": secrets,
+    "op12_filter_audit": filter_orders,
+    "op13_vector_codes": vector_code,
 }
 
 # ASCII letters, digits and all beyond ASCII, A-Z lower-cased: the words of the SQL below.
@@ -297,6 +322,92 @@ def _pattern(template: str) -> str:
     return "".join(out) + " "
 
 
+def _secrets_sql() -> str:
+    """Matches and the texts between them, numbered alike; starts and ends are running sums of their lengths."""
+    found = " union all ".join(
+        f"""select r, {i} as k, '{rule.kind}' as kind, {rule.least} as least, string_split_regex(t, '{rule.pattern}') as gaps,
+                   regexp_extract_all(t, '{rule.pattern}') as m, regexp_extract_all(t, '{rule.pattern}', {rule.group}) as g
+            from d where regexp_matches(t, '{rule.pattern}')"""
+        for i, rule in enumerate(blob_ledger.RULES)
+    )
+    counts = ", ".join(f"coalesce(count(*) filter (where kind = '{r.kind}'), 0) as n_{r.kind}" for r in blob_ledger.BASE)
+    base = ", ".join(f"'{r.kind}'" for r in blob_ledger.BASE)
+    return f"""
+    with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+    found as ({found}),
+    each as (select r, k, kind, least, unnest(gaps[1:len(m)]) as gap, unnest(m) as m, unnest(g) as g, generate_subscripts(m, 1) as i from found),
+    placed as (select *, sum(length(gap) + length(m)) over (partition by r, k order by i) as stop from each),
+    spans as (select r, k, kind, stop - length(m) as start, kind || ':' || (stop - length(m))::bigint || ':' || stop::bigint as s
+              from placed where length(g) >= least),
+    per as (select r, {counts}, string_agg(s, ',' order by start, k) filter (where kind in ({base})) as base,
+                   string_agg(s, ',' order by start, k) as all_ from spans group by r)
+    select doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) as n_{r.kind}" for r in blob_ledger.BASE)},
+           sha256(coalesce(base, '')) as base_sha256, coalesce(all_, '') as spans
+    from d left join per using (r)"""
+
+
+_FILTERS_SQL = r"""
+    with d as (select doc_id, coalesce(text, '') as t, coalesce(lang, '') as part,
+                      list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+    firsts as (select t, min(doc_id) as first from d group by t),
+    known as (select doc_id, max(coalesce(quality, 0) = 1) as good, max(coalesce(toxic, 0) = 1) as bad from labels where doc_id is not null group by doc_id),
+    f as (select part, len(w) < 100 as a, 100 * len(list_distinct(w)) < 80 * len(w) as b,
+                 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t) as c, regexp_matches(t, '[#$%&*|]') as d,
+                 coalesce(d.doc_id > first, false) as e, coalesce(good, false) as good, coalesce(bad, false) as bad
+          from d join firsts using (t) left join known on known.doc_id = d.doc_id),
+    cells as (select part, [a, b, c, d, e] as fails, count(*) as n, count(*) filter (where good) as good, count(*) filter (where bad) as bad
+              from f group by all),
+    l(x) as (values (1), (2), (3), (4), (5)),
+    orders as (select [a.x, b.x, c.x, d.x, e.x] as o from l a, l b, l c, l d, l e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    steps as (select o, x as step, o[x] as own, o[:x - 1] as before from orders, l),
+    judged as (select part, o, step, own, n, good, bad, fails[own] as failed, len(list_filter(before, lambda i: fails[i])) = 0 as reached,
+                      len(list_filter(fails, lambda v: v)) = 1 as single from steps, cells),
+    s as (select part, o, step, own, coalesce(sum(n) filter (where reached and not failed), 0)::bigint as kept,
+                 coalesce(sum(n) filter (where reached and failed), 0)::bigint as removed,
+                 coalesce(sum(n) filter (where not reached and failed), 0)::bigint as redundant,
+                 coalesce(sum(n) filter (where failed and single), 0)::bigint as unique_fails,
+                 coalesce(sum(good) filter (where reached and failed), 0)::bigint as good_lost,
+                 coalesce(sum(bad) filter (where reached and failed), 0)::bigint as toxic_lost
+          from judged group by all)
+    select part, array_to_string(list_transform(o, lambda i: chr(64 + i)), '') as filter_order, step::int as step, kept, removed, redundant,
+           unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, own))::bigint as shapley
+    from s"""
+
+
+def _vectors_sql() -> str:
+    """Two rounds written out; components are numbered 0, 1, ... and belong to equal consecutive parts."""
+    s = vector_codes.Settings()
+
+    def nearest(books: str) -> str:
+        return f"""select r, part, arg_min(entry, far * {s.entries} + entry) as entry, min(far) as far
+                   from (select r, c.part, entry, sum((c.x - b.x) * (c.x - b.x)) as far from c join {books} b using (part, pos) group by r, c.part, entry)
+                   group by r, part"""
+
+    def rounds() -> str:
+        out = []
+        for i in range(1, s.rounds + 1):
+            out.append(
+                f"""n{i} as ({nearest(f'b{i - 1}')}),
+    b{i} as (select part, entry, pos, coalesce(y, x) as x from b{i - 1} left join
+             (select part, entry, pos, floor(sum(x) / count(*))::bigint as y from c join n{i} using (r, part) group by all) using (part, entry, pos))"""
+            )
+        return ",\n    ".join(out)
+
+    return f"""
+    with k as (select row_number() over () as r, vec_id, label, embedding as v from embeddings
+               where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    size as (select arg_min(len(v), vec_id) // {s.parts} as width from k),
+    c as (select r, i // width as part, i % width as pos, x from size,
+          (select r, floor({s.scale} * unnest(v)::double)::bigint as x, generate_subscripts(v, 1) - 1 as i from k)),
+    b0 as (select part, entry, pos, x from c join (select r, row_number() over (order by vec_id) - 1 as entry from k order by vec_id limit {s.entries}) using (r)),
+    {rounds()},
+    last as ({nearest(f'b{s.rounds}')}),
+    coded as (select r, string_agg(lower(printf('%02x', entry)), '' order by part) as code, sum(far)::bigint as error from last group by r)
+    select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error,
+           (select sha256(string_agg(x::varchar, ',' order by part, entry, pos)) from b{s.rounds}) as codebooks_sha256
+    from k join coded using (r)"""
+
+
 ORACLES = {
     "op1_quality_rules": _quality_sql(),
     "op4_suffix_decontam": _decontaminate_sql(),
@@ -304,4 +415,7 @@ ORACLES = {
     "op7_warc_zst": _WARC_SQL,
     "op8_license_templates": _licenses_sql(),
     "op10_url_vocab": _urls_sql(),
+    "op11_blob_ledger": _secrets_sql(),
+    "op12_filter_audit": _FILTERS_SQL,
+    "op13_vector_codes": _vectors_sql(),
 }
