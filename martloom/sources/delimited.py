@@ -1,16 +1,38 @@
-"""CSV scan: header, missing-value tokens, type inference."""
+"""CSV scan: header, missing-value tokens, type inference.
+
+Every file of a source is read by its own header, and as lines or as one document, whichever its
+quotes ask for. Both are found in one pass over the lines of all files, combined per file.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from martloom.functions import col
 from martloom.functions.missing import na_to_null
 from martloom.operators.typing import apply_types, infer_types
-from martloom.sources.files import BLOCK, FILE, distinct_by_case, part_files, provenance_columns
+from martloom.sources.files import BLOCK, FILE, all_files, distinct_by_case, file_column, leaf_files, literal_path, provenance_columns
 
 BAD_ROW = "__bad_row"
 
+# A line that ends inside a quoted value: whole fields, each with its comma, and then a quote that nothing closes.
+# A quote opens a value at the start of a field only; two quotes inside one stand for a quote, and what follows its end belongs
+# to the field. Every part is possessive, so lines of any length are matched without going back.
+OPEN_LINE = r'^(?:[^",][^,]*+,|,|"(?:[^"]++|"")*+"[^,]*+,)*+"(?:[^"]++|"")*+$'
+
+
+@dataclass(frozen=True)
+class Group:
+    """Files that are read alike: the cells of their header, whether values hold line breaks, and what to read."""
+
+    header: tuple[str | None, ...]
+    multi_line: bool
+    paths: list[str]
+
 
 def scan_csv(
     spark: SparkSession,
@@ -21,29 +43,21 @@ def scan_csv(
     schema: T.StructType | str | None = None,
     provenance: bool = False,
 ) -> DataFrame:
-    """Read a CSV source; its part files may have the same columns in different orders.
+    """Read a CSV source, a file or a folder of files at any depth, which may have the same columns in different orders.
 
     Values are read as text, missing-value tokens become NULL, and types are inferred from all
     rows read.  With ``schema`` the inference pass is left out and columns are cast by name.
     Short rows are padded with NULL; a row with more cells than the header is an error, and so
-    is a part file with other columns.
-    ``multi_line`` is looked up in the data when not given: only a line break inside quotes
-    needs it, and it makes every file a single split. A scan bounded by ``rows`` looks for it
-    in as many lines only.
+    is a file with other columns.
+    ``multi_line`` is looked up in each file when not given: only a line break inside quotes
+    needs it, and it makes a file a single split. A scan bounded by ``rows`` reads the first files, in
+    the order of their paths, until it has as many rows.
     """
-    reader = spark.read.option("escape", '"').option("enforceSchema", True)
-    files = part_files(spark, path) or [path]
-    first = _first_lines(spark, path) if len(files) > 1 else []
-    if multi_line is None:
-        multi_line = any(r["open"] for r in first) if first and not rows else has_quoted_breaks(spark, path, rows)
-    reader = reader.option("multiLine", multi_line)
-    parts = [_part(spark, reader, some, cells, provenance, path) for cells, some in _headers(reader, path, files, first)]
-    names = parts[0].columns[: len(parts[0].columns) - 2 * provenance]
-    df = parts[0]
-    for part in parts[1:]:
-        df = df.unionByName(part)
     if rows:
-        df = df.limit(rows)
+        df = _first_rows(spark, path, rows, multi_line, provenance)
+    else:
+        df = _union([_part(spark, g, provenance, path) for g in read_groups(spark, literal_path(spark, path), multi_line)])
+    names = df.columns[: len(df.columns) - 2 * provenance]
     if schema is not None:
         fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
         extra = [F.col(FILE), F.col(BLOCK)] if provenance else []
@@ -51,53 +65,97 @@ def scan_csv(
     return apply_types(df, infer_types(df.select(*map(col, names)), dates=False)) if infer else df
 
 
-def _first_lines(spark: SparkSession, path: str) -> list:
-    """Each different first line of the part files, with its files and whether a line of theirs leaves a quote open.
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _first_rows(spark: SparkSession, path: str, rows: int, multi_line: bool | None, provenance: bool) -> DataFrame:
+    """The first rows, from as few files as hold them: one file, then two more, four more and so on."""
+    files, parts, step, left = leaf_files(spark, path), [], 1, rows
+    while left > 0 and files:
+        some, files, step = files[:step], files[step:], step * 2
+        paths = [literal_path(spark, f) for f in some]
+        known = multi_line
+        if known is None and len(some) == 1:
+            known = has_quoted_breaks(spark, paths[0], left)
+        groups = read_groups(spark, paths, known, parts == [] and not files)
+        _alike([*(p.columns[: len(p.columns) - 2 * provenance] for p in parts[:1]), *(header_names(g.header) for g in groups)], path)
+        for group in groups:
+            part = _part(spark, group, provenance, path).limit(left)
+            parts.append(part)
+            left -= part.count() if files or len(groups) > 1 else 0
+    if not parts:
+        raise ValueError(f"No columns to parse from file: {path}")
+    return _union(parts).limit(rows)
+
+
+def read_groups(spark: SparkSession, path: str | list[str], multi_line: bool | None = None, required: bool = True) -> list[Group]:
+    """How to read the files behind a path, those with the first path first; no group means that all are empty.
 
-    One pass compares all files with some first line; only where one differs is a second needed to list them.
+    Files are listed only where they differ; a source whose files are alike stays one path.
     """
-    file = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("file")
-    at = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
-    lines = spark.read.text(path).where("value <> ''")
-    some = lines.select(file, "value").first()
+    lines = all_files(spark).text(path).where("value <> ''")
+    some = lines.select("value").first()
     if some is None:
-        return []
-    same = F.col("value") == F.lit(some["value"])
-    marked = lines.select(file, at.alias("at"), F.when(same, at).alias("known"), _opens(F.col("value")).alias("open"))
-    each = marked.groupBy("file").agg(F.min("at").alias("at"), F.min("known").alias("known"), F.bool_or("open").alias("open"))
-    found = each.agg(F.count_if(~F.col("at").eqNullSafe(F.col("known"))).alias("others"), F.bool_or("open").alias("open")).first()
-    if not found["others"]:
-        return [Row(line=some["value"], files=[some["file"]], open=found["open"])]
-    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("row"), "value")
-    first = lines.select(file, place.alias("first")).groupBy("file").agg(F.min("first").alias("first"))
-    return first.groupBy(F.col("first.value").alias("line")).agg(F.collect_list("file").alias("files"), F.lit(found["open"]).alias("open")).collect()
-
-
-def _headers(reader, path: str, files: list[str], first: list) -> list[tuple[list[str | None], list[str]]]:
-    """The different headers of the part files, each with the paths to read; most often one, with the whole source."""
-    if len(files) == 1:
-        header = reader.option("header", False).csv(files).head(1)
-        if not header:
+        if required:
             raise ValueError(f"No columns to parse from file: {path}")
-        return [(list(header[0]), [path])]
-    if not first:
-        raise ValueError(f"No columns to parse from file: {path}")
-    listed = sorted((sorted(r["files"]) for r in first), key=lambda f: f[0])
-    cells = [list(reader.option("header", False).csv(some[0]).first()) for some in listed]
-    for other, some in zip(cells[1:], listed[1:], strict=True):
-        if sorted(header_names(other)) != sorted(header_names(cells[0])):
-            raise ValueError(f"Part files with different columns: {listed[0][0]} and {some[0]}")
-    if len({tuple(c) for c in cells}) == 1:
-        return [(cells[0], [path])]
-    return list(zip(cells, listed, strict=True))
-
-
-def _part(spark: SparkSession, reader, files: list[str], header: list[str | None], provenance: bool, path: str) -> DataFrame:
-    """The rows of files that share one header, as text."""
-    names = header_names(header)
+        return []
+    at = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
+    opens = F.lit(bool(multi_line)) if multi_line is not None else _opens(F.col("value"))
+    marked = lines.select(file_column("file"), at.alias("at"), F.when(F.col("value") == some["value"], at).alias("known"), opens.alias("open"))
+    each = marked.groupBy("file").agg(F.min("at").alias("at"), F.min("known").alias("known"), F.count_if("open").alias("open"))
+    alike = each.groupBy(F.col("at").eqNullSafe(F.col("known")).alias("same"), (F.col("open") > 0).alias("open"))
+    found = alike.agg(F.min("file").alias("file"), F.collect_list("file").alias("files")).collect()  # the names that Spark's own listing holds
+    first = {f: some["value"] for r in found if r["same"] for f in r["files"]}
+    first |= _first_lines(spark, [f for r in found if not r["same"] for f in r["files"]])
+    open_files = {f for r in found if r["open"] for f in r["files"]}
+    by_line: dict[tuple, list[str]] = {}
+    for file in sorted(first):
+        # a header that goes on after its line is told apart by file
+        own = file if file in open_files and first[file].count('"') % 2 else None
+        by_line.setdefault((first[file], file in open_files, own), []).append(file)
+    groups: dict[tuple, list[str]] = {}
+    for (_, is_open, _), files in by_line.items():
+        groups.setdefault((_header(spark, files[0], is_open), is_open), []).extend(files)
+    listed = sorted(groups.items(), key=lambda g: min(g[1]))
+    _alike([header_names(cells) for (cells, _), _ in listed], path)
+    if len(listed) == 1:
+        return [Group(*listed[0][0], [path] if isinstance(path, str) else path)]
+    return [Group(cells, is_open, [literal_path(spark, f) for f in files]) for (cells, is_open), files in listed]
+
+
+def _first_lines(spark: SparkSession, files: list[str]) -> dict[str, str]:
+    """First lines of the files that do not start like the others."""
+    if not files:
+        return {}
+    lines = all_files(spark).text([literal_path(spark, f) for f in files]).where("value <> ''")
+    start = lines.where("_metadata.file_block_start = 0").select(file_column("file"), "value", F.monotonically_increasing_id().alias("at"))
+    return {r["file"]: r["line"] for r in start.groupBy("file").agg(F.min_by("value", "at").alias("line")).collect()}
+
+
+def _header(spark: SparkSession, file: str, multi_line: bool) -> tuple[str | None, ...]:
+    reader = _options(spark, multi_line).option("header", False)
+    return tuple(reader.csv(literal_path(spark, file)).head(1)[0])
+
+
+def _alike(names: list[list[str]], path) -> None:
+    """All files have the same columns, in whatever order."""
+    for other in names[1:]:
+        if sorted(other) != sorted(names[0]):
+            raise ValueError(f"Part files with different columns in {path}: {', '.join(names[0])} and {', '.join(other)}")
+
+
+def _options(spark: SparkSession, multi_line: bool):
+    return all_files(spark).option("escape", '"').option("enforceSchema", True).option("multiLine", multi_line)
+
+
+def _part(spark: SparkSession, group: Group, provenance: bool, path: str) -> DataFrame:
+    """The rows of files that are read alike, as text."""
+    names = header_names(group.header)
     positions = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(names))])
     with_bad = positions.add(T.StructField(BAD_ROW, T.StringType()))
-    raw = reader.option("header", True).option("columnNameOfCorruptRecord", BAD_ROW).schema(with_bad).csv(files)
+    reader = _options(spark, group.multi_line).option("header", True).option("columnNameOfCorruptRecord", BAD_ROW)
+    raw = reader.schema(with_bad).csv(group.paths)
     cells = [F.col(f"_{i}") for i in range(len(names))]
     cells[0] = F.when(_too_many_cells(len(names)), F.raise_error(_message(path, len(names)))).otherwise(cells[0])
     values = [na_to_null(cell).alias(name) for cell, name in zip(cells, names)]
@@ -116,21 +174,18 @@ def _message(path: str, count: int) -> Column:
 
 
 def has_quoted_breaks(spark: SparkSession, path: str, rows: int | None = None) -> bool:
-    """True when a quoted value goes on after its line; with ``rows``, within as many lines and the header.
-
-    Such a line opens a value with a quote and holds an odd number of quotes; a stray quote inside a value is none.
-    """
-    text = spark.read.text(path)
+    """True when a quoted value goes on after its line; with ``rows``, within as many lines and the header."""
+    text = all_files(spark).text(path)
     text = text.limit(rows + 1) if rows else text
     return not text.where(_opens(F.col("value"))).isEmpty()
 
 
 def _opens(line: Column) -> Column:
-    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
-    return (quotes % 2 == 1) & line.rlike('(^|,)\\s*"')
+    """A line that, read from its start, ends inside quotes; without one in a file, every record is a line."""
+    return F.contains(line, F.lit('"')) & line.rlike(OPEN_LINE)
 
 
-def header_names(cells: list[str | None]) -> list[str]:
+def header_names(cells: Sequence[str | None]) -> list[str]:
     """Column names by position: blanks are numbered, repeats get ``.1``, ``.2``."""
     names: list[str] = []
     for position, cell in enumerate(cells):

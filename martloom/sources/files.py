@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import re
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F
 
 from martloom.operators.typing import infer_types
-from martloom.session import hadoop_path, list_folder
+from martloom.session import hadoop_path, list_folder, path_exists
 
 SUFFIXES = (".csv", ".json")
 
@@ -27,12 +30,24 @@ def list_sources(spark: SparkSession, folder: str) -> list[str]:
     return [f"{folder.rstrip('/')}/{name}" for name, _ in entries if suffix(name) in SUFFIXES]
 
 
-def part_files(spark: SparkSession, path: str) -> list[str]:
-    """The files behind a source path."""
-    entries = [name for name, _ in list_folder(spark, path) if not name.startswith(("_", "."))]
-    if entries == [path.rstrip("/").rsplit("/", 1)[-1]]:
-        return [path]
-    return [f"{path.rstrip('/')}/{name}" for name in entries]
+def all_files(spark: SparkSession) -> DataFrameReader:
+    """A reader of files at any depth below a path; folders named ``key=value`` are folders like others."""
+    return spark.read.option("recursiveFileLookup", True)
+
+
+def leaf_files(spark: SparkSession, path: str) -> list[str]:
+    """The files behind a source path, as Spark lists them, in the order of their paths."""
+    return sorted(unquote(f) for f in all_files(spark).text(literal_path(spark, path)).inputFiles())
+
+
+def literal_path(spark: SparkSession, path: str) -> str:
+    """A path for Spark's readers, which take patterns: one that exists as it is written stands for itself."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path) if re.search(r"[\\{}\[\]*?]", path) and path_exists(spark, path) else path
+
+
+def file_column(name: str) -> Column:
+    """The path of the file that a row came from, as it is written."""
+    return F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias(name)
 
 
 def scan(

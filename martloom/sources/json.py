@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import threading
 from collections.abc import Iterator, Sequence
 
 from pyspark.errors import AnalysisException
@@ -10,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from martloom.functions import col
 from martloom.operators.typing import FLOAT, INTEGER, apply_types, infer_types
-from martloom.sources.files import BLOCK, FILE, distinct_by_case, provenance_columns
+from martloom.sources.files import BLOCK, FILE, all_files, distinct_by_case, file_column, literal_path, provenance_columns
 
 LINES, ARRAY, OBJECT = "lines", "array", "object"
 # A file of one line that is an object: JSON Lines with one row, or a document.
@@ -18,8 +17,8 @@ ONE_LINE, BROKEN = "one line", "broken"
 # Fixed value: the message for a document without rows.
 NOT_TABULAR = "JSON source must contain an object or array of objects"
 
-# Only one thread at a time reads names by case.
-_CASE = threading.Lock()
+# Something behind the end of an object that is none of what may follow inside a document.
+BEHIND = r"\}\s*[^\s,}\]]"
 
 
 def scan_json(
@@ -32,10 +31,10 @@ def scan_json(
     hold only numbers into numbers.  Any other document is a single split, so large sources
     should come as JSON Lines or as many files.
     """
-    form = json_form(spark, path)
+    form, keys = json_facts(spark, path)
     if form == LINES:
         df = _read(spark, path, provenance, multi_line=False)
-        df = _in_order(df, _line_keys(spark, path, df.columns))
+        df = _in_order(df, _line_keys(spark, path, df.columns, keys))
     elif form == ARRAY:
         df = _read(spark, path, provenance, multi_line=True)
         df = flatten(df, _first_seen(_records(spark, path, None), df.schema))
@@ -56,34 +55,41 @@ def number_types(df: DataFrame) -> dict[str, str]:
 
 
 def json_form(spark: SparkSession, path: str) -> str:
-    """The one form of all files that are not empty; a mixture is an error that names a file of each form.
+    return json_facts(spark, path)[0]
+
+
+def json_facts(spark: SparkSession, path: str) -> tuple[str, list[str]]:
+    """The one form of all files that are not empty, and the keys of the first line of the file with the first path.
 
     A file is JSON Lines when its first line is a whole object and more text follows. Files of
-    one line follow the others, and are documents when there are no others.
+    one line follow the others, and are documents when there are no others. A mixture of forms is an error that
+    names a file of each, and so is a line with anything behind its object.
     """
     line = F.ltrim(F.regexp_replace("value", "^﻿", ""))
     first = F.struct(
-        F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
         F.substring(line, 1, 1).alias("mark"),
-        F.json_object_keys(line).isNotNull().alias("object"),
+        F.json_object_keys(line).alias("keys"),
         F.json_array_length(line).isNotNull().alias("array"),
     )
+    behind = line.rlike(BEHIND) & F.json_array_length(F.concat(F.lit("["), line, F.lit("]"))).isNull()
     found = (
-        spark.read.text(path)
+        _text(spark, path)
         .where(F.trim("value") != "")
-        .select(F.col("_metadata.file_path").alias("file"), first.alias("first"))
+        .select(file_column("file"), F.when(F.col("_metadata.file_block_start") == 0, first).alias("first"), behind.alias("behind"))
         .groupBy("file")
-        .agg(F.min("first").alias("first"), F.count("*").alias("lines"))
+        .agg(F.min("first").alias("first"), F.count("*").alias("lines"), F.count_if("behind").alias("behind"))
     )
     more = F.col("lines") > 1
     kind = (
-        F.when(~F.col("first.mark").isin("[", "{") | (more & F.col("first.array")), BROKEN)
+        F.when(~F.coalesce(F.col("first.mark"), F.lit("")).isin("[", "{") | (more & F.col("first.array")), BROKEN)
         .when(F.col("first.mark") == "[", ARRAY)
-        .when(F.col("first.object"), F.when(more, LINES).otherwise(ONE_LINE))
+        .when(F.col("first.keys").isNotNull(), F.when(F.col("behind") > 0, BROKEN).when(more, LINES).otherwise(ONE_LINE))
         .otherwise(OBJECT)
     )
-    forms = {r["kind"]: r["file"] for r in found.groupBy(kind.alias("kind")).agg(F.min("file").alias("file")).collect()}
+    by_kind = found.groupBy(kind.alias("kind")).agg(F.min("file").alias("file"), F.min(F.struct("file", "first.keys")).alias("start"))
+    rows = by_kind.collect()
+    forms = {r["kind"]: r["file"] for r in rows}
     if BROKEN in forms:
         raise ValueError(f"{NOT_TABULAR}: {forms[BROKEN]}")
     if not forms:
@@ -91,7 +97,11 @@ def json_form(spark: SparkSession, path: str) -> str:
     whole = sorted(set(forms) - {ONE_LINE})
     if len(whole) > 1:
         raise ValueError(f"JSON files of different forms: {', '.join(f'{k} in {forms[k]}' for k in whole)}")
-    return whole[0] if whole else OBJECT
+    return (whole[0] if whole else OBJECT), min(r["start"] for r in rows)["keys"] or []
+
+
+def _text(spark: SparkSession, path: str, **options) -> DataFrame:
+    return all_files(spark).text(literal_path(spark, path), **options)
 
 
 def flatten(df: DataFrame, order: dict[str, list[str]] | None = None) -> DataFrame:
@@ -117,9 +127,9 @@ def _leaves(schema: T.StructType, parent: Column | None, prefix: str, order: dic
 
 def _read(spark: SparkSession, path: str, provenance: bool, multi_line: bool) -> DataFrame:
     places = provenance_columns(spark, path) if provenance else []
-    reader = spark.read.option("multiLine", multi_line)
+    reader = all_files(spark).option("multiLine", multi_line)
     try:
-        df = reader.json(path).select("*", *places)
+        df = reader.json(literal_path(spark, path)).select("*", *places)
         alike = distinct_by_case(df.columns) != df.columns
     except AnalysisException as error:
         if error.getCondition() not in ("COLUMN_ALREADY_EXISTS", "AMBIGUOUS_REFERENCE"):
@@ -136,14 +146,10 @@ def _read(spark: SparkSession, path: str, provenance: bool, multi_line: bool) ->
 
 def _by_case(spark: SparkSession, path: str, multi_line: bool, places: Sequence[Column]) -> DataFrame:
     """Keys that differ by case only as columns of their own, named so that Spark tells them apart."""
-    with _CASE:
-        before = spark.conf.get("spark.sql.caseSensitive")
-        spark.conf.set("spark.sql.caseSensitive", "true")
-        try:
-            schema = spark.read.option("multiLine", multi_line).json(path).schema
-        finally:
-            spark.conf.set("spark.sql.caseSensitive", before)
-    text = spark.read.text(path, wholetext=multi_line).where(F.trim("value") != "").select("value", *places)
+    apart = spark.newSession()  # names by case in a session of its own: others may be reading in this one
+    apart.conf.set("spark.sql.caseSensitive", "true")
+    schema = all_files(apart).option("multiLine", multi_line).json(literal_path(spark, path)).schema
+    text = _text(spark, path, wholetext=multi_line).where(F.trim("value") != "").select("value", *places)
     record = F.from_json("value", schema)
     if multi_line:
         array = F.substring(F.ltrim("value"), 1, 1) == "["
@@ -185,21 +191,18 @@ def _in_order(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select([col(n) for n in sorted(df.columns, key=lambda n: rank.get(n, len(rank)))])
 
 
-def _line_keys(spark: SparkSession, path: str, columns: list[str]) -> list[str]:
+def _line_keys(spark: SparkSession, path: str, columns: list[str], first: list[str]) -> list[str]:
     """Keys in order; all lines are looked at only when the first one lacks several columns."""
-    filled = F.trim("value") != ""
-    lines = spark.read.text(path).where(filled)
-    start = lines.select(F.json_object_keys("value").alias("keys")).first()
-    keys = (start["keys"] if start else None) or []
-    if len({*columns} - {*keys, FILE, BLOCK}) <= 1:
-        return keys
+    if len({*columns} - {*first, FILE, BLOCK}) <= 1:
+        return first
+    lines = _text(spark, path).where(F.trim("value") != "")
     place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
     return _first_seen(lines.select(place.alias("place"), F.col("value").alias("record")), T.StructType()).get("", [])
 
 
 def _documents(spark: SparkSession, path: str) -> DataFrame:
     """Every file that is not empty as one text."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    whole = _text(spark, path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return whole.where(F.trim("value") != "")
 
 

@@ -67,6 +67,29 @@ def scan_csv_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark, path)
 
 
+def scan_csv_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files one folder down with the same columns in two orders, a stray quote and a value over two lines in each row."""
+    note, tail = F.concat("c_name", F.lit(' 5" pipe')), F.concat(F.lit('"two\nlines of ""'), "c_mktsegment", F.lit('"""'))
+    chunk = F.floor(F.col("c_custkey") / DOCUMENT_ROWS)
+    lines = given(spark, sf_dir, "customer").select((chunk % 2).alias("order"), chunk.alias("chunk"), "c_custkey", note.alias("note"), tail.alias("tail"))
+    cells = F.when(F.col("order") == 0, F.concat_ws(",", "c_custkey", "note", "tail")).otherwise(F.concat_ws(",", "note", "tail", "c_custkey"))
+    header = F.when(F.col("order") == 0, "c_custkey,note,tail\n").otherwise("note,tail,c_custkey\n")
+    files = lines.groupBy("order", "chunk").agg(F.concat(header, F.array_join(F.collect_list(cells), "\n")).alias("value"))
+    path = f"{scratch_path(spark, 'source')}/customer.csv"
+    files.select("order", "value").write.partitionBy("order").option("maxRecordsPerFile", 1).text(path)
+    return scan(spark, path)
+
+
+def scan_json_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON Lines whose larger file, by a later path, has its keys in another order; the columns' order is part of the result."""
+    customers = given(spark, sf_dir, "customer").select("c_name", "c_custkey", "c_mktsegment")
+    path = f"{scratch_path(spark, 'source')}/customer.json"
+    customers.where("c_custkey % 10 = 1").coalesce(1).write.json(f"{path}/1")
+    customers.where("c_custkey % 10 <> 1").select(*reversed(customers.columns)).coalesce(1).write.json(f"{path}/2")
+    df = scan(spark, path)
+    return df.withColumn("order", F.lit(", ".join(df.columns)))
+
+
 def scan_json_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with nested keys that are not in alphabetical order; the columns' order is part of the result."""
     place = F.struct(F.col("c_nationkey").alias("zip"), F.col("c_mktsegment").alias("city"), F.struct("c_name").alias("area"))
@@ -160,6 +183,8 @@ QUERIES = {
     "scan_json_lines": scan_json_lines,
     "scan_json_parts": scan_json_parts,
     "scan_csv_parts": scan_csv_parts,
+    "scan_csv_nested": scan_csv_nested,
+    "scan_json_order": scan_json_order,
     "scan_json_nested": scan_json_nested,
     "flatten_json": flatten_json,
     "encode_nested": encode_nested,
@@ -188,6 +213,9 @@ ORACLES = {
     "scan_json_nested": """
         select c_custkey as "key", cast(c_nationkey as bigint) as "addr.zip", c_mktsegment as "addr.city", c_name as "addr.area.c_name",
             c_acctbal as a, 'key, a, addr.zip, addr.city, addr.area.c_name' as "order" from customer""",
+    "scan_csv_nested": """
+        select c_custkey, c_name || ' 5" pipe' as note, 'two' || chr(10) || 'lines of "' || c_mktsegment || '"' as tail from customer""",
+    "scan_json_order": "select c_name, c_custkey, c_mktsegment, 'c_name, c_custkey, c_mktsegment' as \"order\" from customer",
     "raw_land_nested": """
         select o_orderstatus as status, count(*) as rows, 1::bigint as first_row, count(*) as last_row, count(*) as numbers
         from orders group by o_orderstatus""",

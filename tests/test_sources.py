@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from martloom.sources import list_sources, scan
-from martloom.sources.delimited import has_quoted_breaks, scan_csv
+from martloom.sources.delimited import has_quoted_breaks, read_groups, scan_csv
 from martloom.sources.json import flatten
 from martloom.sources.raw import land_all, land_raw, raw_counts
 
@@ -225,3 +225,109 @@ def test_row_numbers_of_equal_file_names(spark, folder):
     df = land_raw(spark, f"{folder}/x y.csv", folder + "/out").read()
     found = sorted((r["_source_file"], r["_raw_row_number"], r["v"]) for r in df.collect())
     assert found == [("dt=1/part-0.csv", k + 1, 10 + k) for k in range(2)] + [("dt=2/part-0.csv", k + 1, 20 + k) for k in range(3)]
+
+
+def nested(folder, name, texts):
+    """A source folder whose keys are paths below it."""
+    for below, text in texts.items():
+        os.makedirs(os.path.dirname(os.path.join(folder, name, below)), exist_ok=True)
+        write(os.path.join(folder, name), below, text)
+    return os.path.join(folder, name)
+
+
+@pytest.mark.parametrize("depth", ["", "dt=1/", "a/b=2/c/"])
+def test_csv_files_by_their_own_headers_at_any_depth(spark, folder, depth):
+    path = nested(folder, "x.csv", {"dt=0/part-0.csv": "id,v\n1,10\n", f"{depth}part-1.csv": "v,id\n20,2\n", f"{depth}part-2.csv": "id,v\n3,30\n", "z/empty.csv": ""})
+    df = scan(spark, path)
+    assert sorted(df.columns) == ["id", "v"] and sorted(collected(df.select("id", "v"))) == [(1, 10), (2, 20), (3, 30)]
+
+
+def test_csv_folder_with_one_file_in_a_subfolder(spark, folder):
+    path = nested(folder, "x.csv", {"day=3/part-0.csv": "v,id\n10,1\n"})
+    assert collected(scan(spark, path)) == [(10, 1)]
+
+
+def test_stray_quote_beside_a_quoted_break(spark, folder):
+    text = 'id,note,tail\n1,5" pipe,"two\nlines"\n2,"say ""x""",z\n3,,"a, ""b""\n\nc"\n4,7" and 8",\n'
+    expected = [(1, '5" pipe', "two\nlines"), (2, 'say "x"', "z"), (3, None, 'a, "b"\n\nc'), (4, '7" and 8"', None)]
+    assert collected(scan(spark, write(folder, "x.csv", text))) == expected
+
+
+@pytest.mark.parametrize(
+    ("line", "is_open"),
+    [
+        ('a,b', False), ('a"b,c', False), ('"a,b', True), ('"a","b', True), ('"a""', True), ('"a""b"', False), ('"a"b,"c', True), ('"a"b"c,d', False),
+        ('"",x', False), ('""', False), ('"', True), ('a,"', True), ('a, "b', False), (',,"x""', True), ('5" pipe,"x', True), ('"a' + '""' * 20_000, True),
+        ('"a",' * 20_000, False), ("a," * 20_000 + '"', True), ('"""a"""', False), ('"""', True),
+    ],
+)
+def test_open_lines(spark, folder, line, is_open):
+    assert has_quoted_breaks(spark, write(folder, "x.csv", line + "\n")) == is_open
+
+
+def test_only_files_with_breaks_are_one_split(spark, folder):
+    plain, broken = "id,v\n" + "".join(f"{i},{'x' * 50}\n" for i in range(2000)), 'v,id\n"a\nb",-1\n'
+    path = nested(folder, "x.csv", {"a/1.csv": plain, "a/2.csv": plain, "b/3.csv": broken, "b/4.csv": 'id,v\n-2,"""q"""\n'})
+    groups = read_groups(spark, path)
+    assert [(g.header, g.multi_line, [p.rsplit("/", 1)[-1] for p in g.paths]) for g in groups] == [
+        (("id", "v"), False, ["1.csv", "2.csv", "4.csv"]),
+        (("v", "id"), True, ["3.csv"]),
+    ]
+    df = scan(spark, path)
+    assert df.count() == 4002 and sorted(collected(df.where("id < 0"))) == [(-2, '"q"'), (-1, "a\nb")]
+    alike = nested(folder, "y.csv", {"a/1.csv": plain, "b/2.csv": plain})
+    assert [g.paths for g in read_groups(spark, alike)] == [[alike]]
+
+
+def test_header_over_several_lines(spark, folder):
+    path = nested(folder, "x.csv", {"1.csv": '"a\nb",c\n1,2\n', "2.csv": 'c,"a\nb"\n4,3\n', "3.csv": '"a\nb",c\n5,6\n'})
+    df = scan(spark, path)
+    assert df.columns == ["a\nb", "c"] and sorted(collected(df)) == [(1, 2), (3, 4), (5, 6)]
+
+
+def test_paths_that_look_like_patterns(spark, folder):
+    path = nested(folder, "x[1].csv", {"part[1].csv": "id,v\n1,10\n", "p+{a} b%20?*.csv": "v,id\n20,2\n"})
+    df = scan(spark, path)
+    assert sorted(collected(df.select("id", "v"))) == [(1, 10), (2, 20)]
+    landed = land_raw(spark, path, folder + "/out").read()
+    assert sorted(r["_source_file"] for r in landed.collect()) == ["p+{a} b%20?*.csv", "part[1].csv"]
+
+
+def test_bounded_scan_reads_the_first_files_only(spark, folder):
+    first = "id,v\n" + "".join(f"{i},a\n" for i in range(10))
+    path = nested(folder, "x.csv", {"a/1.csv": first, "b/2.csv": "v,id\nb,10\n", "c/3.csv": "other,columns\n1,2\n", "c/4.csv": "id,v\n1,2,3\n"})
+    assert collected(scan(spark, path, rows=5)) == [(i, "a") for i in range(5)]
+    assert {f.rsplit("/", 1)[-1] for f in scan(spark, path, rows=5).inputFiles()} == {"1.csv"}
+    with pytest.raises(ValueError, match="different columns"):
+        scan(spark, path, rows=11)
+    with pytest.raises(ValueError, match="different columns"):
+        scan(spark, path)
+    whole = nested(folder, "y.csv", {"0.csv": "", "1.csv": first, "2.csv": "v,id\nb,10\nc,11\n", "3.csv": 'id,v\n12,"x\ny"\n'})
+    assert sorted(collected(scan(spark, whole, rows=11))) == [(i, "a") for i in range(10)] + [(10, "b")]
+    assert scan(spark, whole, rows=100).count() == 13 and scan(spark, whole, rows=13).where("v = 'x\\ny'").count() == 1
+    with pytest.raises(ValueError):
+        scan(spark, nested(folder, "z.csv", {"0.csv": "", "1.csv": ""}), rows=1)
+
+
+def test_json_column_order_is_that_of_the_first_path(spark, folder):
+    long = "".join(f'{{"a_id": {i}, "b_id": {i}, "pad": "{"x" * 50}"}}\n' for i in range(500))
+    short = '{"b_id": 1, "a_id": 1, "pad": ""}\n{"b_id": 2, "a_id": 2, "pad": ""}\n'
+    assert scan(spark, nested(folder, "x.json", {"d/1.json": short, "e/2.json": long})).columns == ["b_id", "a_id", "pad"]
+    assert scan(spark, nested(folder, "y.json", {"d/1.json": long, "e/2.json": short})).columns == ["a_id", "b_id", "pad"]
+
+
+@pytest.mark.parametrize("text", ['{"a": 1} {"a": 2}\n{"a": 3}\n', '{"a": 1}\n{"a": 2}{"a": 3}\n', '{"a": 1} {"a": 2}', '{"a": 1}\n{"a": 2} x\n'])
+def test_anything_behind_an_object_is_an_error(spark, folder, text):
+    with pytest.raises(ValueError):
+        scan(spark, write(folder, "x.json", text))
+
+
+def test_braces_inside_text_are_no_second_object(spark, folder):
+    path = write(folder, "x.json", '{"a": "} {", "b": {"c": 1}}\n{"a": "}x", "b": {"c": 2} }\n')
+    assert sorted(r["a"] for r in scan(spark, path).collect()) == ["} {", "}x"]
+
+
+def test_names_by_case_leave_the_session_as_it_is(spark, folder):
+    before = spark.conf.get("spark.sql.caseSensitive")
+    path = write(folder, "x.json", '{"ID": 1, "id": 2}\n{"ID": 3, "id": 4}\n')
+    assert scan(spark, path).columns == ["ID", "id "] and spark.conf.get("spark.sql.caseSensitive") == before
