@@ -125,6 +125,18 @@ def load_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.upsert(LOOSE_ORDER, fit_rows(changed.unionByName(added), LOOSE_ORDER))
 
 
+def upsert_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One order changes: the table as stored, with the number of buckets that the upsert wrote."""
+    tables = store(spark, BUCKETS)
+    orders = target(spark, sf_dir, "order")
+    tables.write(LOOSE_ORDER, fit_rows(orders, LOOSE_ORDER))
+    before = set(tables.parts("order").folders())
+    dearest = orders.orderBy(F.col("price").desc(), "order_id").limit(1).withColumn("price", F.col("price") + 1)
+    stored = tables.upsert(LOOSE_ORDER, fit_rows(dearest, LOOSE_ORDER))
+    written = set(tables.parts("order").folders()) - before
+    return stored.withColumn("buckets_written", F.lit(len(written)))
+
+
 def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines repeat (order, line number); the last by ship date, product and price stays."""
     lines = given(spark, sf_dir, "lineitem").select(
@@ -292,6 +304,7 @@ QUERIES = {
     "load_total": load_total,
     "quarantine_rows": quarantine_rows,
     "load_upsert": load_upsert,
+    "upsert_touched": upsert_touched,
     "upsert_last_wins": upsert_last_wins,
     "surrogate_key": surrogate_key,
     "evolve_columns": evolve_columns,
@@ -381,6 +394,9 @@ ORACLES = {
         select * exclude (urgent) from o where not urgent
         union all select order_id, customer_id, null, price + 1, null from o where urgent
         union all select -1 - order_id, customer_id, null, price + 1, null from o where urgent""",
+    "upsert_touched": f"""
+        with o as (select {STORED_SQL} from orders), top as (select order_id from o order by price desc, order_id limit 1)
+        select o.* replace (case when order_id = (select order_id from top) then price + 1 else price end as price), 1 as buckets_written from o""",
     "upsert_last_wins": """
         select l_orderkey, l_linenumber, l_shipdate, l_partkey, l_extendedprice, l_quantity from lineitem
         qualify row_number() over (partition by l_orderkey, l_linenumber
