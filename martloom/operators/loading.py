@@ -6,21 +6,19 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from martloom.functions import col
 from martloom.functions.casts import fit
 from martloom.operators.checks import has_keys
+from martloom.operators.conflicts import FILE, conflicting_files
 from martloom.operators.joins import deal, hot_keys, join_parent
-from martloom.session import drop_scratch, scratch_path, stage
+from martloom.session import stage
 from martloom.spec import TableSpec
 
-FILE, ROW = "__source", "__row"
+ROW = "__row"
 TYPE_FINDING, NULL_FINDING = "__type", "__null"
 
-# Sets of files that share a key are worked through on the driver up to this many file names.
-SHARED_NAMES = 1_000_000
-
 # Statuses and reasons of a load.
 LOADED, SKIPPED, ERROR = "loaded", "skipped", "error"
 NO_MAPPING = "No selected mappings for this file and table"
@@ -66,109 +64,55 @@ def fit_rows(df: DataFrame, spec: TableSpec, keep: Sequence[str] = (FILE, ROW))
     return df.select(*kept, *values, first(losses).alias(TYPE_FINDING), first(nulls).alias(NULL_FINDING))
 
 
-def file_statuses(fitted: DataFrame, spec: TableSpec, replace: bool = False) -> list[FileStatus]:
-    """Accept or reject each file as a whole, in the order of the file names.
+def file_facts(fitted: DataFrame, extra: Sequence[Column] = ()) -> DataFrame:
+    """Rows and first findings of each file, in one aggregation."""
+    return fitted.groupBy(FILE).agg(F.count("*").alias("rows"), F.min(TYPE_FINDING).alias("loss"), F.min(NULL_FINDING).alias("null"), *extra)
+
+
+def judge_files(facts: DataFrame, spec: TableSpec, conflicts: DataFrame | None = None) -> DataFrame:
+    """(file, rows, status, reason): each file is accepted or rejected as a whole.
 
-    A file is rejected by any row that breaks its type, NOT NULL or, unless rows replace each
-    other, the uniqueness of the key within the file or against files accepted before it.
+    A file is rejected by any row that breaks its type, NOT NULL or, where ``conflicts`` names files, the
+    uniqueness of the key within the file or against files accepted before it.
     """
-    counted = (
-        fitted.groupBy(FILE)
-        .agg(F.count("*").alias("rows"), F.min(TYPE_FINDING).alias("loss"), F.min(NULL_FINDING).alias("null"))
-        .collect()
-    )
-    reasons: dict[str, str] = {}
-    for row in counted:
-        if row["null"]:
-            reasons[row[FILE]] = f"NOT NULL constraint failed: {spec.name}.{row['null']}"
-        elif row["loss"]:
-            reasons[row[FILE]] = f"datatype mismatch: {spec.name}.{row['loss']}"
-    if spec.primary_key and not replace:
+    column = lambda kind, name: F.concat(F.lit(f"{kind}: {spec.name}."), name)
+    reason = F.when(F.col("null").isNotNull(), column("NOT NULL constraint failed", "null"))
+    reason = reason.when(F.col("loss").isNotNull(), column("datatype mismatch", "loss"))
+    if conflicts is not None:
         broken = ", ".join(f"{spec.name}.{c}" for c in spec.primary_key)
-        for name in _key_conflicts(fitted, spec.primary_key, {r[FILE] for r in counted}, set(reasons)):
-            reasons[name] = f"UNIQUE constraint failed: {broken}"
-    return [
-        FileStatus(spec.name, row[FILE], 0, ERROR, reasons[row[FILE]])
-        if row[FILE] in reasons
-        else FileStatus(spec.name, row[FILE], row["rows"], LOADED, "")
-        for row in sorted(counted, key=lambda r: r[FILE])
-    ]
-
-
-def _key_conflicts(fitted: DataFrame, key: Sequence[str], files: set[str], defective: set[str]) -> set[str]:
-    """Files whose keys repeat, inside the file or against an accepted earlier file.
-
-    Rows are first reduced to (key, file) with a count, on the map side already; only keys that
-    repeat are written out.  What remains to be decided is a matter of files: which sets of
-    files share a key.  Usually there are few such sets and they are worked through in file
-    order; beyond SHARED_NAMES names the files are decided in rounds by Spark.
-    """
-    names = list(key)
-    held = fitted.where(has_keys(key)).groupBy(*map(col, names), FILE).agg(F.count("*").alias("n"))
-    per_key = F.count("*").over(W.partitionBy(*map(col, names)))
-    repeated = held.withColumn("files", per_key).where((F.col("n") > 1) | (F.col("files") > 1))
-    scratch = scratch_path(fitted.sparkSession, "keys")
-    contested = stage(repeated, "keys", scratch)
-    inside = {r[FILE] for r in contested.where(F.col("n") > 1).select(FILE).distinct().collect()}
-    rejected = inside | defective
-    shared = contested.where(F.col("files") > 1)
-    live = _without(shared, rejected)
-    sets = live.groupBy(*map(col, names)).agg(F.array_sort(F.collect_list(FILE)).alias("files")).select("files").distinct()
-    if (sets.agg(F.sum(F.size("files"))).first()[0] or 0) <= SHARED_NAMES:
-        late = _first_come([r["files"] for r in sets.collect()])
-    else:
-        late = _decide_in_rounds(live, names, files - rejected)
-    drop_scratch(fitted.sparkSession, scratch)
-    return late | (inside - defective)
-
-
-def _first_come(sets: list[list[str]]) -> set[str]:
-    """Files that share a key with an accepted file before them."""
-    by_file: dict[str, list[int]] = {}
-    for i, files in enumerate(sets):
-        for name in files:
-            by_file.setdefault(name, []).append(i)
-    taken: set[int] = set()
-    rejected = set()
-    for name in sorted(by_file):
-        if taken.isdisjoint(by_file[name]):
-            taken.update(by_file[name])
-        else:
-            rejected.add(name)
-    return rejected
+        facts = facts.join(conflicts.withColumn("conflict", F.lit(True)), FILE, "left")
+        reason = reason.when(F.col("conflict"), F.lit(f"UNIQUE constraint failed: {broken}"))
+    judged = facts.withColumn("reason", F.coalesce(reason, F.lit("")))
+    rejected = F.col("reason") != ""
+    return judged.select(
+        FILE,
+        F.when(rejected, 0).otherwise(F.col("rows")).cast("bigint").alias("rows"),
+        F.when(rejected, ERROR).otherwise(LOADED).alias("status"),
+        "reason",
+    )
 
 
-def _decide_in_rounds(shared: DataFrame, key: Sequence[str], undecided: set[str]) -> set[str]:
-    """The same decision for any number of sets.
+def defective_files(facts: DataFrame) -> DataFrame:
+    """Files with a row that breaks its type or NOT NULL."""
+    return facts.where(F.col("null").isNotNull() | F.col("loss").isNotNull()).select(FILE)
 
-    A file is accepted once no undecided or accepted file before it shares a key with it, and
-    rejected once an accepted one does.  Every round decides at least the first undecided file.
-    """
-    accepted: set[str] = set()
-    rejected: set[str] = set()
-    while undecided:
-        live = _without(shared, rejected)
-        first = F.min(FILE).over(W.partitionBy(*map(col, key)))
-        taken = (F.col("first") != F.col(FILE)) & F.col("first").isin(*accepted) if accepted else F.lit(False)
-        facts = (
-            live.withColumn("first", first)
-            .groupBy(FILE)
-            .agg(F.bool_and(F.col("first") == F.col(FILE)).alias("clear"), F.bool_or(taken).alias("taken"))
-            .collect()
-        )
-        by_file = {r[FILE]: r for r in facts}
-        clear = {name for name in undecided if name not in by_file or by_file[name]["clear"]}
-        rejected |= {name for name in undecided - clear if by_file[name]["taken"]}
-        accepted |= clear
-        undecided = undecided - accepted - rejected
-    return rejected
-
-
-def accepted_rows(fitted: DataFrame, statuses: Sequence[FileStatus], spec: TableSpec) -> DataFrame:
+
+def file_statuses(fitted: DataFrame, spec: TableSpec, replace: bool = False) -> list[FileStatus]:
+    """The judgement of every file as a list, in the order of their names; with ``replace`` keys may repeat."""
+    facts = stage(file_facts(fitted), "facts")
+    conflicts = conflicting_files(fitted, spec.primary_key, defective_files(facts)) if spec.primary_key and not replace else None
+    judged = judge_files(facts, spec, conflicts).collect()
+    return [FileStatus(spec.name, r[FILE], r["rows"], r["status"], r["reason"]) for r in sorted(judged, key=lambda r: r[FILE])]
+
+
+def accepted_rows(fitted: DataFrame, statuses: Sequence[FileStatus] | DataFrame, spec: TableSpec) -> DataFrame:
     """Rows of the accepted files, with FILE and ROW still on them."""
-    bad = {s.source_file for s in statuses if s.status != LOADED}
+    if isinstance(statuses, DataFrame):
+        kept_rows = fitted.join(statuses.where(F.col("status") != LOADED).select(FILE), FILE, "left_anti")
+    else:
+        kept_rows = _without(fitted, {s.source_file for s in statuses if s.status != LOADED})
     kept = [c for c in fitted.columns if c in (FILE, ROW)]
-    return _without(fitted, bad).select(*kept, *map(col, spec.column_names))
+    return kept_rows.select(*kept, *map(col, spec.column_names))
 
 
 def _without(rows: DataFrame, files: set[str]) -> DataFrame:

@@ -49,10 +49,10 @@ def test_file_is_rejected_as_a_whole(spark):
     assert total_rows(status_frame(statuses, spark)).first()[0] == 3
 
 
-@pytest.mark.parametrize("shared_names", [1_000_000, -1])
+@pytest.mark.parametrize("per_range", [500_000, 9])
 @pytest.mark.parametrize("seed", range(2))
-def test_file_acceptance_equals_one_by_one_loading(spark, seed, shared_names, monkeypatch):
-    monkeypatch.setattr("martloom.operators.loading.SHARED_NAMES", shared_names)
+def test_file_acceptance_equals_one_by_one_loading(spark, seed, per_range, monkeypatch):
+    monkeypatch.setattr("martloom.operators.conflicts.PAIRS_PER_RANGE", per_range)
     rng = random.Random(seed)
     files = {f"{i:02d}.csv": [rng.randrange(60) for _ in range(rng.randrange(1, 6))] for i in range(20)}
     rows = [(f, i, key, "a", "1") for f, keys in files.items() for i, key in enumerate(keys)]
@@ -263,3 +263,41 @@ def test_specs_are_stored_beside_the_versions(spark, folder, buckets):
     assert len(store.vacuum("t")) == 1 and store.spec("t") == stored
     store.publish("plain", spark.range(1))
     assert store.spec("plain") is None and store.tables() == ["plain", "t"] and store.specs() == [stored]
+
+
+def fold(rows):
+    """Files in order: one that repeats a key, or shares one with an accepted file before it, is rejected."""
+    keys, taken, expected = {}, set(), {}
+    for name, _, key, *_ in rows:
+        keys.setdefault(name, []).append(key)
+    for name, own in sorted(keys.items()):
+        good = len(set(own)) == len(own) and not taken & set(own)
+        taken |= set(own) if good else set()
+        expected[name] = "loaded" if good else "error"
+    return expected
+
+
+@pytest.mark.parametrize("per_range", [500_000, 4000, 300])
+def test_ten_thousand_files_as_the_fold_decides(spark, monkeypatch, per_range):
+    draw = __import__("random").Random(per_range)
+    rows = [(f"{i:05d}.csv", r, draw.randrange(9000) if r else i + 10**6, "a", "1") for i in range(10_000) for r in range(draw.choice([1, 2, 3]))]
+    monkeypatch.setattr("martloom.operators.conflicts.PAIRS_PER_RANGE", 10**9 if per_range == 300 else per_range)
+    if per_range == 300:  # a chain, in which every decision depends on the one before
+        rows = [(f"{i:05d}.csv", r, key, "a", "1") for i in range(3000) for r, key in enumerate((i, i + 1))]
+        monkeypatch.setattr("martloom.operators.conflicts.PAIRS_PER_RANGE", 1500)
+    assert {s.source_file: s.status for s in file_statuses(batch(spark, rows), SPEC)} == fold(rows)
+
+
+def test_one_key_in_every_file(spark):
+    rows = [(f"{i:04d}.csv", r, 7 if r else i + 100, "a", "1") for i in range(2000) for r in range(2)]
+    assert {s.source_file: s.status for s in file_statuses(batch(spark, rows), SPEC)} == fold(rows)
+
+
+def test_decisions_that_wait_for_earlier_ranges():
+    import pandas as pd
+
+    from martloom.operators.conflicts import FILE as NAME, SET, decide
+
+    rows = [("c", "x", False, True), ("c", "y", False, False), ("a", "z", True, False), ("b", "w", False, False), ("d", "y", False, False), ("e", "w", False, False)]
+    got = decide(pd.DataFrame(rows, columns=[NAME, SET, "taken", "blocked"]))
+    assert [tuple(r) for r in got.itertuples(index=False)] == [("a", False), ("b", True), ("e", False)]
