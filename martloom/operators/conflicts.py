@@ -12,11 +12,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from martloom.functions import col
 from martloom.operators.checks import has_keys
-from martloom.session import drop_scratch, scratch_path, stage
+from martloom.session import drop_scratch, scratch_path, stage, stage_counted
 
 # Pairs of file and set that one task holds; a single file's pairs stay together.
 PAIRS_PER_RANGE = 500_000
@@ -33,9 +33,8 @@ def contested_keys(rows: DataFrame, key: Sequence[str], path: str) -> tuple[Data
     total = [F.sum(F.xxhash64(F.lit(seed), FILE).cast("decimal(20,0)")).over(over) for seed in (1, 2)]
     marked = held.withColumns({"files": F.count("*").over(over), SET: F.concat_ws(":", F.count("*").over(over), *total)})
     repeated = marked.where((F.col("n") > 1) | (F.col("files") > 1)).select(FILE, "n", "files", SET)
-    seen = Observation()
-    staged = stage(repeated.observe(seen, F.count_if(F.col("n") > 1).alias("inside"), F.count_if(F.col("files") > 1).alias("shared")), "contested", path)
-    return staged, seen.get["inside"], seen.get["shared"]
+    staged, seen = stage_counted(repeated, "contested", path, inside=F.count_if(F.col("n") > 1), shared=F.count_if(F.col("files") > 1))
+    return staged, seen["inside"], seen["shared"]
 
 
 def conflicting_files(rows: DataFrame, key: Sequence[str], defective: DataFrame | None = None) -> DataFrame | None:
@@ -59,15 +58,15 @@ def late_files(pairs: DataFrame, ranges: int) -> DataFrame:
     """Files that share a set with an accepted file before them."""
     spark = pairs.sparkSession
     dealt = pairs.repartitionByRange(max(1, ranges), FILE).withColumn(RANGE, F.spark_partition_id())
-    open_, left = _counted(dealt, "pairs")
+    open_, seen = stage_counted(dealt, "pairs")
     taken: DataFrame | None = None
     rejected: list[DataFrame] = []
-    while left:
+    while seen["rows"]:
         decided = stage(_round(open_, taken), "decided")
         rejected.append(decided.where("not accepted").select(FILE))
         won = open_.join(decided.where("accepted"), FILE, "left_semi").select(SET).distinct()
         taken = won if taken is None else stage(taken.unionByName(won), "taken")
-        open_, left = _counted(open_.join(decided, FILE, "left_anti"), "pairs")
+        open_, seen = stage_counted(open_.join(decided, FILE, "left_anti"), "pairs")
     schema = f"{FILE} string"
     return rejected[0] if len(rejected) == 1 else _all(rejected) if rejected else spark.createDataFrame([], schema)
 
@@ -79,13 +78,6 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return first
 
 
-def _counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
-    """A staged frame and its number of rows, counted as they are written."""
-    seen = Observation()
-    staged = stage(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
-    return staged, seen.get["rows"]
-
-
 def _round(open_: DataFrame, taken: DataFrame | None) -> DataFrame:
     """(file, accepted) of the files that can be decided now."""
     first = open_.groupBy(SET).agg(F.min(RANGE).alias("first"))
@@ -97,18 +89,27 @@ def _round(open_: DataFrame, taken: DataFrame | None) -> DataFrame:
     return known.groupBy(RANGE).applyInPandas(decide, f"{FILE} string, accepted boolean")
 
 
-def decide(rows: pd.DataFrame) -> pd.DataFrame:
-    """The files of one range in their order."""
-    taken = set(rows.loc[rows["taken"], SET])
-    blocked = set(rows.loc[rows["blocked"], SET])
-    out = []
-    for file, sets in rows.sort_values(FILE, kind="stable").groupby(FILE, sort=False)[SET]:
-        own = set(sets)
-        if not taken.isdisjoint(own):
-            out.append((file, False))
-        elif not blocked.isdisjoint(own):
-            blocked |= own
-        else:
-            out.append((file, True))
-            taken |= own
-    return pd.DataFrame(out, columns=[FILE, "accepted"])
+def _decider():
+    # a local function goes to the workers as it is, wherever they find this package
+    file_column, set_column = FILE, SET
+
+    def decide(rows: pd.DataFrame) -> pd.DataFrame:
+        """The files of one range in their order."""
+        taken = set(rows.loc[rows["taken"], set_column])
+        blocked = set(rows.loc[rows["blocked"], set_column])
+        out = []
+        for file, sets in rows.sort_values(file_column, kind="stable").groupby(file_column, sort=False)[set_column]:
+            own = set(sets)
+            if not taken.isdisjoint(own):
+                out.append((file, False))
+            elif not blocked.isdisjoint(own):
+                blocked |= own
+            else:
+                out.append((file, True))
+                taken |= own
+        return pd.DataFrame(out, columns=[file_column, "accepted"])
+
+    return decide
+
+
+decide = _decider()

@@ -19,6 +19,8 @@ from martloom.spec import TableSpec
 ROW = "__row"
 TYPE_FINDING, NULL_FINDING = "__type", "__null"
 
+REPORT = "table string, source_file string, rows bigint, replaced bigint, status string, reason string"
+
 # Statuses and reasons of a load.
 LOADED, SKIPPED, ERROR = "loaded", "skipped", "error"
 NO_MAPPING = "No selected mappings for this file and table"
@@ -156,9 +158,8 @@ def quarantine(fitted: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame
 
 def status_frame(statuses: Sequence[FileStatus], spark: SparkSession) -> DataFrame:
     """The load report: one row per table and file, with rows written and stored rows replaced."""
-    schema = "table string, source_file string, rows bigint, replaced bigint, status string, reason string"
     rows = [(s.table, s.source_file, s.rows, s.replaced, s.status, s.reason) for s in statuses]
-    return spark.createDataFrame(rows, schema)
+    return spark.createDataFrame(rows, REPORT)
 
 
 def total_rows(report: DataFrame) -> DataFrame:

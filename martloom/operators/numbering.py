@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from martloom.functions import col
-from martloom.session import stage
+from martloom.session import stage, stage_counted
 
 # The offsets table has one row per task or file block, some 150 bytes each; it is broadcast up
 # to this many rows and joined without a hint beyond.
@@ -39,11 +39,11 @@ def number_rows(
     place in the run to that offset.  The rows themselves are neither sorted nor shuffled.
     """
     keys = [TASK, *restart, *blocks]
-    runs = staged.groupBy(*map(col, keys)).agg(F.min(STEP).alias("__low"), F.count("*").alias("__rows"))
+    runs, seen = stage_counted(staged.groupBy(*map(col, keys)).agg(F.min(STEP).alias("__low"), F.count("*").alias("__rows")), "runs")
     order = [col(b) for b in blocks] + [F.col("__low")]
     before = F.sum("__rows").over(W.partitionBy(*map(col, restart)).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
     offsets = runs.select(*map(col, keys), "__low", F.coalesce(before, F.lit(0)).alias("__before"))
-    if runs.count() <= BROADCAST_ROWS:
+    if seen["rows"] <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
     first = start if isinstance(start, Column) else F.lit(start)
     number = (first + F.col("__before") + F.col(STEP) - F.col("__low") + 1).cast("bigint")

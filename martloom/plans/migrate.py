@@ -3,34 +3,45 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from dataclasses import asdict, dataclass, replace
-from functools import partial
+from dataclasses import asdict, dataclass
+from functools import partial, reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from martloom.functions import col
+from martloom.operators.checks import has_keys, key_counts
+from martloom.operators.conflicts import conflicting_files
 from martloom.operators.discovery import target_columns
+from martloom.operators.frames import union_all
 from martloom.operators.keys import generate_keys, last_wins
 from martloom.operators.loading import (
     ALL_EMPTY,
     FILE,
     NO_MAPPING,
+    NULL_FINDING,
+    REPORT,
     ROW,
     SKIPPED,
+    TYPE_FINDING,
     FileStatus,
     accepted_rows,
-    file_statuses,
+    defective_files,
     fit_rows,
+    judge_files,
     status_frame,
     union_files,
 )
-from martloom.operators.mapping import Mapping, drop_empty, map_columns, select_mappings
-from martloom.operators.validation import validate_tables
-from martloom.session import drop_scratch, run_together, scratch_path, stage
+from martloom.operators.mapping import Mapping, map_columns, select_mappings
+from martloom.operators.validation import row_metrics, validate_tables
+from martloom.session import drop_scratch, run_together, scratch_path, stage, stage_counted
 from martloom.sources.raw import load_time
 from martloom.sources.store import TableStore
 from martloom.spec import TableSpec
 
+# Marks a row in which no mapped column has a value.
+EMPTY = "__empty"
+
 
 @dataclass(frozen=True)
 class Source:
@@ -67,36 +78,40 @@ def migrate(
 
     The session store is recreated and takes whole files or none of their rows; the project
     store keeps what it has and replaces rows by key.  Sources are best landed raw first, so
-    the passes over them read Parquet columns and not text.
+    the passes over them read Parquet columns and not text.  Rows are counted as they are written, and what
+    they show to be absent (findings, repeated keys, missing keys) is not looked for again.
     """
     wanted = set(tables)
     selected = [spec for spec in specs if not wanted or spec.name in wanted]
     if wanted and not selected:
         raise ValueError(f"Unknown tables: {', '.join(sorted(wanted))}")
+    observed: dict[str, dict] = {}
 
-    def load(spec: TableSpec) -> tuple[list[FileStatus], list[FileStatus]]:
-        batch, skipped = table_batch(spec, sources, mappings) if spec in selected else (None, [])
-        if batch is None:
+    def load(spec: TableSpec) -> tuple[DataFrame | None, DataFrame | None]:
+        rows, skipped, names = table_batch(spec, sources, mappings) if spec in selected else (None, [], [])
+        left_out = status_frame(skipped, spark) if skipped else None
+        if rows is None:
             session_store.write(spec, spark.createDataFrame([], spec.spark_schema))
-            return skipped, []
+            return left_out, None
         # mapped and fitted once; both stores and all counts read the result
         scratch = scratch_path(spark, "batch")
-        batch = stage(batch, "batch", scratch)
-        found = load_recreate(session_store, spec, batch)
-        kept = load_upsert(project_store, spec, batch) if project_store is not None else []
+        batch = read_batch(rows, spec, scratch)
+        found, observed[spec.name] = load_recreate(session_store, spec, batch)
+        kept = load_upsert(project_store, spec, batch) if project_store is not None else None
         drop_scratch(spark, scratch)
-        return skipped + found + _empty_files(spec, files, mappings, found), kept
+        absent = spark.createDataFrame([(n,) for n in names], f"{FILE} string").join(batch.facts, FILE, "left_anti")
+        nothing = [(batch.facts.where("rows = 0").select(FILE), ALL_EMPTY), (absent, NO_MAPPING)]
+        empty = [report_rows(df, spec, F.lit(0), F.lit(0), F.lit(SKIPPED), F.lit(reason)) for df, reason in nothing]
+        return union_all([*([left_out] if left_out is not None else []), found, *empty]), kept
 
-    files = dict(zip([s.name for s in sources], run_together([partial(_files, s) for s in sources]), strict=True))
     results = run_together([partial(load, spec) for spec in specs])
-    statuses = [status for found, _ in results for status in found]
-    project_statuses = [status for _, kept in results for status in kept]
+    report = union_all([found for found, _ in results if found is not None], spark, REPORT)
     loaded = {spec.name: session_store.read(spec.name) for spec in selected}
-    report = status_frame(sorted(statuses, key=lambda s: (s.table, s.source_file)), spark)
-    validation = validate_tables(selected, loaded, spark)
+    validation = validate_tables(selected, loaded, spark, observed)
+    project_report = union_all([kept for _, kept in results if kept is not None], spark, REPORT) if project_store is not None else None
     if report_path:
-        validation = write_report(spark, report_path, report, validation, mappings, sources, selected)
-    return Migration(report, validation, status_frame(project_statuses, spark) if project_store is not None else None)
+        report, validation = write_report(spark, report_path, report, validation, mappings, sources, selected)
+    return Migration(report, validation, project_report)
 
 
 def write_report(
@@ -107,8 +122,8 @@ def write_report(
     mappings: Sequence[Mapping],
     sources: Sequence[Source],
     selected: Sequence[TableSpec],
-) -> DataFrame:
-    """Write the run as JSON, a folder per part; returns the validation as written."""
+) -> tuple[DataFrame, DataFrame]:
+    """Write the run as JSON, a folder per part; returns the load report and the validation as written."""
     mapping_rows = [tuple(asdict(m).values()) for m in mappings]
     schema = (
         "target_table string, target_column string, source_file string, source_column string, "
@@ -125,16 +140,16 @@ def write_report(
         "target_columns": target_columns(selected, spark),
         "validation": validation,
     }
-    for name, df in parts.items():
-        df.write.mode("overwrite").json(f"{path.rstrip('/')}/{name}")
-    return spark.read.schema(validation.schema).json(f"{path.rstrip('/')}/validation")
+    run_together([partial(df.write.mode("overwrite").json, f"{path.rstrip('/')}/{name}") for name, df in parts.items()])
+    written = [spark.read.schema(df.schema).json(f"{path.rstrip('/')}/{name}") for name, df in (("rows_loaded", report), ("validation", validation))]
+    return written[0], written[1]
 
 
 def table_batch(
     spec: TableSpec, sources: Sequence[Source], mappings: Sequence[Mapping]
-) -> tuple[DataFrame | None, list[FileStatus]]:
-    """All mapped, non-empty rows of one target with their file and row, and the files left out."""
-    parts, skipped = [], []
+) -> tuple[DataFrame | None, list[FileStatus], list[str]]:
+    """All mapped rows of one target with their file and row, the sources left out, and the files known by name."""
+    parts, skipped, names = [], [], []
     for source in sorted(sources, key=lambda s: s.name):
         chosen = select_mappings(mappings, spec.name, source.name)
         if not chosen:
@@ -142,78 +157,103 @@ def table_batch(
             continue
         file = col(source.file) if source.file else F.lit(source.name)
         numbered = source.frame.withColumns({FILE: file, ROW: col(source.order)})
-        mapped = drop_empty(map_columns(numbered, chosen, spec, keep=(FILE, ROW)), chosen)
-        parts.append(fit_rows(mapped, spec))
-    return (union_files(parts) if parts else None), skipped
+        mapped = map_columns(numbered, chosen, spec, keep=(FILE, ROW))
+        empty = reduce(and_, (col(m.target_column).isNull() for m in chosen))
+        parts.append(fit_rows(mapped.withColumn(EMPTY, empty), spec, (FILE, ROW, EMPTY)))
+        names += [] if source.file else [source.name]
+    return (union_files(parts) if parts else None), skipped, names
 
 
-def load_recreate(store: TableStore, spec: TableSpec, batch: DataFrame) -> list[FileStatus]:
-    """Replace the target by the accepted files."""
-    statuses = file_statuses(batch, spec)
-    rows = accepted_rows(batch, statuses, spec)
-    if spec.generated_key:
+@dataclass(frozen=True)
+class Batch:
+    """The staged rows of one target, what was seen of them, their files, and how many keys repeat among them."""
+
+    rows: DataFrame
+    facts: DataFrame
+    defects: bool
+    keyless: int
+    repeated: DataFrame | None
+
+
+def read_batch(mapped: DataFrame, spec: TableSpec, path: str) -> Batch:
+    """Stage the rows of a target; those without any value only count for their file."""
+    filled = ~F.col(EMPTY)
+    bad = F.col(TYPE_FINDING).isNotNull() | F.col(NULL_FINDING).isNotNull()
+    missing = F.count_if(filled & col(spec.generated_key).isNull()) if spec.generated_key else F.lit(0)
+    staged, seen = stage_counted(mapped, "batch", path, bad=F.count_if(filled & bad), keyless=missing)
+    findings = [F.min(F.when(filled, F.col(c))).alias(name) for c, name in ((TYPE_FINDING, "loss"), (NULL_FINDING, "null"))]
+    facts = stage(staged.groupBy(FILE).agg(F.count_if(filled).alias("rows"), *findings), "facts")
+    rows = staged.where(filled).drop(EMPTY)
+    repeated = None
+    if spec.primary_key:
+        twice = key_counts(rows, spec.primary_key).where("rows > 1").drop("rows")
+        keys, counted = stage_counted(twice, "repeated")
+        repeated = keys if counted["rows"] else None
+    return Batch(rows, facts, bool(seen["bad"]), seen["keyless"], repeated)
+
+
+def report_rows(files: DataFrame, spec: TableSpec, rows: Column, replaced: Column, status: Column, reason: Column) -> DataFrame:
+    """The load report's rows of some files."""
+    return files.select(
+        F.lit(spec.name).alias("table"),
+        F.col(FILE).alias("source_file"),
+        rows.cast("bigint").alias("rows"),
+        replaced.cast("bigint").alias("replaced"),
+        status.alias("status"),
+        reason.alias("reason"),
+    )
+
+
+def load_recreate(store: TableStore, spec: TableSpec, batch: Batch) -> tuple[DataFrame, dict]:
+    """Replace the target by the accepted files; the report, and what was observed of the rows."""
+    conflicts = None
+    if batch.repeated is not None:
+        contested = batch.rows.join(batch.repeated, spec.primary_key, "left_semi")
+        conflicts = conflicting_files(contested, spec.primary_key, defective_files(batch.facts) if batch.defects else None)
+    judged = judge_files(batch.facts.where("rows > 0"), spec, conflicts)
+    rows = accepted_rows(batch.rows, judged, spec) if batch.defects or conflicts is not None else batch.rows
+    if batch.keyless:
         rows = _numbered(rows, spec, None)
-    store.write(spec, rows)
-    return statuses
+    seen = Observation()
+    store.write(spec, rows, seen, **row_metrics(spec))
+    return report_rows(judged, spec, F.col("rows"), F.lit(0), F.col("status"), F.col("reason")), seen.get
 
 
-def load_upsert(store: TableStore, spec: TableSpec, batch: DataFrame) -> list[FileStatus]:
+def load_upsert(store: TableStore, spec: TableSpec, batch: Batch) -> DataFrame:
     """Replace rows of the target by key, the last file and row of a key winning.
 
-    The statuses tell the rows written, after repeats within the batch, and how many of them
+    The report tells the rows written, after repeats within the batch, and how many of them
     replaced a stored row.
     """
-    statuses = file_statuses(batch, spec, replace=True)
-    rows = accepted_rows(batch, statuses, spec)
-    if spec.primary_key:
-        rows = last_wins(rows, spec.primary_key, [FILE, ROW])
-    if spec.generated_key:
-        top = None
-        if store.exists(spec.name):
-            top = store.read(spec.name).agg(F.max(col(spec.generated_key))).first()[0]
+    judged, rows = judge_files(batch.facts.where("rows > 0"), spec), batch.rows
+    if batch.defects:
+        rows = accepted_rows(rows, judged, spec)
+    if batch.repeated is not None:
+        rows = last_wins(rows.select(FILE, ROW, *map(col, spec.column_names)), spec.primary_key, [FILE, ROW])
+    known = store.exists(spec.name)
+    if batch.keyless:
+        top = store.read(spec.name).agg(F.max(col(spec.generated_key))).first()[0] if known else None
         rows = _numbered(rows, spec, top)
-    scratch = scratch_path(store.spark, "batch")
-    rows = stage(rows, "batch", scratch)
-    written = _rows_per_file(rows)
-    replaced = {}
-    if spec.primary_key and store.exists(spec.name):
-        stored = store.read(spec.name).select(*map(col, spec.primary_key))
-        replaced = _rows_per_file(rows.join(stored, spec.primary_key, "left_semi"))
+    if batch.defects or batch.repeated is not None or batch.keyless:
+        rows = stage(rows, "upsert")
+    stored = store.read(spec.name) if known and spec.primary_key else None
+    written = _per_file(rows, stored, spec) if stored is not None or batch.repeated is not None else None
     store.upsert(spec, rows)
-    drop_scratch(store.spark, scratch)
-    return [
-        replace(s, rows=written.get(s.source_file, 0), replaced=replaced.get(s.source_file, 0)) for s in statuses
-    ]
+    if written is None:
+        return report_rows(judged, spec, F.col("rows"), F.lit(0), F.col("status"), F.col("reason"))
+    counted = judged.drop("rows").join(written, FILE, "left").fillna(0, ["rows", "replaced"])
+    return report_rows(counted, spec, F.col("rows"), F.col("replaced"), F.col("status"), F.col("reason"))
 
 
-def _rows_per_file(rows: DataFrame) -> dict[str, int]:
-    return {r[FILE]: r["count"] for r in rows.groupBy(FILE).count().collect()}
+def _per_file(rows: DataFrame, stored: DataFrame | None, spec: TableSpec) -> DataFrame:
+    """Rows of each file, and how many of them have a stored row to replace."""
+    known = F.lit(False)
+    if stored is not None:
+        keys = stored.where(has_keys(spec.primary_key)).select(*map(col, spec.primary_key), F.lit(True).alias("__stored"))
+        rows, known = rows.join(keys, spec.primary_key, "left"), F.coalesce("__stored", F.lit(False))
+    return stage(rows.groupBy(FILE).agg(F.count("*").alias("rows"), F.count_if(known).alias("replaced")), "written")
 
 
 def _numbered(rows: DataFrame, spec: TableSpec, top: int | None) -> DataFrame:
-    """Number the rows without a key in file and row order, if there are any."""
-    key = spec.generated_key
-    if rows.where(col(key).isNull()).isEmpty():
-        return rows
-    return generate_keys(rows, key, order=[FILE, ROW], start=top)
-
-
-def _files(source: Source) -> dict[str, int]:
-    """Rows of every file of a source, before any is left out; a row per file."""
-    if source.file is None:
-        return {source.name: 0 if source.frame.isEmpty() else 1}
-    return {r["file"]: r["count"] for r in source.frame.groupBy(col(source.file).alias("file")).count().collect()}
-
-
-def _empty_files(
-    spec: TableSpec, files: dict[str, dict[str, int]], mappings: Sequence[Mapping], found: Sequence[FileStatus]
-) -> list[FileStatus]:
-    """Mapped files without rows, or none of whose rows had a value."""
-    seen = {s.source_file for s in found}
-    return [
-        FileStatus(spec.name, file, 0, SKIPPED, ALL_EMPTY if rows else NO_MAPPING)
-        for source, counts in files.items()
-        if select_mappings(mappings, spec.name, source)
-        for file, rows in counts.items()
-        if file not in seen
-    ]
+    """Number the rows without a key in file and row order."""
+    return generate_keys(rows, spec.generated_key, order=[FILE, ROW], start=top)

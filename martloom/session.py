@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import TypeVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 # Runtime settings the jobs are designed for.  AQE turns shuffled joins into broadcasts once
 # the real size is known, merges small partitions and splits skewed ones.
@@ -71,6 +71,13 @@ def stage(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_counted(df: DataFrame, label: str, path: str | None = None, **metrics: Column) -> tuple[DataFrame, dict]:
+    """Like ``stage``, with ``rows`` and further metrics of the rows as they were written; no job of its own counts them."""
+    seen = Observation()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"), *(m.alias(name) for name, m in metrics.items()))
+    return stage(counted, label, path), seen.get
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     """Delete one scratch table that no reader needs any more."""
     if not path.startswith(scratch_root(spark) + "/martloom/"):

@@ -104,11 +104,10 @@ def read_groups(spark: SparkSession, path: str | list[str], multi_line: bool | N
     opens = F.lit(bool(multi_line)) if multi_line is not None else _opens(F.col("value"))
     marked = lines.select(file_column("file"), at.alias("at"), F.when(F.col("value") == some["value"], at).alias("known"), opens.alias("open"))
     each = marked.groupBy("file").agg(F.min("at").alias("at"), F.min("known").alias("known"), F.count_if("open").alias("open"))
-    alike = each.groupBy(F.col("at").eqNullSafe(F.col("known")).alias("same"), (F.col("open") > 0).alias("open"))
-    found = alike.agg(F.min("file").alias("file"), F.collect_list("file").alias("files")).collect()  # the names that Spark's own listing holds
-    first = {f: some["value"] for r in found if r["same"] for f in r["files"]}
-    first |= _first_lines(spark, [f for r in found if not r["same"] for f in r["files"]])
-    open_files = {f for r in found if r["open"] for f in r["files"]}
+    # a row per file, as many as Spark's own listing holds
+    found = each.select("file", F.col("at").eqNullSafe(F.col("known")).alias("same"), (F.col("open") > 0).alias("open")).collect()
+    first = {r["file"]: some["value"] for r in found if r["same"]} | _first_lines(spark, [r["file"] for r in found if not r["same"]])
+    open_files = {r["file"] for r in found if r["open"]}
     by_line: dict[tuple, list[str]] = {}
     for file in sorted(first):
         # a header that goes on after its line is told apart by file
@@ -116,7 +115,7 @@ def read_groups(spark: SparkSession, path: str | list[str], multi_line: bool | N
         by_line.setdefault((first[file], file in open_files, own), []).append(file)
     groups: dict[tuple, list[str]] = {}
     for (_, is_open, _), files in by_line.items():
-        groups.setdefault((_header(spark, files[0], is_open), is_open), []).extend(files)
+        groups.setdefault((_header(spark, files[0], first[files[0]], is_open), is_open), []).extend(files)
     listed = sorted(groups.items(), key=lambda g: min(g[1]))
     _alike([header_names(cells) for (cells, _), _ in listed], path)
     if len(listed) == 1:
@@ -133,7 +132,10 @@ def _first_lines(spark: SparkSession, files: list[str]) -> dict[str, str]:
     return {r["file"]: r["line"] for r in start.groupBy("file").agg(F.min_by("value", "at").alias("line")).collect()}
 
 
-def _header(spark: SparkSession, file: str, multi_line: bool) -> tuple[str | None, ...]:
+def _header(spark: SparkSession, file: str, line: str, multi_line: bool) -> tuple[str | None, ...]:
+    """The cells of the first line; only one with quotes is left to the reader of the values."""
+    if '"' not in line:
+        return tuple(cell or None for cell in line.split(","))
     reader = _options(spark, multi_line).option("header", False)
     return tuple(reader.csv(literal_path(spark, file)).head(1)[0])
 

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from martloom.functions import col
@@ -87,12 +87,14 @@ class TableStore:
         """The specs of all tables that have one, by name."""
         return [spec for name in self.tables() if (spec := self.spec(name))]
 
-    def write(self, spec: TableSpec, df: DataFrame) -> DataFrame:
-        """Replace the table; returns it as stored."""
+    def write(self, spec: TableSpec, df: DataFrame, seen: Observation | None = None, **metrics: Column) -> DataFrame:
+        """Replace the table; returns it as stored. Metrics of its rows are observed as they are written."""
         df = df.select(*map(col, spec.column_names))
-        if not (spec.primary_key and self.buckets):
-            return self._publish(spec, df)
-        return self._publish_parts(spec, self._by_bucket(df, spec.primary_key, self.buckets), None)
+        bucketed = bool(spec.primary_key and self.buckets)
+        rows = self._by_bucket(df, spec.primary_key, self.buckets) if bucketed else df
+        if seen is not None:
+            rows = rows.observe(seen, *(m.alias(name) for name, m in metrics.items()))
+        return self._publish_parts(spec, rows, None) if bucketed else self._publish(spec, rows)
 
     def upsert(self, spec: TableSpec, batch: DataFrame) -> DataFrame:
         """Replace whole rows by primary key; without a key, append.
