@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from functools import partial
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from martloom.functions.casts import LENIENT
-from martloom.operators.checks import derive_tests, run_tests
+from martloom.operators.checks import derive_tests
+from martloom.operators.summaries import summarise_for, test_results
 from martloom.plans.models import (
     build_enriched,
     build_mart,
@@ -21,7 +22,7 @@ from martloom.plans.models import (
     staging_name,
     write_mart,
 )
-from martloom.session import run_together
+from martloom.session import counts_of, run_together
 from martloom.spec import Relationship, TableSpec
 
 OK, FAILED, SKIPPED = "ok", "error", "skipped"
@@ -46,6 +47,9 @@ def build_all(
 ) -> list[Step]:
     """Staging views, tests on them, then the mart and enriched tables whose tests pass.
 
+    Each table is scanned once for all its tests and once for its mart, whose rows are counted as they are
+    written; enriched tables read the published marts.
+
     A model whose own tests, or those of a model it points at, fail is skipped, and what was
     published of it before stays. Otherwise the build stops at the first failing layer. Models
     of one layer do not depend on each other and are built at the same time.
@@ -56,12 +60,18 @@ def build_all(
     def stage_view(spec: TableSpec) -> None:
         staging[spec.name] = register_staging(build_staging(frames[spec.name], spec, mode), spec.name)
 
+    published: dict[str, DataFrame] = {}
+
     def mart(name: str) -> int:
-        return write_mart(spark, build_mart(staging[name]), mart_name(name), root).count()
+        seen = Observation()
+        published[name] = write_mart(spark, build_mart(staging[name]), mart_name(name), root, seen)
+        return counts_of(seen, "rows")["rows"]
 
     def enriched(child: str) -> int:
-        model = build_enriched(by_name[child], relationships, by_name, staging)
-        return write_mart(spark, model, enriched_name(child), root).count()
+        seen = Observation()
+        model = build_enriched(by_name[child], relationships, by_name, published)  # those of blocked models are blocked too
+        write_mart(spark, model, enriched_name(child), root, seen)
+        return counts_of(seen, "rows")["rows"]
 
     steps = run_together([partial(_step, "staging", staging_name(spec.name), partial(stage_view, spec)) for spec in specs])
     if not succeeded(steps):
@@ -108,7 +118,7 @@ def run_test_steps(
     tests = derive_tests(specs, relationships)
     if not tests:
         return [], []
-    rows = run_tests(tests, staging).orderBy("model", "test", "column").collect()
+    rows = test_results(tests, summarise_for(tests, staging), SparkSession.active()).orderBy("model", "test", "column").collect()
     steps = [
         Step(
             "test",

@@ -34,7 +34,7 @@ from martloom.operators.loading import (
 )
 from martloom.operators.mapping import Mapping, map_columns, select_mappings
 from martloom.operators.validation import row_metrics, validate_tables
-from martloom.session import drop_scratch, run_together, scratch_path, stage, stage_counted
+from martloom.session import counts_of, drop_scratch, run_together, scratch_path, stage, stage_counted
 from martloom.sources.raw import load_time
 from martloom.sources.store import TableStore
 from martloom.spec import TableSpec
@@ -214,9 +214,9 @@ def load_recreate(store: TableStore, spec: TableSpec, batch: Batch) -> tuple[Dat
     rows = accepted_rows(batch.rows, judged, spec) if batch.defects or conflicts is not None else batch.rows
     if batch.keyless:
         rows = _numbered(rows, spec, None)
-    seen = Observation()
-    store.write(spec, rows, seen, **row_metrics(spec))
-    return report_rows(judged, spec, F.col("rows"), F.lit(0), F.col("status"), F.col("reason")), seen.get
+    seen, metrics = Observation(), row_metrics(spec)
+    store.write(spec, rows, seen, **metrics)
+    return report_rows(judged, spec, F.col("rows"), F.lit(0), F.col("status"), F.col("reason")), counts_of(seen, *metrics)
 
 
 def load_upsert(store: TableStore, spec: TableSpec, batch: Batch) -> DataFrame:

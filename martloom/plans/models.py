@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from martloom.functions import col
 from martloom.functions.casts import LENIENT, staged
@@ -44,9 +44,9 @@ def build_mart(staging: DataFrame) -> DataFrame:
     return staging.select("*")
 
 
-def write_mart(spark: SparkSession, df: DataFrame, name: str, root: str) -> DataFrame:
-    """Marts are tables; a new version takes the place of the last one once it is written whole."""
-    return TableStore(spark, root).publish(name, df)
+def write_mart(spark: SparkSession, df: DataFrame, name: str, root: str, seen: Observation | None = None) -> DataFrame:
+    """Marts are tables; a new version takes the place of the last one once it is written whole. ``seen`` observes its ``rows``."""
+    return TableStore(spark, root).publish(name, df if seen is None else df.observe(seen, F.count(F.lit(1)).alias("rows")))
 
 
 def read_mart(spark: SparkSession, name: str, root: str) -> DataFrame:

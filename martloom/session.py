@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import TypeVar
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 # Runtime settings the jobs are designed for.  AQE turns shuffled joins into broadcasts once
@@ -75,7 +76,15 @@ def stage_counted(df: DataFrame, label: str, path: str | None = None, **metrics:
     """Like ``stage``, with ``rows`` and further metrics of the rows as they were written; no job of its own counts them."""
     seen = Observation()
     counted = df.observe(seen, F.count(F.lit(1)).alias("rows"), *(m.alias(name) for name, m in metrics.items()))
-    return stage(counted, label, path), seen.get
+    return stage(counted, label, path), counts_of(seen, "rows", *metrics)
+
+
+def counts_of(seen: Observation, *names: str) -> dict[str, int]:
+    """What was observed of rows that have been written; of rows that Spark knew to be none, nothing was."""
+    try:
+        return {name: seen.get[name] for name in names}
+    except Py4JJavaError:  # the plan was empty before it ran, so there are no metrics
+        return dict.fromkeys(names, 0)
 
 
 def drop_scratch(spark: SparkSession, path: str) -> None:

@@ -228,7 +228,7 @@ class TableStore:
     def _publish(self, spec: TableSpec, df: DataFrame) -> DataFrame:
         path = self._next(spec, "")
         df.write.parquet(path)
-        return self.spark.read.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def _publish_parts(self, spec: TableSpec, df: DataFrame, before: Parts | None) -> DataFrame:
         """Write the buckets of these rows, and the list of them and of those that are as they were."""

@@ -301,3 +301,15 @@ def test_decisions_that_wait_for_earlier_ranges():
     rows = [("c", "x", False, True), ("c", "y", False, False), ("a", "z", True, False), ("b", "w", False, False), ("d", "y", False, False), ("e", "w", False, False)]
     got = decide(pd.DataFrame(rows, columns=[NAME, SET, "taken", "blocked"]))
     assert [tuple(r) for r in got.itertuples(index=False)] == [("a", False), ("b", True), ("e", False)]
+
+
+def test_migration_of_sources_without_rows(spark, folder):
+    a = table("a", "a_id INTEGER, x INTEGER", "a_id", not_null=["x"])
+    b = table("b", "x INTEGER", foreign_keys={"x": ("a", "a_id")})
+    none = spark.createDataFrame([], "n int, i int, x int, f string")
+    sources = [Source("s.csv", none, "n"), Source("p.csv", none, "n", file="f")]
+    mappings = [Mapping(t, c, s, c2) for t in "ab" for s in ("s.csv", "p.csv") for c, c2 in (("a_id", "i"), ("x", "x")) if (t, c) != ("b", "a_id")]
+    done = migrate(spark, [a, b], sources, mappings, TableStore(spark, folder + "/s"), TableStore(spark, folder + "/p", 4))
+    assert sorted(tuple(r)[:3] + (r["status"],) for r in done.report.collect()) == [("a", "s.csv", 0, "skipped"), ("b", "s.csv", 0, "skipped")]
+    assert sorted((r["table"], r["row_count"], r["status"]) for r in done.validation.collect()) == [("a", 0, "ok"), ("b", 0, "ok")]
+    assert done.project_report.count() == 0
