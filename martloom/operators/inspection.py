@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from martloom.functions import col
 from martloom.operators.frames import union_all
@@ -29,7 +29,9 @@ def table_counts(frames: dict[str, DataFrame]) -> DataFrame:
                 F.lit(layer_of(name)).alias("layer"), F.lit(name).alias("table_name"), "row_count"
             )
             for name, df in frames.items()
-        ]
+        ],
+        SparkSession.active(),
+        "layer string, table_name string, row_count bigint",
     )
 
 
@@ -41,7 +43,8 @@ def table_summary(frames: dict[str, DataFrame]) -> DataFrame:
         )
         for name, df in frames.items()
     ]
-    return union_all(parts).where(~F.col("table").rlike(GENERATED_NAMES)).orderBy("table")
+    every = union_all(parts, SparkSession.active(), "table string, rows bigint, columns array<string>")
+    return every.where(~F.col("table").rlike(GENERATED_NAMES)).orderBy("table")
 
 
 def inspect(df: DataFrame, order_by: Sequence[str], rows: int = INSPECT_ROWS) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from martloom.functions import col
 from martloom.functions.display import display
@@ -113,6 +113,7 @@ def profile(
     if samples:
         taken = sample_values(df, order_by).withColumnRenamed("column_name", "sampled_column")
         result = result.join(taken, F.col("column_name") == F.col("sampled_column"), "left").drop("sampled_column")
+        result = result.withColumn("sample_values", F.coalesce("sample_values", F.array().cast("array<string>")))
     return result
 
 
@@ -161,13 +162,18 @@ def _no_nan(value: Column, data_type: T.DataType) -> Column:
     return F.nanvl(value, F.lit(None).cast(data_type)) if isinstance(data_type, (T.DoubleType, T.FloatType)) else value
 
 
+CATALOGUE = "source_file string, ordinal int, column_name string, inferred_type string, null_pct double, distinct_count bigint, row_count bigint"
+SAMPLES = ", sample_values array<string>"
+
+
 def profile_all(frames: dict[str, DataFrame], order_by: dict[str, str] | None = None, **options) -> DataFrame:
     """The catalogue of several sources; their types are inferred at the same time.
 
     ``order_by`` names the column that numbers a source's rows, by source.
     """
     orders = order_by or {}
-    return union_all(run_together([partial(profile, df, name, order_by=orders.get(name), **options) for name, df in frames.items()]))
+    parts = run_together([partial(profile, df, name, order_by=orders.get(name), **options) for name, df in frames.items()])
+    return union_all(parts, SparkSession.active(), CATALOGUE + (SAMPLES if options.get("samples") else ""))
 
 
 def _no_cells(df: DataFrame) -> DataFrame:

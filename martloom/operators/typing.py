@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from martloom.functions import col
 from martloom.functions.casts import NUMBER, WHOLE_NUMBER
@@ -70,13 +70,11 @@ def infer_types(df: DataFrame, order_by: str | None = None, dates: bool = True)
     found = _whole_kinds(df, open_columns)
     for name in texts:
         types[name] = found.get(name) or STRING
-        empty = name in found and found[name] is None
-        if types[name] == STRING and dates and not empty:
-            values = sample[name]
-            if len(values) < DATE_SAMPLE and (not values or _is_date(values)):
-                values = first_texts(df, name, order_by)
-            types[name] = DATE if values and _is_date(values) else STRING
-    return types
+    rest = [n for n in texts if types[n] == STRING and not (n in found and found[n] is None)] if dates else []
+    # a column with few values in the first rows is looked up further down, unless these show already that it holds no dates
+    sparse = [n for n in rest if len(sample[n]) < DATE_SAMPLE and (not sample[n] or _is_date(sample[n]))]
+    sample |= first_texts(df, sparse, order_by)
+    return types | {n: DATE for n in rest if sample[n] and _is_date(sample[n])}
 
 
 def _first_rows(df: DataFrame, names: list[str], order_by: str | None) -> dict[str, list[str]]:
@@ -87,11 +85,22 @@ def _first_rows(df: DataFrame, names: list[str], order_by: str | None) -> dict[s
     return {n: [r[f"c{i}"] for r in rows if r[f"c{i}"] is not None] for i, n in enumerate(names)}
 
 
-def first_texts(df: DataFrame, name: str, order_by: str | None) -> list[str]:
-    """The first non-null values of one column; the scan stops once it has them."""
-    keys = [col(order_by)] if order_by else []
-    short = df.select(*keys, _short(col(name)).alias("__v"))
-    return [r["value"] for r in first_values(short, "__v", None, order_by).take(DATE_SAMPLE)]
+def first_texts(df: DataFrame, names: list[str], order_by: str | None) -> dict[str, list[str]]:
+    """The first non-null values of several columns, shortened, in one pass.
+
+    Every task keeps the first few of each column before the rest meet, so a column's values are never gathered.
+    Without ``order_by`` they come in the order of the scan.
+    """
+    if not names:
+        return {}
+    place = col(order_by) if order_by else F.monotonically_increasing_id()
+    cells = [F.when(col(n).isNotNull(), F.struct(F.lit(i).alias("at"), F.col("__ord").alias("ord"), _short(col(n)).alias("value"))) for i, n in enumerate(names)]
+    filled = df.select(place.alias("__ord"), *map(col, names)).select(F.inline(F.array_compact(F.array(*cells))))
+    first = filled.withColumn("rank", F.row_number().over(W.partitionBy("at").orderBy("ord"))).where(F.col("rank") <= DATE_SAMPLE)
+    out: dict[str, list[str]] = {n: [] for n in names}
+    for r in sorted(first.collect(), key=lambda r: r["rank"]):  # DATE_SAMPLE short texts a column at most
+        out[names[r["at"]]].append(r["value"])
+    return out
 
 
 def _short(value: Column) -> Column:

@@ -102,7 +102,11 @@ def contract_check(specs: Sequence[TableSpec], frames: dict[str, DataFrame], spa
     parts = []
     lowered = {spec.name.lower(): spec for spec in specs}
     for spec in specs:
-        df = frames[spec.name]
+        df = frames.get(spec.name)
+        if df is None:
+            missing = F.array(F.struct(F.lit(spec.name).alias("column"), F.lit("missing_table").alias("finding"), F.lit(1).alias("count")))
+            parts.append(_finding(one_row(spark).select(F.inline(missing)), spec.name))
+            continue
         present = {f.name.lower(): f for f in df.schema.fields}
         fixed = [(c.name, "missing_column") for c in spec.columns if c.name.lower() not in present]
         known = [(c, present[c.name.lower()]) for c in spec.columns if c.name.lower() in present]

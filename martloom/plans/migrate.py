@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 from functools import partial, reduce
 from operator import and_
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from martloom.functions import col
@@ -32,7 +33,7 @@ from martloom.operators.loading import (
     status_frame,
     union_files,
 )
-from martloom.operators.mapping import Mapping, map_columns, select_mappings
+from martloom.operators.mapping import Mapping, failing_mappings, map_columns, select_mappings
 from martloom.operators.validation import row_metrics, validate_tables
 from martloom.session import counts_of, drop_scratch, run_together, scratch_path, stage, stage_counted
 from martloom.sources.raw import load_time
@@ -88,14 +89,23 @@ def migrate(
     observed: dict[str, dict] = {}
 
     def load(spec: TableSpec) -> tuple[DataFrame | None, DataFrame | None]:
-        rows, skipped, names = table_batch(spec, sources, mappings) if spec in selected else (None, [], [])
+        own, mapped = sources if spec in selected else [], mappings
+        rows, skipped, names = table_batch(spec, own, mapped)
         left_out = status_frame(skipped, spark) if skipped else None
         if rows is None:
             session_store.write(spec, spark.createDataFrame([], spec.spark_schema))
             return left_out, None
         # mapped and fitted once; both stores and all counts read the result
         scratch = scratch_path(spark, "batch")
-        batch = read_batch(rows, spec, scratch)
+        try:
+            batch = read_batch(rows, spec, scratch)
+        except PySparkException:
+            # a transformation may have failed on a value: where one did, its file takes the plain column
+            mapped = runnable_mappings(spec, own, mappings)
+            if mapped == list(mappings):
+                raise
+            drop_scratch(spark, scratch)
+            batch = read_batch(table_batch(spec, own, mapped)[0], spec, scratch)
         found, observed[spec.name] = load_recreate(session_store, spec, batch)
         kept = load_upsert(project_store, spec, batch) if project_store is not None else None
         drop_scratch(spark, scratch)
@@ -164,6 +174,12 @@ def table_batch(
     return (union_files(parts) if parts else None), skipped, names
 
 
+def runnable_mappings(spec: TableSpec, sources: Sequence[Source], mappings: Sequence[Mapping]) -> list[Mapping]:
+    """The mappings without the transformations of this target that fail on a value of their source."""
+    failing = [m for s in sources for m in failing_mappings(s.frame, select_mappings(mappings, spec.name, s.name))]
+    return [replace(m, transformation=None) if m in failing else m for m in mappings]
+
+
 @dataclass(frozen=True)
 class Batch:
     """The staged rows of one target, what was seen of them, their files, and how many keys repeat among them."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from martloom.operators.mapping import Mapping, drop_empty, map_columns, select_mappings
+from martloom.operators.mapping import Mapping, drop_empty, map_columns, select_mappings, without_failing
 from registry.model import SPECS, given
 
 FILE = "orders.csv"
@@ -49,6 +49,23 @@ def map_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def map_expr_runtime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expressions that fail on some order, or that are none of a single row, give the plain column."""
+    orders = given(spark, sf_dir, "orders")
+    mappings = [
+        order_mapping("order_id", "o_orderkey", "o_orderkey + 1"),
+        order_mapping("customer_id", "o_custkey", "o_custkey % (o_orderkey % 7)"),
+        order_mapping("status", "o_orderstatus", "o_orderstatus = 1"),
+        order_mapping("price", "o_totalprice", "cast(o_orderpriority as double) + o_totalprice"),
+        order_mapping("total", "o_totalprice", "sum(o_totalprice)"),
+        order_mapping("place", "o_orderkey", "row_number() over (order by o_orderkey)"),
+        order_mapping("word", "o_orderpriority", "explode(split(o_orderpriority, '-'))"),
+        order_mapping("top", "o_custkey", "(select 1)"),
+        order_mapping("share", "o_totalprice", "o_totalprice / (1 + o_orderkey % 7)"),
+    ]
+    return project(orders, without_failing(orders, mappings))
+
+
 def map_expr_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project(
         given(spark, sf_dir, "orders"),
@@ -81,6 +98,7 @@ def map_drop_all_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "map_project": map_project,
     "map_expr": map_expr,
+    "map_expr_runtime": map_expr_runtime,
     "map_expr_fallback": map_expr_fallback,
     "map_missing_null": map_missing_null,
     "map_drop_all_null": map_drop_all_null,
@@ -94,6 +112,9 @@ ORACLES = {
             o_orderstatus || '-' || o_orderpriority as status, o_totalprice / 100 as price,
             o_totalprice > 100000 and o_orderstatus = 'O' as large, upper(substring(o_orderpriority, 3)) as label
         from orders""",
+    "map_expr_runtime": """
+        select o_orderkey + 1 as order_id, o_custkey as customer_id, o_orderstatus as status, o_totalprice as price, o_totalprice as total,
+            o_orderkey as place, o_orderpriority as word, o_custkey as top, o_totalprice / (1 + o_orderkey % 7) as share from orders""",
     "map_expr_fallback": """
         select o_orderkey as order_id, o_custkey as customer_id, o_orderstatus as status, cast(null as double) as price
         from orders""",

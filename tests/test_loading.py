@@ -313,3 +313,13 @@ def test_migration_of_sources_without_rows(spark, folder):
     assert sorted(tuple(r)[:3] + (r["status"],) for r in done.report.collect()) == [("a", "s.csv", 0, "skipped"), ("b", "s.csv", 0, "skipped")]
     assert sorted((r["table"], r["row_count"], r["status"]) for r in done.validation.collect()) == [("a", 0, "ok"), ("b", 0, "ok")]
     assert done.project_report.count() == 0
+
+
+def test_migration_goes_on_where_a_transformation_fails(spark, folder):
+    a = table("a", "x INTEGER, y INTEGER")
+    sources = [Source(f"{n}.csv", spark.createDataFrame([(1, 6, z)], "n int, i int, z int"), "n") for n, z in (("bad", 0), ("good", 2))]
+    mappings = [Mapping("a", c, s.name, "i", e) for s in sources for c, e in (("x", "i / z"), ("y", "i + 1"))]
+    store = TableStore(spark, folder + "/s")
+    done = migrate(spark, [a], sources, mappings, store)
+    assert {r["status"] for r in done.report.collect()} == {"loaded"}
+    assert sorted(map(tuple, store.read("a").collect())) == [(3, 7), (6, 7)]

@@ -1,6 +1,6 @@
 import pytest
 
-from martloom.operators.mapping import Mapping, drop_empty, map_columns, select_mappings
+from martloom.operators.mapping import Mapping, drop_empty, failing_mappings, map_columns, select_mappings, without_failing
 from martloom.spec import table
 
 SPEC = table("t", "id INTEGER, v REAL, w TEXT", "id")
@@ -46,3 +46,28 @@ def test_drop_empty_rows(spark):
 def test_no_mapping_is_an_error(spark):
     with pytest.raises(ValueError):
         map_columns(spark.range(1), [], SPEC)
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["sum(id)", "count(*)", "id + max(id)", "explode(array(1, 2))", "explode(split(s, ' '))", "row_number() over (order by id)",
+     "(select 1)", "id + ( SELECT max(id) from x)", "exists (select 1)", "id in (select 1)", "stack(2, 1, 2)"],
+)
+def test_expressions_of_several_rows_give_the_plain_column(spark, text):
+    df = spark.createDataFrame([(3, "x y"), (4, "z")], "id int, s string")
+    assert sorted(tuple(r) for r in apply(df, m("w", "s"), m("id", "id", text)).collect()) == [("x y", 3), ("z", 4)]
+
+
+def test_words_of_a_subquery_inside_quotes_are_text(spark):
+    df = spark.createDataFrame([(3, "x")], "id int, s string")
+    assert apply(df, m("w", "s", "concat(s, '(select')")).first()[0] == "x(select"
+
+
+def test_values_that_fail_give_the_plain_column(spark):
+    df = spark.createDataFrame([(1, 1, "7"), (4, 0, "b"), (None, None, None)], "id int, z int, s string")
+    mappings = [m("id", "id", "id % z"), m("v", "z", "cast(s as int)"), m("w", "s", "id = 1 and s"), m("x", "id", "id + 1", spec="t"), m("y", "id", "2147483647 + id")]
+    assert failing_mappings(df, mappings) == [mappings[i] for i in (0, 1, 2, 4)]
+    got = map_columns(df, without_failing(df, mappings), SPEC).collect()
+    assert sorted(map(tuple, got), key=repr) == [(1, 1, "7", 2, 1), (4, 0, "b", 5, 4), (None, None, None, None, None)]
+    assert failing_mappings(df.where("z = 1"), mappings) == [mappings[2], mappings[4]]
+    assert failing_mappings(df.limit(0), mappings) == []

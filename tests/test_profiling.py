@@ -3,8 +3,11 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from martloom.operators.inspection import table_counts, table_summary
 from martloom.operators.profiling import column_counts, profile, profile_all, sample_values
-from martloom.operators.typing import infer_types
+from martloom.operators.typing import first_texts, infer_types
+from martloom.operators.validation import contract_check
+from martloom.spec import table
 
 
 def test_infer_types(spark):
@@ -110,3 +113,36 @@ def test_sample_values_where_all_places_are_equal(spark):
 def test_sample_values_in_scan_order(spark):
     df = spark.createDataFrame([(float("nan"), "a"), (1.0, None), (2.0, "b")], "v double, w string").coalesce(1)
     assert {r[0]: r[1] for r in sample_values(df).collect()} == {"v": ["1.0", "2.0"], "w": ["a", "b"]}
+
+
+@pytest.mark.parametrize("order_by", [None, "id"])
+def test_types_of_many_sparse_columns_in_one_pass(spark, order_by):
+    value = lambda i: F.when(F.col("id") % 997 == i, F.concat(F.lit("2024-01-"), F.lpad((F.col("id") % 28 + 1).cast("string"), 2, "0")))
+    word = lambda i: F.when(F.col("id") % 997 == i, F.when(F.col("id") > 15000, "word").otherwise("2024-01-01"))
+    df = spark.range(1, 60000).select("id", *(value(i + 100).alias(f"d{i}") for i in range(15)), *(word(i + 300).alias(f"w{i}") for i in range(15)))
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup())
+    types = infer_types(df, order_by)
+    assert len(tracker.getJobIdsForGroup()) - before <= 6  # first rows, kinds of all columns, first values
+    assert {types[f"d{i}"] for i in range(15)} == {"date"} and {types[f"w{i}"] for i in range(15)} == {"string"}
+
+
+def test_first_values_come_in_order(spark):
+    df = spark.range(1000).select((-F.col("id")).alias("ord"), F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).alias("v"), F.lit(None).cast("string").alias("n"))
+    got = first_texts(df.repartition(5), ["v", "n"], "ord")
+    assert got == {"v": [str(i) for i in range(998, 898, -2)], "n": []}
+    assert first_texts(df, ["v"], None)["v"] == [str(i) for i in range(0, 100, 2)]
+
+
+def test_column_without_values_has_an_empty_sample(spark):
+    df = spark.createDataFrame([(1, None), (2, None)], "id int, v string")
+    for order_by in (None, "id"):
+        found = {r["column_name"]: r["sample_values"] for r in profile(df, "x", samples=True, order_by=order_by).collect()}
+        assert found == {"id": ["1", "2"], "v": []}
+
+
+def test_nothing_to_report(spark):
+    assert profile_all({}).collect() == [] and profile_all({}, samples=True).columns[-1] == "sample_values"
+    assert table_counts({}).collect() == [] and table_summary({}).collect() == []
+    spec = table("t", "id INTEGER", "id")
+    assert [tuple(r) for r in contract_check([spec], {}, spark).collect()] == [("t", "t", "missing_table", 1)]
