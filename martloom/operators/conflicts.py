@@ -15,8 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from martloom.functions import col
-from martloom.operators.checks import has_keys
-from martloom.session import drop_scratch, scratch_path, stage, stage_counted
+from martloom.operators.checks import key_counts
+from martloom.session import stage, stage_counted
 
 # Pairs of file and set that one task holds; a single file's pairs stay together.
 PAIRS_PER_RANGE = 500_000
@@ -25,39 +25,53 @@ PAIRS_PER_RANGE = 500_000
 FILE, SET, RANGE = "__source", "__set", "__range"
 
 
-def contested_keys(rows: DataFrame, key: Sequence[str], path: str) -> tuple[DataFrame, int, int]:
-    """Staged (file, n, files, set) of keys that repeat, with the number of those that repeat in a file and over files."""
+def repeated_keys(rows: DataFrame, key: Sequence[str]) -> DataFrame | None:
+    """Staged keys that more than one row holds; None if there are none."""
+    twice = key_counts(rows, key).where("rows > 1").drop("rows")
+    staged, seen = stage_counted(twice, "repeated")
+    return staged if seen["rows"] else None
+
+
+def contested_keys(rows: DataFrame, key: Sequence[str], repeated: DataFrame) -> tuple[DataFrame, int, int]:
+    """Staged (file, n, files, set) of the repeated keys, with the number of those that repeat in a file and over files."""
     names = list(key)
-    held = rows.where(has_keys(key)).groupBy(*map(col, names), FILE).agg(F.count("*").alias("n"))
+    held = rows.join(repeated, names, "left_semi").groupBy(*map(col, names), FILE).agg(F.count("*").alias("n"))
     over = W.partitionBy(*map(col, names))
     total = [F.sum(F.xxhash64(F.lit(seed), FILE).cast("decimal(20,0)")).over(over) for seed in (1, 2)]
-    marked = held.withColumns({"files": F.count("*").over(over), SET: F.concat_ws(":", F.count("*").over(over), *total)})
-    repeated = marked.where((F.col("n") > 1) | (F.col("files") > 1)).select(FILE, "n", "files", SET)
-    staged, seen = stage_counted(repeated, "contested", path, inside=F.count_if(F.col("n") > 1), shared=F.count_if(F.col("files") > 1))
+    files = F.count("*").over(over)
+    marked = held.withColumns({"files": files, SET: F.concat_ws(":", files, *total)}).select(FILE, "n", "files", SET)
+    staged, seen = stage_counted(marked, "contested", inside=F.count_if(F.col("n") > 1), shared=F.count_if(F.col("files") > 1))
     return staged, seen["inside"], seen["shared"]
 
 
-def conflicting_files(rows: DataFrame, key: Sequence[str], defective: DataFrame | None = None) -> DataFrame | None:
-    """Staged names of the files whose keys repeat; None if there are none. ``defective`` files are rejected for other reasons."""
-    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "contested")
-    contested, inside, shared = contested_keys(rows, key, path)
-    result = None
-    if inside or shared:
-        repeating = contested.where("n > 1").select(FILE).distinct()
-        late = None
-        if shared:
-            bad = repeating if defective is None else repeating.unionByName(defective.select(FILE)).distinct()
-            pairs = contested.where("files > 1").select(FILE, SET).distinct().join(bad, FILE, "left_anti")
-            late = late_files(pairs, -(-shared // PAIRS_PER_RANGE))
-        result = stage(repeating if late is None else repeating.unionByName(late).distinct(), "conflicts")
-    drop_scratch(spark, path)
-    return result
+def conflicting_files(
+    rows: DataFrame, key: Sequence[str], defective: DataFrame | None = None, repeated: DataFrame | None = None
+) -> DataFrame | None:
+    """Names of the files whose keys repeat; None if there are none.
+
+    ``defective`` files are rejected for other reasons; ``repeated`` has the keys that repeat, where they are known.
+    """
+    repeated = repeated_keys(rows, key) if repeated is None else repeated
+    if repeated is None:
+        return None
+    contested, inside, shared = contested_keys(rows, key, repeated)
+    repeating = contested.where("n > 1").select(FILE).distinct()
+    if not shared:
+        return repeating
+    bad = repeating if defective is None else repeating.unionByName(defective.select(FILE)).distinct()
+    pairs = contested.where("files > 1").select(FILE, SET).distinct()
+    pairs = pairs.join(bad, FILE, "left_anti") if inside or defective is not None else pairs
+    late = late_files(pairs, -(-shared // PAIRS_PER_RANGE))
+    return repeating.unionByName(late).distinct() if inside else late
 
 
 def late_files(pairs: DataFrame, ranges: int) -> DataFrame:
     """Files that share a set with an accepted file before them."""
     spark = pairs.sparkSession
-    dealt = pairs.repartitionByRange(max(1, ranges), FILE).withColumn(RANGE, F.spark_partition_id())
+    if ranges <= 1:  # one task decides all
+        alone = pairs.withColumns({RANGE: F.lit(0), "taken": F.lit(False), "blocked": F.lit(False)})
+        return stage(_decided(alone), "decided").where("not accepted").select(FILE)
+    dealt = pairs.repartitionByRange(ranges, FILE).withColumn(RANGE, F.spark_partition_id())
     open_, seen = stage_counted(dealt, "pairs")
     taken: DataFrame | None = None
     rejected: list[DataFrame] = []
@@ -86,6 +100,10 @@ def _round(open_: DataFrame, taken: DataFrame | None) -> DataFrame:
         known = known.withColumn("taken", F.lit(False))
     else:
         known = known.join(taken.withColumn("taken", F.lit(True)), SET, "left").fillna(False, ["taken"])
+    return _decided(known)
+
+
+def _decided(known: DataFrame) -> DataFrame:
     return known.groupBy(RANGE).applyInPandas(decide, f"{FILE} string, accepted boolean")
 
 

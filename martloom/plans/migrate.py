@@ -11,8 +11,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from martloom.functions import col
-from martloom.operators.checks import has_keys, key_counts
-from martloom.operators.conflicts import conflicting_files
+from martloom.operators.checks import has_keys
+from martloom.operators.conflicts import conflicting_files, repeated_keys
 from martloom.operators.discovery import target_columns
 from martloom.operators.frames import union_all
 from martloom.operators.keys import generate_keys, last_wins
@@ -200,11 +200,7 @@ def read_batch(mapped: DataFrame, spec: TableSpec, path: str) -> Batch:
     findings = [F.min(F.when(filled, F.col(c))).alias(name) for c, name in ((TYPE_FINDING, "loss"), (NULL_FINDING, "null"))]
     facts = stage(staged.groupBy(FILE).agg(F.count_if(filled).alias("rows"), *findings), "facts")
     rows = staged.where(filled).drop(EMPTY)
-    repeated = None
-    if spec.primary_key:
-        twice = key_counts(rows, spec.primary_key).where("rows > 1").drop("rows")
-        keys, counted = stage_counted(twice, "repeated")
-        repeated = keys if counted["rows"] else None
+    repeated = repeated_keys(rows, spec.primary_key) if spec.primary_key else None
     return Batch(rows, facts, bool(seen["bad"]), seen["keyless"], repeated)
 
 
@@ -224,8 +220,8 @@ def load_recreate(store: TableStore, spec: TableSpec, batch: Batch) -> tuple[Dat
     """Replace the target by the accepted files; the report, and what was observed of the rows."""
     conflicts = None
     if batch.repeated is not None:
-        contested = batch.rows.join(batch.repeated, spec.primary_key, "left_semi")
-        conflicts = conflicting_files(contested, spec.primary_key, defective_files(batch.facts) if batch.defects else None)
+        defective = defective_files(batch.facts) if batch.defects else None
+        conflicts = conflicting_files(batch.rows, spec.primary_key, defective, batch.repeated)
     judged = judge_files(batch.facts.where("rows > 0"), spec, conflicts)
     rows = accepted_rows(batch.rows, judged, spec) if batch.defects or conflicts is not None else batch.rows
     if batch.keyless:

@@ -107,7 +107,7 @@ class TableStore:
             return self.write(spec, batch)
         key, parts = spec.primary_key, self.parts(spec.name)
         if key and parts and self.buckets == parts.count and parts.key == key and _fits(parts.schema, batch.schema):
-            touched = [r[0] for r in batch.select(bucket_of(key, parts.count)).distinct().collect()]  # at most one a bucket
+            touched = batch.agg(F.collect_set(bucket_of(key, parts.count))).first()[0]  # at most one value a bucket
             stored = self._bucketed(spec, [b for b in touched if b in parts.buckets])
             rows = self._by_bucket(batch, key, parts.count)
             merged = replaced(stored, rows.where(has_keys(key)), key).unionByName(rows.where(~has_keys(key)), allowMissingColumns=True)
