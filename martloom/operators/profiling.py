@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
@@ -16,6 +17,11 @@ SAMPLE_VALUES = 5
 # Parts of the rows whose first places bound the samples.
 SAMPLE_PARTS = 64
 
+# The exact form that counts only what may be a key. A sketch errs by 5% (one standard deviation), so a
+# unique column falls below this share of its rows once in millions.
+CANDIDATES = "candidates"
+NEARLY_UNIQUE = 0.75
+
 # Longer texts are told apart by their SHA-256, so the shuffle carries 32 bytes and not the text.
 DIGEST_FROM = 64
 
@@ -50,13 +56,18 @@ def long_form(df: DataFrame) -> DataFrame:
     return df.select(F.stack(F.lit(len(df.columns)), *cells).alias("ordinal", "whole", "real", "text"))
 
 
-def column_counts(df: DataFrame, exact: bool = True) -> DataFrame:
+def column_counts(df: DataFrame, exact: bool | str = True, named: Sequence[str] = ()) -> DataFrame:
     """(ordinal, row_count, nulls, distinct_count) per column.
 
     Exact counts take one shuffle of (ordinal, value) pairs that were combined on the map side;
     the second aggregation starts from distinct pairs and moves one row per task and column.
-    ``exact=False`` keeps one sketch per column instead and shuffles only those.
+    ``exact=False`` keeps one sketch per column instead and shuffles only those. ``exact=CANDIDATES`` keeps
+    sketches too, and then counts exactly the columns that they show to be nearly unique, which may be
+    keys, and the ``named`` ones: rows, nulls and what is unique are exact for all columns, and the shuffle is
+    that of the candidates.
     """
+    if exact == CANDIDATES:
+        return _candidate_counts(df, named)
     if exact:
         cells = long_form(df).groupBy("ordinal", "whole", "real", "text").agg(F.count("*").alias("n"))
         filled = F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("text").isNotNull()
@@ -81,13 +92,25 @@ def column_counts(df: DataFrame, exact: bool = True) -> DataFrame:
     return df.agg(F.array(*stats).alias("stats")).select(F.inline("stats"))
 
 
+def _candidate_counts(df: DataFrame, named: Sequence[str]) -> DataFrame:
+    sketched = column_counts(df, False).collect()  # a row per column
+    chosen = [r["ordinal"] for r in sketched if df.columns[r["ordinal"]] in named or 0 < NEARLY_UNIQUE * (r["row_count"] - r["nulls"]) <= r["distinct_count"]]
+    rest = [tuple(r) for r in sketched if r["ordinal"] not in chosen]
+    found = df.sparkSession.createDataFrame(rest, "ordinal int, row_count bigint, nulls bigint, distinct_count bigint")
+    if not chosen:
+        return found
+    counted = column_counts(df.select(*(col(df.columns[i]) for i in sorted(chosen))))
+    places = F.element_at(F.array(*(F.lit(i) for i in sorted(chosen))), F.col("ordinal") + 1)
+    return found.unionByName(counted.withColumn("ordinal", places))
+
+
 def profile(
     df: DataFrame,
     source: str,
     sample_rows: int = 0,
     order_by: str | None = None,
     samples: bool = False,
-    exact: bool = True,
+    exact: bool | str = True,
     types: dict[str, str] | None = None,
 ) -> DataFrame:
     """Catalogue rows of one source, a row per column.

@@ -12,7 +12,8 @@ from martloom.operators.discovery import (
     relationship_frame,
 )
 from martloom.operators.matching import NAME_WEIGHT, OVERLAP_WEIGHT, THRESHOLD, column_overlap, propose_mappings, proposed_list
-from martloom.operators.profiling import profile, profile_all, sample_values
+from martloom.operators.frames import union_all
+from martloom.operators.profiling import CANDIDATES, column_counts, profile, profile_all, sample_values
 from martloom.operators.typing import infer_types
 from martloom.session import stage
 from martloom.spec import table
@@ -69,6 +70,24 @@ def profile_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile_all({name: given(spark, sf_dir, name) for name in TABLES})
 
 
+UNIQUE_IN = {
+    "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
+    "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"),
+    "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"),
+}
+
+
+def unique_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, nulls and uniqueness of every column, counted exactly only where a sketch leaves it open."""
+    parts = []
+    for name, columns in UNIQUE_IN.items():
+        counts = column_counts(given(spark, sf_dir, name).select(*columns), CANDIDATES)
+        unique = F.col("distinct_count") == F.col("row_count") - F.col("nulls")
+        column = F.get(F.array(*map(F.lit, columns)), "ordinal").alias("column_name")
+        parts.append(counts.select(F.lit(name).alias("table_name"), column, "row_count", "nulls", unique.alias("is_unique")))
+    return union_all(parts)
+
+
 def profile_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile(given(spark, sf_dir, "orders"), "orders", sample_rows=1000, order_by="o_orderkey")
 
@@ -200,6 +219,7 @@ QUERIES = {
     "propose_fks_none": propose_fks_none,
     "profile_columns": profile_columns,
     "profile_all": profile_tables,
+    "unique_columns": unique_columns,
     "profile_sampled": profile_sampled,
     "profile_samples": profile_samples,
     "profile_catalog": profile_catalog,
@@ -439,6 +459,12 @@ ORACLES = {
         _profile_sql("orders", "o", GIVEN_COLUMNS["orders"].split()),
     ),
     "profile_all": " union all ".join(_profile_sql(t, t, GIVEN_COLUMNS[t].split()) for t in TABLES),
+    "unique_columns": " union all ".join(
+        f"select '{name}' as table_name, '{c}' as column_name, count(*) as row_count, count(*) - count({c}) as nulls, "
+        f"count(distinct {c}) = count({c}) as is_unique from {name}"
+        for name, columns in UNIQUE_IN.items()
+        for c in columns
+    ),
     "profile_sampled": with_sql(
         {"o": "select * from orders order by o_orderkey limit 1000"},
         _profile_sql("orders", "o", GIVEN_COLUMNS["orders"].split()),

@@ -3,8 +3,9 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from martloom.operators.discovery import propose_pks
 from martloom.operators.inspection import table_counts, table_summary
-from martloom.operators.profiling import column_counts, profile, profile_all, sample_values
+from martloom.operators.profiling import CANDIDATES, column_counts, profile, profile_all, sample_values
 from martloom.operators.typing import first_texts, infer_types
 from martloom.operators.validation import contract_check
 from martloom.spec import table
@@ -146,3 +147,19 @@ def test_nothing_to_report(spark):
     assert table_counts({}).collect() == [] and table_summary({}).collect() == []
     spec = table("t", "id INTEGER", "id")
     assert [tuple(r) for r in contract_check([spec], {}, spark).collect()] == [("t", "t", "missing_table", 1)]
+
+
+def test_exact_counts_of_candidates_only(spark):
+    df = spark.range(20000).select(
+        "id", (F.col("id") % 19999).alias("nearly"), (F.col("id") % 7).alias("few"), F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).alias("half"),
+        F.lit(None).cast("string").alias("none"), (F.col("id") % 9000).alias("named"),
+    )
+    exact = {r["ordinal"]: tuple(r) for r in column_counts(df).collect()}
+    found = {r["ordinal"]: tuple(r) for r in column_counts(df, CANDIDATES, ["named"]).collect()}
+    assert {k: v[:3] for k, v in found.items()} == {k: v[:3] for k, v in exact.items()}
+    assert all(found[i] == exact[i] for i in (0, 1, 3, 4, 5)) and abs(found[2][3] - 7) <= 1
+    plan = column_counts(df, CANDIDATES)._jdf.queryExecution().optimizedPlan().toString()
+    assert "few" not in plan and "nearly" in plan
+    catalog = lambda form: sorted(tuple(r) for r in propose_pks(profile(df, "t.csv", exact=form)).collect())
+    assert catalog(CANDIDATES) == catalog(True) == [("t.csv", "t", "id", 1.0)]
+    assert column_counts(df.limit(0), CANDIDATES).where("row_count = 0").count() == 6
