@@ -4,8 +4,10 @@ The longest common prefix of turns (role and text equal, nulls equal to nulls) i
 the prompt; what follows on each side is that side's completion. Only assistant turns of a completion
 carry loss, and there the text and the end mark but not the header. A null role or text renders as
 empty. Turns without a number are left out; repeated rows of a turn count once, and of differing rows for one
-turn the smallest (role, text) counts. A conversation that is the other's prefix has an empty completion.
-Empty tables give empty results; other columns are ignored, whatever their names.
+turn (a tie) the smallest (role, text) counts. A conversation that is the other's prefix has an empty completion.
+A turn's text is held whole, however long; a conversation is not: an example goes on in a further row (``piece``)
+after ``ROW_TURNS`` turns, so no task gathers more of it. Empty tables give empty results; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -15,36 +17,20 @@ from pyspark.sql import DataFrame, functions as F
 from martloom.llm.rows import pick
 
 START, END = "<|im_start|>", "<|im_end|>\n"
+# Numbers of turns that one row of examples spans.
+ROW_TURNS = 256
 LEARNED_ROLE = "assistant"
 PROMPT, CHOSEN, REJECTED = "prompt", "chosen", "rejected"
 
 
-def turns_of(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text), one row per turn; repeats are combined before they are shuffled."""
-    rows = pick(conversations, "conv_id", "turn", "role", "text").where("conv_id is not null and turn is not null")
-    said = rows.groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("said"))
-    return said.select("conv_id", "turn", "said.role", "said.text")
-
+def neighbour_pairs(conversations: DataFrame) -> DataFrame:
+    """Conversations 2k (chosen) and 2k + 1 (rejected), whole, as pair k: (pair_id, side, turn, role, text).
 
-def reply_pairs(conversations: DataFrame) -> DataFrame:
-    """Pairs out of plain conversations: (pair_id, side, turn, role, text).
-
-    Chosen is a conversation up to its last reply; rejected has the same turns before it, and then the last
-    reply of its neighbour (ids 2k and 2k + 1). Conversations without a reply, or whose neighbour has none, make no pair.
+    One without its neighbour is a pair of one side, whose other completion is empty.
     """
-    turns = turns_of(conversations)
-    last = turns.where(F.col("role") == LEARNED_ROLE).groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("reply"))
-    own = last.select("conv_id", F.col("reply.turn").alias("last"))
-    other = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("reply.text").alias("other"))
-    known = turns.join(own.join(other, "conv_id"), "conv_id").where("turn <= last")
-    is_last = F.col("turn") == F.col("last")
-    sides = F.array(
-        F.struct(F.lit(CHOSEN).alias("side"), F.col("text").alias("text")),
-        F.struct(F.lit(REJECTED).alias("side"), F.when(is_last, F.col("other")).otherwise(F.col("text")).alias("text")),
-    )
-    return known.select(F.col("conv_id").alias("pair_id"), "turn", "role", F.explode(sides).alias("s")).select(
-        "pair_id", "s.side", "turn", "role", "s.text"
-    )
+    rows = pick(conversations, "conv_id", "turn", "role", "text").where("conv_id is not null and turn is not null")
+    side = F.when(F.col("conv_id").bitwiseAND(F.lit(1)) == 0, CHOSEN).otherwise(REJECTED)
+    return rows.select(F.shiftright("conv_id", 1).alias("pair_id"), side.alias("side"), "turn", "role", "text")
 
 
 def segments(pairs: DataFrame) -> DataFrame:
@@ -79,14 +65,15 @@ def segments(pairs: DataFrame) -> DataFrame:
     )
 
 
-def examples(rendered: DataFrame) -> DataFrame:
-    """(pair_id, prompt, chosen, rejected, chosen_mask, rejected_mask): a training example per row.
+def examples(rendered: DataFrame, row_turns: int = ROW_TURNS) -> DataFrame:
+    """(pair_id, piece, prompt, chosen, rejected, chosen_mask, rejected_mask): the training examples.
 
-    Masks are [from, to) character ranges of the completion that carry loss. A row holds both
-    conversations whole, as whoever trains on them will.
+    A pair is one row, or, beyond ``row_turns`` numbers of turns, several: its parts are those of its pieces, joined
+    in their order. Masks are [from, to) character ranges of the row's completion that carry loss.
     """
-    part = rendered.select("pair_id", "part", F.struct("turn", "header", "body", "loss").alias("s"))
-    listed = part.groupBy("pair_id").agg(
+    piece = F.floor(F.col("turn") / row_turns).cast("long").alias("piece")
+    part = rendered.select("pair_id", piece, "part", F.struct("turn", "header", "body", "loss").alias("s"))
+    listed = part.groupBy("pair_id", "piece").agg(
         *(F.array_sort(F.collect_list(F.when(F.col("part") == p, F.col("s")))).alias(p) for p in (PROMPT, CHOSEN, REJECTED))
     )
 
@@ -104,6 +91,5 @@ def examples(rendered: DataFrame) -> DataFrame:
 
         return F.aggregate(F.col(p), empty, step, lambda told: told["spans"])
 
-    return listed.select(
-        "pair_id", *(text(p).alias(p) for p in (PROMPT, CHOSEN, REJECTED)), mask(CHOSEN).alias("chosen_mask"), mask(REJECTED).alias("rejected_mask")
-    )
+    texts = (text(p).alias(p) for p in (PROMPT, CHOSEN, REJECTED))
+    return listed.select("pair_id", "piece", *texts, mask(CHOSEN).alias("chosen_mask"), mask(REJECTED).alias("rejected_mask"))

@@ -84,7 +84,9 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference.segments(preference.reply_pairs(table(spark, sf_dir, "conversations")))
+    made = preference.examples(preference.segments(preference.neighbour_pairs(table(spark, sf_dir, "conversations"))))
+    ranges = (F.array_join(F.transform(m, lambda s: F.concat_ws(":", s[0], s[1])), ",").alias(m) for m in ("chosen_mask", "rejected_mask"))
+    return made.select("pair_id", "piece", "prompt", "chosen", "rejected", *ranges)
 
 
 def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,22 +185,25 @@ def _decontaminate_sql() -> str:
 
 
 def _chat_sql() -> str:
+    texts = ", ".join(f"coalesce(string_agg(t, '' order by turn) filter (where part = '{p}'), '') as {p}" for p in ("prompt", "chosen", "rejected"))
+    masks = ", ".join(
+        f"coalesce(string_agg(span, ',' order by turn) filter (where part = '{p}' and role = 'assistant'), '') as {p}_mask" for p in ("chosen", "rejected")
+    )
     return f"""
-    with t as (select conv_id, turn, min({{'role': role, 'text': text}}) as s from conversations
-               where conv_id is not null and turn is not null group by all),
-    turns as (select conv_id, turn, s.role as role, s.text as text from t),
-    reply as (select conv_id, turn, text from turns where role = 'assistant'
-              qualify row_number() over (partition by conv_id order by turn desc) = 1),
-    pairs as (select a.conv_id as pair_id, a.turn as last, b.text as other from reply a join reply b on b.conv_id = xor(a.conv_id, 1)),
-    both_ as (select pair_id, turn, role, text, case when turn = last then other else text end as other
-              from pairs join turns on conv_id = pair_id and turn <= last),
-    ends as (select pair_id, min(turn) as last from both_ where text is distinct from other group by pair_id),
-    parts as (select pair_id, 'prompt' as part, turn, role, text from both_ left join ends using (pair_id) where last is null or turn < last
-              union all select pair_id, 'chosen', turn, role, text from both_ join ends using (pair_id) where turn >= last
-              union all select pair_id, 'rejected', turn, role, other from both_ join ends using (pair_id) where turn >= last)
-    select pair_id, part, turn, role, '{preference.START}' || coalesce(role, '') || chr(10) as header,
-           coalesce(text, '') || '{preference.END[:-1]}' || chr(10) as body, part <> 'prompt' and coalesce(role = 'assistant', false) as loss
-    from parts"""
+    with t as (select (conv_id - (conv_id & 1)) // 2 as pair_id, conv_id & 1 as side, turn, min({{'role': role, 'text': text}}) as s
+               from conversations where conv_id is not null and turn is not null group by all),
+    met as (select pair_id, turn, any_value(s) filter (where side = 0) as c, any_value(s) filter (where side = 1) as r from t group by all),
+    ends as (select pair_id, min(turn) as last from met where c is distinct from r group by pair_id),
+    parts as (select pair_id, 'prompt' as part, turn, c as s from met left join ends using (pair_id) where last is null or turn < last
+              union all select pair_id, 'chosen', turn, c from met join ends using (pair_id) where turn >= last and c is not null
+              union all select pair_id, 'rejected', turn, r from met join ends using (pair_id) where turn >= last and r is not null),
+    shown as (select pair_id, floor(turn / {preference.ROW_TURNS})::bigint as piece, part, turn, s.role as role,
+                     '{preference.START}' || coalesce(s.role, '') || chr(10) as header,
+                     coalesce(s.text, '') || '{preference.END[:-1]}' || chr(10) as body from parts),
+    placed as (select *, header || body as t, sum(length(header) + length(body)) over (partition by pair_id, piece, part order by turn) as stop
+               from shown),
+    marked as (select *, (stop - length(body))::bigint || ':' || stop::bigint as span from placed)
+    select pair_id, piece, {texts}, {masks} from marked group by pair_id, piece"""
 
 
 _WARC_SQL = f"""

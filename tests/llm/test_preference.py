@@ -44,7 +44,7 @@ CASES = {
 def test_prompt_completions_and_masks(spark):
     df = pairs(spark, [r for k, (c, j) in CASES.items() for r in both(k, c, j)])
     got = pref.examples(pref.segments(clashing(df, "part", "loss", "end")))
-    assert {r.pair_id: tuple(r)[1:] for r in got.collect()} == {k: plain_example(c, j) for k, (c, j) in CASES.items()}
+    assert {r.pair_id: tuple(r)[1:] for r in got.collect()} == {k: (0, *plain_example(c, j)) for k, (c, j) in CASES.items()}
 
 
 def test_segments_mask_only_replies_of_completions(spark):
@@ -57,27 +57,66 @@ def test_segments_mask_only_replies_of_completions(spark):
 def test_repeated_and_numberless_turns(spark):
     rows = both(1, *CASES[1])
     df = pairs(spark, [*rows, *rows, (None, "chosen", 0, "user", "x"), (1, "else", 0, "user", "x")])
-    assert tuple(pref.examples(pref.segments(df.where("pair_id is not null"))).first())[1:] == plain_example(*CASES[1])
+    assert tuple(pref.examples(pref.segments(df.where("pair_id is not null"))).first())[2:] == plain_example(*CASES[1])
     turns = spark.createDataFrame(
         [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "user", "z"), (None, 0, "user", "z")],
         "conv_id long, turn long, role string, text string",
     )
-    assert [tuple(r) for r in pref.turns_of(turns).collect()] == [(1, 0, "user", "a")]
-
-
-def test_pairs_of_neighbours(spark):
-    rows = [(0, 0, "user", "q0"), (0, 1, "assistant", "r0"), (0, 2, "user", "later"), (1, 0, "user", "q1"), (1, 1, "assistant", "r1"), (1, 3, "assistant", "r3")]
-    rows += [(2, 0, "user", "alone"), (3, 0, "user", "q"), (3, 1, "assistant", "r"), (4, 0, "assistant", "no neighbour")]
-    talk = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r.pair_id: tuple(r)[1:] for r in pref.examples(pref.segments(pref.reply_pairs(clashing(talk, "side", "last")))).collect()}
-    assert got == {
-        0: plain_example([("user", "q0"), ("assistant", "r0")], [("user", "q0"), ("assistant", "r3")]),
-        1: plain_example(
-            [("user", "q1"), ("assistant", "r1"), ("assistant", "r3")], [("user", "q1"), ("assistant", "r1"), ("assistant", "r0")]
-        ),
+    got = pref.examples(pref.segments(pref.neighbour_pairs(turns))).collect()
+    assert [tuple(r) for r in got] == [(0, 0, *plain_example([], [("user", "a")]))]
+
+
+TALK = {
+    0: [("user", "q"), ("assistant", "r0"), ("user", "later")],
+    1: [("user", "q"), ("assistant", "r1"), ("user", "more"), ("assistant", "end")],
+    2: [("user", "alone")],
+    5: [("assistant", "rejected alone"), (None, None)],
+    6: [("system", "s"), ("user", "x" * 30_000), ("assistant", "a")],
+    7: [("system", "s"), ("user", "x" * 30_000), ("assistant", "a")],
+    -2: [("user", "below")],
+    -1: [("user", "zero")],
+}
+
+
+def talk(spark):
+    rows = [(c, k, r, t) for c, turns in TALK.items() for k, (r, t) in enumerate(turns)]
+    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+
+
+def test_whole_conversations_are_paired_with_their_neighbours(spark):
+    got = pref.examples(pref.segments(pref.neighbour_pairs(clashing(talk(spark), "side", "pair_id", "piece")))).collect()
+    assert {r.pair_id: tuple(r)[2:] for r in got} == {
+        k: plain_example(TALK.get(2 * k, []), TALK.get(2 * k + 1, [])) for k in (0, 1, 2, 3, -1)
     }
 
 
+def test_long_conversations_go_on_in_further_rows(spark):
+    rendered = pref.segments(pref.neighbour_pairs(talk(spark)))
+    whole = {r.pair_id: r for r in pref.examples(rendered).collect()}
+    cut = pref.examples(rendered, row_turns=2).orderBy("pair_id", "piece").collect()
+    assert max(r.piece for r in cut) == 1
+    for k, r in whole.items():
+        pieces = [x for x in cut if x.pair_id == k]
+        for name in ("prompt", "chosen", "rejected"):
+            assert "".join(x[name] for x in pieces) == r[name]
+        for name in ("chosen", "rejected"):
+            learned = lambda x: [x[name][a:b] for a, b in x[name + "_mask"]]  # noqa: B023, E731
+            assert sum(map(learned, pieces), []) == learned(r)
+
+
+def test_query_and_its_sql(spark, tmp_path):
+    import duckdb
+
+    from martloom.llm import queries
+
+    talk(spark).unionByName(talk(spark)).write.parquet(str(tmp_path / "conversations.parquet"))
+    duckdb.sql(f"create or replace view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    got = queries.QUERIES["op6_preference"](spark, str(tmp_path))
+    sql = duckdb.sql(queries.ORACLES["op6_preference"])
+    assert got.columns == sql.columns
+    assert sorted(map(tuple, got.collect())) == sorted(sql.fetchall()) and len(got.collect()) == 5
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
-    assert pref.examples(pref.segments(pref.reply_pairs(none))).collect() == []
+    assert pref.examples(pref.segments(pref.neighbour_pairs(none))).collect() == []
