@@ -3,11 +3,15 @@
 A fingerprint bit is set if more than half of a text's shingle hashes set it. Null, empty and blank
 texts have fingerprint 0 and are linked like any other. Equal fingerprints are one entry of the trie,
 so repeated rows and copies cost nothing there. A null key never becomes a component's id unless the
-whole component has no other. An empty table gives an empty result; other columns are ignored.
+whole component has no other; ties for the smallest key go to the smaller text hash. A bit set in exactly half of
+the hashes is not set. A text is held whole, with eight bytes a word, however long. An empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -135,45 +139,53 @@ def forest(size: int, pieces) -> tuple[np.ndarray, np.ndarray]:
 def blocks(marks: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and depths of trie nodes that cover all fingerprints with a bounded number in each.
 
-    Only counts of prefixes come to the driver: at most ``2 ** FIRST_CUT_BITS`` at first, then
+    Only counts of prefixes come to the driver, as arrays: at most ``2 ** FIRST_CUT_BITS`` at first, then
     ``2 ** CUT_BITS`` for each node that is still too large, of which there are ``BLOCK_SHARE`` at most.
     """
     most = max(BLOCK, size // BLOCK_SHARE)
-    found: list[tuple[int, int]] = []
-
-    def cut(start: int, depth: int, deep: int, counts: dict[int, int]) -> list[tuple[int, int]]:
-        """Nodes below (start, depth) that are too large even at ``deep``."""
-        if not counts:
-            return []
-        if sum(counts.values()) <= most or depth == 64:
-            found.append((start, depth))
-            return []
-        if depth == deep:
-            return [(start, depth)]
-        bit = 1 << (63 - depth)
-        low = {k: n for k, n in counts.items() if not k & bit}
-        return cut(start, depth + 1, deep, low) + cut(start | bit, depth + 1, deep, {k: n for k, n in counts.items() if k & bit})
-
-    def counted(rows: DataFrame, deep: int) -> dict[int, int]:
+
+    def counted(rows: DataFrame, deep: int) -> tuple[np.ndarray, np.ndarray]:
         shift = 64 - deep
-        told = rows.groupBy(F.shiftrightunsigned("fp", shift).alias("p") if shift else F.col("fp").alias("p")).count().collect()
-        return {(r["p"] % (1 << 64)) << shift if shift else r["p"] % (1 << 64): r["count"] for r in told}
+        prefix = F.shiftrightunsigned("fp", shift) if shift else F.col("fp")
+        told = rows.groupBy(prefix.alias("p")).count().toArrow()
+        return told["p"].to_numpy().view(np.uint64) << np.uint64(shift), told["count"].to_numpy()
 
     deep = FIRST_CUT_BITS
-    large = cut(0, 0, deep, counted(marks, deep))
+    found, large = cut([(0, 0)], deep, *counted(marks, deep), most)
     while large:
         known = marks.sparkSession.createDataFrame([(_signed(s) >> (64 - deep),) for s, _ in large], "node long")
         inside = marks.join(known, F.shiftright("fp", 64 - deep) == F.col("node"), "left_semi")
-        new = min(64, deep + CUT_BITS)
-        counts = counted(inside, new)
-        again = []
-        for start, depth in large:
-            again += cut(start, depth, new, {k: n for k, n in counts.items() if k >> (64 - depth) == start >> (64 - depth)})
-        large, deep = again, new
+        deep = min(64, deep + CUT_BITS)
+        more, large = cut(large, deep, *counted(inside, deep), most)
+        found += more
     found.sort()
     return np.array([s for s, _ in found], dtype=np.uint64), np.array([d for _, d in found], dtype=np.int64)
 
 
+def cut(nodes: list[tuple[int, int]], deep: int, prefixes: np.ndarray, counts: np.ndarray, most: int) -> tuple[list, list]:
+    """Nodes below ``nodes`` with at most ``most`` fingerprints, and those at depth ``deep`` that have more.
+
+    A node is a range of the sorted prefixes, so its count is a difference of running sums.
+    """
+    order = np.argsort(prefixes)
+    prefixes, sums = prefixes[order].tolist(), [0, *np.cumsum(counts[order]).tolist()]
+    fit, large = [], []
+    todo = [(s, d, bisect_left(prefixes, s), bisect_left(prefixes, s + (1 << (64 - d)))) for s, d in nodes]
+    while todo:
+        start, depth, low, high = todo.pop()
+        if low == high:
+            continue
+        if sums[high] - sums[low] <= most or depth == 64:
+            fit.append((start, depth))
+        elif depth == deep:
+            large.append((start, depth))
+        else:
+            middle = start | 1 << (63 - depth)
+            at = bisect_left(prefixes, middle, low, high)
+            todo += [(start, depth + 1, low, at), (middle, depth + 1, at, high)]
+    return fit, large
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -263,12 +275,16 @@ def near_copies(
 def drop_near_copies(
     docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS
 ) -> DataFrame:
-    """One document of each component, with all columns; repeated rows of it are one document."""
+    """One document of each component, with all columns; repeated rows of it are one document.
+
+    Texts are shuffled once: rows meet the keepers by (``one``, ``said``), the hashes of key and text, and repeats are
+    told by these two and the key, so they are in the same place already. Keys are compared as such, too.
+    """
     found = near_copies(docs, key, text, shingle_words, max_bits)
-    keep = found.where("keeper").select(F.col(key).alias("keep_key"), F.col("text_hash").alias("keep_text")).distinct()
+    keep = found.where("keeper").select(F.col(key).alias("keep_key"), F.xxhash64(key).alias("keep_one"), F.col("text_hash").alias("keep_text"))
     names, plain = docs.columns, by_place(docs)
-    at, said = F.col(f"c{place(docs, key)}"), F.col("said")
-    kept = plain.withColumn("said", F.xxhash64(f"c{place(docs, text)}")).join(
-        keep, at.eqNullSafe(F.col("keep_key")) & (said == F.col("keep_text")), "left_semi"
-    )
-    return kept.dropDuplicates([f"c{place(docs, key)}", "said"]).drop("said").toDF(*names)
+    at = F.col(f"c{place(docs, key)}")
+    signed = plain.withColumn("one", F.xxhash64(at)).withColumn("said", F.xxhash64(f"c{place(docs, text)}"))
+    equal = F.coalesce(at == F.col("keep_key"), at.isNull() & F.col("keep_key").isNull())
+    kept = signed.join(keep.distinct(), (F.col("one") == F.col("keep_one")) & (F.col("said") == F.col("keep_text")) & equal, "left_semi")
+    return kept.dropDuplicates(["one", "said", f"c{place(docs, key)}"]).drop("one", "said").toDF(*names)

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -97,6 +98,29 @@ def test_blocks_cut_dense_parts_and_lose_no_link(spark, monkeypatch):
     assert groups(parent) == groups(root)
 
 
+def test_cutting_thousands_of_large_nodes_takes_seconds():
+    draw = np.random.default_rng(3)
+    prefixes = np.unique(draw.integers(0, 1 << 20, 1 << 20, dtype=np.uint64)) << np.uint64(44)
+    nodes = [(k << 52, 12) for k in range(1 << 12)]
+    began = time.monotonic()
+    fit, large = sim.cut(nodes, 20, prefixes, np.full(len(prefixes), 3), 5)
+    assert time.monotonic() - began < 20
+    assert not large and {d for _, d in fit} <= set(range(12, 21))
+    starts = np.array(sorted(s for s, _ in fit), dtype=np.uint64)
+    assert np.bincount(np.searchsorted(starts, prefixes, side="right") - 1).max() * 3 <= 5
+    assert sim.cut([(0, 0)], 12, prefixes[:1], np.array([9]), 5) == ([], [(int(prefixes[0]) >> 52 << 52, 12)])
+
+
+def test_texts_of_kept_rows_are_shuffled_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = sim.drop_near_copies(documents(spark, near_rows()))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning(one" in line]
+    assert len(shuffles) == 1 and "SortMergeJoin" in plan
+
+
 def test_components_of_chains_stars_and_hot_nodes(spark):
     chain = [(k, k + 1) for k in range(60)]
     star = [(1000 + k, 500) for k in range(300)]
