@@ -17,20 +17,29 @@ from pyspark.sql import DataFrame, functions as F
 from martloom.llm.rows import pick
 
 START, END = "<|im_start|>", "<|im_end|>\n"
+# Places at which pairs made out of plain conversations part.
+FORKS = 4
 # Numbers of turns that one row of examples spans.
 ROW_TURNS = 256
 LEARNED_ROLE = "assistant"
 PROMPT, CHOSEN, REJECTED = "prompt", "chosen", "rejected"
 
 
-def neighbour_pairs(conversations: DataFrame) -> DataFrame:
-    """Conversations 2k (chosen) and 2k + 1 (rejected), whole, as pair k: (pair_id, side, turn, role, text).
+def forked_pairs(conversations: DataFrame, forks: int = FORKS) -> DataFrame:
+    """Pairs out of plain conversations: (pair_id, side, turn, role, text), made without a shuffle.
 
-    One without its neighbour is a pair of one side, whose other completion is empty.
+    Chosen is a whole conversation; rejected has its turns before a fork and those of its neighbour (ids 2k and
+    2k + 1) from there on. Forks lie at turns 0 to ``forks`` - 1 by id, the same for both neighbours, so every turn
+    is in one pair as chosen and in one as rejected. Where the neighbour is missing or ends before the fork, nothing follows the
+    prompt on one side; a missing neighbour's own pair has the rejected side only.
     """
     rows = pick(conversations, "conv_id", "turn", "role", "text").where("conv_id is not null and turn is not null")
-    side = F.when(F.col("conv_id").bitwiseAND(F.lit(1)) == 0, CHOSEN).otherwise(REJECTED)
-    return rows.select(F.shiftright("conv_id", 1).alias("pair_id"), side.alias("side"), "turn", "role", "text")
+    before = F.col("turn") < F.pmod(F.shiftright("conv_id", 1), F.lit(forks))
+    owner = F.when(before, F.col("conv_id")).otherwise(F.col("conv_id").bitwiseXOR(F.lit(1)))
+    sides = F.array(
+        F.struct(F.col("conv_id").alias("pair_id"), F.lit(CHOSEN).alias("side")), F.struct(owner.alias("pair_id"), F.lit(REJECTED).alias("side"))
+    )
+    return rows.select(F.explode(sides).alias("s"), "turn", "role", "text").select("s.pair_id", "s.side", "turn", "role", "text")
 
 
 def segments(pairs: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = preference.examples(preference.segments(preference.neighbour_pairs(table(spark, sf_dir, "conversations"))))
+    made = preference.examples(preference.segments(preference.forked_pairs(table(spark, sf_dir, "conversations"))))
     ranges = (F.array_join(F.transform(m, lambda s: F.concat_ws(":", s[0], s[1])), ",").alias(m) for m in ("chosen_mask", "rejected_mask"))
     return made.select("pair_id", "piece", "prompt", "chosen", "rejected", *ranges)
 
@@ -185,13 +185,17 @@ def _decontaminate_sql() -> str:
 
 
 def _chat_sql() -> str:
+    n = preference.FORKS
     texts = ", ".join(f"coalesce(string_agg(t, '' order by turn) filter (where part = '{p}'), '') as {p}" for p in ("prompt", "chosen", "rejected"))
     masks = ", ".join(
         f"coalesce(string_agg(span, ',' order by turn) filter (where part = '{p}' and role = 'assistant'), '') as {p}_mask" for p in ("chosen", "rejected")
     )
     return f"""
-    with t as (select (conv_id - (conv_id & 1)) // 2 as pair_id, conv_id & 1 as side, turn, min({{'role': role, 'text': text}}) as s
-               from conversations where conv_id is not null and turn is not null group by all),
+    with c as (select conv_id, turn, {{'role': role, 'text': text}} as s, (conv_id - (conv_id & 1)) // 2 % {n} as k
+               from conversations where conv_id is not null and turn is not null),
+    t as (select pair_id, side, turn, min(s) as s from (
+            select conv_id as pair_id, 0 as side, turn, s from c union all
+            select case when turn < (k + {n}) % {n} then conv_id else xor(conv_id, 1) end, 1, turn, s from c) group by all),
     met as (select pair_id, turn, any_value(s) filter (where side = 0) as c, any_value(s) filter (where side = 1) as r from t group by all),
     ends as (select pair_id, min(turn) as last from met where c is distinct from r group by pair_id),
     parts as (select pair_id, 'prompt' as part, turn, c as s from met left join ends using (pair_id) where last is null or turn < last

@@ -62,36 +62,47 @@ def test_repeated_and_numberless_turns(spark):
         [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "user", "z"), (None, 0, "user", "z")],
         "conv_id long, turn long, role string, text string",
     )
-    got = pref.examples(pref.segments(pref.neighbour_pairs(turns))).collect()
-    assert [tuple(r) for r in got] == [(0, 0, *plain_example([], [("user", "a")]))]
+    got = pref.examples(pref.segments(pref.forked_pairs(turns))).collect()
+    assert sorted(map(tuple, got)) == [(0, 0, *plain_example([], [("user", "a")])), (1, 0, *plain_example([("user", "a")], []))]
 
 
 TALK = {
     0: [("user", "q"), ("assistant", "r0"), ("user", "later")],
     1: [("user", "q"), ("assistant", "r1"), ("user", "more"), ("assistant", "end")],
-    2: [("user", "alone")],
-    5: [("assistant", "rejected alone"), (None, None)],
-    6: [("system", "s"), ("user", "x" * 30_000), ("assistant", "a")],
-    7: [("system", "s"), ("user", "x" * 30_000), ("assistant", "a")],
+    2: [("user", "two"), ("assistant", "a2"), ("user", "b2")],
+    3: [("user", "three"), ("assistant", "a3")],
+    4: [("user", "alone"), ("user", "x" * 30_000), ("assistant", "a")],
+    6: [("system", "s"), ("user", "x" * 30_000), ("assistant", "a"), ("assistant", "tail")],
+    7: [("system", "s"), ("user", "x" * 30_000), (None, None)],
+    14: [("assistant", "other"), (None, None)],
     -2: [("user", "below")],
     -1: [("user", "zero")],
 }
 
 
+def plain_pairs():
+    out = {}
+    for c in {*TALK, *(c ^ 1 for c in TALK)}:
+        own, fork = TALK.get(c, []), (c // 2) % pref.FORKS
+        rejected = own[:fork] + TALK.get(c ^ 1, [])[fork:]
+        if own or rejected:
+            out[c] = plain_example(own, rejected)
+    return out
+
+
 def talk(spark):
     rows = [(c, k, r, t) for c, turns in TALK.items() for k, (r, t) in enumerate(turns)]
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
 
 
-def test_whole_conversations_are_paired_with_their_neighbours(spark):
-    got = pref.examples(pref.segments(pref.neighbour_pairs(clashing(talk(spark), "side", "pair_id", "piece")))).collect()
-    assert {r.pair_id: tuple(r)[2:] for r in got} == {
-        k: plain_example(TALK.get(2 * k, []), TALK.get(2 * k + 1, [])) for k in (0, 1, 2, 3, -1)
-    }
+def test_whole_conversations_fork_into_their_neighbours(spark):
+    got = pref.examples(pref.segments(pref.forked_pairs(clashing(talk(spark), "side", "pair_id", "piece")))).collect()
+    assert {r.pair_id: tuple(r)[2:] for r in got} == plain_pairs()
+    assert len({len(p) for p, *_ in plain_pairs().values()}) > 3
 
 
 def test_long_conversations_go_on_in_further_rows(spark):
-    rendered = pref.segments(pref.neighbour_pairs(talk(spark)))
+    rendered = pref.segments(pref.forked_pairs(talk(spark)))
     whole = {r.pair_id: r for r in pref.examples(rendered).collect()}
     cut = pref.examples(rendered, row_turns=2).orderBy("pair_id", "piece").collect()
     assert max(r.piece for r in cut) == 1
@@ -114,9 +125,9 @@ def test_query_and_its_sql(spark, tmp_path):
     got = queries.QUERIES["op6_preference"](spark, str(tmp_path))
     sql = duckdb.sql(queries.ORACLES["op6_preference"])
     assert got.columns == sql.columns
-    assert sorted(map(tuple, got.collect())) == sorted(sql.fetchall()) and len(got.collect()) == 5
+    assert sorted(map(tuple, got.collect())) == sorted(sql.fetchall()) and len(got.collect()) == len(plain_pairs())
 
 
 def test_empty(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
-    assert pref.examples(pref.segments(pref.neighbour_pairs(none))).collect() == []
+    assert pref.examples(pref.segments(pref.forked_pairs(none))).collect() == []
