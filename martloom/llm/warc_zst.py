@@ -4,16 +4,19 @@ Writing: every row becomes a record. Of records with equal payloads of at least
 with the largest key are responses and the others revisits without a payload. Archives are closed at
 ``ARCHIVE_BYTES``. Each attempt of a task writes files of its own, and only those that a finished task
 reports are in the manifest, so lost executors leave stray files at most, never double records.
-Reading: the dictionary is loaded from the first frame, each frame is decoded to one record, and version, required headers,
-block length, payload length and digests are checked; a record that fails has its reason in ``error``.
-A null payload is an empty one; a null key is kept, and counts as the smallest. Repeated rows are records of their own. An
-empty table gives no archive and no row. Other columns are ignored.
+Reading: the dictionary, if there is one, is loaded from the leading skippable frame, each frame is decoded to one record, and version,
+required headers, block length, payload length and digests, where given, are checked; a record that fails has its reason in
+``error``. Archives of other writers are read alike: records of any type, payloads behind HTTP headers, folded header lines,
+digests in base 32 or hex, skippable frames in between.
+A null payload is an empty one; a null key is kept, and counts as the smallest. Repeated rows are records of their own; of a tie for
+the largest key all are responses. A record is held whole, however long. An empty table gives no archive and no row. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 
@@ -25,6 +28,11 @@ from martloom.session import scratch_path, stage
 
 MAGIC = 0x184D2A5D
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
+# Any of 16 numbers marks a frame that holds no data.
+SKIPPABLE = range(0x184D2A50, 0x184D2A60)
+# Digest algorithms by name, and the bytes of each.
+DIGESTS = {"md5": 16, "sha1": 20, "sha256": 32, "sha512": 64}
+OWN_KEY = re.compile("<urn:row:(.*)>", re.S)
 VERSION = b"WARC/1.1"
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 64_000_000
@@ -71,44 +79,89 @@ def record(kind: str, key: str, uri: str | None, payload: bytes, digest: bytes,
 
 
 def parse(data: bytes) -> dict:
-    """Fields of ``RECORD`` but the archive; ``error`` tells what is wrong."""
+    """Fields of ``RECORD`` but the archive; ``error`` tells what is wrong.
+
+    The payload is the block, behind its HTTP headers if it is an HTTP message. ``payload_bytes`` and ``payload_digest`` (SHA-1) are the full payload's;
+    those of a revisit are what it says of its source, null if it does not.
+    """
     out = dict.fromkeys(("record_key", "record_type", "target_uri", "refers_key", "payload_bytes", "payload_digest", "payload", "error"))
     head, gap, rest = data.partition(b"\r\n\r\n")
-    lines = head.split(b"\r\n")
-    if not gap or not lines[0].startswith(b"WARC/1."):
+    version, *lines = head.split(b"\r\n")
+    if not gap or not version.startswith(b"WARC/1."):
         return out | {"error": "not a WARC record"}
-    headers = {}
-    for line in lines[1:]:
-        name, colon, value = line.decode("utf-8", "replace").partition(":")
+    headers, name = {}, None
+    for line in lines:
+        text = line.decode("utf-8", "replace")
+        if text[:1] in (" ", "\t") and name:
+            headers[name] += " " + text.strip()
+            continue
+        name, colon, value = text.partition(":")
+        name = name.strip().lower()
         if not colon:
             return out | {"error": "a header line without a colon"}
-        headers[name.strip().lower()] = value.strip()
+        headers[name] = value.strip()
     if absent := [h for h in REQUIRED if h not in headers]:
         return out | {"error": "without " + ", ".join(absent)}
-    length = headers["content-length"]
-    out |= {"record_type": headers["warc-type"], "target_uri": headers.get("warc-target-uri"), "record_key": _key(headers["warc-record-id"])}
-    if not length.isdigit() or len(rest) != int(length) + 4 or rest[-4:] != b"\r\n\r\n":
+    length, kind = headers["content-length"], headers["warc-type"].lower()
+    uri = headers.get("warc-target-uri")
+    if uri and uri[0] == "<" and uri[-1] == ">":  # as the first version of the format wrote it
+        uri = uri[1:-1]
+    out |= {"record_type": kind, "target_uri": uri, "record_key": _key(headers["warc-record-id"])}
+    if not _number(length) or len(rest) != int(length) + 4 or rest[-4:] != b"\r\n\r\n":
         return out | {"error": "the block has another length"}
-    payload = rest[:-4]
-    said = headers.get("warc-payload-digest", "").removeprefix("sha1:")
+    block = rest[:-4]
+    payload = block
+    if headers.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
+        payload = block.partition(b"\r\n\r\n")[2]
     try:
-        digest = base64.b32decode(said)
+        said, of_block = (_digest(headers.get(f"warc-{part}-digest")) for part in ("payload", "block"))
     except ValueError:
         return out | {"error": "no readable digest"}
-    full = headers.get("warc-payload-length", length)
-    if out["record_type"] == "revisit":
-        if "warc-refers-to" not in headers or not full.isdigit():
+    if of_block and hashlib.new(of_block[0], block).digest() != of_block[1]:
+        return out | {"error": "the block has another digest"}
+    full = headers.get("warc-payload-length")
+    if full is not None and not _number(full):
+        return out | {"error": "the payload has another length"}
+    if kind == "revisit":
+        if "warc-refers-to" not in headers and "warc-refers-to-target-uri" not in headers:
             return out | {"error": "a revisit without its source"}
-        return out | {"refers_key": _key(headers["warc-refers-to"]), "payload_bytes": int(full), "payload_digest": digest.hex()}
-    if digest != hashlib.sha1(payload).digest():
+        refers = headers.get("warc-refers-to")
+        return out | {
+            "refers_key": None if refers is None else _key(refers),
+            "payload_bytes": None if full is None else int(full),
+            "payload_digest": said[1].hex() if said and said[0] == "sha1" else None,
+        }
+    whole = "warc-segment-number" not in headers  # a segment's digest and length are those of the whole payload
+    if whole and said and hashlib.new(said[0], payload).digest() != said[1]:
         return out | {"error": "the payload has another digest"}
-    if full != str(len(payload)):
+    if whole and full is not None and int(full) != len(payload):
         return out | {"error": "the payload has another length"}
-    return out | {"payload_bytes": len(payload), "payload_digest": digest.hex(), "payload": payload}
+    return out | {"payload_bytes": len(payload), "payload_digest": hashlib.sha1(payload).hexdigest(), "payload": payload}
+
+
+def _number(text: str) -> bool:
+    return text.isascii() and text.isdigit()
+
+
+def _digest(text: str | None) -> tuple[str, bytes] | None:
+    """(algorithm, digest) in base 32 or hex; nothing for an algorithm that is not known, an error for what is no digest."""
+    if text is None:
+        return None
+    name, _, value = text.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in DIGESTS:
+        return None
+    value, size = value.strip(), DIGESTS[name]
+    read = bytes.fromhex(value) if len(value) == 2 * size else base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+    if len(read) != size:
+        raise ValueError("a digest of another length")
+    return name, read
 
 
 def _key(address: str) -> str:
-    return address.removeprefix("<urn:row:").removesuffix(">")
+    """The key of a record written here; another writer's identifier as it stands."""
+    own = OWN_KEY.fullmatch(address)
+    return own[1] if own else address
 
 
 def train_dictionary(payloads: DataFrame, rows: int = DICTIONARY_ROWS) -> bytes:
@@ -177,7 +230,7 @@ def write_archives(rows: DataFrame, folder: str, key: str, uri: str, payload: st
     large = signed.where(F.length("payload") >= REVISIT_BYTES).select("key", "digest")
     groups = large.groupBy("digest").agg(F.max(own).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = groups.select("digest", F.col("first.key").alias("refers"), F.lit(True).alias("again"))
-    # digests and keys only are joined; payloads stay where they are
+    # digests and keys are joined first; payloads are shuffled by the last join, once
     others = large.join(first, "digest").where(~F.col("key").eqNullSafe(F.col("refers"))).select("key", "digest", "refers").distinct()
     _make_folder(spark, folder)
     told = signed.join(
@@ -229,24 +282,38 @@ def _columns(name: str, rows: list[dict], payloads: bool) -> list[list]:
 
 
 def frames(name: str, chunk: int = 1 << 20):
-    """(decoded frame, None) of every frame after the dictionary, or (b"", error) where the archive breaks off."""
+    """(decoded frame, None) of every data frame, or (b"", error) where the archive breaks off.
+
+    A leading skippable frame of the agreed number holds the dictionary, plain or compressed; other skippable frames are passed over.
+    """
     folder, _, file = name.rpartition("/")
     files, path = file_system(folder)
     with files.open_input_stream(f"{path}/{file}", compression=None) as source:
-        head = source.read(8)
-        if len(head) < 8 or struct.unpack("<I", head[:4])[0] != MAGIC:
-            yield b"", "no leading dictionary frame"
-            return
-        size = struct.unpack("<I", head[4:])[0]
-        dictionary = source.read(size)
-        if len(dictionary) != size:
-            yield b"", "the dictionary breaks off"
-            return
-        if dictionary.startswith(ZSTD_MAGIC):
-            dictionary = zstandard.ZstdDecompressor().decompress(dictionary)
-        known = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-        data = source.read(chunk)
-        while data:
+        data, known, leading = b"", zstandard.ZstdDecompressor(), True
+        while True:
+            while len(data) < 8 and (more := source.read(chunk)):
+                data += more
+            if not data:
+                if leading:
+                    yield b"", "an empty archive"
+                return
+            magic, size = struct.unpack("<II", data[:8]) if len(data) >= 8 else (0, 0)
+            if magic in SKIPPABLE:
+                wanted = leading and magic == MAGIC
+                held, data = [data[8 : 8 + size]], data[8 + size :]
+                left = size - len(held[0])
+                while left and (more := source.read(min(left, chunk))):
+                    left -= len(more)
+                    if wanted:
+                        held.append(more)
+                if left:
+                    yield b"", "the dictionary breaks off" if wanted else "a skippable frame breaks off"
+                    return
+                if wanted and size:
+                    known = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(_plain(b"".join(held))))
+                leading = False
+                continue
+            leading = False
             one, out = known.decompressobj(), []
             try:
                 while True:
@@ -261,7 +328,12 @@ def frames(name: str, chunk: int = 1 << 20):
                 yield b"", f"a frame cannot be decoded: {e}"
                 return
             yield b"".join(out), None
-            data = one.unused_data or source.read(chunk)
+            data = one.unused_data
+
+
+def _plain(dictionary: bytes) -> bytes:
+    """A dictionary may be compressed itself, with or without its size in the frame."""
+    return zstandard.ZstdDecompressor().decompressobj().decompress(dictionary) if dictionary.startswith(ZSTD_MAGIC) else dictionary
 
 
 def _make_folder(spark: SparkSession, folder: str) -> None:

@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import struct
 
@@ -88,8 +89,9 @@ def test_dictionary_is_read_from_the_leading_frame(spark):
 def test_broken_archives(spark):
     frame = zstandard.ZstdCompressor(write_checksum=True).compress(b"x" * 500)
     cases = {
-        frame: "no leading dictionary frame",
-        b"": "no leading dictionary frame",
+        b"": "an empty archive",
+        b"\x28\xb5": "a frame breaks off",
+        frame + struct.pack("<II", 0x184D2A53, 9) + b"x": "a skippable frame breaks off",
         struct.pack("<II", warc.MAGIC, 99) + b"short": "the dictionary breaks off",
         warc.skippable(b"") + frame[:-3]: "a frame breaks off",
     }
@@ -118,3 +120,66 @@ GOOD = warc.record("response", "1", "http://a", b"abc", hashlib.sha1(b"abc").dig
 )
 def test_records_are_validated(data, error):
     assert warc.parse(data)["error"] == error
+
+
+def foreign(kind, block, *lines, version="WARC/1.0", content="application/http; msgtype=response"):
+    head = [version, f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1234>", "WARC-Date: 2020-02-02T02:02:02Z", f"Content-Type: {content}", f"Content-Length: {len(block)}"]
+    return "\r\n".join([*head, *lines]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+BODY = b"<html>\r\n\r\nbody</html>"
+HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + BODY
+SHA1 = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+FOREIGN = {
+    "warcinfo": (foreign("warcinfo", b"software: x\r\n", content="application/warc-fields"), b"software: x\r\n", None),
+    "response": (foreign("response", HTTP, f"WARC-Payload-Digest: {SHA1(BODY)}", f"WARC-Block-Digest: {SHA1(HTTP)}", "WARC-Target-URI: <http://a/>"), BODY, None),
+    "hex digest": (foreign("response", HTTP, f"WARC-Payload-Digest: SHA-256:{hashlib.sha256(BODY).hexdigest()}"), BODY, None),
+    "base 32 without padding": (foreign("resource", b"x", "WARC-Payload-Digest: md5:" + base64.b32encode(hashlib.md5(b"x").digest()).decode().rstrip("="), content="text/plain"), b"x", None),
+    "unknown algorithm": (foreign("response", HTTP, "WARC-Payload-Digest: blake3:abc"), BODY, None),
+    "request": (foreign("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", content="application/http;msgtype=request"), b"", None),
+    "metadata": (foreign("metadata", b"via: x", "X-Folded: one", " two", content="application/warc-fields"), b"via: x", None),
+    "conversion": (foreign("conversion", "é梦".encode(), content="text/plain", version="WARC/1.1"), "é梦".encode(), None),
+    "continuation": (foreign("continuation", b"part", f"WARC-Payload-Digest: {SHA1(b'whole')}", "WARC-Segment-Number: 2", content="text/plain"), b"part", None),
+    "upper case type": (foreign("Response", HTTP), BODY, None),
+    "dns": (foreign("response", b"a. 60 IN A 1.2.3.4", content="text/dns"), b"a. 60 IN A 1.2.3.4", None),
+    "empty block": (foreign("response", b""), b"", None),
+    "other payload": (foreign("response", HTTP, f"WARC-Payload-Digest: {SHA1(HTTP)}"), None, "the payload has another digest"),
+    "other block": (foreign("response", HTTP, f"WARC-Block-Digest: {SHA1(BODY)}"), None, "the block has another digest"),
+    "short digest": (foreign("response", HTTP, "WARC-Payload-Digest: sha1:ABCD"), None, "no readable digest"),
+}
+
+
+@pytest.mark.parametrize("case", FOREIGN)
+def test_records_of_other_writers(case):
+    data, payload, error = FOREIGN[case]
+    got = warc.parse(data)
+    assert (got["payload"], got["error"], got["record_key"]) == (payload, error, "<urn:uuid:1234>")
+    if error is None:
+        assert (got["payload_bytes"], got["payload_digest"]) == (len(payload), hashlib.sha1(payload).hexdigest())
+    if case == "response":
+        assert got["target_uri"] == "http://a/"
+
+
+def test_revisits_of_other_writers():
+    lines = (f"WARC-Payload-Digest: {SHA1(BODY)}", "WARC-Refers-To-Target-URI: http://a/", "WARC-Refers-To-Date: 2019-01-01T00:00:00Z")
+    got = warc.parse(foreign("revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", *lines))
+    assert (got["error"], got["refers_key"], got["payload_bytes"], got["payload_digest"]) == (None, None, None, hashlib.sha1(BODY).hexdigest())
+    assert warc.parse(foreign("revisit", b"", "WARC-Refers-To: <urn:uuid:9>"))["refers_key"] == "<urn:uuid:9>"
+    assert warc.parse(foreign("revisit", b""))["error"] == "a revisit without its source"
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 20])
+def test_archives_of_other_writers(spark, chunk):
+    parts = [data for data, *_ in FOREIGN.values()]
+    packer = zstandard.ZstdCompressor(write_content_size=False)
+    between = struct.pack("<II", 0x184D2A50, 5) + b"notes"
+    body = b"".join(packer.compress(p) + between * (k % 2) for k, p in enumerate(parts))
+    for head in (b"", between, warc.skippable(b"")):
+        assert list(warc.frames(archive(spark, head + body), chunk)) == [(p, None) for p in parts]
+
+
+def test_a_foreign_archive_is_read_as_a_table(spark):
+    packer = zstandard.ZstdCompressor()
+    name = archive(spark, b"".join(packer.compress(data) for data, *_ in FOREIGN.values()))
+    read = warc.read_archives(spark.createDataFrame([(name, 1, 1)], warc.MANIFEST)).collect()
+    assert [(None if r.payload is None else bytes(r.payload), r.error) for r in read] == [(p, e) for _, p, e in FOREIGN.values()]
