@@ -72,7 +72,7 @@ class Judge:
         self.rules = sorted(((r, *split_rule(r), verdict) for verdict, r in known.rules), key=lambda x: -len(x[0]))
         self.terms = ahocorasick.Automaton()
         for weight, words in ((0, known.soft), (1, known.strict)):
-            for w in words:
+            for w in map(lower, words):  # as the text is
                 self.terms.add_word(w, (w, weight))
         if len(self.terms):
             self.terms.make_automaton()

@@ -48,3 +48,9 @@ def test_table(spark):
     got = uv.judge(clashing(pages, "host", "verdict")).collect()
     assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(((k, *plain(u)) for k, u in [*enumerate(URLS), (0, None), (None, "http://a.org/")]), key=str)
     assert uv.judge(pages.limit(0)).collect() == []
+
+
+def test_terms_in_upper_case_match_the_folded_text():
+    judge = uv.Judge(uv.Filter(strict=("Casino",), soft=("WIN", "free")))
+    assert judge("http://a.net/CASINO")[3:] == ("block", 1, 0)
+    assert judge("http://a.net/win/Free")[3:] == ("block" if judge.limit <= 2 else "allow", 0, 2)
