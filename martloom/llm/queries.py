@@ -74,6 +74,9 @@ def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        "longest",
+        "longest_place",
+        "longest_item",
     )
 
 
@@ -169,19 +172,26 @@ def _decontaminate_sql() -> str:
     return f"""
     with d as (select row_number() over () as r, doc_id, {_WORDS.format(text='text')} as w from documents),
     i as (select item_id, {_WORDS.format(text='text')} as w from benchmark),
-    s as (select item_id, w, least(10, len(w)) as n from i where len(w) > 0),
-    items as (select distinct item_id, n, array_to_string(w[p:p + n - 1], ' ') as k
-              from (select item_id, w, n, unnest(range(1, len(w) - n + 2)) as p from s)),
+    s as (select row_number() over () as b, item_id, w, least(10, len(w)) as n from i where len(w) > 0),
+    parts as (select b, item_id, n, p, array_to_string(w[p:p + n - 1], ' ') as k
+              from (select b, item_id, w, n, unnest(range(1, len(w) - n + 2)) as p from s)),
+    items as (select distinct item_id, n, k from parts),
     sizes as (select distinct n from items),
     places as (select r, n, w, unnest(range(1, len(w) - n + 2)) as p from d, sizes where len(w) >= n),
-    found as (select r, p, f.n, item_id from (select r, p, n, array_to_string(w[p:p + n - 1], ' ') as k from places) f
-              join items on items.n = f.n and items.k = f.k),
+    words as (select r, p, n, array_to_string(w[p:p + n - 1], ' ') as k from places),
+    found as (select r, p, f.n, item_id from words f join items on items.n = f.n and items.k = f.k),
+    runs as (select r, item_id, n, p, p - row_number() over (partition by r, b, p - q order by p) as island, b, p - q as shift
+             from (select r, f.p, f.n, b, item_id, parts.p as q from words f join parts on parts.n = f.n and parts.k = f.k)),
+    matches as (select r, item_id, min(p) - 1 as place, count(*) + max(n) - 1 as size from runs group by r, b, shift, island, item_id),
+    best as (select r, size as longest, place as longest_place, item_id as longest_item from matches
+             qualify row_number() over (partition by r order by size desc, place, item_id nulls last) = 1),
     hits as (select r, count(distinct i) as n_hit from (select r, unnest(range(p, p + n)) as i from found) group by r),
     its as (select r, count(*) as n_items, string_agg(id, ',' order by id) as ids
             from (select distinct r, cast(item_id as varchar) as id from found) group by r)
     select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
-           sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-    from d left join hits using (r) left join its using (r)"""
+           sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated,
+           coalesce(longest, 0) as longest, longest_place, longest_item
+    from d left join hits using (r) left join its using (r) left join best using (r)"""
 
 
 def _chat_sql() -> str:

@@ -3,9 +3,12 @@
 Words are runs of ASCII letters and digits (A-Z lower-cased) and of all characters beyond ASCII. A
 shard is a run of whole documents of one Spark partition; its suffix array holds the places whose next words
 begin like some test suffix (others cannot match), in the order of the words that follow. Test
-suffixes are found by binary search. A window is ``WINDOW`` consecutive words of an item, or all of a
+suffixes are found by binary search; how far a found place goes on verbatim is told by its neighbours among
+the sorted test suffixes. A window is ``WINDOW`` consecutive words of an item, or all of a
 shorter item. Null texts and texts without words have no hits; items without words have no window;
-repeated documents count one by one, a repeated row of the benchmark once. Other columns are ignored. Empty tables give empty results.
+repeated documents count one by one, a repeated row of the benchmark once. Of equally long matches the first in the document counts,
+and of items with that match the smallest (a null id is the largest). A text is held whole, however long; a benchmark is read in slices
+of files, so neither driver nor task holds more than one slice. Other columns are ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -17,15 +20,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from martloom.llm.rows import STEP_ROWS, by_place, map_batches, pick, place, ready
+from martloom.llm.rows import STEP_ROWS, by_place, file_system, map_batches, pick, place, ready
+from martloom.session import scratch_path
 
 WINDOW = 10
 # Words by which suffixes are sorted; longer matches are compared word by word.
 DEPTH = 64
 # Words of a shard, and characters of the benchmark that are searched for at a time.
 SHARD_WORDS = 1 << 21
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 4_000_000
 _FILTER_BITS = 22
 
 
@@ -71,6 +76,7 @@ class TestSet:
         self.at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         self.start = self.first[self.item] + self.at
         self.left = lengths[self.item] - self.at
+        self.item_words = lengths
         # windows, equal ones once, with the items that have them
         size = np.minimum(self.window, lengths)[self.item] if len(lengths) else np.zeros(0, np.int64)
         own = self.left >= size
@@ -82,6 +88,12 @@ class TestSet:
         pairs = np.unique(np.stack([which, self.item[own]], axis=1), axis=0) if own.any() else np.zeros((0, 2), np.int64)
         self.owner = pairs[:, 1]
         self.owners = np.searchsorted(pairs[:, 0], np.arange(len(self.windows) + 1))
+        # all suffixes in their order, whatever their length
+        order = suffix_order(self.text)
+        self.sorted = order[self.text[order] > 0]
+        place_left, place_item = np.zeros(len(self.text), dtype=np.int64), np.zeros(len(self.text), dtype=np.int64)
+        place_left[self.start], place_item[self.start] = self.left, self.item
+        self.sorted_left, self.sorted_item = place_left[self.sorted], place_item[self.sorted]
         # first words of suffixes that are at least as long as the shortest window
         self.lead = min(3, self.least)
         self.seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
@@ -100,6 +112,19 @@ class TestSet:
         return np.fromiter((known(w, 0) for w in words), np.int64, len(words))
 
 
+def suffix_order(text: np.ndarray) -> np.ndarray:
+    """Places of a text in the order of what follows them, by doubling the length that ranks stand for."""
+    rank, step = text, 1
+    while True:
+        after = np.concatenate([rank[step:], np.full(min(step, len(rank)), -1)])
+        order = np.lexsort((after, rank))
+        new = (np.diff(rank[order]) != 0) | (np.diff(after[order]) != 0)
+        if new.all():
+            return order
+        rank, step = np.zeros(len(text), dtype=np.int64), 2 * step
+        rank[order[1:]] = np.cumsum(new)
+
+
 def pack(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, depth: int, kind: np.dtype) -> np.ndarray:
     """For each start a byte string of the next words, at most ``sizes`` and ``depth`` of them; byte order is word order."""
     out = np.zeros((len(starts), depth), dtype=kind)
@@ -111,6 +136,15 @@ def pack(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, depth: int, ki
     return out.reshape(-1).view(f"S{depth * kind.itemsize}") if len(starts) else np.zeros(0, f"S{depth * kind.itemsize}")
 
 
+@dataclass
+class Hits:
+    """A mark per word of the shard, each document's items, and (words, place, item) of each document's longest match; items by number."""
+
+    marks: np.ndarray
+    items: list[list[int]]
+    best: dict[int, tuple[int, int, int]]
+
+
 class Shard:
     """Suffix array over the numbered words of some documents (0: a word that no test has, or a document's end)."""
 
@@ -143,14 +177,13 @@ class Shard:
         keys = self.keys.astype(text)
         return np.searchsorted(keys, low.reshape(-1).view(text), "left"), np.searchsorted(keys, high.reshape(-1).view(text), "right")
 
-    def hits(self) -> tuple[np.ndarray, list[list[int]]]:
-        """Words inside occurrences of windows (a mark per word of the shard), and each document's items, by number."""
+    def hits(self, lengths: bool = False) -> Hits:
+        """Occurrences of windows, found by searching every test suffix that is long enough, equal ones once."""
         t = self.tests
         low, high = self.ranges()
         times = np.maximum(0, high - low)
         window = np.repeat(np.arange(len(times)), times)
-        place_ = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        start = self.suffixes[place_]
+        start = self.suffixes[np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
         change = np.zeros(len(self.text) + 1, dtype=np.int64)
         np.add.at(change, start, 1)
         np.add.at(change, start + t.size[window], -1)
@@ -158,7 +191,59 @@ class Shard:
         document = np.searchsorted(self.first, start, side="right") - 1
         for d, w in np.unique(np.stack([document, window], axis=1), axis=0).tolist() if len(start) else ():
             found[d].extend(t.owner[t.owners[w] : t.owners[w + 1]].tolist())
-        return np.cumsum(change)[:-1] > 0, [sorted(set(x)) for x in found]
+        best = self._best(start, window) if lengths else {}
+        return Hits(np.cumsum(change)[:-1] > 0, [sorted(set(x)) for x in found], best)
+
+    def _best(self, start: np.ndarray, window: np.ndarray) -> dict[int, tuple[int, int, int]]:
+        """Of each document with a hit: words, place and smallest item of its longest verbatim match."""
+        if not len(start):
+            return {}
+        t = self.tests
+        places, which = np.unique(start, return_inverse=True)
+        size = np.zeros(len(places), dtype=np.int64)
+        np.maximum.at(size, which, t.size[window])
+        run = self._run(places)
+        at = self._bound(places, run, upper=False)
+        reach = np.zeros(len(places), dtype=np.int64)
+        for near in (at - 1, at):
+            inside = np.clip(near, 0, len(t.sorted) - 1)
+            common = self._common(t.sorted[inside], t.sorted_left[inside], places, run)
+            reach = np.maximum(reach, np.where((near >= 0) & (near < len(t.sorted)), common, 0))
+        # below the window's length only whole short items count, which the search has found
+        size = np.where(reach >= t.window, reach, size)
+        document = np.searchsorted(self.first, places, side="right") - 1
+        order = np.lexsort((places, -size, document))
+        lead = order[np.flatnonzero(np.diff(document[order], prepend=-1))]
+        places, size, document = places[lead], size[lead], document[lead]
+        low, high = self._bound(places, size, upper=False), self._bound(places, size, upper=True)
+        out, known = {}, {}
+        for d, p, n, lo, hi in np.stack([document, places, size, low, high], axis=1).tolist():
+            if (lo, hi, n) not in known:
+                # a short match counts for items that consist of it; a longer one for all
+                own = t.sorted_item[lo:hi]
+                known[lo, hi, n] = int(own[(n >= t.window) | (t.item_words[own] == n)].min())
+            out[d] = (n, p - int(self.first[d]), known[lo, hi, n])
+        return out
+
+    def _run(self, places: np.ndarray) -> np.ndarray:
+        """Known words from each place to the next that no test has, or the document's end."""
+        breaks = np.flatnonzero(self.text == 0)
+        return breaks[np.searchsorted(breaks, places)] - places
+
+    def _bound(self, places: np.ndarray, sizes: np.ndarray, upper: bool) -> np.ndarray:
+        """Where the next ``sizes`` words of each place stand among the sorted test suffixes: before or behind those that begin with them."""
+        t = self.tests
+        low, high = np.zeros(len(places), dtype=np.int64), np.full(len(places), len(t.sorted))
+        going = np.flatnonzero(low < high)
+        while len(going):
+            middle = (low[going] + high[going]) // 2
+            start, left = t.sorted[middle], t.sorted_left[middle]
+            same = self._common(start, left, places[going], sizes[going])
+            word = np.where(same < left, t.text[np.minimum(start + same, len(t.text) - 1)], 0)
+            less = np.where(same == sizes[going], upper, word < self.text[places[going] + same])
+            low[going[less]], high[going[~less]] = middle[less] + 1, middle[~less]
+            going = going[low[going] < high[going]]
+        return low
 
     def longest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each test suffix: words of its longest verbatim match, and its first document and place (-1: no match)."""
@@ -195,16 +280,46 @@ class Shard:
         return out
 
 
-def test_sets(benchmark: DataFrame, item: str = "item_id", text: str = "text", slice_chars: int = SLICE_CHARS, window: int = WINDOW):
-    """The benchmark in slices of bounded size, one after the other; the driver holds one slice at a time."""
-    rows = pick(benchmark, item, text).distinct()  # else all repeats of a row are in one slice
-    size = rows.agg(F.sum(F.length(text)).alias("n")).first()["n"] or 0
-    slices = max(1, -(-size // slice_chars))
-    for k in range(slices):
-        part = rows.where(F.pmod(F.xxhash64(item, text), F.lit(slices)) == k).collect()
-        found = sorted(((r[item], words_of(r[text])) for r in part), key=lambda x: (x[0] is None, x[0]))
-        found = [x for x in found if x[1]]
-        yield TestSet([x[0] for x in found], [x[1] for x in found], window)
+@dataclass(frozen=True)
+class Slices:
+    """A benchmark in slices of files; iterating reads one after the other."""
+
+    path: str
+    count: int
+    window: int
+
+    def __iter__(self):
+        for k in range(self.count):
+            if (self.path, k) not in _LAST:
+                _LAST.clear()
+                _LAST[self.path, k] = self._read(k)
+            yield _LAST[self.path, k]
+
+    def _read(self, k: int) -> TestSet:
+        from pyarrow import fs, parquet
+
+        files, root = file_system(self.path)
+        known = files.get_file_info(fs.FileSelector(f"{root}/slice={k}", allow_not_found=True))
+        rows = []
+        for name in sorted(f.path for f in known if f.path.endswith(".parquet")):
+            with files.open_input_file(name) as file:
+                rows += zip(*(c.to_pylist() for c in parquet.ParquetFile(file).read(["item", "text"]).columns), strict=True)
+        found = [(i, words) for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0])) if (words := words_of(text))]
+        return TestSet([i for i, _ in found], [words for _, words in found], self.window)
+
+
+# The slice that a Python worker has read last; with one slice it is read once.
+_LAST: dict[tuple[str, int], TestSet] = {}
+
+
+def test_sets(benchmark: DataFrame, item: str = "item_id", text: str = "text", slice_chars: int = SLICE_CHARS, window: int = WINDOW) -> Slices:
+    """The benchmark, distinct rows of it, written to the shared folder in slices of bounded size."""
+    rows = pick(benchmark, item, text).toDF("item", "text").distinct()  # else all repeats of a row are in one slice
+    size = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    count, path = max(1, -(-size // slice_chars)), scratch_path(benchmark.sparkSession, "benchmark")
+    cut = rows.where("text is not null").withColumn("slice", F.pmod(F.xxhash64("item", "text"), F.lit(count)))
+    cut.repartition("slice").write.partitionBy("slice").parquet(path)
+    return Slices(path, count, window)
 
 
 def _shards(batches, column: int):
@@ -225,37 +340,42 @@ def _shards(batches, column: int):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
-    """(key, n_words, n_hit, items, spans) of every row; ``items`` as sorted strings, ``spans`` as word ranges that are hit.
+    """(key, n_words, n_hit, items, spans, longest, longest_place, longest_item) of every row.
 
-    The documents are passed once for each slice of the benchmark, without a shuffle: a pass takes
-    the spans and items of the one before along.
+    ``items`` are sorted strings, ``spans`` ranges of words that are hit; ``longest`` words from word ``longest_place`` on are the longest
+    verbatim match with an item, none: 0 and nulls. One operator reads the slices in turn; nothing is shuffled.
     """
     ready(docs.sparkSession)
-    rows = pick(docs, key, text).select(
-        key, text, F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<string>").alias("items"), F.array().cast("array<array<long>>").alias("spans"),
-    )
-    schema = rows.schema
-    for tests in test_sets(benchmark, item, text):
-        rows = rows.mapInArrow(_search(tests, schema), schema)
+    rows, kind = pick(docs, key, text), dict(pick(benchmark, item).dtypes)[item]
+    schema = StructType.fromDDL("n_words long, items array<string>, spans array<array<long>>, longest long, longest_place long").add(
+        "longest_item", pick(benchmark, item).schema[0].dataType
+    )
+    schema = StructType([rows.schema[0], *schema.fields])
+    found = rows.mapInArrow(_search(test_sets(benchmark, item, text), schema), schema)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
-    return rows.select(key, "n_words", hit.alias("n_hit"), "items", "spans")
+    return found.select(key, "n_words", hit.alias("n_hit"), "items", "spans", "longest", "longest_place", F.col("longest_item").cast(kind))
 
 
-def _search(tests: TestSet, schema):
+def _search(slices: Slices, schema):
     def run(batches):
         kinds = to_arrow_schema(schema)
         for held, documents in _shards(batches, 1):
-            shard = Shard(tests, documents)
-            marks, found = shard.hits()
-            table = pa.Table.from_batches(held)
-            items, spans = table.column(3).to_pylist(), table.column(4).to_pylist()
-            for d, (start, size) in enumerate(zip(shard.first.tolist(), shard.lengths.tolist(), strict=False)):
-                if found[d]:
-                    items[d] = sorted({*items[d], *(str(tests.items[i]) for i in found[d])})
-                    spans[d] = joined(marks[start : start + size], spans[d])
-            columns = [table.column(0), table.column(1), shard.lengths, items, spans]
-            arrays = [pa.array(c, type=t) if not isinstance(c, pa.ChunkedArray) else c for c, t in zip(columns, kinds.types, strict=True)]
+            items, spans, best = ([d() for _ in documents] for d in (set, list, lambda: None))
+            for tests in slices:
+                shard = Shard(tests, documents)
+                hits = shard.hits(lengths=True)
+                for d, (size, at, number) in hits.best.items():
+                    start, own = int(shard.first[d]), tests.items[number]
+                    items[d].update(str(tests.items[i]) for i in hits.items[d])
+                    spans[d] = joined(hits.marks[start : start + len(documents[d])], spans[d])
+                    told = (-size, at, own is None, own)
+                    best[d] = told if best[d] is None else min(best[d], told, key=lambda x: x if x[3] is not None else x[:3])
+            told = [b or (0, None, True, None) for b in best]
+            arrays = [
+                pa.Table.from_batches(held).column(0),
+                *([*map(len, documents)], [*map(sorted, items)], spans, [-b[0] for b in told], [b[1] for b in told], [b[3] for b in told]),
+            ]
+            arrays = [a if isinstance(a, pa.ChunkedArray) else pa.array(a, type=t) for a, t in zip(arrays, kinds.types, strict=True)]
             yield from pa.Table.from_arrays(arrays, schema=kinds).to_batches()
 
     return run
@@ -277,32 +397,30 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
     Every shard hands on its best; they are combined on the way to the result.
     """
     kinds = dict(pick(docs, key).dtypes) | dict(pick(benchmark, item).dtypes)
-    rows, out = pick(docs, key, text), None
-    for tests in test_sets(benchmark, item, text):
-
-        def work(steps, tests=tests):
-            keys, documents, size = [], [], 0
-
-            def told():
-                best, document, at = Shard(tests, documents).longest()
-                some = np.flatnonzero(best >= tests.lead)
-                return [
-                    [tests.items[i] for i in tests.item[some]], tests.at[some].tolist(), best[some].tolist(),
-                    [keys[d] for d in document[some]], at[some].tolist(),
-                ]
-
-            for new, texts in steps:
-                keys += new
-                documents += map(words_of, texts)
-                size += sum(map(len, documents[-len(new) :]))
-                if size >= SHARD_WORDS:
-                    yield told()
-                    keys, documents, size = [], [], 0
-            if documents:
-                yield told()
-
-        found = map_batches(rows, f"{item} {kinds[item]}, item_word long, words long, {key} {kinds[key]}, doc_word long", work)
-        out = found if out is None else out.unionByName(found)
+    slices = test_sets(benchmark, item, text)
+
+    def told(keys: list, documents: list):
+        for tests in slices:
+            best, document, at = Shard(tests, documents).longest()
+            some = np.flatnonzero(best >= tests.lead)
+            yield [
+                [tests.items[i] for i in tests.item[some]], tests.at[some].tolist(), best[some].tolist(),
+                [keys[d] for d in document[some]], at[some].tolist(),
+            ]
+
+    def work(steps):
+        keys, documents, size = [], [], 0
+        for new, texts in steps:
+            keys += new
+            documents += map(words_of, texts)
+            size += sum(map(len, documents[-len(new) :]))
+            if size >= SHARD_WORDS:
+                yield from told(keys, documents)
+                keys, documents, size = [], [], 0
+        if documents:
+            yield from told(keys, documents)
+
+    out = map_batches(pick(docs, key, text), f"{item} {kinds[item]}, item_word long, words long, {key} {kinds[key]}, doc_word long", work)
     least = F.min(F.struct((-F.col("words")).alias("less"), F.col(key).alias("k"), F.col("doc_word").alias("w")))
     return out.groupBy(item, "item_word").agg(least.alias("b")).select(
         item, "item_word", (-F.col("b.less")).alias("words"), F.col("b.k").alias(key), F.col("b.w").alias("doc_word")
@@ -316,14 +434,13 @@ def digest(items: list[str]) -> str:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
     """Documents without an occurrence of any window, with all columns."""
     ready(docs.sparkSession)
-    at, plain = place(docs, text), by_place(docs)
-    for tests in test_sets(benchmark, item, text):
+    at, plain, slices = place(docs, text), by_place(docs), test_sets(benchmark, item, text)
 
-        def run(batches, tests=tests):
-            for held, documents in _shards(batches, at):
-                _, found = Shard(tests, documents).hits()
-                mask = pa.array([not f for f in found])
-                yield from pa.Table.from_batches(held).filter(mask).to_batches()
+    def run(batches):
+        for held, documents in _shards(batches, at):
+            clean = np.ones(len(documents), dtype=bool)
+            for tests in slices:
+                clean &= [not items for items in Shard(tests, documents).hits().items]
+            yield from pa.Table.from_batches(held).filter(pa.array(clean)).to_batches()
 
-        plain = plain.mapInArrow(run, plain.schema)
-    return plain.toDF(*docs.columns)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -23,7 +23,7 @@ import uuid
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from martloom.llm.rows import map_batches, pick
+from martloom.llm.rows import file_system, map_batches, pick
 from martloom.session import scratch_path, stage
 
 MAGIC = 0x184D2A5D
@@ -51,13 +51,6 @@ RECORD = (
 )
 
 
-def file_system(folder: str):
-    """(file system, path) of a folder's address, for tasks as for the driver."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}" if not folder.startswith("file:") else folder.replace("file:", "file://", 1))
-
-
 def record(kind: str, key: str, uri: str | None, payload: bytes, digest: bytes, refers: str | None = None) -> bytes:
     """One WARC record, ``payload`` being the full one; a revisit carries its length and digest but not its bytes."""
     block = payload if kind == "response" else b""

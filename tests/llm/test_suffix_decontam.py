@@ -109,6 +109,59 @@ def test_longest_matches(spark, monkeypatch):
         assert words[r.doc_word : r.doc_word + r.words] == test[r.item_word : r.item_word + r.words]
 
 
+def plain_best(docs, items):
+    """(words, place, item) of each document's longest match that starts with a window, by trying all places."""
+    out = []
+    for i, text in docs:
+        words, best = plain_words(text), None
+        for item, t in items:
+            test = plain_words(t)
+            size = min(10, len(test))
+            for at in range(len(test) - size + 1 if test else 0):
+                for k in range(len(words) - size + 1):
+                    if words[k : k + size] == test[at : at + size]:
+                        n = size
+                        while at + n < len(test) and k + n < len(words) and words[k + n] == test[at + n]:
+                            n += 1
+                        told = (-n, k, item is None, item or 0)
+                        best = min(best or told, told)
+        out.append((i, *((-best[0], best[1], None if best[2] else best[3]) if best else (0, None, None))))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("depth", "slice_chars"), [(64, 10**6), (4, 10**6), (64, 100)])
+def test_longest_match_of_each_document(spark, monkeypatch, depth, slice_chars):
+    monkeypatch.setattr(dec, "DEPTH", depth)
+    slices = dec.test_sets
+    monkeypatch.setattr(dec, "test_sets", lambda b, i, t: slices(b, i, t, slice_chars=slice_chars))
+    items = [*ITEMS, (30, prose(4, 90)), (None, prose(5, 20)), (5, " ".join(prose(4, 90).split()[:9])), (6, "aa aa aa")]
+    docs = [*cases(), (300, prose(5, 20)), (301, "z " + prose(4, 60) + " z " + prose(4, 70)), (302, "aa aa aa aa b")]
+    found = dec.contamination(documents(spark, docs), benchmark(spark, items)).collect()
+    assert sorted(((r.doc_id, r.longest, r.longest_place, r.longest_item) for r in found), key=str) == plain_best(docs, items)
+
+
+def test_slices_do_not_lengthen_the_plan(spark, monkeypatch):
+    slices = dec.test_sets
+    monkeypatch.setattr(dec, "test_sets", lambda b, i, t: slices(b, i, t, slice_chars=100))
+    for made in (dec.contamination, dec.drop_contaminated):
+        plan = made(documents(spark, cases()), benchmark(spark, ITEMS))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1
+
+
+def test_query_and_its_sql(spark, tmp_path):
+    import duckdb
+
+    from martloom.llm import queries
+
+    documents(spark, [*cases(), *cases()[20:24]]).write.parquet(f"{tmp_path}/documents.parquet")
+    benchmark(spark, ITEMS).write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name in ("documents", "benchmark"):
+        duckdb.sql(f"create or replace view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = queries.QUERIES["op4_suffix_decontam"](spark, str(tmp_path))
+    sql = duckdb.sql(queries.ORACLES["op4_suffix_decontam"])
+    assert got.columns == sql.columns and sorted(map(tuple, got.collect()), key=str) == sorted(sql.fetchall(), key=str)
+
+
 def test_spans_and_clashing_columns(spark):
     docs = clashing(documents(spark, cases()), "items", "spans", "n_words")
     found = {r.doc_id: r for r in dec.contamination(docs, clashing(benchmark(spark, ITEMS[:1]), "doc_id")).collect()}
