@@ -3,7 +3,8 @@
 Mark-up: ``[[...]]`` is optional, ``{n}`` is replaceable by any words, at most n, and everything else
 must stand word for word. Words are runs of ASCII letters and digits (A-Z lower-cased) and of characters
 beyond ASCII, so case, punctuation and line ends make no difference. A text has a licence if some
-run of its words is accepted. Null and empty texts have no words and no label; repeated rows are scanned one by one.
+run of its words is accepted, from its first mandatory word to its last: part of a licence is none. A text may have several labels, ties
+included. Null and empty texts have no words and no label; repeated rows are scanned one by one. A text is held whole, however long.
 Other columns are ignored; an empty table gives an empty result.
 """
 
@@ -35,7 +36,15 @@ _BSD = (
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following "
     "conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the "
     "following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions "
-    "and the following disclaimer in the documentation and or other materials provided with the distribution"
+    "and the following disclaimer in the documentation and or other materials provided with the distribution "
+)
+_BSD_DISCLAIMER = (
+    "this software is provided by {12} as is and any express or implied warranties including but not limited to the implied warranties of "
+    "merchantability and fitness for a particular purpose are disclaimed in no event shall {12} be liable for any direct indirect "
+    "incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services "
+    "loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict "
+    "liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the "
+    "possibility of such damage"
 )
 
 # Wording of public licences and of their usual notices.
@@ -50,21 +59,40 @@ TEMPLATES = {
     "template:mit-notice": "[[{6} is]] released under the [[terms of the]] mit license",
     "template:isc": (
         "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted "
-        "provided that the above copyright notice and this permission notice appear in all copies"
+        "provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and {6} "
+        "disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event "
+        "shall {6} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of "
+        "use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with "
+        "the use or performance of this software"
     ),
-    "template:bsd-2-clause": _BSD,
+    "template:bsd-2-clause": _BSD + _BSD_DISCLAIMER,
     "template:bsd-3-clause": (
-        _BSD + " [[3]] neither the name of {12} nor the names of its contributors may be used to endorse or promote products derived "
-        "from this software without specific prior written permission"
+        _BSD + "[[3]] neither the name of {12} nor the names of its contributors may be used to endorse or promote products derived "
+        "from this software without specific prior written permission " + _BSD_DISCLAIMER
     ),
     "template:apache-2.0": "licensed under the apache license version 2 0 [[the license you may not use {4} except in compliance with the license]]",
+    "template:apache-2.0-notice": (
+        "licensed under the apache license version 2 0 the license you may not use {4} except in compliance with the license you may obtain a "
+        "copy of the license at {1} www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software "
+        "distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or "
+        "implied see the license for the specific language governing permissions and limitations under the license"
+    ),
     "template:gpl-notice": "this {4} is licensed under the gnu general public license [[version {2}]]",
     "template:gpl-program": (
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as "
-        "published by the free software foundation [[either]] version {3} [[of the license]] [[or at your option any later version]]"
+        "published by the free software foundation [[either]] version {3} [[of the license]] [[or at your option any later version]] "
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of "
+        "merchantability or fitness for a particular purpose see the gnu general public license for more details"
     ),
     "template:cc-by-notice": "licensed under [[a]] [[the]] [[creative commons]] cc by [[nc]] [[sa]] [[nd]] {2}",
-    "template:unlicense": "this is free and unencumbered software released into the public domain",
+    "template:unlicense": (
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or "
+        "distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by "
+        "any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright "
+        "interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment "
+        "of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and "
+        "future rights to this software under copyright law " + _NO_WARRANTY
+    ),
 }
 BASE_SCORE, TEMPLATE_SCORE = 0.5, 1.0
 _TOKEN = re.compile(r"\[\[|\]\]|\{\d+\}|[^\s\[\]{}]+")

@@ -58,6 +58,70 @@ def test_licences_are_found_and_changed_wording_is_not(label):
     assert label not in scan(broken)[3]
 
 
+def mandatory(template):
+    out, depth = [], 0
+    for t in lic._TOKEN.findall(template):
+        depth += (t == "[[") - (t == "]]")
+        if not depth and t != "]]" and not t.startswith("{"):
+            out.append(t)
+    return out
+
+
+@pytest.mark.parametrize("label", lic.TEMPLATES)
+def test_any_change_of_the_mandatory_wording_is_refused(label):
+    scan = lic.Scanner({label: lic.TEMPLATES[label]}).scan
+    words = mandatory(lic.TEMPLATES[label])
+    assert scan(" ".join(words))[3] == [label]
+    for k in range(len(words)):
+        assert scan(" ".join([*words[:k], "wrong", *words[k + 1 :]]))[3] == [], k
+        assert scan(" ".join(words[:k] + words[k + 1 :]))[3] == [], k
+    assert scan(" ".join(words[:-1]))[3] == []
+
+
+def test_parts_and_longer_licences():
+    scan = lic.Scanner().scan
+    text = {k: filled(t) for k, t in lic.TEMPLATES.items()}
+    for k in ("isc", "bsd-2-clause", "bsd-3-clause", "unlicense", "mit"):
+        whole = text[f"template:{k}"]
+        assert scan(whole)[3] == [f"template:{k}"]
+        half = " ".join(whole.split()[: len(whole.split()) // 2])
+        assert scan(half + " " + prose(1, 80))[3] == []
+    names = "THE COPYRIGHT HOLDERS AND CONTRIBUTORS"
+    real = lic.TEMPLATES["template:bsd-3-clause"].replace("{12} as is", names + ' "AS IS"').replace("shall {12}", "shall the copyright holder or contributors")
+    assert scan(real.replace("[[", "").replace("]]", ".").replace("{12}", "the copyright holder"))[3] == ["template:bsd-3-clause"]
+
+
+def test_whole_notices():
+    scan = lic.Scanner().scan
+    apache = (
+        'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\n'
+        "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed "
+        'to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, '
+        "either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License."
+    )
+    assert scan(apache)[3] == ["template:apache-2.0", "template:apache-2.0-notice"]
+    gpl = (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the "
+        "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+    )
+    assert scan(gpl)[3] == [] and scan(gpl + "See the GNU General Public License for more details.")[3] == ["template:gpl-program"]
+
+
+def test_query_and_its_sql(spark, tmp_path):
+    import duckdb
+
+    from martloom.llm import queries
+
+    texts = [filled(t) for t in lic.TEMPLATES.values()] + [" ".join(filled(t).split()[:-1]) for t in lic.TEMPLATES.values()]
+    rows = [(k, prose(k, 20) + ". " + t.upper() + ". " + prose(k, 9)) for k, t in enumerate(texts)] + [(900, None), (901, ""), (901, "")]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    duckdb.sql(f"create or replace view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = queries.QUERIES["op8_license_templates"](spark, str(tmp_path))
+    sql = duckdb.sql(queries.ORACLES["op8_license_templates"])
+    assert got.columns == sql.columns and sorted(map(tuple, got.collect()), key=str) == sorted(sql.fetchall(), key=str)
+
+
 def test_notices_of_the_base_phrases():
     scan = lic.Scanner().scan
     assert scan("Released under the MIT License.") == (5, [3], ["mit"], ["template:mit-notice"])
