@@ -1,4 +1,8 @@
-"""Connected components of a table of links, by alternating star steps over shuffled tables."""
+"""Connected components of a table of links, by alternating star steps over shuffled tables.
+
+Nodes are compared as values, so there are no ties. Repeated links and links of a node to itself count for nothing, nor do
+links with a null end; an empty table has no components. Other columns are ignored.
+"""
 
 from __future__ import annotations
 

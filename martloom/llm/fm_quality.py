@@ -4,8 +4,9 @@ score = logistic(w0 + sum w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2
 interactions at the cost of one pass over the features. It is fitted on at most ``FIT_ROWS`` labelled
 documents of each class (those with the smallest key hashes) and scores every whole text. Null and empty texts have
 features of their own and get a score like any other; without labelled rows every score is 0.5.
-Repeated rows are scored one by one; in the fit an id counts once, with the text of the smallest digest.
-Other columns are never read.
+Repeated rows are scored one by one; in the fit an id counts once, with the text of the smallest digest,
+and an id labelled both 0 and 1 counts as 1. A score of just 0.5 is a 1. A text is held whole, however long; its features have a fixed
+size. Other columns are never read.
 """
 
 from __future__ import annotations

@@ -4,6 +4,7 @@ Letter trigrams of the documents whose language is known give a distribution for
 all such documents. For a document, expectation-maximisation estimates the languages' proportions; the
 set of languages is then chosen by its likelihood less a penalty for each language more. Texts
 that are null or have no letter are ``und`` with score 0, and so is every text if nothing was learned.
+Equal proportions go by the language's name. A text is held whole, however long, with its trigrams' numbers.
 Repeated rows are judged one by one, an empty table gives an empty result, other columns are ignored.
 
 The filter adds a component for all else to the mixture: letters drawn one by one, half by their shares in the

@@ -3,7 +3,8 @@
 Texts are whole; words are runs of bytes other than ASCII white space. A null or empty text has no
 words, fails the base rules and is never compared. Repeated rows get a row each; documents with
 equal ids are judged one by one. An empty table gives an empty result, and without any language no
-text is compared, so the base rules alone decide. Other columns are ignored, whatever their names.
+text is compared, so the base rules alone decide. Of a language's equally frequent words the smaller by bytes is the more
+common one; of equally near languages the distance alone counts. A text is held whole, however long. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

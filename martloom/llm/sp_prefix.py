@@ -5,7 +5,7 @@ characters that no piece has). For each prefix of a part, the table holds the on
 that its encoding ends with: an automaton gives the pieces that end there, and that one is taken which may
 follow the last token of the prefix before it, i.e. whose pair the merge rules leave as it is. The ids
 are recovered backwards from the table. A null or empty text has only the begin and end ids and decodes
-to an empty text. Repeated rows are encoded one by one, an empty table gives an empty result, and
+to an empty text. Equal merges go by their place, as in the library. A text is held whole, however long, with one token per prefix of a part. Repeated rows are encoded one by one, an empty table gives an empty result, and
 other columns are ignored.
 """
 

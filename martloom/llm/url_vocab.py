@@ -3,7 +3,8 @@
 Rules allow or block a host with its subdomains, from a path on; the longest that fits decides. Where none
 fits, terms are counted in the URL: a term counts where no ASCII letter or digit stands before or after it.
 One strict term, or ``SOFT_LIMIT`` different soft ones, block. A null URL, or one without ``://``, has
-an empty host and path, fits no rule, and is judged by its terms alone (null: allowed). Repeated
+an empty host and path, fits no rule, and is judged by its terms alone (null: allowed). Of
+equally long rules the first decides; terms are folded as the URL is. A URL is read once, however long. Repeated
 rows are judged one by one, an empty table gives an empty result, and other columns are ignored.
 """
 

@@ -77,3 +77,29 @@ def test_repeated_ids_count_once_in_the_fit(spark, monkeypatch):
     again = fm.fit(documents(spark, other[::-1]).coalesce(1), labels)
     assert (first.linear == again.linear).all() and (first.factors == again.factors).all()
     assert sizes == [20] * 4
+
+
+def test_query_by_a_plain_scorer(spark, tmp_path):
+    import math
+    import zlib
+
+    from martloom.llm import queries
+
+    rows = [(k, prose(k, 60) if k % 4 else junk(k // 4)) for k in range(60)] + [(60, None), (61, ""), (61, ""), (None, "no key"), (62, prose(1, 20_000))]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(k, int(bool(k % 4)), 0) for k in range(50)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    model = queries.quality_machine(queries.table(spark, str(tmp_path), "labels"), queries.table(spark, str(tmp_path), "documents"))
+
+    def plain(text):
+        x = fm.features([text])[0].astype(float)
+        seen = [i for i in range(len(x)) if x[i]]
+        z = float(model.bias) + sum(x[i] * float(model.linear[i]) for i in seen)
+        z += sum(x[i] * x[j] * sum(map(float, model.factors[i] * model.factors[j])) for i, j in itertools.combinations(seen, 2))
+        return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+    got = sorted(map(tuple, queries.QUERIES["op3_fm_quality"](spark, str(tmp_path)).collect()), key=str)
+    wanted = sorted(((i, i is not None and zlib.crc32(str(i).encode()) % 3 == 1, plain(t)) for i, t in rows), key=str)
+    assert [r[:2] for r in got] == [r[:2] for r in wanted]
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in wanted], abs=2e-3)
+    assert all(r[3] == (r[2] >= 0.5) for r in got)

@@ -96,3 +96,79 @@ def test_four_languages_in_equal_parts_stay(spark):
     text = " ".join(prose(9, 30, w) for w in words.values())
     assert lm.keep_identified(documents(spark, [(1, text)]), model).count() == 1
     assert sum(model.other[lm.grams(text)]) > 0 and model.other.sum() == pytest.approx(1, abs=0.02)
+
+
+def plain_languages(rows):
+    """The query on (doc_id, text, lang) rows, with dictionaries and loops."""
+    import math
+    import zlib
+
+    def fold(i):
+        return None if i is None else zlib.crc32(str(i).encode()) % 4
+
+    counts = {}
+    for i, text, lang in rows:
+        if text is not None and lang is not None and fold(i) != 2:
+            own = counts.setdefault(lang, {})
+            for g in plain_grams(text):
+                own[g] = own.get(g, 0) + 1
+    names = sorted(counts)
+    size = len({g for own in counts.values() for g in own})
+    totals = {k: sum(counts[k].values()) for k in names}
+
+    def chance(k, g):
+        return (counts[k].get(g, 0) + lm.SMOOTHING) / (totals[k] + lm.SMOOTHING * size)
+
+    def mix(seen, total, shares):
+        for _ in range(lm.ROUNDS):
+            new = dict.fromkeys(shares, 0.0)
+            for g, n in seen.items():
+                parts = {k: w * chance(k, g) for k, w in shares.items()}
+                whole = sum(parts.values())
+                for k in parts:
+                    new[k] += n * parts[k] / whole / total
+            change = max(abs(new[k] - shares[k]) for k in shares)
+            shares = new
+            if change < lm.SETTLED:
+                break
+        return shares, sum(n * math.log(sum(w * chance(k, g) for k, w in shares.items())) for g, n in seen.items())
+
+    out = []
+    for i, text, _ in rows:
+        seen = {}
+        for g in plain_grams(text or ""):
+            seen[g] = seen.get(g, 0) + 1
+        told = ("und", 0.0)
+        if any(c.isalpha() for c in text or ""):
+            total = sum(seen.values())
+            every, _ = mix(seen, total, {k: 1 / len(names) for k in names})
+            order = sorted(names, key=lambda k: -every[k])
+            alone = {k: sum(n * math.log(chance(k, g)) for g, n in seen.items()) for k in names}
+            best = max(names, key=lambda k: alone[k])
+            chosen, value = {best: 1.0}, alone[best]
+            cost = lm.PENALTY * 0.5 * math.log(max(2, total))
+            for k in range(2, len(names) + 1):
+                if every[order[k - 1]] < lm.LEAST_SHARE:
+                    break
+                part = sum(every[n] for n in order[:k])
+                tried, likely = mix(seen, total, {n: every[n] / part for n in order[:k]})
+                if likely - cost * (k - 1) > value:
+                    chosen, value = tried, likely - cost * (k - 1)
+            first = min(chosen, key=lambda n: (-chosen[n], n))
+            told = (first, every[first])
+        out.append((i, fold(i) == 2, *told))
+    return sorted(out, key=str)
+
+
+def test_query_by_plain_expectation_maximisation(spark, tmp_path):
+    from martloom.llm import queries
+
+    kinds = [(ENGLISH, "en"), (GERMAN, "de"), (FRENCH, "fr")]
+    rows = [(k, prose(k, 40, w), n) for k, (w, n) in enumerate(kinds * 10)]
+    rows += [(50 + k, prose(k, 30, ENGLISH) + " " + prose(k, 10 + 5 * k, GERMAN), None) for k in range(6)]
+    rows += [(70, None, "en"), (71, "", "de"), (72, "12 34", "fr"), (73, "q", None), (73, "q", None), (None, prose(3, 30, FRENCH), None), (74, prose(5, 8000, GERMAN), "de")]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, queries.QUERIES["op5_lang_mixture"](spark, str(tmp_path)).collect()), key=str)
+    wanted = plain_languages(rows)
+    assert [r[:3] for r in got] == [r[:3] for r in wanted]
+    assert [r[3] for r in got] == pytest.approx([r[3] for r in wanted], abs=5e-3)
