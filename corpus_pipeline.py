@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all documents that the stage before has kept. Its
 result is written to the shared folder and read again, so a lost executor repeats one stage at most.
+
+Nulls in any column are values like others: a null id never meets another row, a null text is empty. Null, empty and blank texts
+have no letter, so the language stage takes them. Repeated rows are judged alike and one of them stays after the near copies;
+the smallest id of a group stays, of equal ids the smaller text hash. Texts are held whole, however long. Empty tables give an
+empty result: where nothing can be learned, nothing is rejected. Further columns, clashing names included, are kept by all but the last stage.
 """
 
 from __future__ import annotations
