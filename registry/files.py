@@ -112,9 +112,24 @@ def encode_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.select("vec_id", json_text(F.col("pair"), nested.schema["pair"].dataType).alias("pair"))
 
 
+def with_numbering(landed: DataFrame) -> DataFrame:
+    """The landed rows; for their provenance, how their file is named and whether its rows are numbered 1 to n.
+
+    Names of part files and the order of rows in them are up to the writer. n numbers from 1 to n are all different
+    if they and their squares add up to what 1 to n give.
+    """
+    number = F.col("_raw_row_number").cast("decimal(20,0)")
+    n = F.count("*").cast("decimal(20,0)")
+    whole = (F.sum(number) * 2 == n * (n + 1)) & (F.sum(number * number) * 6 == n * (n + 1) * (n * 2 + 1))
+    files = landed.groupBy("_source_file").agg((whole & (F.min(number) == 1) & (F.max(number) == n)).alias("numbered"))
+    named = F.regexp_replace("_source_file", "^part-[0-9]+-.*[.]", "part.").alias("source_file")
+    values = [c for c in landed.columns if c not in ("_source_file", "_raw_row_number")]
+    return landed.join(files, "_source_file").select(named, "numbered", *map(col, values))
+
+
 def raw_land(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_source(given(spark, sf_dir, "lineitem"), "source2_lineitem", "csv")
-    return land_raw(spark, path, scratch_path(spark, "raw"), LOADED_AT).read().drop("_source_file", "_raw_row_number")
+    return with_numbering(land_raw(spark, path, scratch_path(spark, "raw"), LOADED_AT).read())
 
 
 def raw_land_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +141,7 @@ def raw_land_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("Event Type"),
     )
     path = write_source(events, "src_events", "json")
-    return land_raw(spark, path, scratch_path(spark, "raw"), LOADED_AT).read().drop("_source_file", "_raw_row_number")
+    return with_numbering(land_raw(spark, path, scratch_path(spark, "raw"), LOADED_AT).read())
 
 
 def raw_row_number(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,12 +242,12 @@ ORACLES = {
             || array_to_string(list_transform(embedding, lambda x: cast(floor(cast(x as double) * 1000) as bigint)), ', ') || ']}' as pair
         from embeddings""",
     "raw_land": f"""
-        select '{LOADED_AT}' as _loaded_at, l_orderkey, l_partkey, l_suppkey, cast(l_linenumber as bigint) as l_linenumber,
+        select 'part.csv' as source_file, true as numbered, '{LOADED_AT}' as _loaded_at, l_orderkey, l_partkey, l_suppkey, cast(l_linenumber as bigint) as l_linenumber,
             l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus,
             strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') as l_shipdate
         from lineitem""",
     "raw_land_json": f"""
-        select '{LOADED_AT}' as _loaded_at, event_id, props as props_1, '[' || user_id || ', ' || event_id || ']' as props_1_2,
+        select 'part.json' as source_file, true as numbered, '{LOADED_AT}' as _loaded_at, event_id, props as props_1, '[' || user_id || ', ' || event_id || ']' as props_1_2,
             event_type from events""",
     "raw_row_number": "select o_orderkey, row_number() over (order by o_orderkey) as row_number from orders",
     "normalize_identifier": f"""

@@ -27,7 +27,7 @@ from martloom.operators.profiling import profile_all
 from martloom.plans.migrate import Source, migrate
 from martloom.plans.models import build_enriched, build_staging
 from martloom.session import scratch_path, stage
-from martloom.sources.raw import RawTable, land_all, raw_counts
+from martloom.sources.raw import ROW_NUMBER, SOURCE_FILE, RawTable, land_all, land_raw, raw_counts
 from martloom.sources.store import TableStore
 from martloom.spec import TableSpec, table
 from registry.model import SPECS, given, target, write_source
@@ -38,6 +38,9 @@ ORDER = SPECS["order"]
 LOOSE_ORDER = table(
     "order", [(c.name, c.sql_type) for c in ORDER.columns], "order_id", foreign_keys={"customer_id": ("customer", "customer_id")}
 )
+PAGE = table("page", "page_id INTEGER, url TEXT, batch INTEGER", "page_id")
+# Pages in a file of the source with very many files.
+FILE_PAGES = 25
 COLUMNS_SQL = "o_orderkey as order_id, o_custkey as customer_id, o_orderstatus as status, o_totalprice as price"
 STORED_SQL = COLUMNS_SQL + ", cast(o_orderdate as varchar) as order_date"
 
@@ -241,6 +244,24 @@ def migrate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.validation
 
 
+def load_contested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source of many files, many of which repeat a key of the file before: landed, loaded by file, read from the store.
+
+    A file that shares a key with an accepted one is rejected whole, so one that shares a key with a rejected one is not.
+    """
+    batch = F.floor(F.col("page_id") / FILE_PAGES)
+    pages = given(spark, sf_dir, "pages").select("page_id", "url", batch.alias("batch"))
+    first = pages.where((F.col("page_id") % FILE_PAGES == 0) & (F.length("url") % 3 != 0))
+    again = first.select("page_id", F.concat("url", F.lit("#again")).alias("url"), (F.col("batch") + 1).alias("batch"))
+    named = pages.unionByName(again).withColumn("file", F.lpad(F.col("batch").cast("string"), 12, "0"))
+    path = f"{scratch_path(spark, 'source')}/source1_pages.csv"
+    named.repartition("file").write.partitionBy("file").option("header", True).csv(path)
+    source = Source("source1_pages.csv", land_raw(spark, path, scratch_path(spark, "raw"), "2024-01-01T00:00:00+00:00").read(), ROW_NUMBER, file=SOURCE_FILE)
+    tables = store(spark)
+    migrate(spark, [PAGE], [source], [Mapping("page", c.name, source.name, c.name) for c in PAGE.columns], tables)
+    return tables.read("page")
+
+
 def load_report_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source in many files, one of which has only empty rows: every file is reported."""
     filled = F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_custkey"))
@@ -299,6 +320,7 @@ QUERIES = {
     "load_recreate": load_recreate,
     "load_multi_file": load_multi_file,
     "load_file_atomic": load_file_atomic,
+    "load_contested": load_contested,
     "load_report": load_report,
     "load_report_parts": load_report_parts,
     "load_total": load_total,
@@ -374,6 +396,14 @@ ORACLES = {
     "load_multi_file": f"select * replace (case when status <> 'O' then price end as price) from (select {STORED_SQL} from orders)",
     "load_file_atomic": f"""{FILES_SQL}
         select order_id, customer_id, status, price, order_date from files where source_file not in ('d.csv', 'e.csv')""",
+    "load_contested": f"""
+        with p as (select page_id, url, page_id // {FILE_PAGES} as batch from pages),
+        again as (select page_id, url || '#again' as url, batch + 1 as batch from p where page_id % {FILE_PAGES} = 0 and length(url) % 3 <> 0),
+        rows as (select * from p union all select * from again),
+        files as (select distinct batch, batch in (select batch from again) as shares from rows),
+        chains as (select batch, sum(case when shares then 0 else 1 end) over (order by batch) as chain from files),
+        placed as (select batch, row_number() over (partition by chain order by batch) as place from chains)
+        select rows.* from rows join placed using (batch) where place % 2 = 1""",
     "load_report": f"{REPORT_SQL} select * from report",
     "load_report_parts": """
         select 'client' as "table", c_mktsegment as source_file, count(*) filter (c_mktsegment <> 'MACHINERY') as rows, 0::bigint as replaced,
