@@ -50,10 +50,11 @@ COPY = "E"
 def failures(text: Column, limits: Limits) -> dict[str, Column]:
     """Which of the filters that look at one text alone it fails."""
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    size, length = (lambda a: F.size(a).cast("bigint")), (lambda t: F.length(t).cast("bigint"))  # times 100 they may leave the range of int
     return {
         "A": F.size(words) < limits.min_words,
-        "B": F.size(F.array_distinct(words)) * 100 < F.size(words) * limits.distinct_percent,
-        "C": F.length(F.regexp_replace(text, "[^A-Z]+", "")).cast("bigint") * 100 > F.length(text) * limits.capital_percent,
+        "B": size(F.array_distinct(words)) * 100 < size(words) * limits.distinct_percent,
+        "C": length(F.regexp_replace(text, "[^A-Z]+", "")) * 100 > length(text) * limits.capital_percent,
         "D": text.rlike(limits.symbols),
     }
 
