@@ -7,6 +7,7 @@ from martloom.sources import list_sources, scan
 from martloom.sources.delimited import has_quoted_breaks, read_groups, scan_csv
 from martloom.sources.json import flatten
 from martloom.sources.raw import land_all, land_raw, raw_counts
+from registry import files
 
 
 def write(folder, name, text, encoding="utf-8"):
@@ -331,3 +332,23 @@ def test_names_by_case_leave_the_session_as_it_is(spark, folder):
     before = spark.conf.get("spark.sql.caseSensitive")
     path = write(folder, "x.json", '{"ID": 1, "id": 2}\n{"ID": 3, "id": 4}\n')
     assert scan(spark, path).columns == ["ID", "id "] and spark.conf.get("spark.sql.caseSensitive") == before
+
+
+def test_raw_land_nested_writes_its_source_in_many_tasks(spark, folder, monkeypatch):
+    orders = spark.range(3000).select("id", F.element_at(F.array(*map(F.lit, "FOP")), (F.col("id") % 3 + 1).cast("int")).alias("o_orderstatus"))
+    orders.repartition(4).write.parquet(f"{folder}/orders.parquet")
+    sources = []
+    monkeypatch.setattr(files, "land_raw", lambda spark, path, *rest: sources.append(path) or land_raw(spark, path, *rest))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        found = sorted(collected(files.raw_land_nested(spark, folder)))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == [(status, 1000, 1, 1000, 1000) for status in "FOP"]
+    names = [sorted(n for n in os.listdir(f"{sources[0]}/o_orderstatus={s}") if n.startswith("part-")) for s in "FOP"]
+    assert len(names[0]) > 1 and names[0] == names[1] == names[2]
+
+
+def test_number_facts_tell_wrong_numbers(spark):
+    landed = spark.createDataFrame([("a", n) for n in (1, 2, 64, 65, 65)] + [("b", n) for n in (0, 3)], "_source_file string, _raw_row_number bigint")
+    assert sorted(collected(files.number_facts(landed))) == [("a", 5, 1, 65, 4), ("b", 2, 0, 3, 2)]
