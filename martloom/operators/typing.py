@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from martloom.functions import col
-from martloom.functions.casts import NUMBER, WHOLE_NUMBER
+from martloom.functions.casts import NUMBER
 
 BOOLEAN, INTEGER, FLOAT, DATE, STRING = "boolean", "integer", "float", "date", "string"
 
@@ -152,13 +152,14 @@ SAFE_LENGTH = 18
 
 def _mark(value: Column) -> Column:
     # patterns come before casts: a cast that fails costs far more than a pattern that does not match
-    whole = value.rlike(WHOLE_NUMBER)
+    # a number is whole when it has neither point nor exponent
+    whole = ~(F.contains(value, F.lit(".")) | F.contains(value, F.lit("e")) | F.contains(value, F.lit("E")))
     fits = (F.length(value) <= SAFE_LENGTH) | value.try_cast("bigint").isNotNull()
     return (
         F.when(value.isNull(), F.lit(None).cast("int"))
         # a whole number beyond 64 bits stays text: a double would lose digits
-        .when(whole, F.when(fits, F.lit(WHOLE_MARK)).otherwise(F.lit(WORD_MARK)))
-        .when(value.rlike(NUMBER) | value.rlike(INFINITY), F.lit(REAL_MARK))
+        .when(value.rlike(NUMBER), F.when(~whole, F.lit(REAL_MARK)).when(fits, F.lit(WHOLE_MARK)).otherwise(F.lit(WORD_MARK)))
+        .when(value.rlike(INFINITY), F.lit(REAL_MARK))
         .when(value.isin(*BOOLEAN_TOKENS), F.lit(FLAG_MARK))
         .otherwise(F.lit(WORD_MARK))
     )

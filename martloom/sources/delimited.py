@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from martloom.functions import col
 from martloom.functions.missing import na_to_null
 from martloom.operators.typing import apply_types, infer_types
-from martloom.sources.files import BLOCK, FILE, all_files, distinct_by_case, file_column, leaf_files, literal_path, provenance_columns
+from martloom.sources.files import BLOCK, FILE, all_files, as_written, distinct_by_case, file_column, leaf_files, literal_path, provenance_columns
 
 BAD_ROW = "__bad_row"
 
@@ -102,10 +102,12 @@ def read_groups(spark: SparkSession, path: str | list[str], multi_line: bool | N
         return []
     at = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
     opens = F.lit(bool(multi_line)) if multi_line is not None else _opens(F.col("value"))
-    marked = lines.select(file_column("file"), at.alias("at"), F.when(F.col("value") == some["value"], at).alias("known"), opens.alias("open"))
+    # one column of ids: a second one, asked for on some rows only, would count only those
+    marked = lines.select(file_column("file"), at.alias("at"), (F.col("value") == some["value"]).alias("alike"), opens.alias("open"))
+    marked = marked.withColumn("known", F.when(F.col("alike"), F.col("at")))
     each = marked.groupBy("file").agg(F.min("at").alias("at"), F.min("known").alias("known"), F.count_if("open").alias("open"))
     # a row per file, as many as Spark's own listing holds
-    found = each.select("file", F.col("at").eqNullSafe(F.col("known")).alias("same"), (F.col("open") > 0).alias("open")).collect()
+    found = each.select(as_written(F.col("file")).alias("file"), F.col("at").eqNullSafe(F.col("known")).alias("same"), (F.col("open") > 0).alias("open")).collect()
     first = {r["file"]: some["value"] for r in found if r["same"]} | _first_lines(spark, [r["file"] for r in found if not r["same"]])
     open_files = {r["file"] for r in found if r["open"]}
     by_line: dict[tuple, list[str]] = {}
@@ -129,7 +131,8 @@ def _first_lines(spark: SparkSession, files: list[str]) -> dict[str, str]:
         return {}
     lines = all_files(spark).text([literal_path(spark, f) for f in files]).where("value <> ''")
     start = lines.where("_metadata.file_block_start = 0").select(file_column("file"), "value", F.monotonically_increasing_id().alias("at"))
-    return {r["file"]: r["line"] for r in start.groupBy("file").agg(F.min_by("value", "at").alias("line")).collect()}
+    found = start.groupBy("file").agg(F.min_by("value", "at").alias("line"))
+    return {r["file"]: r["line"] for r in found.select(as_written(F.col("file")).alias("file"), "line").collect()}
 
 
 def _header(spark: SparkSession, file: str, line: str, multi_line: bool) -> tuple[str | None, ...]:
@@ -161,7 +164,7 @@ def _part(spark: SparkSession, group: Group, provenance: bool, path: str) -> Dat
     cells = [F.col(f"_{i}") for i in range(len(names))]
     cells[0] = F.when(_too_many_cells(len(names)), F.raise_error(_message(path, len(names)))).otherwise(cells[0])
     values = [na_to_null(cell).alias(name) for cell, name in zip(cells, names)]
-    return raw.select(*values, *(provenance_columns(spark, path) if provenance else []))
+    return raw.select(*values, *(provenance_columns() if provenance else []))
 
 
 def _too_many_cells(count: int) -> Column:

@@ -46,8 +46,12 @@ def literal_path(spark: SparkSession, path: str) -> str:
 
 
 def file_column(name: str) -> Column:
-    """The path of the file that a row came from, as it is written."""
-    return F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias(name)
+    """The path of the file that a row came from, as Spark encodes it; ``as_written`` decodes it, once a file and not once a row."""
+    return F.col("_metadata.file_path").alias(name)
+
+
+def as_written(path: Column) -> Column:
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
 def scan(
@@ -60,8 +64,8 @@ def scan(
 ) -> DataFrame:
     """Read one source, a file or a folder of part files, as a flat frame.
 
-    ``rows`` bounds the scan (0 or None reads everything); ``provenance`` appends the file name
-    and the start of the file block each row came from.  ``multi_line`` tells whether CSV values
+    ``rows`` bounds the scan (0 or None reads everything); ``provenance`` appends the file, as
+    ``file_column`` gives it, and the start of the file block each row came from.  ``multi_line`` tells whether CSV values
     hold line breaks, which saves a pass that looks for them.
     """
     from martloom.sources.delimited import scan_csv
@@ -84,18 +88,20 @@ def source_types(texts: DataFrame, path: str) -> dict[str, str]:
     return number_types(texts) if is_lines(texts.sparkSession, path) else {}
 
 
-def provenance_columns(spark: SparkSession, path: str) -> list:
-    """File, by its path below the source (its name when the source is the file), and start of the block."""
+def provenance_columns() -> list[Column]:
+    """File, as Spark encodes its path, and start of the block."""
+    return [file_column(FILE), F.col("_metadata.file_block_start").alias(BLOCK)]
+
+
+def path_below(spark: SparkSession, path: str, file: Column) -> Column:
+    """The path of a file, given as Spark encodes it, below the source; its name when the source is the file."""
     _, jpath = hadoop_path(spark, path)
     uri = jpath.toUri()
     root = (uri.getAuthority() or "").lstrip("/") + "/" + uri.getRawPath().strip("/") + "/"
-    whole = F.regexp_replace("_metadata.file_path", "^[A-Za-z0-9+.-]+:/*", "")
+    whole = F.regexp_replace(file, "^[A-Za-z0-9+.-]+:/*", "")
     root = root.lstrip("/")
     below = F.when(F.startswith(whole, F.lit(root)), F.substring(whole, len(root) + 1, 1 << 20))
-    return [
-        F.coalesce(F.url_decode(F.replace(below, F.lit("+"), F.lit("%2B"))), F.col("_metadata.file_name")).alias(FILE),
-        F.col("_metadata.file_block_start").alias(BLOCK),
-    ]
+    return F.coalesce(as_written(below), F.substring_index(file, "/", -1))
 
 
 def distinct_by_case(names: list[str]) -> list[str]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from martloom.functions import col
 from martloom.operators.typing import FLOAT, INTEGER, apply_types, infer_types
-from martloom.sources.files import BLOCK, FILE, all_files, distinct_by_case, file_column, literal_path, provenance_columns
+from martloom.sources.files import BLOCK, FILE, all_files, as_written, distinct_by_case, file_column, literal_path, provenance_columns
 
 LINES, ARRAY, OBJECT = "lines", "array", "object"
 # A file of one line that is an object: JSON Lines with one row, or a document.
@@ -79,6 +79,7 @@ def json_facts(spark: SparkSession, path: str) -> tuple[str, list[str]]:
         .select(file_column("file"), F.when(F.col("_metadata.file_block_start") == 0, first).alias("first"), behind.alias("behind"))
         .groupBy("file")
         .agg(F.min("first").alias("first"), F.count("*").alias("lines"), F.count_if("behind").alias("behind"))
+        .withColumn("file", as_written(F.col("file")))
     )
     more = F.col("lines") > 1
     kind = (
@@ -126,7 +127,7 @@ def _leaves(schema: T.StructType, parent: Column | None, prefix: str, order: dic
 
 
 def _read(spark: SparkSession, path: str, provenance: bool, multi_line: bool) -> DataFrame:
-    places = provenance_columns(spark, path) if provenance else []
+    places = provenance_columns() if provenance else []
     reader = all_files(spark).option("multiLine", multi_line)
     try:
         df = reader.json(literal_path(spark, path)).select("*", *places)

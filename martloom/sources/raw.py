@@ -16,7 +16,7 @@ from martloom.operators.frames import union_all
 from martloom.operators.numbering import number_rows, stage_for_numbering
 from martloom.operators.typing import apply_types
 from martloom.session import drop_scratch, run_together, scratch_path
-from martloom.sources.files import BLOCK, FILE, scan, source_types
+from martloom.sources.files import BLOCK, FILE, path_below, scan, source_types
 
 SOURCE_FILE, LOADED_AT, ROW_NUMBER = "_source_file", "_loaded_at", "_raw_row_number"
 RAW_COLUMNS = (SOURCE_FILE, LOADED_AT, ROW_NUMBER)
@@ -62,9 +62,10 @@ def raw_frame(
     encoded = [encode_nested(f).alias(name) for f, name in zip(data, names)]
     staged = stage_for_numbering(scanned.select(*encoded, FILE, BLOCK), "raw", scratch)
     typed = source_types(staged.select(*[col(n) for n, f in zip(names, data) if _is_text(f)]), path)
-    numbered = apply_types(number_rows(staged, ROW_NUMBER, restart=[FILE], blocks=[BLOCK]), typed)
+    named = {SOURCE_FILE: path_below(spark, path, F.col(FILE))}
+    numbered = apply_types(number_rows(staged, ROW_NUMBER, restart=[FILE], blocks=[BLOCK], of_run=named), typed)
     return numbered.select(
-        F.col(FILE).alias(SOURCE_FILE), F.lit(loaded_at or load_time()).alias(LOADED_AT), ROW_NUMBER, *map(col, names)
+        SOURCE_FILE, F.lit(loaded_at or load_time()).alias(LOADED_AT), ROW_NUMBER, *map(col, names)
     )
 
 

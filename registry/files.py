@@ -115,16 +115,14 @@ def encode_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_numbering(landed: DataFrame) -> DataFrame:
     """The landed rows; for their provenance, how their file is named and whether its rows are numbered 1 to n.
 
-    Names of part files and the order of rows in them are up to the writer. n numbers from 1 to n are all different
-    if they and their squares add up to what 1 to n give.
+    Names of part files and the order of rows in them are up to the writer.
     """
-    number = F.col("_raw_row_number").cast("decimal(20,0)")
-    n = F.count("*").cast("decimal(20,0)")
-    whole = (F.sum(number) * 2 == n * (n + 1)) & (F.sum(number * number) * 6 == n * (n + 1) * (n * 2 + 1))
-    files = landed.groupBy("_source_file").agg((whole & (F.min(number) == 1) & (F.max(number) == n)).alias("numbered"))
+    whole = (F.col("first_row") == 1) & (F.col("last_row") == F.col("rows")) & (F.col("numbers") == F.col("rows"))
     named = F.regexp_replace("_source_file", "^part-[0-9]+-.*[.]", "part.").alias("source_file")
+    files = number_facts(landed).select("_source_file", named, whole.alias("numbered"))
     values = [c for c in landed.columns if c not in ("_source_file", "_raw_row_number")]
-    return landed.join(files, "_source_file").select(named, "numbered", *map(col, values))
+    # a row per file, as many as Spark's own listing holds; left to its estimate, all landed rows would be shuffled
+    return landed.join(F.broadcast(files), "_source_file").select("source_file", "numbered", *map(col, values))
 
 
 def raw_land(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +149,7 @@ def raw_row_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = landed.groupBy("_source_file").agg(F.max("_raw_row_number").alias("rows"))
     earlier = W.orderBy("_source_file").rowsBetween(W.unboundedPreceding, -1)  # one row per file
     starts = sizes.withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
-    return landed.join(starts, "_source_file").select(
+    return landed.join(F.broadcast(starts), "_source_file").select(
         "o_orderkey", (F.col("before") + F.col("_raw_row_number")).alias("row_number")
     )
 

@@ -3,7 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from martloom.sources import list_sources, scan
+from martloom.sources import delimited, list_sources, scan
 from martloom.sources.delimited import has_quoted_breaks, read_groups, scan_csv
 from martloom.sources.json import flatten
 from martloom.sources.raw import land_all, land_raw, raw_counts
@@ -352,3 +352,38 @@ def test_raw_land_nested_writes_its_source_in_many_tasks(spark, folder, monkeypa
 def test_number_facts_tell_wrong_numbers(spark):
     landed = spark.createDataFrame([("a", n) for n in (1, 2, 64, 65, 65)] + [("b", n) for n in (0, 3)], "_source_file string, _raw_row_number bigint")
     assert sorted(collected(files.number_facts(landed))) == [("a", 5, 1, 65, 4), ("b", 2, 0, 3, 2)]
+
+
+def test_alike_files_of_one_task_are_not_looked_at_again(spark, folder, monkeypatch):
+    path, seen = parts(folder, "x.csv", [f"id,v\n{i},10\n{i},11\n" for i in range(3)]), []
+    monkeypatch.setattr(delimited, "_first_lines", lambda spark, files: seen.extend(files) or {})
+    settings = {"spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        groups = read_groups(spark, path)
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert [(g.header, g.paths) for g in groups] == [(("id", "v"), [path])] and seen == []
+
+
+def test_row_like_the_header_of_another_file(spark, folder):
+    df = scan(spark, parts(folder, "x.csv", ["id,v\n1,10\n2,20\n3,30\n", "v,id\nid,v\n"]))
+    assert df.columns == ["id", "v"] and ("v", "id") in collected(df)
+
+
+def test_files_are_named_and_checked_once_each(spark, folder):
+    spark.range(50).repartition(2).write.option("header", True).csv(folder + "/many.csv")
+    scanned = scan(spark, folder + "/many.csv", provenance=True, infer=False)
+    assert scanned.select("__file").first()[0].startswith("file:")
+    landed = land_raw(spark, folder + "/many.csv", folder + "/out").read()
+    told = files.with_numbering(landed)
+    assert collected(told.select("source_file", "numbered").distinct()) == [("part.csv", True)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" in files.with_numbering(landed)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    wrong = landed.withColumn("_raw_row_number", F.when(F.col("_raw_row_number") == 2, 3).otherwise(F.col("_raw_row_number")))
+    assert not any(r["numbered"] for r in files.with_numbering(wrong).collect())
